@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, lmscore, mixing, quality, suffixes, urls
+from . import decontam, fmindex, language, licenses, lmscore, mixing, quality, suffixes, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_license_scan, op3_quality_rules, op5_suffix_dedup, op6_url_filter, op7_language_id, op8_mix_sources, op9_benchmark_leaks, op10_lm_score)
+QUERIES = (op1_license_scan, op3_quality_rules, op4_substring_dedup, op5_suffix_dedup, op6_url_filter, op7_language_id, op8_mix_sources, op9_benchmark_leaks, op10_lm_score)
 
 
 def queries() -> dict:
