@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, language, licenses, lmscore, mixing, quality, suffixes, urls
+from . import decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, quality, suffixes, urls
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_license_scan, op3_quality_rules, op4_substring_dedup, op5_suffix_dedup, op6_url_filter, op7_language_id, op8_mix_sources, op9_benchmark_leaks, op10_lm_score)
+QUERIES = (op1_license_scan, op2_ngram_jaccard, op3_quality_rules, op4_substring_dedup, op5_suffix_dedup, op6_url_filter, op7_language_id, op8_mix_sources, op9_benchmark_leaks, op10_lm_score)
 
 
 def queries() -> dict:
