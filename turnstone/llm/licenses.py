@@ -21,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER
+
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -37,16 +38,25 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
 )
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of lower-cased text, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, in the form that Java matches fastest.
+WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 THRESHOLD, BLOCK = 0.9, 64
 #: Templates together hold at most this many distinct words.
 MAX_VOCABULARY = 100_000
 
 
+#: A character of a word before A-Z is lower-cased.
+CHARACTER = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
 
+def _whole_word(words: list[str]) -> str:
+    return f"(?i)(?<!{CHARACTER})(?:{'|'.join(words)})(?!{CHARACTER})"
+
+
 def _order(docs: DataFrame, templates: tuple) -> dict[str, int]:
     """Place of every template word in the global order: rarest first, ties by the word."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
@@ -71,9 +81,9 @@ def join_templates(docs: DataFrame, templates: tuple = TEMPLATES, threshold: flo
     whole = F.broadcast(spark.createDataFrame(full, "template int, label string, words array<string>"))
     first = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     d = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where("text is not null")
-    # words of prefixes, in either case: a text without one holds no matching block
-    pattern = "(?i)(?:" + "|".join(sorted({r[0] for r in rows})) + ")"
-    d = d.where(F.col("text").rlike(pattern)).dropDuplicates(["doc_id", "key"])
+    # a text or line without a word of a prefix holds no matching block
+    pattern = _whole_word(sorted({r[0] for r in rows}))
+    d = d.where(F.col("text").rlike(pattern))
     lines = d.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(pattern))
     lines = lines.select("doc_id", "key", "line", _words(F.col("t")).alias("all"))
     starts = F.expr(f"sequence(0, greatest(size(all) - 1, 0), {BLOCK // 2})")
