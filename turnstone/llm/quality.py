@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: Tests are on these ratios.
+#: Tests are on these ratios, as SQL.
 RATIOS = {
-    "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "dup_lines": F.col("n_dup_lines").cast("double"),
-    "repeat_share": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "log_words": F.log1p("n_words"),
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "dup_lines": "cast(n_dup_lines as double)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "log_words": "log1p(n_words)",
 }
 CUTS_BAD, CUTS_GOOD = (0.1, 0.35, 0.65, 0.9), (0.02, 0.5, 0.98)
 BINS, MAX_TESTS, MAX_RULES, LEAST_PRECISION, LEAST_COVER = 8, 3, 12, 0.97, 5
@@ -60,7 +60,7 @@ def base_failed() -> Column:
 
 def _cells(feats: DataFrame, labels: DataFrame) -> tuple[dict[str, list[float]], list]:
     known = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("bad"))
-    x = feats.join(known, feats["doc_id"] == F.col("_id")).where(~base_failed()).select("bad", (F.xxhash64("_id") % 3 == 0).alias("check"), *[v.alias(k) for k, v in RATIOS.items()])
+    x = feats.join(known, feats["doc_id"] == F.col("_id")).where(~base_failed()).select("bad", (F.xxhash64("_id") % 3 == 0).alias("check"), *[F.expr(v).alias(k) for k, v in RATIOS.items()])
     x = cut(x)
     found = x.agg(*[F.percentile_approx(F.when(F.col("bad") == b, F.col(k)), list(q), 1000).alias(f"{k}_{b}") for k in RATIOS for b, q in ((True, CUTS_BAD), (False, CUTS_GOOD))]).first()
     cuts = {k: sorted({round(v, 6) for b in (True, False) for v in found[f"{k}_{b}"] or []}) for k in RATIOS}
@@ -118,7 +118,7 @@ def verdict(rules: list[list[tuple[str, str, float]]]) -> Column:
     for no, rule in reversed(list(enumerate(rules, 1))):
         test = F.lit(True)
         for k, op, c in rule:
-            test &= RATIOS[k] > c if op == ">" else RATIOS[k] <= c
+            test &= F.expr(RATIOS[k]) > c if op == ">" else F.expr(RATIOS[k]) <= c
         out = F.when(test, F.lit(no)).otherwise(out)
     return out
 
