@@ -29,9 +29,10 @@ from . import textnum
 from .common import cut, small_batches
 from .textnum import U, grams, mix, pieces, powers, sliding, within, word_hashes, word_spans
 
-HOT, PART, BUCKETS, HOLD, SECTION = 1000, 1_500_000, 1024, 12 << 20, 1 << 23
-#: Values beside the texts (anchors or spans, 8 to 16 bytes each) up to which their table is broadcast.
-BROADCAST_VALUES = 2_000_000
+HOT, PART, BUCKETS, HOLD, SECTION = 1000, 1_500_000, 1024, 16 << 20, 1 << 23
+PACK = "zstd"
+#: Document numbers up to which their list is broadcast, to leave other texts out of a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -190,7 +191,9 @@ def shards(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
                 g = split[i:j]
                 inst = order[np.arange(int(copies[g].sum())) + np.repeat(at[g] - (np.cumsum(copies[g]) - copies[g]), copies[g])]
                 o = one[g]
-                rows.append((int(by[g[0]]), [x.tobytes() for x in (key[o], n[o].astype(np.int32), copies[g].astype(np.int32), _slices(content, begin[o], begin[o] + n[o]), rid[inst], doc[inst], null[inst], pos[inst].astype(np.int32))]))
+                body = pa.compress(_slices(content, begin[o], begin[o] + n[o]).tobytes(), codec=PACK, asbytes=True)
+                a, b, c, d, e, f, h = (x.tobytes() for x in (key[o], n[o].astype(np.int32), copies[g].astype(np.int32), rid[inst], doc[inst], null[inst], pos[inst].astype(np.int32)))
+                rows.append((int(by[g[0]]), [a, b, c, body, d, e, f, h]))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][k] for r in rows], pa.binary()) for k in range(8))], ["bucket", *names])
 
         for batch in batches:
@@ -261,7 +264,9 @@ class Part:
 
 def _parts(table: pa.Table) -> Iterator[Part]:
     get = lambda n, t: np.frombuffer(b"".join(table.column(n).to_pylist()), t)
-    key, size, copies, content = get("key", U), get("size", np.int32).astype(np.int64), get("copies", np.int32).astype(np.int64), get("content", np.uint8)
+    sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("size").to_pylist()]
+    body = b"".join(pa.decompress(x, int(z.sum()), codec=PACK, asbytes=True) for x, z in zip(table.column("content").to_pylist(), sizes, strict=True))
+    key, size, copies, content = get("key", U), np.concatenate(sizes), get("copies", np.int32).astype(np.int64), np.frombuffer(body, np.uint8)
     rid, doc, null, pos = get("rid", np.int64), get("doc", np.int64), get("null", bool), get("pos", np.int32).astype(np.int64)
     end, last = np.cumsum(size), np.cumsum(copies)
     order = np.argsort(key, kind="stable")
@@ -272,9 +277,14 @@ def _parts(table: pa.Table) -> Iterator[Part]:
         j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), PART, "right")) + i)
         own = order[edges[i] : edges[j] if j < len(edges) else len(order)]
         i = j
-        texts = [content[end[k] - size[k] : end[k]].tobytes() for k in own]
-        number: dict = {}
-        ident = np.array([number.setdefault((int(key[k]), t), len(number)) for k, t in zip(own, texts, strict=True)])
+        texts = _slices(content, end[own] - size[own], end[own])
+        stop = np.cumsum(size[own])
+        same = Symbols(Kind(False, 0, 0), texts, stop).content_hashes(stop - size[own], stop)
+        by = np.lexsort((same, key[own]))
+        fresh = np.r_[True, (same[by][1:] != same[by][:-1]) | (key[own][by][1:] != key[own][by][:-1])]
+        ident = np.empty(len(own), np.int64)
+        ident[by] = np.cumsum(fresh) - 1
+        first = by[fresh]
         inst = np.arange(int(copies[own].sum())) + np.repeat(last[own] - copies[own] - (np.cumsum(copies[own]) - copies[own]), copies[own])
         which = np.repeat(ident, copies[own])
         r, d, z, p = rid[inst], doc[inst], null[inst], pos[inst]
@@ -286,9 +296,8 @@ def _parts(table: pa.Table) -> Iterator[Part]:
         step = np.r_[0, (r[docs][1:] != r[docs][:-1]).astype(np.int64)]
         rank = np.empty(len(r), np.int64)
         rank[docs] = np.cumsum(step)
-        body = [t for _, t in number]
-        begin = np.r_[0, np.cumsum([len(t) for t in body])]
-        yield Part(np.frombuffer(b"".join(body), np.uint8), begin, np.searchsorted(which, np.arange(len(body) + 1)), r, rank, p)
+        begin = np.r_[0, np.cumsum(size[own][first])]
+        yield Part(_slices(texts, (stop - size[own])[first], stop[first]), begin, np.searchsorted(which, np.arange(len(first) + 1)), r, rank, p)
 
 
 def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -303,10 +312,8 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
     buckets = max(BUCKETS, 1 << int(total // 4000).bit_length())
     anchors = shared_anchors(docs, kind, buckets).groupBy("rid").agg(F.collect_set("h").alias("anchors"))
     anchors = cut(anchors)
-    n = anchors.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    # texts of the documents with shared anchors; a small table is broadcast, a larger one hashed per partition
-    side = F.broadcast(anchors) if n <= BROADCAST_VALUES else anchors.hint("shuffle_hash")
-    sent = shards(docs.join(side, "rid").select("rid", "doc_id", "text", "anchors"), kind, buckets)
+    with_anchors, _ = split(docs, anchors)
+    sent = shards(with_anchors.join(anchors.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "anchors"), kind, buckets)
 
     def search(table):
         rid, a, b = [], [], []
@@ -322,10 +329,19 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
     return cut(found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
+def split(docs: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents that ``side`` has a row for, and the others, if the list of their numbers may be broadcast; else all."""
+    if side.count() > BROADCAST_ROWS:
+        return docs, None
+    ids = F.broadcast(side.select("rid"))
+    return docs.join(ids, "rid", "left_semi"), docs.join(ids, "rid", "left_anti")
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    side = F.broadcast(spans) if n <= BROADCAST_VALUES else spans.hint("shuffle_hash")
-    return docs.join(side, "rid", "left")
+    """``docs`` with the column spans; only texts that have any are shuffled, as long as their numbers are few."""
+    some, others = split(docs, spans)
+    out = some.join(spans.hint("shuffle_hash"), "rid", "left")
+    return out if others is None else out.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def covered(lists: pa.Array, i: int, j: int, first: np.ndarray) -> np.ndarray:

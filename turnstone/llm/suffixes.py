@@ -38,40 +38,51 @@ def _named(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranks(t: np.ndarray, places: np.ndarray, step: int) -> np.ndarray:
-    """For each of ``places``: how many of their suffixes are less, plus one, over DEPTH bytes at least.
+def _below(of: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """How many of ``among`` are less than each of ``of``."""
+    order = np.argsort(of)
+    out = np.empty(len(of), np.int64)
+    out[order] = np.searchsorted(np.sort(among), of[order], "left")
+    return out
+
 
-    ``t`` holds names from 1 to 2 ** BITS - 1 at the places and 0 beyond the end; the symbol after place i is at
-    i + step.
+def _ranks(t: np.ndarray, places: np.ndarray, step: int, wanted: np.ndarray) -> np.ndarray:
+    """For each of the places ``wanted``: how many of their suffixes are less, plus one, over DEPTH bytes at least.
+
+    ``t`` holds names from 1 to 2 ** BITS - 1 at ``places`` and 0 beyond the end; the symbol after place i is at
+    i + step. Names are given to all sampled suffixes; only wanted suffixes, and the sampled ones that
+    tell them apart, are merged.
     """
-    kind = places // step % 3
-    sampled = places[kind != 0]
+    sampled = places[places // step % 3 != 0]
     pack = lambda i, last: (t[i] << (2 * BITS)) | (t[i + step] << BITS) | last[i + 2 * step]
     rank = np.zeros(len(t), np.int64)
+    kind = wanted // step % 3
     if len(sampled):
         name = _named(pack(sampled, t))
-        if name.max() < len(sampled) and 3 * step < DEPTH:
-            names = np.zeros(len(t), np.int64)
-            names[sampled] = name
-            name = _ranks(names, sampled, 3 * step)
         rank[sampled] = name
-    rest = places[kind == 0]
+        if name.max() < len(sampled) and 3 * step < DEPTH:
+            need = np.zeros(len(t), bool)
+            for i in (wanted, wanted + step, wanted + 2 * step):
+                need[i] = True
+            need = sampled[need[sampled]]
+            higher = _ranks(rank, sampled, 3 * step, need)
+            rank = np.zeros(len(t), np.int64)
+            rank[need] = higher
     pair = lambda i: (t[i] << BITS) | rank[i + step]
     triple = lambda i: pack(i, rank)
+    rest, one, two = (wanted[kind == k] for k in range(3))
+    rest2, rest3, one2, two3 = pair(rest), triple(rest), pair(one), triple(two)
+    both = np.concatenate([rank[one], rank[two]])
+    low = _below(both, both)
     out = np.zeros(len(t), np.int64)
-    below = lambda of, among: np.searchsorted(np.sort(among), of, "left")
-    one, two = places[kind == 1], places[kind == 2]
-    rest2, rest3 = pair(rest), triple(rest)
-    out[rest] = below(rest2, rest2) + below(rest2, pair(one)) + below(rest3, triple(two))
-    both = below(rank[sampled], rank[sampled])
-    out[sampled] = both
-    out[one] += below(pair(one), rest2)
-    out[two] += below(triple(two), rest3)
-    return out[places] + 1
-
-
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of every suffix (ties possible beyond DEPTH bytes), and the names of the 8 bytes at each place."""
+    out[rest] = _below(rest2, rest2) + _below(rest2, one2) + _below(rest3, two3)
+    out[one] = low[: len(one)] + _below(one2, rest2)
+    out[two] = low[len(one) :] + _below(two3, rest3)
+    return out[wanted] + 1
+
+
+def suffix_order(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the wanted suffixes (ties possible beyond DEPTH bytes), and the names of the 8 bytes at each place."""
     n = len(text)
     if n + 1 >= 1 << BITS:
         raise ValueError("a part of a shard is too large")
@@ -79,25 +90,24 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code[:n] = text
     for shift in (1, 2, 4):
         code = (code << np.uint64(8 * shift)) | np.r_[code[shift:], np.zeros(shift, np.uint64)]
-    t = np.zeros(n + 3 * DEPTH * 3 + 64, np.int64)
+    t = np.zeros(n + 9 * DEPTH + 64, np.int64)
     t[:n] = _named(code[:n])
-    return _ranks(t, np.arange(n), STEP), t
+    return _ranks(t, np.arange(n), STEP, wanted), t
 
 
 def earlier_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(part.begin)
     wins = sizes - SPAN + 1
-    copies = np.diff(part.at)
     # every place of a snippet but its first repeats all of its windows
     later = np.setdiff1d(np.arange(len(part.rid)), part.at[:-1])
     of = np.searchsorted(part.at, later, "right") - 1
     snippet = np.repeat(np.arange(len(sizes)), wins)
     shift = np.arange(len(snippet)) - np.repeat(np.cumsum(wins) - wins, wins)
     start = part.begin[snippet] + shift
-    rank, t = suffix_order(part.content)
+    rank, t = suffix_order(part.content, start)
     first = part.at[snippet]
     when = (part.rank[first] << 32) | (part.pos[first] + shift)
-    order = np.argsort(rank[start], kind="stable")
+    order = np.argsort(rank, kind="stable")
     s = start[order]
     same = np.ones(len(s) - 1, bool)
     for d in (*range(0, SPAN - STEP, STEP), SPAN - STEP):
@@ -108,7 +118,6 @@ def earlier_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[order] = when[order] != least
     lo = np.flatnonzero(again & ~(np.r_[False, again[:-1]] & (shift > 0)))
     hi = np.flatnonzero(again & ~(np.r_[again[1:], False] & (shift < wins[snippet] - 1)))
-    assert len(copies) == len(sizes)
     return np.r_[later, first[lo]], np.r_[np.zeros(len(later), np.int64), shift[lo]], np.r_[wins[of] - 1, shift[hi]]
 
 
