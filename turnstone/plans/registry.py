@@ -2,10 +2,360 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnstone.functions.text import CURLY, PLAIN, chars_per_page, sentences
+from turnstone.operators import consistency as cons
+from turnstone.operators import coverage as cov
+from turnstone.operators import hedging, prompts, revise, segment, usage, verify
+from turnstone.plans import derive
+from turnstone.plans.derive import SP, quoted, re2, sql_strip
+from turnstone.plans.schemas import CONFIDENT, DIMENSIONS, HEDGED, HIGH_VARIANCE_SPREAD, MIN_CHARS_PER_PAGE, PREPARED, QA, UNMARKED
+from turnstone.sources.report import markdown
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+# Claims against turns.
+
+_NORM = lambda x: f"trim(regexp_replace(translate({x}, {quoted(CURLY)}, {quoted(PLAIN)}), '[{SP}]+', ' ', 'g'), ' ')"
+_CHECK = f"""with t as ({derive.SQL_TURNS}), c as ({derive.SQL_CLAIMS}),
+f as (select c.*, case when t.doc_id is null then 'turn_missing' when contains({_NORM("t.text")}, {_NORM("c.source_quote")}) then 'kept' else 'quote_not_found' end as found,
+  case when t.doc_id is null then 'turn_missing' when contains(t.text, c.source_quote) then 'kept' else 'quote_not_found' end as status, t.text as turn_text
+  from c left join t on c.doc_id = t.doc_id and c.source_turn_number = t.turn_number)
+"""
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return derive.claims(spark, sf_dir), derive.turns(spark, sf_dir)
+
+
+@query(_CHECK + """select doc_id, count(f.claim_no)::bigint as total, count(*) filter (found = 'kept')::bigint as passed,
+  (count(f.claim_no) - count(*) filter (found = 'kept'))::bigint as failed,
+  coalesce(count(*) filter (found = 'kept')::double / nullif(count(f.claim_no), 0), 1.0)::double as rate
+from (select distinct doc_id from documents union select distinct doc_id from t) left join f using (doc_id) group by doc_id""")
+def faithfulness_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without claims have a rate of 1."""
+    c, t = _inputs(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").union(t.select("doc_id"))
+    return verify.faithfulness_rate(docs, verify.faithfulness(c, t))
+
+
+@query(_CHECK + "select doc_id, claim_no, found = 'kept' as passed, case when found <> 'kept' then found end as reason from f")
+def faithfulness_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.faithfulness(*_inputs(spark, sf_dir)).select("doc_id", "claim_no", "passed", "reason")
+
+
+@query(_CHECK + "select doc_id, claim_no, claim_text, category, source_turn_number, source_quote, confidence_flag from f where status = 'kept'")
+def claims_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.kept_claims(verify.gate(*_inputs(spark, sf_dir)))
+
+
+@query(_CHECK + """select doc_id, claim_no, status, case status when 'turn_missing' then 'dropped claim citing missing turn ' else 'dropped claim whose quote is not in turn ' end
+  || source_turn_number || ': ' || substr(claim_text, 1, 60) as warning from f where status <> 'kept'""")
+def claims_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.dropped_claims(verify.gate(*_inputs(spark, sf_dir))).select("doc_id", "claim_no", "status", "warning")
+
+
+_COVER = f"""with t as ({derive.SQL_TURNS}), c as ({derive.SQL_CLAIMS}),
+s as (select doc_id, section, min(turn_number) as first_turn, bool_or(turn_number in (select source_turn_number from c where c.doc_id = t.doc_id)) as covered from t group by all)
+"""
+
+
+def _uncited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims of two thirds of the turns, so that some sections have none."""
+    c, t = _inputs(spark, sf_dir)
+    return c.where("not confidence_flag"), t
+
+
+_COVER = _COVER.replace("from c where c.doc_id = t.doc_id", "from c where c.doc_id = t.doc_id and not confidence_flag")
+
+
+@query(_COVER + """select doc_id, string_agg(section, ',' order by first_turn) as present, coalesce(string_agg(section, ',' order by first_turn) filter (covered), '') as covered,
+  coalesce(string_agg(section, ',' order by first_turn) filter (not covered), '') as missing, bool_and(covered) as passed from s group by doc_id""")
+def coverage_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = _uncited(spark, sf_dir)
+    out = cov.coverage(t, cov.section_coverage(c, t))
+    return out.select("doc_id", *[F.array_join(f"sections_{n}", ",").alias(n) for n in ("present", "covered", "missing")], "passed")
+
+
+@query(_COVER + "select doc_id, section, first_turn from s where not covered")
+def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.section_coverage(*_uncited(spark, sf_dir)).where("not covered").select("doc_id", "section", "first_turn")
+
+
+# Segmentation.
+
+_LINES = f"""with recursive tx as ({derive.SQL_TRANSCRIPTS}),
+raw as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10)))))::int as pos from tx),
+st as (select doc_id, pos, {sql_strip("raw")} as line from raw),
+bl as (select *, count(*) filter (line = '') over (partition by doc_id order by pos)::bigint as block from st),
+ln as (select * from bl where line <> '')
+"""
+_CUES = _LINES + f""", k1 as (select *, count(*) over (partition by doc_id, block) as block_size, regexp_matches(line, {re2(segment.HEADING)}) as is_heading from ln),
+k2 as (select *, not is_heading and regexp_matches(line, {re2(segment.INLINE)}) as is_inline, not is_heading and block_size = 1 and regexp_matches(line, {re2(segment.HEADER)}) as is_header from k1),
+cue as (select *, is_inline or is_header as is_cue, (count(*) filter (is_inline or is_header) over (partition by doc_id order by pos))::int as turn_no from k2)
+"""
+_DRAFTS = _CUES + f""", sd as (select *,
+  {sql_strip(f"case when is_inline then regexp_extract(line, {re2(segment.INLINE)}, 1) when is_header then regexp_extract(line, {re2(segment.HEADER)}, 1) end")} as name,
+  {sql_strip(f"case when is_inline then case when regexp_matches(line, {re2(segment.TITLED)}) then regexp_extract(line, {re2(segment.INLINE)}, 2) end when is_header then regexp_extract(line, {re2(segment.HEADER)}, 2) end")} as title,
+  {sql_strip(f"case when is_heading or is_header then '' when is_inline then regexp_extract(line, {re2(segment.INLINE)}, 3) else line end")} as said from cue),
+dr as (select doc_id, turn_no, max(name) filter (is_cue) as name, max(title) filter (is_cue) as title, {sql_strip("coalesce(string_agg(said, ' ' order by pos) filter (said <> ''), '')")} as text,
+  count(*) filter (is_heading) as headings, count(*) filter (turn_no = 0 and not is_heading) as front_lines, min_by(line, pos) filter (turn_no = 0 and not is_heading) as front_first
+  from sd group by doc_id, turn_no),
+b1 as (select doc_id, coalesce(max(turn_no) filter (turn_no > 0), 0) as n_turns, max(front_lines) as front_lines, max(front_first) as front_first,
+  min(turn_no) filter (turn_no > 0 and lower(name) = 'operator' and regexp_matches(text, {re2(segment.ANNOUNCES)})) as keyword,
+  (list(turn_no order by turn_no) filter (turn_no > 0 and lower(name) = 'operator'))[2] as second from dr group by doc_id),
+hd as (select doc_id, max(turn_no + 1) as heading from dr join b1 using (doc_id) where headings > 0 and turn_no + 1 <= n_turns group by doc_id),
+bd as (select tx.doc_id, coalesce(n_turns, 0) as n_turns, coalesce(front_lines, 0) as front_lines, front_first, coalesce(heading, keyword, second) as boundary,
+  case when heading is not null then 'heading' when keyword is not null then 'keyword' when second is not null then 'second_operator' end as boundary_by
+  from (select distinct doc_id from tx) tx left join b1 using (doc_id) left join hd using (doc_id))
+"""
+
+
+@query(_LINES + "select doc_id, pos, line, block from ln")
+def lines_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.lines(derive.transcripts(spark, sf_dir))
+
+
+@query(_CUES + "select doc_id, pos, is_heading, is_inline, is_header, turn_no from cue where is_cue or is_heading")
+def cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = segment.cue_lines(derive.transcripts(spark, sf_dir)).where("is_cue or is_heading")
+    return x.select("doc_id", "pos", "is_heading", "is_inline", "is_header", "turn_no")
+
+
+@query(_DRAFTS + f"""select doc_id, turn_no as turn_number, name as speaker_name, title as speaker_title,
+  case when turn_no >= boundary then '{QA}' else '{PREPARED}' end as section, text from dr join bd using (doc_id) where turn_no > 0""")
+def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment(derive.transcripts(spark, sf_dir))[0]
+
+
+@query(_DRAFTS + "select doc_id, n_turns, coalesce(boundary, 0) as qa_boundary_turn, coalesce(boundary_by, 'none') as boundary_by from bd")
+def qa_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0 where there is no boundary."""
+    report = segment.segment(derive.transcripts(spark, sf_dir))[1]
+    return report.select("doc_id", "n_turns", F.coalesce("qa_boundary_turn", F.lit(0)).alias("qa_boundary_turn"), F.coalesce("boundary_by", F.lit("none")).alias("boundary_by"))
+
+
+@query(_DRAFTS + """select doc_id, boundary is null or n_turns < 2 as low_confidence, concat_ws(',', case when front_lines > 0 then 'front_matter_skipped' end,
+  case when boundary_by = 'second_operator' then 'weak_boundary' end, case when boundary is null then 'no_boundary' end, case when n_turns < 2 then 'few_turns' end) as warnings from bd""")
+def seg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment(derive.transcripts(spark, sf_dir))[1].select("doc_id", "low_confidence", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(_DRAFTS + "select doc_id, front_lines::bigint as front_lines, substr(front_first, 1, 60) as front_preview from bd where front_lines > 0")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment(derive.transcripts(spark, sf_dir))[1].where("front_lines > 0").select("doc_id", "front_lines", "front_preview")
+
+
+# Sentences and labels, over conversations and over whole documents.
+
+
+def _split_sql(x: str) -> str:
+    cut = f"string_split(regexp_replace({x}, '([.!?])[{SP}]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: {sql_strip('s')}), lambda s: s <> '')"
+
+
+def _found_sql(entries: tuple, x: str) -> str:
+    """Whole phrases: every other character than a word's is doubled, so that neighbours do not share one."""
+    w = derive.WORDLY
+    phrases = sorted((p for p, _ in entries), key=len, reverse=True)
+    doubled = f"'  ' || regexp_replace({x}, '([^{w}])', '\\1\\1', 'g') || '  '"
+    hits = f"regexp_extract_all({doubled}, {quoted(f'(?i)[^{w}](' + '|'.join(p.replace(' ', '  ') for p in phrases) + f')[^{w}]')}, 1)"
+    return f"array_to_string(list_sort(list_distinct(list_transform({hits}, lambda s: lower(replace(s, '  ', ' '))))), ',')"
+
+
+_LABELLED = f"""with t as ({derive.SQL_TURNS}), s0 as (select doc_id, turn_number, section, {_split_sql("text")} as s from t),
+s1 as (select doc_id, turn_number, section, unnest(s) as text, unnest(range(len(s)))::int as sent_no from s0),
+s2 as (select *, {_found_sql(derive.LEXICON.hedging, "text")} as hedges, {_found_sql(derive.LEXICON.confident, "text")} as sures from s1),
+lb as (select *, case when hedges <> '' then '{HEDGED}' when sures <> '' then '{CONFIDENT}' else '{UNMARKED}' end as label from s2)
+"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hedging.analyze(derive.turns(spark, sf_dir), derive.LEXICON)
+
+
+@query(_LABELLED + "select doc_id, turn_number, sent_no, text from s1")
+def turn_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hedging.split_turns(derive.turns(spark, sf_dir)).select("doc_id", "turn_number", "sent_no", "text")
+
+
+@query(f"with s as (select doc_id, {_split_sql('coalesce(text, chr(32))')} as s from documents) select doc_id, len(s)::int as n_sentences, md5(array_to_string(s, chr(10))) as digest from s")
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    return d.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
+
+
+@query(_LABELLED + "select doc_id, turn_number, sent_no, label, hedges, sures from lb")
+def sentence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = lambda c: F.array_join(F.array_sort(F.transform(c, lambda m: m["phrase"])), ",")
+    return _labelled(spark, sf_dir).select("doc_id", "turn_number", "sent_no", "label", names("hedge_matches").alias("hedges"), names("confident_matches").alias("sures"))
+
+
+_CATEGORY_SQL = "case phrase " + " ".join(f"when {quoted(p)} then {quoted(c)}" for p, c in derive.LEXICON.hedging + derive.LEXICON.confident) + " end"
+
+
+@query(_LABELLED + f""", pm as (select 'hedging' as bucket, unnest(string_split(hedges, ',')) as phrase from lb union all select 'confident', unnest(string_split(sures, ',')) from lb)
+select bucket, {_CATEGORY_SQL} as category, phrase, count(*)::bigint as n_sentences from pm where phrase <> '' group by all""")
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _labelled(spark, sf_dir)
+    each = [x.select(F.lit(b).alias("bucket"), F.explode(c).alias("m")) for b, c in (("hedging", "hedge_matches"), ("confident", "confident_matches"))]
+    return each[0].union(each[1]).select("bucket", "m.category", "m.phrase").groupBy("bucket", "category", "phrase").agg(F.count("*").alias("n_sentences"))
+
+
+@query(_LABELLED + "select section, label, count(*)::bigint as n_sentences from lb group by all")
+def label_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).groupBy("section", "label").agg(F.count("*").alias("n_sentences"))
+
+
+@query(f"""with t as ({derive.SQL_TURNS}), c as ({derive.SQL_CLAIMS}), m as (select doc_id, claim_no, {_found_sql(derive.LEXICON.hedging, sql_strip("source_quote"))} as h, {_found_sql(derive.LEXICON.confident, sql_strip("source_quote"))} as s from c)
+select doc_id, claim_no, case when h <> '' then '{HEDGED}' when s <> '' then '{CONFIDENT}' else '{UNMARKED}' end as quote_label from m""")
+def claim_hedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hedging.claim_labels(derive.claims(spark, sf_dir), derive.LEXICON).select("doc_id", "claim_no", "quote_label")
+
+
+# Scores and revision.
+
+_DIMENSION = "case category " + " ".join(f"when '{c}' then '{d}'" for c, d in DIMENSIONS.items()) + " end"
+_SCORES = _CHECK.rstrip() + f""", sm as ({derive.SQL_SAMPLES}), gp as (select doc_id, claim_no, max(score) filter (sample_no <= 2) - min(score) filter (sample_no <= 2) as gap from sm group by all),
+cs as (select doc_id, claim_no, {_DIMENSION.replace("category", "any_value(category)")} as dimension, string_agg(score, ',' order by sample_no) as samples, median(score) as median, min(score) as low, max(score) as high, any_value(gap) <= 1 as stable
+  from sm join gp using (doc_id, claim_no) join c using (doc_id, claim_no) where category in ('risk_factors', 'hedging_tone') and (sample_no <= 2 or gap > 1) group by doc_id, claim_no)
+"""
+
+
+def _consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = derive.claims(spark, sf_dir)
+    return cons.summarize(c, derive.samples(c))
+
+
+@query(_SCORES + "select doc_id, claim_no, dimension, samples, median, low, high, stable, not stable as escalated from cs")
+def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consistency(spark, sf_dir).select("doc_id", "claim_no", "dimension", F.array_join("samples", ",").alias("samples"), "median", "low", "high", "stable", "escalated")
+
+
+@query(_SCORES + "select doc_id, claim_no, high - low as spread, high - low >= 2 as to_revise from cs where not stable")
+def consistency_escalated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread = F.col("high") - F.col("low")
+    return _consistency(spark, sf_dir).where("escalated").select("doc_id", "claim_no", spread.alias("spread"), (spread >= HIGH_VARIANCE_SPREAD).alias("to_revise"))
+
+
+_VALUE = "doc_id, claim_text, category, source_turn_number, source_quote, confidence_flag"
+_FLAGGED = _SCORES + f""", wy as (select f.*, 0 as kind, 'unfaithful_quote' as why from f where found <> 'kept' union all
+  select f.*, 1, 'high_variance_judgment' from f join cs using (doc_id, claim_no) where not stable and high - low >= 2),
+fl as (select {_VALUE}, any_value(turn_text) as turn_text, min(claim_no) as first_no, string_agg(why, ',' order by kind, claim_no) as reasons from wy group by {_VALUE}),
+oc as (select *, case when turn_text is null or first_no % 3 = 0 then 'discard' else 'corrected' end as action, case when turn_text is null then 'the cited turn does not exist' else 'by rule' end as reasoning,
+  case when first_no % 3 = 1 then substr(turn_text, 1, 30) else 'still wrong' end as new_quote from fl),
+rv as (select f.doc_id, f.claim_no, case when action = 'corrected' then 'revised: ' || f.claim_text else f.claim_text end as claim_text, f.category, f.source_turn_number,
+  case when action = 'corrected' then new_quote else f.source_quote end as source_quote, f.confidence_flag, coalesce(action = 'corrected', false) as was_revised, f.turn_text
+  from f left join oc on {" and ".join(f"f.{v} is not distinct from oc.{v}" for v in _VALUE.split(", "))} where coalesce(action, 'keep') <> 'discard')
+"""
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c, t = _inputs(spark, sf_dir)
+    return c, t, revise.needing_revision(c, verify.faithfulness(c, t), cons.summarize(c, derive.samples(c)))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corrections by a rule in place of a model."""
+    c, t, flagged = _flagged(spark, sf_dir)
+    asked, missing = revise.requests(flagged, t)
+    fixed = asked.select(
+        "doc_id", "first_no", F.when(F.col("first_no") % 3 == 0, "discard").otherwise("corrected").alias("action"),
+        F.concat(F.lit("revised: "), "claim_text").alias("claim_text"), "category",
+        F.when(F.col("first_no") % 3 == 1, F.substring("turn_text", 1, 30)).otherwise("still wrong").alias("source_quote"),
+        "confidence_flag", F.lit("by rule").alias("reasoning"),
+    )
+    return c, t, revise.outcomes(asked, missing, fixed)
+
+
+@query(_FLAGGED + "select doc_id, claim_text, first_no, reasons from fl")
+def claims_to_revise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir)[2].select("doc_id", "claim_text", "first_no", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(_FLAGGED + "select doc_id, claim_text, first_no, action, reasoning from oc")
+def revision_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir)[2].select("doc_id", "claim_text", "first_no", "action", "reasoning")
+
+
+@query(_FLAGGED + "select doc_id, claim_no, claim_text, category, source_turn_number, source_quote, confidence_flag, was_revised from rv")
+def revised_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _, found = _outcomes(spark, sf_dir)
+    return revise.apply(c, found)
+
+
+@query(_FLAGGED + f"select doc_id, claim_no, coalesce(contains({_NORM('turn_text')}, {_NORM('source_quote')}), false) as passed from rv")
+def post_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t, found = _outcomes(spark, sf_dir)
+    return revise.recheck(revise.apply(c, found), t).select("doc_id", "claim_no", "passed")
+
+
+# Usage, text gate, prompts, report.
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = F.element_at(F.array(*map(F.lit, ("extraction", "eval_consistency", "revision"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    n = F.length("text").cast("long")
+    return d.select("doc_id", stage.alias("stage"), F.when(F.col("doc_id") % 2 == 0, "strong").otherwise("cheap").alias("model"), n.alias("input_tokens"), (n % 97).alias("output_tokens"), F.when(F.col("doc_id") % 5 == 0, n).alias("cache_creation_input_tokens"), F.lit(None).cast("long").alias("cache_read_input_tokens"))
+
+
+@query("""with u as (select ['extraction', 'eval_consistency', 'revision'][doc_id % 3 + 1] as stage, case when doc_id % 2 = 0 then 'strong' else 'cheap' end as model,
+  length(text) as i, length(text) % 97 as o, case when doc_id % 5 = 0 then length(text) end as w from documents)
+select stage, model, count(*)::bigint as calls, sum(coalesce(i, 0))::bigint as input_tokens, sum(coalesce(o, 0))::bigint as output_tokens, sum(coalesce(w, 0))::bigint as cache_creation_input_tokens, 0::bigint as cache_read_input_tokens
+from u group by rollup (stage, model)""")
+def usage_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.by_stage(_usage(spark, sf_dir))
+
+
+@query(f"""with p as (select doc_id, case when doc_id % 97 = 0 then 0 else 1 + doc_id % 40 end::int as page_count, length({sql_strip("coalesce(text, '')")}) as n from documents)
+select doc_id, page_count, case when page_count = 0 then 'zero_pages' when n < {MIN_CHARS_PER_PAGE} * page_count then 'no_text_layer' else 'ok' end as status from p""")
+def doc_text_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnstone.sources.documents import gate
+
+    pages = F.when(F.col("doc_id") % 97 == 0, 0).otherwise(1 + F.col("doc_id") % 40).cast("int")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", pages.alias("page_count"), F.coalesce("text", F.lit("")).alias("text"))
+    return gate(d).select("doc_id", "page_count", "status")
+
+
+@query(f"with p as (select doc_id, count(*) filter (length({sql_strip('coalesce(text, chr(32))')}) >= 100) as dense, avg(length({sql_strip('coalesce(text, chr(32))')}))::double as chars_per_page from documents group by doc_id) select doc_id, chars_per_page, dense::bigint as dense from p")
+def chars_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", chars_per_page(F.coalesce("text", F.lit("")), F.lit(1)).alias("n"))
+    return d.groupBy("doc_id").agg(F.avg("n").alias("chars_per_page"), F.count_if(F.col("n") >= 100).alias("dense"))
+
+
+_BLOCK = "'[Turn ' || turn_number || ' | ' || section || ' | ' || speaker_name || coalesce(', ' || speaker_title, '') || ']' || chr(10) || text"
+
+
+@query(f"with t as ({derive.SQL_TURNS}), p as (select doc_id, {quoted(prompts.PREAMBLE)} || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) order by turn_number) as prompt from t group by doc_id) select doc_id, length(prompt)::int as n_chars, md5(prompt) as digest from p")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prompts.extraction_prompts(derive.turns(spark, sf_dir))
+    return p.select("doc_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
+
+
+@query(_CHECK + """, rp as (select doc_id, '# Document ' || doc_id || chr(10) || chr(10) || 'Faithfulness: ' || count(*) filter (found = 'kept') || ' of ' || count(*) || chr(10) || chr(10)
+  || string_agg('- [' || case when found = 'kept' then 'x' else ' ' end || '] ' || claim_text || ' (turn ' || source_turn_number || ')', chr(10) order by claim_no) as body from f group by doc_id)
+select doc_id, length(body)::int as n_chars, md5(body) as digest from rp""")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = markdown(verify.faithfulness(*_inputs(spark, sf_dir)))
+    return body.select("doc_id", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
