@@ -36,7 +36,13 @@ def gate(docs: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str, decoder: Decoder = plain_text, pattern: str | None = None, strict: bool = False) -> DataFrame:
     """doc_id (a hash of the path), source_path, page_count, text, status of every file; ``strict`` fails on a bad one."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
+    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    # Spark's readers pass over files without a byte: the listing has them
+    one_form = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(one_form("path").alias("path"))
+    files = found.select(one_form("path").alias("path"), "content")
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    files = files.union(empty).select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
     def decode(frames):
         for f in frames:
