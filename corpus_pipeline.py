@@ -21,9 +21,9 @@ RID = "xxhash64(doc_id, text)"
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose number, a hash of doc_id and text, is not in ``gone`` (rid)."""
-    gone = cut(gone.distinct())
+    gone = cut(gone.select(F.col("rid").alias("_gone")).distinct())
     side = F.broadcast(gone) if gone.count() <= repeats.BROADCAST_ROWS else gone.hint("shuffle_hash")
-    return docs.withColumn("rid", F.expr(RID)).join(side, "rid", "left_anti").select(*docs.columns)
+    return docs.join(side, F.expr(RID) == F.col("_gone"), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +36,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (op 2): of each class of near duplicates the document of least doc_id stays."""
     found = cut(ngramjoin.classes(docs.select("doc_id", "text", F.expr(RID).alias("rid"))))
+    if found.count() > found.select("rid").distinct().count():  # rows that repeat: one of them stays
+        docs = docs.dropDuplicates(["doc_id", "text"])
     return _without(docs, found.where("doc_id <> component_id").select("rid"))
 
 
@@ -45,16 +47,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     What is left of characters that a cut splits is dropped; texts without a word left go; n_chars is set anew.
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in others), "kept string"])
+    rest = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in others)
 
-    def finish(b, rows):
+    def finish(given, rows):
         kept = pa.array([r[0].decode("utf-8", "ignore") for r in rows], pa.string())
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in others), kept], [*others, "kept"])
+        return pa.RecordBatch.from_arrays([given, kept], ["rest", "kept"])
 
-    out = suffixes.kept_bytes(docs.withColumn("rid", F.expr(RID)), others, schema, finish)
-    out = out.where(F.col("kept").rlike(WORD))
-    given = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return out.select(*[given[c].alias(c) if c in given else F.col(f"`{c}`") for c in docs.columns])
+    out = suffixes.kept_bytes(docs, others, f"rest struct<{rest}>, kept string", finish).where(F.col("kept").rlike(WORD))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +66,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights (op 8): each copy taken, with source_size, target and copy_no."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0")
+    taken = mixing.mix(docs.select(F.expr(RID).alias("doc_id"), "text", "source")).where("copies > 0")
     taken = cut(taken.select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies"))
     side = F.broadcast(taken) if taken.count() <= repeats.BROADCAST_ROWS else taken.hint("shuffle_hash")
-    out = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = docs.select("doc_id", "text", "source").join(side, F.expr(RID) == F.col("_id"))
+    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("doc_id", "text", "source", "size", "source_size", "target", "copy_no")
 
 

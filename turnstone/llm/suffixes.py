@@ -122,9 +122,9 @@ def earlier_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def kept_bytes(docs: DataFrame, columns: list[str], schema: str, finish) -> DataFrame:
-    """``finish(batch, rows)`` over (kept bytes, size, removed, runs) of every text."""
-    docs = keyed(docs) if "rid" not in docs.columns else docs
-    spans = repeated(docs.select("rid", "doc_id", "text").where(F.octet_length("text") >= SPAN), KIND, earlier_windows)
+    """``finish(rest, rows)`` over the struct of ``columns`` and (kept bytes, size, removed, runs) of every text."""
+    keys = keyed(docs).select("rid", "doc_id", "text")
+    spans = repeated(keys.where(F.octet_length("text") >= SPAN), KIND, earlier_windows)
 
     def apply(batches):
         for b in batches:
@@ -138,15 +138,16 @@ def kept_bytes(docs: DataFrame, columns: list[str], schema: str, finish) -> Data
                 kept = buf[~gone].tobytes()
                 at = off - total[off]
                 rows += [(kept[at[k] : at[k + 1]], int(off[k + 1] - off[k]), int(total[off[k + 1]] - total[off[k]]), int(runs[off[k + 1]] - runs[off[k]])) for k in range(j - i)]
-            yield finish(b, rows)
+            yield finish(b.column("rest"), rows)
 
-    return with_spans(docs, spans).select(*columns, "text", "spans").mapInArrow(apply, schema)
+    packed = docs.select(F.struct(*columns).alias("rest"), "text", F.xxhash64("doc_id", "text").alias("rid"))
+    return with_spans(packed, spans).select("rest", "text", "spans").mapInArrow(apply, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
-    def finish(b, rows):
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def finish(rest, rows):
+        return pa.RecordBatch.from_arrays([rest.field("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return kept_bytes(docs, ["doc_id"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
