@@ -291,6 +291,20 @@ def test_registered_queries_run(spark, name):
     assert len(got) and not got.columns.duplicated().any()
 
 
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF_DIR}/documents.parquet')")
+    got = con.execute(queries.oracle_sql()[name])
+    columns = sorted(c[0] for c in got.description)
+    plain = lambda r: tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in columns)
+    want = sorted((plain(dict(zip([c[0] for c in got.description], r, strict=True))) for r in got.fetchall()), key=repr)
+    df = queries.queries()[name](spark, SF_DIR)
+    assert sorted(df.columns) == columns and sorted((plain(r) for r in df.collect()), key=repr) == want
+
+
 def brute_pipeline(spark, sf_dir):
     """The stages on plain rows; learned rules and leaks from their operators on the rows that reach them."""
     docs = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

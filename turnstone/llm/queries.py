@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, quality, suffixes, urls
+from . import decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, oracle, quality, suffixes, urls
 from .common import table
 
 
@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.ORACLE_SQL}
+    return dict(oracle.ORACLE)
