@@ -9,10 +9,13 @@ Two nodes link when 100 * shared >= 75 * union.
 2. ``ordered``: for the rest, shingles are counted and put in one global order, rarest first. In that order a
    link needs a common shingle within the first n - ceil(0.75 n) + 1 ones (prefix filter); nodes that share such
    a one are in one block, found as components of stars, so that no list of a frequent shingle is ever built.
-3. ``overlaps``: the order is cut into fragments; each fragment of a block counts the overlaps of its pairs on its
-   own, drops pairs that cannot link whatever the other fragments hold, and partial counts are summed per pair.
-   Blocks of up to SMALL nodes count all pairs; larger ones first pair every node with LEADERS of them, and
-   then only nodes that are not yet connected. So classes are whole, without the square of a group's pairs.
+3. ``overlaps``: the order is cut into fragments, whose overlaps are counted separately and summed per pair; pairs
+   that cannot link whatever the other fragments hold are dropped after each. A block of up to LOCAL_TOKENS
+   shingles has its fragments in one task, which walks its classes breadth first: a node is compared with the
+   nodes that no class has yet, and each node is reported with one link. The fragments of a larger block lie in
+   tasks of their own; their nodes are first paired with LEADERS of them (all pairs up to SMALL nodes), and then
+   with the nodes that they are not yet connected with. So classes are whole, without the square of a group's
+   links.
 
 Shingles are 54-bit hashes, sets 64-bit ones. Cases: null, empty or wordless text has an empty set, linked
 with nothing, and is its own class; rows that repeat are linked by their equal sets; null doc_id counts as a
@@ -32,8 +35,8 @@ from .textnum import U, grams, mix, pieces, within, word_hashes, word_spans
 
 SHINGLE, SHIFT = 5, 10
 SAMPLE, SENDS_ALL, JUDGED_BY_ALL = 0.4, 128, 96  # partners of nodes up to 96 shingles have up to 128
-BUCKETS, CHUNK_ROWS, CHUNK_TOKENS = 1024, 60_000, 3_000_000
-SMALL, LEADERS, FRAGMENTS, FRAGMENT_TOKENS, BINS = 64, 16, 4, 300_000, 1024
+BUCKETS, CHUNK_ROWS, CHUNK_TOKENS = 1024, 60_000, 1_000_000
+SMALL, LEADERS, FRAGMENTS, LOCAL_TOKENS, FRAGMENT_TOKENS, BINS = 64, 16, 4, 1_000_000, 300_000, 1024
 BROADCAST_ROWS = 1_000_000
 
 
@@ -100,7 +103,7 @@ def screen(docs: DataFrame) -> DataFrame:
                 inside = _sampled(token)
                 m = np.bincount(doc[inside], minlength=j - i)
                 send = inside | (n <= SENDS_ALL)[doc]
-                held.append((rids[i:j], ids[i:j], nulls[i:j], prints(token, begin), n, np.where(n <= JUDGED_BY_ALL, n, m), token[send], rows + doc[send]))
+                held.append((rids[i:j], ids[i:j], nulls[i:j], prints(token, begin), n, np.where(n <= JUDGED_BY_ALL, n, m), token[send], (rows + doc[send]).astype(np.uint16)))
                 rows, size = rows + j - i, size + int(send.sum())
                 if size > CHUNK_TOKENS or rows > CHUNK_ROWS:
                     yield flush()
@@ -121,7 +124,6 @@ def screen(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         n = np.diff(np.r_[at, len(t)])
         hit = order[np.repeat(n > 1, n)]
-        # a shared shingle is told with its sample bit, which the short form has kept out
         out = list(_blobs(chunk[hit], local[hit]))
         return pa.table({"chunk": [x[0] for x in out], "shared": [x[1][0] for x in out], "table": [None] * len(out)}, schema=pa.schema(names))
 
@@ -169,7 +171,7 @@ def ordered(docs: DataFrame) -> DataFrame:
             for i, j, buf, off in pieces(batch):
                 token, begin = sets(buf, off)
                 n = np.diff(begin)
-                held.append((token, np.repeat(nodes[i:j], n), np.repeat(n, n)))
+                held.append((token, np.repeat(nodes[i:j], n), np.repeat(n, n).astype(np.int32)))
                 size += len(token)
             if size > CHUNK_TOKENS:
                 yield flush()
@@ -215,6 +217,61 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return components(entries.join(low, "token").where("node <> low").select("node", "low").distinct(), "node", "low").select(F.col("node"), F.col("component").alias("block"))
 
 
+def _postings(token: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of each shingle, one after the other, and where each shingle's begin."""
+    return of[np.argsort(token, kind="stable")], np.r_[0, np.cumsum(np.bincount(token, minlength=size))]
+
+
+def _met(mine: np.ndarray, posting: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The nodes that hold the shingles ``mine``, as often as they hold one."""
+    n = at[mine + 1] - at[mine]
+    return posting[np.arange(int(n.sum())) + np.repeat(at[mine] - (np.cumsum(n) - n), n)]
+
+
+def _walk(n: np.ndarray, lists: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
+    """Links (a, b, shared) of a block in one task, so that each class is connected and no more."""
+    d = len(n)
+    size = np.array([len(x) for x in lists])
+    every = np.concatenate(lists)
+    ids, token = np.unique(every, return_inverse=True)
+    of = np.repeat(np.arange(d), size)
+    part = every % FRAGMENTS
+    begin = np.r_[0, np.cumsum(size)]
+    links: tuple[list[int], list[int], list[int]] = ([], [], [])
+    free = np.ones(d, bool)
+    base, index = d, [_postings(token[part == f], of[part == f], len(ids)) for f in range(FRAGMENTS)]
+    for seed in range(d):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        todo = [seed]
+        while todo:
+            i = todo.pop()
+            left = int(free.sum())
+            if not left:
+                return links
+            if 2 * left < base:  # forget the nodes that have a class
+                keep = free[of]
+                base, index = left, [_postings(token[keep & (part == f)], of[keep & (part == f)], len(ids)) for f in range(FRAGMENTS)]
+            other = np.flatnonzero(free & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+            shared, rest = np.zeros(len(other), np.int64), int(size[i])
+            mine = slice(begin[i], begin[i + 1])
+            for f in range(FRAGMENTS):
+                if not len(other):
+                    break
+                own = token[mine][part[mine] == f]
+                rest -= len(own)
+                shared += np.bincount(_met(own, *index[f]), minlength=d)[other]
+                ok = 7 * (shared + rest) >= 3 * (n[other] + n[i])
+                other, shared = other[ok], shared[ok]
+            free[other] = False
+            todo += other.tolist()
+            links[0].extend([i] * len(other))
+            links[1].extend(other.tolist())
+            links[2].extend(shared.tolist())
+    return links
+
+
 def _pairs(node: np.ndarray, label: np.ndarray, first_round: bool) -> tuple[np.ndarray, np.ndarray]:
     d = len(node)
     if d <= SMALL:
@@ -245,17 +302,13 @@ def _partial(nodes: np.ndarray, n: np.ndarray, label: np.ndarray, lists: list[np
     if not len(a):
         return a, b, a
     size = np.array([len(x) for x in lists])
-    token = np.unique(np.concatenate(lists), return_inverse=True)[1]
-    of = np.repeat(np.arange(len(lists)), size)
+    ids, token = np.unique(np.concatenate(lists), return_inverse=True)
     begin = np.r_[0, np.cumsum(size)]
-    order = np.argsort(token, kind="stable")
-    posting, at = of[order], np.r_[0, np.cumsum(np.bincount(token))]
+    posting, at = _postings(token, np.repeat(np.arange(len(lists)), size), len(ids))
     shared = np.zeros(len(a), np.int64)
     edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     for x, y in zip(edges, np.r_[edges[1:], len(a)], strict=True):
-        mine = token[begin[a[x]] : begin[a[x] + 1]]
-        n_of = at[mine + 1] - at[mine]
-        meets = posting[np.arange(int(n_of.sum())) + np.repeat(at[mine] - (np.cumsum(n_of) - n_of), n_of)]
+        meets = _met(token[begin[a[x]] : begin[a[x] + 1]], posting, at)
         shared[x:y] = np.bincount(meets, minlength=len(lists))[b[x:y]]
     need = -(-3 * (n[a] + n[b]) // 7)
     ok = (shared > 0) & (shared + np.minimum(n[a] - size[a], n[b] - size[b]) >= need)
@@ -263,7 +316,7 @@ def _partial(nodes: np.ndarray, n: np.ndarray, label: np.ndarray, lists: list[np
 
 
 def overlaps(members: DataFrame, first_round: bool) -> DataFrame:
-    """a, b: linked pairs of nodes. ``members``: block, label, node, n, shared, fragments."""
+    """a, b: linked pairs of nodes that connect their classes. ``members``: block, label, node, n, shared, fragments."""
 
     def run(table):
         out = [[], [], [], [], []]
@@ -271,20 +324,23 @@ def overlaps(members: DataFrame, first_round: bool) -> DataFrame:
         order = np.lexsort((table.column("node").to_numpy(), block))
         block = block[order]
         node, n, label = (table.column(c).to_numpy()[order] for c in ("node", "n", "label"))
+        local = not table.column("large")[0].as_py()
         lists = table.column("part").combine_chunks()
         values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for i, j in zip(edges, np.r_[edges[1:], len(block)], strict=True):
-            a, b, c = _partial(node[i:j], n[i:j], label[i:j], [values[off[k] : off[k + 1]] for k in order[i:j]], first_round)
+            own = [values[off[k] : off[k + 1]] for k in order[i:j]]
+            a, b, c = (np.array(x, np.int64) for x in (_walk(n[i:j], own) if local else _partial(node[i:j], n[i:j], label[i:j], own, first_round)))
             for o, x in zip(out, (node[i:j][a], node[i:j][b], n[i:j][a], n[i:j][b], c), strict=True):
                 o.append(x)
         return pa.table({k: np.concatenate(x).astype(np.int64) for k, x in zip(("a", "b", "na", "nb", "c"), out, strict=True)})
 
     m = members.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)))
-    part = F.filter("shared", lambda t: F.pmod(t, F.col("fragments")) == F.col("fragment"))
-    # blocks of the least number of fragments share tasks; a larger block has tasks of its own
-    own = F.when(F.col("fragments") > FRAGMENTS, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(BINS // FRAGMENTS)))
-    m = m.select("block", "label", "node", "n", part.alias("part"), "fragment", own.alias("own"), (F.col("fragments") > FRAGMENTS).alias("large"))
+    large = F.col("fragments") > 1
+    part = F.when(large, F.filter("shared", lambda t: F.pmod(t, F.col("fragments")) == F.col("fragment"))).otherwise(F.col("shared"))
+    # blocks with all fragments in one task share tasks; a larger block has tasks of its own
+    own = F.when(large, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(BINS)))
+    m = m.select("block", "label", "node", "n", part.alias("part"), "fragment", own.alias("own"), large.alias("large"))
     counts = m.groupBy("large", "own", "fragment").applyInArrow(run, "a long, b long, na long, nb long, c long")
     total = counts.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return total.where("100 * c >= 75 * (na + nb - c)").select("a", "b")
@@ -301,12 +357,12 @@ def classes(docs: DataFrame) -> DataFrame:
     # rows that repeat a rid have one text: the node is taken once
     nodes = cut(ordered(docs.select("rid", "text").join(side, "rid").select("node", "text")))
     members = nodes.join(blocks(nodes), "node")
-    sizes = members.groupBy("block").agg(F.count("*").alias("d"), F.sum(F.size("shared")).alias("t"))
-    members = members.join(sizes, "block").withColumn("fragments", F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("t") / FRAGMENT_TOKENS)).cast("int"))
-    members = cut(members.select("block", "node", "n", "shared", "fragments", "d"))
+    sizes = members.groupBy("block").agg(F.sum(F.size("shared")).alias("t"))
+    members = members.join(sizes, "block").withColumn("fragments", F.when(F.col("t") <= LOCAL_TOKENS, 1).otherwise(F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("t") / FRAGMENT_TOKENS))).cast("int"))
+    members = cut(members.select("block", "node", "n", "shared", "fragments"))
     links = cut(overlaps(members.withColumn("label", F.col("node")), True))
     of = components(links)
-    large = members.where(F.col("d") > SMALL)
+    large = members.where("fragments > 1")
     if large.limit(1).count():
         x, y = large.alias("x"), of.alias("y")
         labelled = x.join(y, F.col("x.node") == F.col("y.node"), "left").select("x.*", F.coalesce("y.component", "x.node").alias("label"))
