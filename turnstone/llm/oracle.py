@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, urls
 
 WS = r"'[^\x20\x09-\x0D]+'"
 
@@ -64,4 +64,49 @@ k as (select doc_id, count(*) as n_spans, sum(hi - lo) as n_removed, string_agg(
 select doc_id, (strlen(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (doc_id)
 """
 
-ORACLE = {"op1_license_scan": LICENSES, "op2_ngram_jaccard": JACCARD, "op4_substring_dedup": WINDOWS, "op5_suffix_dedup": BYTES, "op8_mix_sources": mixing.ORACLE_SQL}
+
+
+def _rules() -> tuple[str, str]:
+    """Rule and its verdict: the longest that fits."""
+    rule = ruled = "null"
+    for v, h, x in sorted(urls.RULES, key=lambda r: (len(r[1] + r[2]), r)):
+        fits = f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{x}')"
+        rule, ruled = f"case when {fits} then '{h + x}' else {rule} end", f"case when {fits} then '{v}' else {ruled} end"
+    return rule, ruled
+
+
+def _rank(name: str, seed: str, src: str, dst: str) -> str:
+    """The rounds of one personalised PageRank as common table expressions; the last is {name}."""
+    out = f"""{name}_e as materialized (select {src} as src, {dst} as dst, weight / sum(weight) over (partition by {src}) as share from ed),
+{name}_h as materialized (select host, coalesce({seed}::double / nullif((select sum({seed}) from ho), 0), 0) as home from ho),
+{name}_0 as materialized (select host, home, home as rank from {name}_h)"""
+    for i in range(urls.ROUNDS):
+        out += f""",
+{name}_g{i} as materialized (select r.host, r.home, coalesce(g.got, 0) as got from {name}_{i} r left join (select dst, sum(rank * share) as got from {name}_{i} join {name}_e on src = host group by dst) g on g.dst = r.host),
+{name}_{i + 1} as materialized (select host, home, {urls.DAMPING}::double * got + (1 - {urls.DAMPING}::double * (select sum(got) from {name}_g{i})) * home as rank from {name}_g{i})"""
+    return out + f", {name} as (select host, rank * (select count(*) from ho) as rank from {name}_{urls.ROUNDS})"
+
+
+_RULE, _RULED = _rules()
+_HOST = _ASCII_LOWER.format("regexp_extract({}, '^[^/?#]*')")
+_LINK = urls.LINK.replace("'", "''")
+URLS = f"""
+with p0 as (select page_id, html, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+p1 as (select page_id, html, coalesce({_HOST.format("rest")}, '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p0),
+p as materialized (select *, {_RULE} as rule, {_RULED} as ruled from p1),
+ho as materialized (select host, count(*) filter (ruled = 'allow') as good, count(*) filter (ruled = 'block') as bad from p where host <> '' group by host),
+l0 as (select host as src, unnest(regexp_extract_all(html, '{_LINK}', 1)) as u from p where host <> ''),
+l1 as (select src, {_HOST.format("regexp_replace(u, '^([a-zA-Z]*:)?//', '')")} as dst from l0),
+up0 as (select host, unnest(range(2, len(string_split(host, '.')) + 1)) as i from ho),
+up1 as (select host, i, array_to_string(string_split(host, '.')[i:], '.') as up from up0),
+up as (select host, min_by(up, i) as up from up1 where up in (select host from ho) group by host),
+e0 as (select src, dst, 1.0::double as weight from l1 where src <> dst and dst <> '' union all select host, up, 1.0 from up union all select up, host, 1.0 from up),
+ed as materialized (select src, dst, sum(weight) as weight from e0 where src in (select host from ho) and dst in (select host from ho) group by src, dst),
+{_rank("tr", "good", "src", "dst")},
+{_rank("di", "bad", "dst", "src")}
+select page_id, host, path, rule, coalesce(ruled, case when di.rank > tr.rank and di.rank > {urls.LEAST_DISTRUST} then 'block' else 'allow' end) as verdict,
+  round(coalesce(tr.rank, 0), 9) as trust, round(coalesce(di.rank, 0), 9) as distrust
+from p left join tr using (host) left join di using (host)
+"""
+
+ORACLE = {"op1_license_scan": LICENSES, "op2_ngram_jaccard": JACCARD, "op4_substring_dedup": WINDOWS, "op5_suffix_dedup": BYTES, "op6_url_filter": URLS, "op8_mix_sources": mixing.ORACLE_SQL}
