@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, small_batches
+from .common import cut, free, small_batches
 from .textnum import U, grams, mix, pieces, powers, sliding, within, word_hashes, word_spans
 
-HOT, PART, BUCKETS, HOLD, SECTION = 1000, 1_500_000, 1024, 16 << 20, 1 << 23
+HOT, PART, BUCKETS, HOLD, SECTION = 10_000, 1_500_000, 1024, 16 << 20, 1 << 23
 PACK = "zstd"
 #: Document numbers up to which their list is broadcast, to leave other texts out of a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -109,9 +109,11 @@ class Symbols:
 
 
 def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     columns = [c[order] for c in columns]
     for i, j in zip(at, np.r_[at[1:], len(b)], strict=True):
         yield int(b[i]), [c[i:j].tobytes() for c in columns]
@@ -310,8 +312,8 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
     small_batches(spark)
     total = docs.count()
     buckets = max(BUCKETS, 1 << int(total // 4000).bit_length())
-    anchors = shared_anchors(docs, kind, buckets).groupBy("rid").agg(F.collect_set("h").alias("anchors"))
-    anchors = cut(anchors)
+    # dealt by document first, so that lists are built once and not in parts that are shuffled
+    anchors = cut(shared_anchors(docs, kind, buckets).repartition("rid").groupBy("rid").agg(F.collect_set("h").alias("anchors")))
     with_anchors, _ = split(docs, anchors)
     sent = shards(with_anchors.join(anchors.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "anchors"), kind, buckets)
 
@@ -326,7 +328,7 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
         return pa.table({"rid": join(rid), "a": join(a), "b": join(b)})
 
     found = sent.groupBy("bucket").applyInArrow(search, "rid long, a long, b long")
-    return cut(found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    return cut(found.repartition("rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def split(docs: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -339,6 +341,7 @@ def split(docs: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame | None
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the column spans; only texts that have any are shuffled, as long as their numbers are few."""
+    free(docs.sparkSession)
     some, others = split(docs, spans)
     out = some.join(spans.hint("shuffle_hash"), "rid", "left")
     return out if others is None else out.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
