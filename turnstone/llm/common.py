@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Characters between words: space and tab to carriage return; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
+LEAST_SHARDS, DOCUMENTS_A_SHARD = 1024, 16_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,8 +41,9 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shard_count(docs: DataFrame) -> int:
+    """Shards for text that is dealt by hashes: so many that one holds what some thousand documents send to it."""
+    return min(1 << 22, max(LEAST_SHARDS, 1 << int(docs.count() // DOCUMENTS_A_SHARD).bit_length()))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:

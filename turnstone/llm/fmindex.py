@@ -173,7 +173,7 @@ def repeated_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     docs = keyed(docs)
-    spans = repeated(docs.select("rid", "doc_id", "text").where("text is not null"), KIND, repeated_windows)
+    spans = repeated(docs.select("rid", "doc_id", "text").where("text is not null"), KIND, repeated_windows, spare_first=False)
 
     def apply(batches):
         for b in batches:
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lists = b.column("spans")
             for i, j, buf, off in pieces(b):
                 s, e, first = word_spans(buf, off)
-                gone = covered(lists, i, j, first)
+                gone = covered(lists, i, j, first, SPAN)
                 total = np.r_[0, np.cumsum(gone)]
                 n_words.append(np.diff(first))
                 n_removed.append(np.diff(total[first]))

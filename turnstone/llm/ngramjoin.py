@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, shard_count, small_batches
 from .repeats import _blobs
 from .textnum import U, grams, mix, pieces, within, word_hashes, word_spans
 
 SHINGLE, SHIFT = 5, 10
 SAMPLE, SENDS_ALL, JUDGED_BY_ALL = 0.4, 128, 96  # partners of nodes up to 96 shingles have up to 128
-BUCKETS, CHUNK_ROWS, CHUNK_TOKENS = 1024, 60_000, 1_000_000
-SMALL, LEADERS, FRAGMENTS, LOCAL_TOKENS, FRAGMENT_TOKENS, BINS = 64, 16, 4, 1_000_000, 300_000, 1024
+CHUNK_ROWS, CHUNK_TOKENS = 60_000, 1_000_000
+SMALL, LEADERS, FRAGMENTS, LOCAL_TOKENS, FRAGMENT_TOKENS = 64, 16, 4, 1_000_000, 300_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -66,10 +66,10 @@ def prints(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _sampled(token: np.ndarray) -> np.ndarray:
-    return (token >> 14 & 0xFF) < SAMPLE * 256
+    return (token >> 46 & 0xFF) < SAMPLE * 256
 
 
-def screen(docs: DataFrame) -> DataFrame:
+def screen(docs: DataFrame, buckets: int) -> DataFrame:
     """rid, doc_id, node, n, near for every row; near: the node may link with another."""
 
     def emit(batches):
@@ -85,7 +85,7 @@ def screen(docs: DataFrame) -> DataFrame:
             keep = first[local]
             token, local = token[keep], local[keep]
             number = (part << 24) + chunk
-            out = [(b, number, *x, None) for b, x in _blobs(token % BUCKETS, (token >> 22).astype(np.uint32), local.astype(np.uint16))]
+            out = [(b, number, *x, None) for b, x in _blobs(token % buckets, (token >> 22).astype(np.uint32), local.astype(np.uint16))]
             table = [x.tobytes() for x in (rid, doc, null, node, n.astype(np.int32), m.astype(np.int32))]
             out.append((-1 - number, number, None, None, b"".join(table)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "chunk", "token", "local", "table"])
@@ -152,7 +152,7 @@ def screen(docs: DataFrame) -> DataFrame:
     return met.groupBy("chunk").applyInArrow(judge, "rid long, doc_id long, node long, n long, near boolean")
 
 
-def ordered(docs: DataFrame) -> DataFrame:
+def ordered(docs: DataFrame, buckets: int) -> DataFrame:
     """From rows (node, text), one per node: node, n, shared (shingles of two nodes or more, rarest first), prefix.
 
     prefix is how many of ``shared`` lie in the prefix of the node's set; nodes whose prefix has none are left out.
@@ -163,7 +163,7 @@ def ordered(docs: DataFrame) -> DataFrame:
 
         def flush():
             token, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = list(_blobs(token % BUCKETS, token, node, n.astype(np.int32)))
+            out = list(_blobs(token % buckets, token, node, n.astype(np.int32)))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *(pa.array([x[k] for _, x in out], pa.binary()) for k in range(3))], ["bucket", "token", "node", "n"])
 
         for batch in batches:
@@ -190,7 +190,7 @@ def ordered(docs: DataFrame) -> DataFrame:
         df = np.diff(np.r_[at, len(token)])
         df = np.repeat(df, df)
         k = df > 1
-        out = list(_blobs(mix(node[k].view(U)) % U(BUCKETS), token[k], node[k], n[k], df[k].astype(np.int32)))
+        out = list(_blobs(mix(node[k].view(U)) % U(buckets), token[k], node[k], n[k], df[k].astype(np.int32)))
         return pa.table({"bin": pa.array([b for b, _ in out], pa.int32()), **{c: pa.array([x[i] for _, x in out], pa.binary()) for i, c in enumerate(("token", "node", "n", "df"))}})
 
     def order_all(table):
@@ -315,7 +315,7 @@ def _partial(nodes: np.ndarray, n: np.ndarray, label: np.ndarray, lists: list[np
     return a[ok], b[ok], shared[ok]
 
 
-def overlaps(members: DataFrame, first_round: bool) -> DataFrame:
+def overlaps(members: DataFrame, first_round: bool, bins: int) -> DataFrame:
     """a, b: linked pairs of nodes that connect their classes. ``members``: block, label, node, n, shared, fragments."""
 
     def run(table):
@@ -339,7 +339,7 @@ def overlaps(members: DataFrame, first_round: bool) -> DataFrame:
     large = F.col("fragments") > 1
     part = F.when(large, F.filter("shared", lambda t: F.pmod(t, F.col("fragments")) == F.col("fragment"))).otherwise(F.col("shared"))
     # blocks with all fragments in one task share tasks; a larger block has tasks of its own
-    own = F.when(large, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(BINS)))
+    own = F.when(large, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(bins)))
     m = m.select("block", "label", "node", "n", part.alias("part"), "fragment", own.alias("own"), large.alias("large"))
     counts = m.groupBy("large", "own", "fragment").applyInArrow(run, "a long, b long, na long, nb long, c long")
     total = counts.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -350,24 +350,25 @@ def classes(docs: DataFrame) -> DataFrame:
     """rid, doc_id, n_shingles, component_id of every row of ``docs`` (rid, doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = cut(screen(docs.select("rid", "doc_id", "text")))
+    buckets = shard_count(docs)
+    rows = cut(screen(docs.select("rid", "doc_id", "text"), buckets))
     near = rows.where("near").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
     some = near.select("rid", "node")
     side = F.broadcast(some) if near.count() <= BROADCAST_ROWS else some.hint("shuffle_hash")
     # rows that repeat a rid have one text: the node is taken once
-    nodes = cut(ordered(docs.select("rid", "text").join(side, "rid").select("node", "text")))
+    nodes = cut(ordered(docs.select("rid", "text").join(side, "rid").select("node", "text"), buckets))
     members = nodes.join(blocks(nodes), "node")
     sizes = members.groupBy("block").agg(F.sum(F.size("shared")).alias("t"))
     members = members.join(sizes, "block").withColumn("fragments", F.when(F.col("t") <= LOCAL_TOKENS, 1).otherwise(F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("t") / FRAGMENT_TOKENS))).cast("int"))
     members = cut(members.select("block", "node", "n", "shared", "fragments"))
-    links = cut(overlaps(members.withColumn("label", F.col("node")), True))
+    links = cut(overlaps(members.withColumn("label", F.col("node")), True, buckets))
     of = components(links)
     large = members.where("fragments > 1")
     if large.limit(1).count():
         x, y = large.alias("x"), of.alias("y")
         labelled = x.join(y, F.col("x.node") == F.col("y.node"), "left").select("x.*", F.coalesce("y.component", "x.node").alias("label"))
         split = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("block")
-        more = cut(overlaps(labelled.join(split, "block", "left_semi"), False))
+        more = cut(overlaps(labelled.join(split, "block", "left_semi"), False, buckets))
         if more.limit(1).count():
             of = components(links.union(more))
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("low"))

@@ -1,5 +1,7 @@
 """Repeated windows of symbols (words or bytes) across all documents, by content-defined shards.
 
+0. ``copies``: documents with equal texts are found by their hashes; one of each class goes on.
+
 A window is W consecutive symbols of one document. Its anchor is its G-gram of least hash (ties: the leftmost), so
 equal windows have equal anchors at equal places.
 
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, free, small_batches
+from .common import cut, free, shard_count, small_batches
 from .textnum import U, grams, mix, pieces, powers, sliding, within, word_hashes, word_spans
 
-HOT, PART, BUCKETS, HOLD, SECTION = 10_000, 1_500_000, 1024, 16 << 20, 1 << 23
+HOT, PART, HOLD, SECTION = 10_000, 1_500_000, 16 << 20, 1 << 23
 PACK = "zstd"
 #: Document numbers up to which their list is broadcast, to leave other texts out of a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -123,6 +125,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """rid, first (the rid of the first document with the same text, by doc_id) of texts that several documents have."""
+    rows = docs.select("rid", "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"]
+    many = rows.groupBy("h", "g", "n").agg(first.alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
+    return rows.join(many.select("h", "g", "n", "first"), ["h", "g", "n"]).select("rid", "first").distinct()
+
+
 def shared_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     """rid, h: the hashes of the anchors that a document has and that occur more than once; hot ones are odd."""
 
@@ -302,16 +312,22 @@ def _parts(table: pa.Table) -> Iterator[Part]:
         yield Part(_slices(texts, (stop - size[own])[first], stop[first]), begin, np.searchsorted(which, np.arange(len(first) + 1)), r, rank, p)
 
 
-def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """rid, spans (array of struct a, b): where windows of a document are repeated, as ``find`` decides.
+def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarray, np.ndarray, np.ndarray]], spare_first: bool) -> DataFrame:
+    """rid, spans (array of struct a, b; b of -1: the end): where windows of a document are repeated, as ``find`` decides.
+
+    Texts that several documents have are repeated as a whole, but for the first if ``spare_first``.
 
     ``find`` gets a Part and returns the places' numbers, and the first and last start of each run of
     repeated windows, counted in symbols from the snippet's start.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    total = docs.count()
-    buckets = max(BUCKETS, 1 << int(total // 4000).bit_length())
+    same = cut(copies(docs))
+    later = same.where("rid <> first").select("rid")
+    whole = (later if spare_first else same.select("rid")).select("rid", F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
+    few = later.count() <= BROADCAST_ROWS
+    docs = docs.join(F.broadcast(later) if few else later.hint("shuffle_hash"), "rid", "left_anti")
+    buckets = shard_count(docs)
     # dealt by document first, so that lists are built once and not in parts that are shuffled
     anchors = cut(shared_anchors(docs, kind, buckets).repartition("rid").groupBy("rid").agg(F.collect_set("h").alias("anchors")))
     with_anchors, _ = split(docs, anchors)
@@ -328,7 +344,7 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
         return pa.table({"rid": join(rid), "a": join(a), "b": join(b)})
 
     found = sent.groupBy("bucket").applyInArrow(search, "rid long, a long, b long")
-    return cut(found.repartition("rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    return cut(found.union(whole).repartition("rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def split(docs: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -347,14 +363,16 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return out if others is None else out.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
-def covered(lists: pa.Array, i: int, j: int, first: np.ndarray) -> np.ndarray:
+def covered(lists: pa.Array, i: int, j: int, first: np.ndarray, window: int) -> np.ndarray:
     """For rows i to j - 1 of a batch: whether each of their symbols lies in a span."""
     delta = np.zeros(int(first[-1]) + 1, np.int32)
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = lists.flatten()
     at = np.r_[0, np.cumsum(lengths)]
     a, b = (flat.field(k).to_numpy()[at[i] : at[j]] for k in (0, 1))
+    n = np.repeat(np.diff(first), lengths[i:j])
     base = np.repeat(first[:-1], lengths[i:j])
+    end = np.where(b >= 0, b, np.where(n >= window, n, a))  # a whole text without a window has nothing repeated
     np.add.at(delta, base + a, 1)
-    np.add.at(delta, base + b, -1)
+    np.add.at(delta, base + end, -1)
     return np.cumsum(delta[:-1]) > 0

@@ -124,14 +124,14 @@ def earlier_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kept_bytes(docs: DataFrame, columns: list[str], schema: str, finish) -> DataFrame:
     """``finish(rest, rows)`` over the struct of ``columns`` and (kept bytes, size, removed, runs) of every text."""
     keys = keyed(docs).select("rid", "doc_id", "text")
-    spans = repeated(keys.where(F.octet_length("text") >= SPAN), KIND, earlier_windows)
+    spans = repeated(keys.where(F.octet_length("text") >= SPAN), KIND, earlier_windows, spare_first=True)
 
     def apply(batches):
         for b in batches:
             rows = []
             lists = b.column("spans")
             for i, j, buf, off in pieces(b):
-                gone = covered(lists, i, j, off)
+                gone = covered(lists, i, j, off, SPAN)
                 edge = gone & ~np.r_[False, gone[:-1]]
                 edge[off[:-1][off[:-1] < off[-1]]] |= gone[off[:-1][off[:-1] < off[-1]]]
                 total, runs = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(edge)]
