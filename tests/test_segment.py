@@ -74,6 +74,6 @@ def test_null_text_is_an_empty_document(found):
     assert found[1][99]["n_turns"] == 0 and found[1][99]["warnings"] == ["no_boundary", "few_turns"]
 
 
-def test_one_shuffle_serves_the_windows(spark):
-    plan = segment.cue_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+def test_one_shuffle_serves_windows_and_turns(spark):
+    plan = segment.segment(spark.createDataFrame([(1, "a")], "doc_id long, text string"))[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

@@ -63,35 +63,32 @@ def _drafts(cues: DataFrame) -> DataFrame:
     )
 
 
-def _boundaries(drafts: DataFrame) -> DataFrame:
+def _bounded(drafts: DataFrame) -> DataFrame:
+    """Drafts with n_turns, qa_boundary_turn and boundary_by of their document, in windows over the same partitions."""
+    doc = Window.partitionBy("doc_id")
     turn = F.when(F.col("turn_no") > 0, F.col("turn_no"))
     operator = F.lower("name") == "operator"
-    d = drafts.groupBy("doc_id").agg(
-        F.coalesce(F.max(turn), F.lit(0)).alias("n_turns"),
-        # a heading in turn k announces turn k + 1; the last turn has none after it, so its own headings do not count
-        F.array_sort(F.collect_list(F.when(F.col("headings") > 0, F.col("turn_no") + 1))).alias("announced"),
-        F.min(F.when(operator & F.col("text").rlike(ANNOUNCES), turn)).alias("keyword"),
-        F.array_sort(F.collect_list(F.when(operator, turn))).alias("operators"),
-        F.max("front_lines").alias("front_lines"),
-        F.max("front_first").alias("front_first"),
-    )
-    heading = F.array_max(F.filter("announced", lambda t: t <= F.col("n_turns")))
-    second = F.when(F.size("operators") >= 2, F.element_at("operators", 2))
-    return d.select(
-        "doc_id", "n_turns", "front_lines", "front_first",
-        F.coalesce(heading, "keyword", second).alias("qa_boundary_turn"),
-        F.when(heading.isNotNull(), "heading").when(F.col("keyword").isNotNull(), "keyword").when(second.isNotNull(), "second_operator").alias("boundary_by"),
-    )
-
-
-def _turns(drafts: DataFrame, boundaries: DataFrame) -> DataFrame:
-    d = drafts.where("turn_no > 0").join(boundaries.select("doc_id", "qa_boundary_turn"), "doc_id")
+    d = drafts.withColumn("n_turns", F.coalesce(F.max(turn).over(doc), F.lit(0)))
+    # a heading in turn k announces turn k + 1, if there is one
+    announced = F.when((F.col("headings") > 0) & (F.col("turn_no") < F.col("n_turns")), F.col("turn_no") + 1)
+    d = d.withColumns({
+        "_heading": F.max(announced).over(doc),
+        "_keyword": F.min(F.when(operator & F.col("text").rlike(ANNOUNCES), turn)).over(doc),
+        "_operators": F.array_sort(F.collect_list(F.when(operator, turn)).over(doc)),
+    })
+    second = F.when(F.size("_operators") >= 2, F.element_at("_operators", 2))
+    by = F.when(F.col("_heading").isNotNull(), "heading").when(F.col("_keyword").isNotNull(), "keyword").when(second.isNotNull(), "second_operator")
+    return d.withColumns({"qa_boundary_turn": F.coalesce("_heading", "_keyword", second), "boundary_by": by}).drop("_heading", "_keyword", "_operators")
+
+
+def _turns(bounded: DataFrame) -> DataFrame:
     section = F.when(F.col("turn_no") >= F.col("qa_boundary_turn"), QA).otherwise(PREPARED)
-    return d.select("doc_id", F.col("turn_no").alias("turn_number"), F.col("name").alias("speaker_name"), F.col("title").alias("speaker_title"), section.alias("section"), "text")
+    return bounded.where("turn_no > 0").select("doc_id", F.col("turn_no").alias("turn_number"), F.col("name").alias("speaker_name"), F.col("title").alias("speaker_title"), section.alias("section"), "text")
 
 
-def _report(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
-    d = docs.select("doc_id").distinct().join(boundaries, "doc_id", "left").withColumn("n_turns", F.coalesce("n_turns", F.lit(0)))
+def _report(docs: DataFrame, bounded: DataFrame) -> DataFrame:
+    by = bounded.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n_turns", "qa_boundary_turn", "boundary_by", "front_lines", "front_first")])
+    d = docs.select("doc_id").distinct().join(by, "doc_id", "left").withColumn("n_turns", F.coalesce("n_turns", F.lit(0)))
     front = F.coalesce("front_lines", F.lit(0))
     none, few = F.col("qa_boundary_turn").isNull(), F.col("n_turns") < MIN_TURNS
     warnings = F.array_compact(F.array(F.when(front > 0, FRONT_MATTER), F.when(F.col("boundary_by") == "second_operator", WEAK_BOUNDARY), F.when(none, NO_BOUNDARY), F.when(few, FEW_TURNS)))
@@ -100,6 +97,5 @@ def _report(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 def segment(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns, and one report row per document (kept for documents without any line)."""
-    drafts = _drafts(cue_lines(docs))
-    boundaries = _boundaries(drafts)
-    return _turns(drafts, boundaries), _report(docs, boundaries)
+    bounded = _bounded(_drafts(cue_lines(docs)))
+    return _turns(bounded), _report(docs, bounded)
