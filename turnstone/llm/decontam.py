@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are SPAN words every STRIDE words of each document (the last one ends with the document). Words are
-   hashed to SIZE columns, weighted by inverse frequency over all words of all documents.
+1. Passages are BLOCKS blocks of STRIDE words, one from each block of a document on (a short document is one
+   passage). Words are hashed to SIZE columns, weighted by inverse frequency over all words of all documents.
+   A block is projected once; passages add up their blocks.
 2. A distributed randomised SVD: with a Gaussian G (SIZE x RANK), every task adds up its part of A'(A G) over the
-   passages A of all documents; the sums, RANK columns wide, are merged in two levels. An orthonormal basis of
-   their range approximates the leading right singular vectors of A.
+   passages A of all documents; the sums, RANK columns wide, are merged in two levels, and give the leading right
+   singular vectors and values of A.
 3. Benchmark items are cut into passages too, projected, and compared with every projected passage by cosine.
    Pairs above COSINE are candidates when their words overlap, as counted without order, by OVERLAP.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the document's words around
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textnum import U, pieces, word_hashes, word_spans
 
-SIZE, RANK, SPAN, STRIDE, SEED, BLOCK = 8192, 64, 24, 8, 11, 128
-COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.6, 0.5, 0.6, 0.45, 0.8
+SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 64, 8, 3, 11, 128
+SPAN = STRIDE * BLOCKS
+COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.55, 0.5, 0.6, 0.45, 0.8
 MAX_ITEMS, LIMIT = 100_000, 1 << 18
 
 
@@ -43,44 +45,69 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["c", "n"])
 
 
-def _passages(first: np.ndarray, span: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word and end of each passage."""
+def _padded(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns with each document filled up to whole blocks by the empty column SIZE; its first block in each."""
     n = np.diff(first)
-    k = np.where(n > 0, 1 + np.maximum(-(-(n - span) // stride), 0), 0)
+    begin = np.r_[0, np.cumsum(-(-n // STRIDE))]
+    out = np.full(int(begin[-1]) * STRIDE, SIZE, np.int32)
+    out[np.arange(len(c)) + np.repeat(begin[:-1] * STRIDE - first[:-1], n)] = c
+    return out, begin
+
+
+def _blocks(padded: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Projections of blocks; ``basis`` has a row of zeros for the empty column."""
+    out = np.empty((len(padded) // STRIDE, basis.shape[1]), np.float32)
+    for i in range(0, len(out), 256):  # what is gathered at once stays in the cache
+        part = np.take(basis, padded[i * STRIDE : (i + 256) * STRIDE], axis=0)
+        part.reshape(-1, STRIDE, basis.shape[1]).sum(axis=1, out=out[i : i + 256])
+    return out
+
+
+def _passages(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first block of each passage."""
+    n = np.diff(begin)
+    k = np.where(n > 0, np.maximum(n - BLOCKS + 1, 1), 0)
     doc = np.repeat(np.arange(len(n)), k)
-    no = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    start = first[:-1][doc] + np.minimum(no * stride, np.maximum(n[doc] - span, 0))
-    return doc, start, np.minimum(start + span, first[1:][doc])
+    return doc, begin[:-1][doc] + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
 
 
-def _projected(c: np.ndarray, start: np.ndarray, stop: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    sums = np.zeros((len(c) + 1, basis.shape[1]), np.float32)
-    np.cumsum(basis[c], axis=0, out=sums[1:])
-    return sums[stop] - sums[start]
+def _projected(c: np.ndarray, first: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit projection, document, first word and end of every passage."""
+    padded, begin = _padded(c, first)
+    y = _blocks(padded, basis)
+    doc, at = _passages(begin)
+    x, last = y[at], begin[1:][doc]
+    for k in range(1, BLOCKS):
+        inside = at + k < last
+        x[inside] += y[(at + k)[inside]]
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+    start = first[:-1][doc] + (at - begin[:-1][doc]) * STRIDE
+    return x, doc, start, np.minimum(start + SPAN, first[1:][doc])
 
 
 def _range_finder(weight: np.ndarray):
     test = np.random.default_rng(SEED).standard_normal((SIZE, RANK)).astype(np.float32)
-    basis = test * weight[:, None]
+    basis = np.vstack([test * weight[:, None], np.zeros((1, RANK), np.float32)])
 
     def run(batches):
-        total, task = np.zeros((SIZE, RANK)), 0
+        total, task = np.zeros((RANK, SIZE)), 0
         for b in batches:
             task = b.column("task")[0].as_py() if b.num_rows else task
             for _, _, buf, off in pieces(b, limit=LIMIT):
                 s, e, first = word_spans(buf, off)
                 if not len(s):
                     continue
-                c = (word_hashes(buf, s, e, lower=True) & U(SIZE - 1)).astype(np.int64)
-                _, p, q = _passages(first, SPAN, SPAN)  # each word in about one passage
-                y = _projected(c, p, q, basis)
-                order = np.argsort(c, kind="stable")
-                sorted_c = c[order]
-                word = np.zeros(len(c), np.int64)
-                word[p[1:]] = 1
-                rows = y[np.cumsum(word)][order] * weight[sorted_c][:, None]
-                at = np.flatnonzero(np.r_[True, sorted_c[1:] != sorted_c[:-1]])
-                total[sorted_c[at]] += np.add.reduceat(rows, at, axis=0)
+                c = word_hashes(buf, s, e, lower=True) & U(SIZE - 1)
+                padded, begin = _padded(c.astype(np.int32), first)
+                # the fit takes passages side by side: every BLOCKS-th block of a document begins one
+                no = np.arange(int(begin[-1])) - np.repeat(begin[:-1], np.diff(begin))
+                new = no % BLOCKS == 0
+                y = np.add.reduceat(_blocks(padded, basis), np.flatnonzero(new), axis=0)
+                of = np.repeat(np.cumsum(new) - 1, STRIDE)
+                columns, padded = np.ascontiguousarray(y.T, dtype=np.float64), padded.astype(np.int64)
+                for k in range(RANK):
+                    total[k] += np.bincount(padded, np.take(columns[k], of), SIZE + 1)[:SIZE]
+        total = total.T * weight[:, None]
         data = [total[i : i + BLOCK].astype(np.float32).tobytes() for i in range(0, SIZE, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(data), dtype=np.int32)), pa.array([task] * len(data), pa.int32()), pa.array(data, pa.binary())], ["block", "task", "data"])
 
@@ -94,8 +121,24 @@ def _added(key, frames):
     return out[["block", "task", "data"]]
 
 
-def semantic_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Inverse-frequency weights of the columns, and the basis of the latent space."""
+def latent_basis(z: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Right singular vectors of A over their singular values, from z = A'A G (Nystroem), times the weights.
+
+    Over the singular values, so that what all passages have in common does not drown what sets them apart.
+    """
+    test = np.random.default_rng(SEED).standard_normal((SIZE, RANK)).astype(np.float32)
+    core = test.T @ z
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    keep = value > 1e-9 * value.max()
+    half = z @ (vector[:, keep] / np.sqrt(value[keep]))
+    u, sigma, _ = np.linalg.svd(half, full_matrices=False)
+    keep = sigma > 1e-6 * sigma.max()
+    basis = u[:, keep] / sigma[keep] * sigma.max() * weight[:, None]
+    return np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+
+
+def semantic_space(docs: DataFrame) -> np.ndarray | None:
+    """Basis of the latent space, weighted by inverse frequency, with a row of zeros for the empty column."""
     n = np.zeros(SIZE)
     for r in docs.mapInArrow(_frequencies, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
         n[r["c"]] = r["n"]
@@ -109,7 +152,7 @@ def semantic_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     z = np.zeros((SIZE, RANK))
     for r in parts.groupBy("block").applyInPandas(lambda k, f: _added(k, f), "block int, task int, data binary").collect():
         z[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], np.float32).reshape(BLOCK, RANK)
-    return weight, np.linalg.qr(z)[0].astype(np.float32) * weight[:, None]
+    return latent_basis(z, weight)
 
 
 def _items(benchmark: DataFrame) -> list[tuple]:
@@ -149,18 +192,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(spark)
     schema = "doc_id long, item_id long, cosine double, common double, answer double"
     items = _items(benchmark)
-    space = semantic_space(docs.select("text")) if items else None
-    if space is None:
+    basis = semantic_space(docs.select("text")) if items else None
+    if basis is None:
         return spark.createDataFrame([], schema)
-    weight, basis = space
     queries, owner = [], []
     for no, (_, h, _) in enumerate(items):
-        c = (h & U(SIZE - 1)).astype(np.int64)
-        _, p, q = _passages(np.array([0, len(c)]), SPAN, STRIDE)
-        queries.append(_projected(c, p, q, basis))
-        owner += [(no, i, j) for i, j in zip(p, q, strict=True)]
+        for at in range(0, len(h), STRIDE * 2):
+            if at and len(h) - at < SPAN:
+                at = max(len(h) - SPAN, 0)
+            part = h[at : at + SPAN]
+            queries.append(_projected((part & U(SIZE - 1)).astype(np.int32), np.array([0, len(part)]), basis)[0][:1])
+            owner.append((no, at, at + len(part)))
+            if at + SPAN >= len(h):
+                break
     queries = np.concatenate(queries)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     vocabulary = np.unique(np.concatenate([h for _, h, _ in items]))
     held = np.zeros((len(owner), len(vocabulary) + 1), bool)
     for k, (no, i, j) in enumerate(owner):
@@ -170,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def search(batches):
         items, basis, queries, owner, vocabulary, held, sizes = given.value
-        item_of = np.array([no for no, _, _ in owner])
+        item_of, flat = np.array([no for no, _, _ in owner]), held.ravel()
         longest = max(len(h) for _, h, _ in items)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -180,29 +225,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if not len(s):
                     continue
                 h = word_hashes(buf, s, e, lower=True)
-                doc, p, q = _passages(first, SPAN, STRIDE)
-                x = _projected((h & U(SIZE - 1)).astype(np.int64), p, q, basis)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                x, doc, p, q = _projected((h & U(SIZE - 1)).astype(np.int32), first, basis)
                 place = np.searchsorted(vocabulary, h).clip(0, len(vocabulary) - 1)
                 place = np.where(vocabulary[place] == h, place, len(vocabulary))
                 near, far, cosines = [], [], []
-                for k in range(0, len(x), 4096):
-                    cos = x[k : k + 4096] @ queries.T
-                    r, c = np.nonzero(cos >= COSINE)
-                    near.append(r + k)
-                    far.append(c)
-                    cosines.append(cos[r, c])
+                for k in range(0, len(x), 1024):
+                    cos = (x[k : k + 1024] @ queries.T).ravel()
+                    hit = np.flatnonzero(cos >= COSINE)
+                    near.append(hit // len(queries) + k)
+                    far.append(hit % len(queries))
+                    cosines.append(cos[hit])
                 near, far, cosines = np.concatenate(near), np.concatenate(far), np.concatenate(cosines)
-                shared = np.zeros(len(near), np.int32)
+                # words in common, without order; pairs that the words to come cannot save are dropped on the way
+                need = np.ceil(OVERLAP * np.minimum(sizes[far], (q - p)[near])).astype(np.int32)
+                shared, row = np.zeros(len(near), np.int32), far * held.shape[1]
                 for t in range(SPAN):
-                    at = p[near] + t
-                    ok = at < q[near]
-                    shared += ok & held[far, place[np.minimum(at, len(h) - 1)]]
-                ok = shared >= OVERLAP * np.minimum(sizes[far], (q - p)[near])
-                near, far, cosines = near[ok], far[ok], cosines[ok]
+                    word = p[near] + t
+                    at = np.where(word < q[near], np.take(place, word, mode="clip"), len(vocabulary))
+                    shared += np.take(flat, row + at)
+                    if t >= SPAN // 2 and t % 4 == 3:
+                        ok = shared >= need - (SPAN - 1 - t)
+                        near, far, cosines, shared, need, row = (x[ok] for x in (near, far, cosines, shared, need, row))
                 best: dict[tuple[int, int], tuple] = {}
                 # the best aligned pairs of a document and item come first; a confirmed pair is done
-                for k in np.lexsort((-cosines, -shared[ok])):
+                for k in np.lexsort((-cosines, -shared)):
                     key = (int(doc[near[k]]), int(item_of[far[k]]))
                     had = best.get(key)
                     if had and had[1] >= 0.999:
