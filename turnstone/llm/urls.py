@@ -71,9 +71,9 @@ def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int
     for i in range(rounds):
         got = r.join(e, r["host"] == e["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         r = r.join(got, r["host"] == got["dst"], "left").select("host", "home", F.coalesce("got", F.lit(0.0)).alias("got"))
-        kept = r.agg((1 - DAMPING * F.sum("got")).alias("back"))  # one row
-        r = r.crossJoin(F.broadcast(kept)).select("host", "home", (DAMPING * F.col("got") + F.col("back") * F.col("home")).alias("rank"))
-        if i % 3 == 2 or i == rounds - 1:
+        stayed = r.agg(F.sum("got")).scalar()  # rank that went along edges; the rest returns to the seeds
+        r = r.select("host", "home", (DAMPING * F.col("got") + (1 - DAMPING * stayed) * F.col("home")).alias("rank"))
+        if i % 2 == 1 or i == rounds - 1:
             r = cut(r)
     return r.select("host", "rank")
 
