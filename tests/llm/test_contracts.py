@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnstone.llm import decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, quality, queries, repeats, suffixes, urls
+from turnstone.llm import common, decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, quality, queries, repeats, suffixes, urls
 
 SF_DIR = "/root/testdata/sf0.001"
 rng = random.Random(7)
@@ -277,6 +277,25 @@ def test_language_model_scores(spark):
             assert abs(got[i][side] - sum(loss) / len(loss)) < 1e-4
 
 
+def test_components(spark):
+    nodes = list(range(-50, 250))
+    edges = [(-50, i) for i in range(-49, 0)] + [(i, i + 1) for i in range(100, 180)] + [(rng.choice(nodes[150:]), rng.choice(nodes[150:])) for _ in range(60)] + [(7, 7), (5, 3), (3, 5)]
+    edges = [(a * 10**15, b * 10**15) for a, b in edges]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root if n in got} and set(root) - set(got) <= {a for a, b in edges if a == b}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
