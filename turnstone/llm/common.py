@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Characters between words: space and tab to carriage return; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
-LEAST_SHARDS, DOCUMENTS_A_SHARD = 1024, 16_000
+LEAST_SHARDS, DOCUMENTS_A_SHARD, BROADCAST_NODES = 1024, 16_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,17 +53,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     neighbour, so a hub's edges are rewritten one row at a time and no neighbourhood is collected in a task.
     Ends when a round changes nothing. Edges may repeat, be loops, or come in either order.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = cut(e)
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     state = None
+
+    def least_neighbours(e: DataFrame) -> DataFrame:
+        """k, m: the smallest smaller neighbour of each node that has one. Cut off, so that the joins below stand
+        directly on their shuffles, where Spark splits a hub's rows; below a size, they need no shuffle."""
+        low = cut(e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
+        return F.broadcast(low) if low.count() <= BROADCAST_NODES else low
+
     for _ in range(rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: every larger neighbour v of u is linked to u's smallest neighbour
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # large star: every larger neighbour u of v is linked to v's smallest neighbour, or v itself
+        star = e.join(least_neighbours(e), F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        e = cut(star.union(e.groupBy("u").agg(F.min("v").alias("v"))).distinct())
         # small star: every smaller neighbour of u, and u itself, is linked to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u > v").distinct()
+        star = e.join(least_neighbours(e), F.col("u") == F.col("k"))
+        e = star.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u > v").distinct()
         e = cut(e)
         # bit_xor and sum make a cheap, order-free digest of the edge set
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -130,7 +130,8 @@ def copies(docs: DataFrame) -> DataFrame:
     rows = docs.select("rid", "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"]
     many = rows.groupBy("h", "g", "n").agg(first.alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
-    return rows.join(many.select("h", "g", "n", "first"), ["h", "g", "n"]).select("rid", "first").distinct()
+    # cut off, so that the join stands directly on its shuffles, where Spark splits a large class
+    return rows.join(cut(many.select("h", "g", "n", "first")), ["h", "g", "n"]).select("rid", "first").distinct()
 
 
 def shared_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
