@@ -277,6 +277,42 @@ def test_language_model_scores(spark):
             assert abs(got[i][side] - sum(loss) / len(loss)) < 1e-4
 
 
+def test_language_models_hold_every_word(spark, monkeypatch):
+    """Texts of rare words keep losses of their own: losses by hand over all words, many chunks, no folded words."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(lmscore, "HOLD", 500)
+    own = random.Random(3)
+    data = [(i, " ".join(f"w{i % 80}_{own.randint(0, 39)}" for _ in range(40))) for i in range(160)] + [(None, "w1_1 w1_2"), (5, "W5_1 w5_1")]
+    good = {i for i, _ in data if i is not None and i % 80 < 40 and i < 80}
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = lmscore.score(d, spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")).collect()
+    want, sides = [], []
+    width = max(lmscore.WIDTH, len({w for _, t in data for w in brute.words(brute.lower(t))}))
+    assert width > lmscore.WIDTH
+    for ids in (good, None):
+        pair, single, before = Counter(), Counter(), Counter()
+        for i, t in data:
+            ws = brute.words(brute.lower(t))
+            if ids is None or i in ids:
+                for a, b in zip(["<s>", *ws], ws, strict=False):
+                    pair[a, b] += 1
+                    single[b] += 1
+                    before[a] += 1
+        sides.append((pair, single, before, sum(single.values())))
+    for i, t in data:
+        ws, loss = brute.words(brute.lower(t)), []
+        for pair, single, before, total in sides:
+            loss.append(sum(-math.log((pair[a, b] + lmscore.SMOOTH * (single[b] + 1) / (total + width)) / (before[a] + lmscore.SMOOTH)) for a, b in zip(["<s>", *ws], ws, strict=False)) / len(ws))
+        want.append((i, len(ws), *loss))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(a[:2]) == b[:2] and abs(a[2] - b[2]) < 1e-9 and abs(a[3] - b[3]) < 1e-9
+    scores = {r["doc_id"]: r["score"] for r in got if r["doc_id"] != 5}
+    assert all(scores[80 + i] < scores[120 + i] for i in range(40))
+
+
 def test_components(spark):
     nodes = list(range(-50, 250))
     edges = [(-50, i) for i in range(-49, 0)] + [(i, i + 1) for i in range(100, 180)] + [(rng.choice(nodes[150:]), rng.choice(nodes[150:])) for _ in range(60)] + [(7, 7), (5, 3), (3, 5)]

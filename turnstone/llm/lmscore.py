@@ -1,11 +1,19 @@
 """LM scoring by cross-entropy difference: bigram models of target and background text over one vocabulary.
 
-The target is the text of documents labelled as good (quality 1, not toxic), the background all documents. Word
-counts of all documents give the shared vocabulary: the VOCABULARY most frequent words (ties by hash), one symbol
-for all others and one for the start of a text. Bigram counts of both sides cover all their texts; models are
-interpolated: (n(a, b) + SMOOTH * p(b)) / (n(a) + SMOOTH), where p is the side's own smoothed unigram model.
+The target is the text of documents labelled as good (quality 1, not toxic), the background all documents. Every
+word of all documents is in the shared vocabulary; a START stands before each text. Models are interpolated:
+(n(a, b) + SMOOTH * p(b)) / (n(a) + SMOOTH), where p is the side's own unigram model, smoothed over the number of
+distinct words, WIDTH at least.
 
-Counts are merged per task before they are shuffled. What is broadcast is bounded by (VOCABULARY + 2) ** 2 cells.
+Counts are tables that grow with the corpus and stay distributed:
+
+1. Tasks cut their documents into chunks of up to HOLD words and count each chunk's words, predecessors and pairs.
+   The counts go by hash to buckets, one row per chunk and bucket; the chunk itself goes on as word numbers.
+2. A bucket adds up its keys over all chunks and answers each chunk with the sums of the keys it asked for.
+3. Chunks meet their answers and score their documents.
+
+A frequent word or pair is one entry per chunk, however many documents hold it. Each bucket answers with its number
+of distinct words and tokens too, so a chunk knows those of the corpus. Nothing is collected or broadcast but labels.
 
 Cases: null or wordless text has 0 tokens and null losses; without target text the models agree and the score is
 0; rows that repeat count and are scored again; words are lower-cased in A-Z and split at ASCII blanks.
@@ -15,111 +23,163 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textnum import U, pieces, word_hashes, word_spans
-
-VOCABULARY, SMOOTH, BROADCAST_ROWS = 1022, 50.0, 1_000_000
-WIDTH = VOCABULARY + 2  # 0: other words, 1: start of a text
-HOLD = 4_000_000  # words whose hashes a task keeps before it merges them
-
-
-def _count_words(batches):
-    held, size, have = [], 0, (np.zeros(0, U), np.zeros(0, np.int64))
-
-    def merge():
-        words, at = np.unique(np.concatenate([have[0], *held]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([have[1], np.ones(size, np.int64)]), len(words)).astype(np.int64)
-        return words, n
-
-    for b in batches:
-        for _, _, buf, off in pieces(b):
-            s, e, _ = word_spans(buf, off)
-            held.append(word_hashes(buf, s, e, lower=True))
-            size += len(s)
-        if size > HOLD:
-            have, held, size = merge(), [], 0
-    words, n = merge()
-    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["w", "n"])
-
-
-def _ids(h: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(vocabulary, h).clip(0, max(len(vocabulary) - 1, 0))
-    return np.where(vocabulary[at] == h, place[at], 0) if len(vocabulary) else np.zeros(len(h), np.int64)
+from .textnum import U, mix, pieces, word_hashes, word_spans
+
+WIDTH, SMOOTH, BROADCAST_ROWS = 1024, 50.0, 1_000_000
+HOLD, LEAST_BUCKETS, BYTES_A_BUCKET = 2_000_000, 256, 1 << 22  # words of a chunk; text whose counts a bucket holds
+_SINGLE, _BEFORE, _START = U(0x8F1BBCDCBFA53E0B), U(0xCA62C1D66ED9EBA1), U(0x5BE0CD19137E2179)
+_ROW = "dest long, chunk long, keys binary, n binary, t binary, doc_id binary, known binary, size binary"
+_ANSWER = "chunk long, bucket long, n binary, t binary, words long, tokens long, target long, keys binary, doc_id binary, known binary, size binary"
+
+
+def _keys(vocabulary: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple:
+    """Keys of a chunk's words, its predecessors (START first) and its pairs; and what becomes of each token.
+
+    ``ids`` are the places of the tokens' words in ``vocabulary``, from 1; 0 is START.
+    """
+    first = np.cumsum(size) - size
+    before = np.r_[0, ids[:-1]] if len(ids) else ids
+    before[first[size > 0]] = 0
+    pairs, at = np.unique(before.astype(np.int64) * (len(vocabulary) + 1) + ids, return_inverse=True)
+    a, b = pairs // (len(vocabulary) + 1), pairs % (len(vocabulary) + 1)
+    left = np.r_[_START, vocabulary]
+    pair = mix(mix(left[a] ^ _START) * U(0x9E3779B97F4A7C15) + left[b])
+    keys = np.concatenate([mix(vocabulary ^ _SINGLE) | U(1), np.r_[mix(left ^ _BEFORE), pair] & ~U(1)])  # words are odd
+    return keys, before, a, b, at
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in their order, and where each bucket (a power of two, by the highest bits) begins."""
+    order = np.argsort(keys)
+    return order, np.searchsorted(keys[order] >> U(65 - buckets.bit_length()), np.arange(buckets + 1).astype(U))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by their first, second, ... bytes, compressed: most have few bytes that are not 0."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+
+
+def _unpacked(data: bytes | None, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _chunks(buckets: int):
+    """Per chunk one row with its documents, dest -1 - chunk, and one row with its counts for every bucket."""
+
+    def run(batches):
+        held, size, no, task = [], 0, 0, TaskContext.get().partitionId()
+
+        def emit():
+            chunk = (task << 32) + no
+            vocabulary, ids, often = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
+            k, doc, known, good = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
+            order = np.argsort(-often, kind="stable")  # frequent words get low numbers
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(1, len(order) + 1)
+            vocabulary, ids = vocabulary[order], place[ids]
+            keys, before, _, _, at = _keys(vocabulary, ids, k)
+            side, v = np.repeat(good, k), len(vocabulary)
+            parts = ((ids - 1, v), (before, v + 1), (at, len(keys) - 2 * v - 1))
+            n, t = (np.concatenate([np.bincount(x[where], minlength=m) for x, m in parts]).astype(np.int32) for where in (slice(None), side))
+            yield (-1 - chunk, chunk, _packed(vocabulary), _packed(ids), None, _packed(doc), _packed(known), _packed(k))
+            order, cuts = _dealt(keys, buckets)
+            keys, n, t = keys[order], n[order], t[order]
+            for i in range(buckets):
+                x = slice(cuts[i], cuts[i + 1])
+                yield (i, chunk, _packed(np.diff(keys[x], prepend=U(0))), _packed(n[x]), _packed(t[x]), None, None, None)
 
+        for b in batches:
+            ids = b.column("doc_id")
+            known, good = ids.is_valid().to_numpy(zero_copy_only=False), b.column("good").to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy()
+            for i, j, buf, off in pieces(b):
+                s, e, first = word_spans(buf, off)
+                held.append((word_hashes(buf, s, e, lower=True) if len(s) else np.zeros(0, U), np.diff(first).astype(np.int64), ids[i:j], known[i:j], good[i:j]))
+                size += len(s)
+                if size > HOLD:
+                    yield _batch(list(emit()), _ROW)
+                    held, size, no = [], 0, no + 1
+        if held:
+            yield _batch(list(emit()), _ROW)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    arrays = [pa.array(x, pa.int64() if k == "long" else pa.binary()) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The sums of a bucket's keys, as an answer to each of its chunks; the documents of a chunk pass."""
+    rows = table.to_pylist()
+    if rows[0]["dest"] < 0:
+        out = [(r["chunk"], None, r["n"], None, None, None, None, r["keys"], r["doc_id"], r["known"], r["size"]) for r in rows]
+        return pa.Table.from_batches([_batch(out, _ANSWER)])
+    asked = [np.cumsum(_unpacked(r["keys"], U), dtype=U) for r in rows]
+    cuts = np.r_[0, np.cumsum([len(x) for x in asked])]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    n, t = (np.bincount(at, np.concatenate([_unpacked(r[side], np.int32) for r in rows]), len(keys)).astype(np.int64) for side in ("n", "t"))
+    words = (keys & U(1)).astype(bool)
+    total = (int(words.sum()), int(n[words].sum()), int(t[words].sum()))
+    out = []
+    for i, r in enumerate(rows):
+        x = at[cuts[i] : cuts[i + 1]]
+        out.append((r["chunk"], r["dest"], _packed(n[x]), _packed(t[x]), *total, None, None, None, None))
+    return pa.Table.from_batches([_batch(out, _ANSWER)])
+
+
+def _score(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        given = sorted(table.to_pylist(), key=lambda r: -1 if r["bucket"] is None else r["bucket"])
+        own, given = given[0], given[1:]
+        if [r["bucket"] for r in given] != list(range(buckets)):
+            raise RuntimeError("a chunk lacks the counts of a bucket")
+        vocabulary, ids, size = _unpacked(own["keys"], U), _unpacked(own["n"], np.int32), _unpacked(own["size"], np.int64)
+        keys, _, a, b, at = _keys(vocabulary, ids, size)
+        order, _ = _dealt(keys, buckets)
+        total = {name: sum(r[name] for r in given) for name in ("words", "tokens", "target")}
+        width, v, loss = max(WIDTH, total["words"]), len(vocabulary), {}
+        end = np.cumsum(size)
+        for side, column, tokens in (("background", "n", total["tokens"]), ("target", "t", total["target"])):
+            if side == "target" and not tokens:
+                loss[side] = loss["background"]
+                continue
+            n = np.empty(len(keys))
+            n[order] = np.concatenate([_unpacked(r[column], np.int64) for r in given])
+            p = (n[:v] + 1) / (tokens + width)
+            pair = -np.log((n[2 * v + 1 :] + SMOOTH * p[b - 1]) / (n[v + a] + SMOOTH))
+            sums = np.r_[0, np.cumsum(pair[at])]
+            loss[side] = np.where(size > 0, (sums[end] - sums[end - size]) / np.maximum(size, 1), np.nan)
+        t, g = loss["target"], loss["background"]
+        doc = pa.array(_unpacked(own["doc_id"], np.int64), mask=~_unpacked(own["known"], bool))
+        return pa.table([doc, pa.array(size), *(pa.array(x, pa.float64(), from_pandas=True) for x in (t, g, t - g))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-def _pairs(buf, off, vocabulary, place) -> tuple[np.ndarray, np.ndarray]:
-    """Cell number of every word after its predecessor, and the first word of each document."""
-    s, e, first = word_spans(buf, off)
-    ids = _ids(word_hashes(buf, s, e, lower=True), vocabulary, place)
-    before = np.r_[1, ids[:-1]] if len(ids) else ids
-    before[first[:-1][first[:-1] < first[1:]]] = 1
-    return before * WIDTH + ids, first
+    return run
 
 
 def _good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct()
     n = good.limit(BROADCAST_ROWS + 1).count()
     good = good.withColumn("good", F.lit(True))
-    return docs.join(F.broadcast(good) if n <= BROADCAST_ROWS else good, docs["doc_id"] == F.col("_id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    spark = docs.sparkSession
-    small_batches(spark)
-    words = docs.select("text").mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = np.array(sorted(r["w"] for r in words.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()), np.int64).view(U)
-    order = np.argsort(top)
-    vocabulary, place = top[order], np.arange(len(top))[order] + 2
-
-    def count(batches):
-        cells = np.zeros((2, WIDTH * WIDTH), np.int64)
-        for b in batches:
-            good = b.column("good").to_numpy(zero_copy_only=False)
-            for i, j, buf, off in pieces(b):
-                c, first = _pairs(buf, off, vocabulary, place)
-                side = np.repeat(good[i:j], np.diff(first))
-                cells[0] += np.bincount(c, minlength=WIDTH * WIDTH)
-                cells[1] += np.bincount(c[side], minlength=WIDTH * WIDTH)
-        at = np.flatnonzero(cells[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[0][at]), pa.array(cells[1][at])], ["c", "n", "t"])
-
-    sums = _good(docs, labels).mapInArrow(count, "c int, n long, t long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    found = sums.toArrow()  # at most WIDTH ** 2 rows of 20 bytes
-    out = {"vocabulary": vocabulary, "place": place}
-    at = found.column("c").to_numpy()
-    for side, key in (("background", "n"), ("target", "t")):
-        n = np.zeros(WIDTH * WIDTH)
-        n[at] = found.column(key).to_numpy()
-        if not n.sum() and side == "target":
-            out[side] = out["background"]
-            continue
-        n = n.reshape(WIDTH, WIDTH)
-        p = (n.sum(0) + 1) / (n.sum() + WIDTH)
-        out[side] = -np.log((n + SMOOTH * p) / (n.sum(1, keepdims=True) + SMOOTH)).astype(np.float32).ravel()
-    return out
+    return docs.join(F.broadcast(good) if n <= BROADCAST_ROWS else good, docs["doc_id"] == F.col("_id"), "left").select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (target minus background, per token; low is near the target)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def apply(batches):
-        m = model.value
-        for b in batches:
-            n, loss = [], {"target": [], "background": []}
-            for _, _, buf, off in pieces(b):
-                c, first = _pairs(buf, off, m["vocabulary"], m["place"])
-                k = np.diff(first)
-                n.append(k)
-                for side, x in loss.items():
-                    sums = np.r_[0, np.cumsum(m[side][c], dtype=np.float64)]
-                    x.append(np.where(k > 0, (sums[first[1:]] - sums[first[:-1]]) / np.maximum(k, 1), np.nan))
-            if not n:
-                continue
-            n, t, g = np.concatenate(n), *(np.concatenate(loss[s]) for s in ("target", "background"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), from_pandas=True) for x in (t, g, t - g))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    small_batches(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, 1 << (size // BYTES_A_BUCKET).bit_length())
+    counts = _good(docs, labels).mapInArrow(_chunks(buckets), _ROW)
+    answers = counts.groupBy("dest").applyInArrow(_add, _ANSWER)
+    return answers.groupBy("chunk").applyInArrow(_score(buckets), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
