@@ -237,6 +237,35 @@ def test_leaks(spark):
     assert decontam.leaks(spark.createDataFrame(d, "doc_id long, text string"), b.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_and_paraphrases(spark):
+    """Recall against the longest common subsequence in every window of every document."""
+    import math
+
+    import numpy as np
+
+    own = random.Random(5)
+    text = lambda n: own.choices(VOCABULARY, k=n)
+    items, data = [text(n) for n in (3, 5, 6, 8, 10, 15, 18, 22, 30, 50, 70)], []
+    for no, item in enumerate(items):
+        for keep in (1.0, 0.7, 0.6):
+            lost = own.sample(range(len(item)), len(item) - math.ceil(keep * len(item)))
+            copy = [own.choice(VOCABULARY) if i in lost else w for i, w in enumerate(item)]
+            data.append([*text(own.randint(0, 250)), *copy, *text(own.randint(0, 250))])
+    data += [text(300) for _ in range(10)]
+    number = {w: i for i, w in enumerate(VOCABULARY)}
+    hashed = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    want = set()
+    for d, ws in enumerate(data):
+        for no, item in enumerate(items):
+            n, x, y = math.ceil(1.5 * len(item)), hashed(item), hashed(ws)
+            if any(decontam.common(x, y[i : i + n]) >= decontam.COMMON * len(x) for i in range(max(len(y) - n, 0) + 1)):
+                want.add((d, no))
+    assert {(3 * no + k, no) for no in range(len(items)) for k in range(3)} <= want
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(data)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 0.1 * len(want)
+
+
 def test_longest_common_subsequence():
     import numpy as np
 

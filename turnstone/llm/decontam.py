@@ -8,7 +8,10 @@
    singular vectors and values of A.
 3. Benchmark items are cut into passages too, projected, and compared with every projected passage by cosine.
    Pairs above COSINE are candidates when their words overlap, as counted without order, by OVERLAP.
-4. A candidate is confirmed by the longest common subsequence of the item's words and the document's words around
+4. What cosine drops is found by words: a leak of an item of n words within a window of STRETCH * n words shares at
+   least need = COMMON_WITH_ANSWER * n of them in order, so at least l of its n - need + l rarest words. Windows
+   with l such words are compared too (in windows of that length), so no leak of that kind is lost, however short.
+5. A candidate of cosine is confirmed by the longest common subsequence of the item's words and the document's words around
    the passage: COMMON of the item, or COMMON_WITH_ANSWER of it if the item's answer (its last sentence) is there
    as well. The benchmark is a bounded parameter table (MAX_ITEMS), as its words are sent to every task.
 
@@ -19,6 +22,7 @@ an empty documents table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -32,7 +36,7 @@ from .textnum import U, pieces, word_hashes, word_spans
 SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 64, 8, 3, 11, 128
 SPAN = STRIDE * BLOCKS
 COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.55, 0.5, 0.6, 0.45, 0.8
-MAX_ITEMS, LIMIT = 100_000, 1 << 18
+MAX_ITEMS, LIMIT, STRETCH = 100_000, 1 << 18, 1.5
 
 
 def _frequencies(batches):
@@ -137,8 +141,8 @@ def latent_basis(z: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
 
 
-def semantic_space(docs: DataFrame) -> np.ndarray | None:
-    """Basis of the latent space, weighted by inverse frequency, with a row of zeros for the empty column."""
+def semantic_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Basis of the latent space, weighted by inverse frequency, with a row of zeros for the empty column; the weights."""
     n = np.zeros(SIZE)
     for r in docs.mapInArrow(_frequencies, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
         n[r["c"]] = r["n"]
@@ -152,7 +156,7 @@ def semantic_space(docs: DataFrame) -> np.ndarray | None:
     z = np.zeros((SIZE, RANK))
     for r in parts.groupBy("block").applyInPandas(lambda k, f: _added(k, f), "block int, task int, data binary").collect():
         z[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], np.float32).reshape(BLOCK, RANK)
-    return latent_basis(z, weight)
+    return latent_basis(z, weight), weight
 
 
 def _items(benchmark: DataFrame) -> list[tuple]:
@@ -186,15 +190,90 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _reach(words: int) -> int:
+    """Length of the windows in which an item's words are looked for."""
+    return math.ceil(STRETCH * words)
+
+
+def rare_words(items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray) -> tuple:
+    """For each word of the vocabulary (and none, one past it) the items it is a rare word of; what each item needs.
+
+    A window whose longest common subsequence with an item has ``need`` words or more has ``least`` of the item's
+    n - need + least rarest words, whatever order of rarity is taken.
+    """
+    word, item, least = [], [], []
+    for no, (_, h, _) in enumerate(items):
+        need = math.ceil(min(COMMON, COMMON_WITH_ANSWER) * len(h) - 1e-9)
+        least.append(max(1, need // 2))
+        rarest = np.argsort(-weight[(h & U(SIZE - 1)).astype(np.int64)], kind="stable")[: len(h) - need + least[-1]]
+        # a word that stands there k times counts k times, as often as a common subsequence can hold it
+        word.append(np.searchsorted(vocabulary, h[rarest]))
+        item.append(np.full(len(rarest), no, np.int32))
+    word, item = np.concatenate(word), np.concatenate(item)
+    pairs, often = np.unique(word * len(items) + item, return_counts=True)
+    begin = np.searchsorted(pairs // len(items), np.arange(len(vocabulary) + 2))
+    masks = np.zeros((len(items), len(vocabulary) + 1), U)  # the places of a word in an item, as bits
+    for no, (_, h, _) in enumerate(items):
+        if len(h) <= 64:
+            np.bitwise_or.at(masks[no], np.searchsorted(vocabulary, h), U(1) << np.arange(len(h)).astype(U))
+    return begin, (pairs % len(items)).astype(np.int64), often, np.array(least), np.array([len(h) for _, h, _ in items]), masks
+
+
+def rare_windows(index: tuple, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item and first word of every window that may hold a leak, by item and place."""
+    begin, of, often, least, size, masks = index
+    reach = np.array([_reach(n) for n in size.tolist()])
+    word = np.flatnonzero(begin[place + 1] > begin[place])
+    k = (begin[place + 1] - begin[place])[word]
+    at = np.arange(int(k.sum())) + np.repeat(begin[place[word]] - (np.cumsum(k) - k), k)
+    item, word = of[at], np.repeat(word, k)
+    # documents lie farther apart than any window reaches
+    apart = word + (np.searchsorted(first, word, "right") - 1) * int(reach.max())
+    key = item * (len(place) + len(first) * int(reach.max()) + 1) + apart
+    order = np.argsort(key)
+    key, item, word, sums = key[order], item[order], word[order], np.r_[0, np.cumsum(often[at[order]])]
+    ok = sums[np.searchsorted(key, key + reach[item])] - sums[:-1] >= least[item]
+    item, word = item[ok], word[ok]
+    # the common subsequence with all words that such a window can hold, as in common(), for all windows at once
+    doc = np.searchsorted(first, word, "right") - 1
+    lo, hi = np.maximum(first[doc], word - reach[item] + 1), np.minimum(first[doc + 1], word + reach[item])
+    full = ~U(0) >> (64 - np.minimum(size, 64)).astype(U)[item]
+    v, row, flat = full.copy(), item * masks.shape[1], masks.ravel()
+    for t in range(int((hi - lo).max(initial=0))):
+        m = np.where(lo + t < hi, np.take(flat, row + np.take(place, lo + t, mode="clip")), U(0))
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    need = np.ceil(min(COMMON, COMMON_WITH_ANSWER) * size[item] - 1e-9)
+    ok = (size[item] > 64) | (size[item] - np.bitwise_count(v) >= need)
+    return item[ok], word[ok]
+
+
+def confirmed(words: np.ndarray, answer: int, text: np.ndarray, start: int, length: int) -> tuple[float, float] | None:
+    """Shares of the item and of its answer in the best window of ``text`` that holds the word ``start`` and confirms a leak."""
+
+    def shares(x):
+        return common(words, x) / len(words), common(words[answer:], x) / max(len(words) - answer, 1)
+
+    def enough(n, a):
+        return n >= COMMON or n >= COMMON_WITH_ANSWER and a >= ANSWER
+
+    lo, hi = max(0, start - length + 1), start + length
+    if not enough(*shares(text[lo:hi])):
+        return None
+    found = [shares(text[i : i + length]) for i in range(lo, start + 1) if text[i] in words or i == lo]
+    return max((x for x in found if enough(*x)), default=None)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common (share of the item found in order), answer (share of its answer)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     schema = "doc_id long, item_id long, cosine double, common double, answer double"
     items = _items(benchmark)
-    basis = semantic_space(docs.select("text")) if items else None
-    if basis is None:
+    space = semantic_space(docs.select("text")) if items else None
+    if space is None:
         return spark.createDataFrame([], schema)
+    basis, weight = space
     queries, owner = [], []
     for no, (_, h, _) in enumerate(items):
         for at in range(0, len(h), STRIDE * 2):
@@ -211,10 +290,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k, (no, i, j) in enumerate(owner):
         held[k, np.searchsorted(vocabulary, items[no][1][i:j])] = True
     sizes = np.array([j - i for _, i, j in owner])
-    given = spark.sparkContext.broadcast((items, basis, queries, owner, vocabulary, held, sizes))
+    given = spark.sparkContext.broadcast((items, basis, queries, owner, vocabulary, held, sizes, rare_words(items, vocabulary, weight)))
 
     def search(batches):
-        items, basis, queries, owner, vocabulary, held, sizes = given.value
+        items, basis, queries, owner, vocabulary, held, sizes, index = given.value
         item_of, flat = np.array([no for no, _, _ in owner]), held.ravel()
         longest = max(len(h) for _, h, _ in items)
         for b in batches:
@@ -263,7 +342,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     new = (float(cosines[k]), n, a, from_ + longest // 2 if from_ > lo else lo, to - longest // 2 if to < hi else hi)
                     if not had or new[1] > had[1]:
                         best[key] = new
-                rows += [(ids[i + d], items[no][0], *v[:3]) for (d, no), v in sorted(best.items()) if v[1] >= COMMON or v[1] >= COMMON_WITH_ANSWER and v[2] >= ANSWER]
+                best = {key: v for key, v in best.items() if v[1] >= COMMON or v[1] >= COMMON_WITH_ANSWER and v[2] >= ANSWER}
+                item, word = rare_windows(index, place, first)
+                owners = np.searchsorted(first, word, "right") - 1
+                for no, w, d in zip(item.tolist(), word.tolist(), owners.tolist(), strict=True):
+                    if (d, no) not in best:
+                        _, words, answer = items[no]
+                        if new := confirmed(words, answer, h[first[d] : first[d + 1]], w - int(first[d]), _reach(len(words))):
+                            k = np.flatnonzero((doc == d) & (p < w + _reach(len(words))) & (q > w - _reach(len(words))))
+                            best[d, no] = (float((x[k] @ queries[item_of == no].T).max(initial=-1.0)), *new)
+                rows += [(ids[i + d], items[no][0], *v[:3]) for (d, no), v in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "common", "answer"])
 
     return docs.select("doc_id", "text").mapInArrow(search, schema)
