@@ -72,6 +72,22 @@ def test_license_join_finds_every_block(docs, rows):
         assert want <= got and (threshold < 0.9 or want == got)
 
 
+def test_license_sentences_that_wrap(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General\n * Public License as published by the Free Software Foundation."
+    filler = " ".join(VOCABULARY[100:120])
+    many = f"{filler}\n" * 9 + bsd + f"\n{filler}" * 9
+    texts = [mit, bsd, gpl, many, bsd.replace("modification", "nothing").replace("forms", "x")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = table(licenses.scan(d), "labels", "score")
+    assert [got[i][0] for i in range(5)] == ["mit", "bsd", "gpl", "bsd", ""]
+    assert got[0][1] >= 0.9 and got[1] == ("bsd", 1.0) and got[4][1] == 0
+    long = (("long", " ".join(VOCABULARY[:90])),)
+    d = spark.createDataFrame([(0, f"{filler}\n" * 4 + "\n".join(VOCABULARY[:90]) + f"\n{filler}" * 3)], "doc_id long, text string")
+    assert [r["label"] for r in licenses.join_templates(d, long).dropDuplicates(["label"]).collect()] == ["long"]
+
+
 def test_quality(docs, rows):
     got = table(quality.features(docs).withColumn("failed", quality.base_failed()), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed")
     assert got == {i: brute.quality(t) for i, t in rows}

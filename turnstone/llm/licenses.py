@@ -1,6 +1,7 @@
 r"""License scans: an exact containment join of text blocks with license templates, in DataFrame operations.
 
-A block is a line of the text, cut into pieces of BLOCK words every BLOCK / 2 words if it is longer. A block
+A block is a line of the text, cut into pieces of BLOCK words every BLOCK / 2 words if it is longer (more words, if a
+template has over BLOCK / 2); texts of several lines are cut into such pieces as a whole too, as sentences wrap. A block
 meets a template when it holds at least THRESHOLD of the template's distinct words. Template words are ordered by
 the number of documents that hold them, rarest first, counted over all documents. With need = ceil(t * n):
 
@@ -86,9 +87,16 @@ def join_templates(docs: DataFrame, templates: tuple = TEMPLATES, threshold: flo
     d = d.where(F.col("text").rlike(pattern))
     lines = d.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(pattern))
     lines = lines.select("doc_id", "key", "line", _words(F.col("t")).alias("all"))
-    starts = F.expr(f"sequence(0, greatest(size(all) - 1, 0), {BLOCK // 2})")
+    # sentences that wrap: the words of the whole text as if it were one line, with the number -1
+    whole_texts = d.where(F.contains("text", F.lit("\n"))).select("doc_id", "key", F.lit(-1).alias("line"), _words(F.col("text")).alias("all"))
+    lines = lines.union(whole_texts)
+    # a template's words lie in one block wherever they begin
+    longest = max(len(t.split()) for _, t in templates)
+    size = max(BLOCK, 2 * longest)
+    stride = min(BLOCK // 2, size - longest + 1)
+    starts = F.expr(f"sequence(0, greatest(size(all) - 1, 0), {stride})")
     blocks = lines.select("doc_id", "key", "line", "all", F.explode(starts).alias("at"))
-    blocks = blocks.select("doc_id", "key", F.struct("line", "at").alias("block"), F.array_distinct(F.slice("all", F.col("at") + 1, BLOCK)).alias("have"))
+    blocks = blocks.select("doc_id", "key", F.struct("line", "at").alias("block"), F.array_distinct(F.slice("all", F.col("at") + 1, size)).alias("have"))
     found = blocks.select("*", F.explode(F.array_intersect("have", first)).alias("w")).join(index, "w")
     # each pair is met once for every shared prefix word; the first shared word decides the bound by place
     found = found.where(F.size("have") >= F.col("need")).groupBy("doc_id", "key", "block", "template").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("have").alias("have"))
