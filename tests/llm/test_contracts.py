@@ -194,6 +194,17 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert table(urls.judge(p).withColumnRenamed("page_id", "doc_id"), "verdict") == {1: ("block",), 2: ("block",), 3: ("allow",), 4: ("allow",)}
 
 
+def test_distrust_goes_along_chains_until_it_settles(spark, monkeypatch):
+    monkeypatch.setattr(urls, "TOLERANCE", 1e-2, raising=False)
+    hosts = ["bad.net", *(f"c{i}.info" for i in range(1, 21)), *(f"o{i}.info" for i in range(79))]
+    p = [(i, f"http://{h}/", f'<a href="http://{hosts[i - 1]}/">x</a>' if 1 <= i <= 20 else None) for i, h in enumerate(hosts)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(p, "page_id long, url string, html string")).collect()}
+    first = 0.15 / (1 - 0.85**21)  # rank at the end of the chain returns to the blocked host
+    for i in range(21):
+        assert abs(got[i]["distrust"] - 100 * first * 0.85**i) < 0.06 and got[i]["verdict"] == "block"
+    assert all(got[i]["verdict"] == "allow" and got[i]["distrust"] == 0 for i in range(21, 100))
+
+
 def test_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(d.withColumn("score", F.lit("clash")))

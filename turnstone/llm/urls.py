@@ -6,7 +6,8 @@ as an edge both ways, a host and its nearest parent domain that has pages of its
 distrust, by its share of the mean, exceeds its trust and the threshold.
 
 Edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row per
-neighbour. Ranks are kept per host; rank without a way out returns to the seeds.
+neighbour. Ranks are kept per host; rank without a way out returns to the seeds. Rounds go on until the ranks settle:
+each leaves at most DAMPING of the change before it, so their number is bounded, and more of them are an error.
 
 Cases: a null url or one without "://" has an empty host and path, fits no rule, takes no part in the graph and
 is allowed; null html has no links; repeated pages count as links again; without seeds every score is 0.
@@ -14,6 +15,8 @@ is allowed; null html has no links; repeated pages count as links again; without
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,9 @@ from .common import LOWER, UPPER, cut
 
 #: Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, LEAST_DISTRUST = 0.85, 12, 0.5
+DAMPING, ROUNDS, LEAST_DISTRUST = 0.85, 12, 0.5  # ROUNDS: of the SQL
+#: Ranks are settled when a round changes them by less, summed over hosts, as a share of the mean; or by what doubles can tell.
+TOLERANCE, LEAST_CHANGE = 1e-6, 1e-14
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -58,8 +63,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int = ROUNDS) -> DataFrame:
-    """host, rank: the personalised PageRank with restarts in proportion to column ``seed`` of ``hosts``."""
+def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int | None = None) -> DataFrame:
+    """host, rank: the personalised PageRank with restarts in proportion to column ``seed`` of ``hosts``.
+
+    After so many ``rounds``, or as many as it takes to settle.
+    """
     total = hosts.agg(F.sum(seed)).first()[0] or 0
     r = hosts.select("host", (F.col(seed) / F.lit(float(total)) if total else F.lit(0.0)).cast("double").alias("home"))
     r = r.withColumn("rank", F.col("home"))
@@ -68,13 +76,20 @@ def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, rounds: int
     known = hosts.select("host")
     e = edges.join(known.withColumnRenamed("host", "src"), "src", "left_semi").join(known.withColumnRenamed("host", "dst"), "dst", "left_semi")
     e = cut(e.join(e.groupBy("src").agg(F.sum("weight").alias("all")), "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
-    for i in range(rounds):
+    settled = max(TOLERANCE / hosts.count(), LEAST_CHANGE)
+    most = math.ceil(math.log(settled / 2) / math.log(DAMPING)) + 2 if rounds is None else rounds
+    r = r.withColumn("was", F.lit(0.0))
+    for _ in range(most):
         got = r.join(e, r["host"] == e["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        r = r.join(got, r["host"] == got["dst"], "left").select("host", "home", F.coalesce("got", F.lit(0.0)).alias("got"))
-        stayed = r.agg(F.sum("got")).scalar()  # rank that went along edges; the rest returns to the seeds
-        r = r.select("host", "home", (DAMPING * F.col("got") + (1 - DAMPING * stayed) * F.col("home")).alias("rank"))
-        if i % 2 == 1 or i == rounds - 1:
-            r = cut(r)
+        r = cut(r.join(got, r["host"] == got["dst"], "left").select("host", "home", "was", "rank", F.coalesce("got", F.lit(0.0)).alias("got")))
+        stayed, change = r.agg(F.sum("got"), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        # rank that went along edges stays; the rest returns to the seeds
+        r = r.select("host", "home", F.col("rank").alias("was"), (DAMPING * F.col("got") + (1 - DAMPING * stayed) * F.col("home")).alias("rank"))
+        if rounds is None and change <= settled:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {most} rounds")
     return r.select("host", "rank")
 
 
