@@ -48,7 +48,7 @@ def shingles(text: str | None, k: int = 5) -> set:
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else {tuple(ws)} if ws else set()
 
 
-def jaccard_components(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+def jaccard_components(docs: dict[int, str | None]) -> dict[int, tuple[int, int, int]]:
     sets = {d: shingles(t) for d, t in docs.items()}
     by, inv = defaultdict(set), defaultdict(list)
     for d, s in sets.items():
@@ -60,7 +60,7 @@ def jaccard_components(docs: dict[int, str | None]) -> dict[int, tuple[int, int]
             for o in inv[x]:
                 n[o] += 1
         for o, c in n.items():
-            if 100 * c >= 75 * (len(s) + len(sets[o]) - c):
+            if o != d and 100 * c >= 75 * (len(s) + len(sets[o]) - c):
                 by[d].add(o)
     out = {}
     for d in sorted(docs):
@@ -73,7 +73,7 @@ def jaccard_components(docs: dict[int, str | None]) -> dict[int, tuple[int, int]
                 todo.append(o)
         for o in seen:
             out[o] = d
-    return {d: (len(sets[d]), out[d]) for d in docs}
+    return {d: (len(sets[d]), out[d], len(by[d])) for d in docs}
 
 
 def repeated_windows(docs: dict[int, str | None], k: int = 35) -> dict[int, tuple[int, int, str]]:

@@ -108,16 +108,36 @@ def test_learned_rules_reject_junk_and_keep_prose(spark):
         assert quality.learn(quality.features(d), few) == []
 
 
-def test_jaccard(docs, rows):
-    assert table(ngramjoin.linked(docs), "n_shingles", "component_id") == brute.jaccard_components(dict(rows))
+JACCARD = ("n_shingles", "component_id", "n_links")
 
 
-def test_jaccard_large_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "LOCAL_TOKENS", 50)
-    monkeypatch.setattr(ngramjoin, "FRAGMENT_TOKENS", 40)
-    monkeypatch.setattr(ngramjoin, "SMALL", 2)
-    monkeypatch.setattr(ngramjoin, "LEADERS", 1)
-    assert table(ngramjoin.linked(docs), "n_shingles", "component_id") == brute.jaccard_components(dict(rows))
+def test_jaccard(docs, rows):
+    assert table(ngramjoin.linked(docs), *JACCARD) == brute.jaccard_components(dict(rows))
+
+
+@pytest.mark.parametrize("bounds", [{"TILE_NODES": 2}, {"TILE_TOKENS": 50}, {"TILE_NODES": 3, "FRAGMENTS": (2, 3), "DENSE": 10**9, "STEP": 20}, {"CHUNK_TOKENS": 100, "CHUNK_ROWS": 3}])
+def test_jaccard_at_small_bounds(spark, docs, rows, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    assert table(ngramjoin.linked(docs), *JACCARD) == brute.jaccard_components(dict(rows))
+
+
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """A hub of near copies, which meet in many tiles, chains of links, and dense products."""
+    own = random.Random(11)
+    base = own.choices(VOCABULARY, k=60)
+    texts = [" ".join(own.choice(VOCABULARY) if own.random() < x else w for w in base) for x in [0.02] * 150 + [0.1] * 50]
+    at, chain = own.choices(VOCABULARY, k=400), []
+    chain += [" ".join(at[i : i + 80]) for i in range(0, 300, 9)]
+    data = dict(enumerate(texts + chain + texts[:20]))
+    want = brute.jaccard_components(data)
+    assert max(x[2] for x in want.values()) > 100 and len({x[1] for x in want.values()}) > 5
+    d = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(4)
+    for nodes, fragments in ((2048, ngramjoin.FRAGMENTS), (40, (5, 50))):
+        monkeypatch.setattr(ngramjoin, "TILE_NODES", nodes)
+        monkeypatch.setattr(ngramjoin, "FRAGMENTS", fragments)
+        monkeypatch.setattr(ngramjoin, "DENSE", 8)
+        assert table(ngramjoin.linked(d), *JACCARD) == want
 
 
 @pytest.mark.parametrize("hot", [10_000, 1])

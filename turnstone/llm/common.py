@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 #: Characters between words: space and tab to carriage return; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 LEAST_SHARDS, DOCUMENTS_A_SHARD, BROADCAST_NODES = 1024, 16_000, 1_000_000
+BYTES_A_SHARD, BATCH_BYTES = 32 << 20, 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,37 +23,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one (tests) gets a temporary one.
+    The folder is the session's spark.checkpoint.dir. Only a session without one on this machine alone (tests) gets a
+    temporary one: on a cluster executors would not see each other's files, so that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnstone-"))
-    free(df.sparkSession)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnstone-"))
     return df.checkpoint(eager=True)
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, now and not at some later time."""
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, now and not at some later time.
+
+    Called where a large shuffle is done with.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
+    """Bound what one Arrow batch of whole texts holds in a Python worker, by rows and by bytes.
+
+    Set for the session, as Spark reads it when a result is computed, which is after the operator returns.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shard_count(docs: DataFrame) -> int:
-    """Shards for text that is dealt by hashes: so many that one holds what some thousand documents send to it."""
-    return min(1 << 22, max(LEAST_SHARDS, 1 << int(docs.count() // DOCUMENTS_A_SHARD).bit_length()))
+    """Shards for text that is dealt by hashes: so many that one holds what some thousand documents, or so many bytes
+    of text, send to it."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return min(1 << 22, max(LEAST_SHARDS, 1 << int(max(rows // DOCUMENTS_A_SHARD, (size or 0) // BYTES_A_SHARD)).bit_length()))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns node, component.
 
     Alternating large-star and small-star contraction: each round rewires edges towards the smallest
     neighbour, so a hub's edges are rewritten one row at a time and no neighbourhood is collected in a task.
-    Ends when a round changes nothing. Edges may repeat, be loops, or come in either order.
+    Ends when a round changes nothing, after some log^2 of the nodes at most. Edges may repeat, be loops, or come in either order.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     state = None
@@ -62,7 +76,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         low = cut(e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
         return F.broadcast(low) if low.count() <= BROADCAST_NODES else low
 
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour u of v is linked to v's smallest neighbour, or v itself
         star = e.join(least_neighbours(e), F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
         e = cut(star.union(e.groupBy("u").agg(F.min("v").alias("v"))).distinct())
@@ -75,6 +89,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

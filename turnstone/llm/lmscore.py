@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textnum import U, mix, pieces, word_hashes, word_spans
+from .textnum import U, mix, packed, pieces, unpacked, word_hashes, word_spans
 
 WIDTH, SMOOTH, BROADCAST_ROWS = 1024, 50.0, 1_000_000
 HOLD, LEAST_BUCKETS, BYTES_A_BUCKET = 2_000_000, 256, 1 << 22  # words of a chunk; text whose counts a bucket holds
@@ -59,19 +59,6 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(keys[order] >> U(65 - buckets.bit_length()), np.arange(buckets + 1).astype(U))
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers by their first, second, ... bytes, compressed: most have few bytes that are not 0."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-
-
-def _unpacked(data: bytes | None, kind) -> np.ndarray:
-    if not data:
-        return np.zeros(0, kind)
-    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _chunks(buckets: int):
     """Per chunk one row with its documents, dest -1 - chunk, and one row with its counts for every bucket."""
 
@@ -90,12 +77,12 @@ def _chunks(buckets: int):
             side, v = np.repeat(good, k), len(vocabulary)
             parts = ((ids - 1, v), (before, v + 1), (at, len(keys) - 2 * v - 1))
             n, t = (np.concatenate([np.bincount(x[where], minlength=m) for x, m in parts]).astype(np.int32) for where in (slice(None), side))
-            yield (-1 - chunk, chunk, _packed(vocabulary), _packed(ids), None, _packed(doc), _packed(known), _packed(k))
+            yield (-1 - chunk, chunk, packed(vocabulary), packed(ids), None, packed(doc), packed(known), packed(k))
             order, cuts = _dealt(keys, buckets)
             keys, n, t = keys[order], n[order], t[order]
             for i in range(buckets):
                 x = slice(cuts[i], cuts[i + 1])
-                yield (i, chunk, _packed(np.diff(keys[x], prepend=U(0))), _packed(n[x]), _packed(t[x]), None, None, None)
+                yield (i, chunk, packed(np.diff(keys[x], prepend=U(0))), packed(n[x]), packed(t[x]), None, None, None)
 
         for b in batches:
             ids = b.column("doc_id")
@@ -126,16 +113,16 @@ def _add(table: pa.Table) -> pa.Table:
     if rows[0]["dest"] < 0:
         out = [(r["chunk"], None, r["n"], None, None, None, None, r["keys"], r["doc_id"], r["known"], r["size"]) for r in rows]
         return pa.Table.from_batches([_batch(out, _ANSWER)])
-    asked = [np.cumsum(_unpacked(r["keys"], U), dtype=U) for r in rows]
+    asked = [np.cumsum(unpacked(r["keys"], U), dtype=U) for r in rows]
     cuts = np.r_[0, np.cumsum([len(x) for x in asked])]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    n, t = (np.bincount(at, np.concatenate([_unpacked(r[side], np.int32) for r in rows]), len(keys)).astype(np.int64) for side in ("n", "t"))
+    n, t = (np.bincount(at, np.concatenate([unpacked(r[side], np.int32) for r in rows]), len(keys)).astype(np.int64) for side in ("n", "t"))
     words = (keys & U(1)).astype(bool)
     total = (int(words.sum()), int(n[words].sum()), int(t[words].sum()))
     out = []
     for i, r in enumerate(rows):
         x = at[cuts[i] : cuts[i + 1]]
-        out.append((r["chunk"], r["dest"], _packed(n[x]), _packed(t[x]), *total, None, None, None, None))
+        out.append((r["chunk"], r["dest"], packed(n[x]), packed(t[x]), *total, None, None, None, None))
     return pa.Table.from_batches([_batch(out, _ANSWER)])
 
 
@@ -145,7 +132,7 @@ def _score(buckets: int):
         own, given = given[0], given[1:]
         if [r["bucket"] for r in given] != list(range(buckets)):
             raise RuntimeError("a chunk lacks the counts of a bucket")
-        vocabulary, ids, size = _unpacked(own["keys"], U), _unpacked(own["n"], np.int32), _unpacked(own["size"], np.int64)
+        vocabulary, ids, size = unpacked(own["keys"], U), unpacked(own["n"], np.int32), unpacked(own["size"], np.int64)
         keys, _, a, b, at = _keys(vocabulary, ids, size)
         order, _ = _dealt(keys, buckets)
         total = {name: sum(r[name] for r in given) for name in ("words", "tokens", "target")}
@@ -156,13 +143,13 @@ def _score(buckets: int):
                 loss[side] = loss["background"]
                 continue
             n = np.empty(len(keys))
-            n[order] = np.concatenate([_unpacked(r[column], np.int64) for r in given])
+            n[order] = np.concatenate([unpacked(r[column], np.int64) for r in given])
             p = (n[:v] + 1) / (tokens + width)
             pair = -np.log((n[2 * v + 1 :] + SMOOTH * p[b - 1]) / (n[v + a] + SMOOTH))
             sums = np.r_[0, np.cumsum(pair[at])]
             loss[side] = np.where(size > 0, (sums[end] - sums[end - size]) / np.maximum(size, 1), np.nan)
         t, g = loss["target"], loss["background"]
-        doc = pa.array(_unpacked(own["doc_id"], np.int64), mask=~_unpacked(own["known"], bool))
+        doc = pa.array(unpacked(own["doc_id"], np.int64), mask=~unpacked(own["known"], bool))
         return pa.table([doc, pa.array(size), *(pa.array(x, pa.float64(), from_pandas=True) for x in (t, g, t - g))], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
     return run

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by vertical partitioning, and the classes of linked documents.
+"""N-gram Jaccard join by vertical partitioning: classes of linked documents and the number of links of each.
 
 A document is the set of its distinct 5-word shingles (all its words as one, if fewer). Equal sets are one node.
 Two nodes link when 100 * shared >= 75 * union.
@@ -6,16 +6,17 @@ Two nodes link when 100 * shared >= 75 * union.
 1. ``screen``: a node that links has at least three quarters of its shingles in common with another. Every
    shingle of short documents and SAMPLE of the others' meet their equals; nodes whose unshared shingles in the
    sample already exceed what a link allows are done with, which are nearly all without a near copy.
-2. ``ordered``: for the rest, shingles are counted and put in one global order, rarest first. In that order a
-   link needs a common shingle within the first n - ceil(0.75 n) + 1 ones (prefix filter); nodes that share such
-   a one are in one block, found as components of stars, so that no list of a frequent shingle is ever built.
-3. ``overlaps``: the order is cut into fragments, whose overlaps are counted separately and summed per pair; pairs
-   that cannot link whatever the other fragments hold are dropped after each. A block of up to LOCAL_TOKENS
-   shingles has its fragments in one task, which walks its classes breadth first: a node is compared with the
-   nodes that no class has yet, and each node is reported with one link. The fragments of a larger block lie in
-   tasks of their own; their nodes are first paired with LEADERS of them (all pairs up to SMALL nodes), and then
-   with the nodes that they are not yet connected with. So classes are whole, without the square of a group's
-   links.
+2. ``ordered``: for the rest, shingles are counted and put in one global order, rarest first, which FRAGMENTS cut
+   into ranges. In that order a link needs a common shingle within the first n - ceil(0.75 n) + 1 ones (prefix
+   filter); nodes that share such a one are in one block, found as components of stars.
+3. ``overlaps``: a block is a square of pairs, which is cut into tiles of at most about TILE_NODES nodes or TILE_TOKENS
+   shingles a side, each in a task of its own; small blocks share a tile. In a tile the overlaps of each
+   fragment are counted on their own, the rarest first, and summed per pair; rows without a pair that the
+   other fragments could still make a link leave after each fragment. What leaves a tile is one row per node: its
+   links, and a node that it is connected with. So every link is counted, but no list of pairs is ever sent.
+
+A frequent shingle is one entry for each chunk of documents, in 1 and 2: chunks send their distinct shingles with
+their counts to buckets, and get the sums back. The work on a block's pairs, though not its rows, grows with their number.
 
 Shingles are 54-bit hashes, sets 64-bit ones. Cases: null, empty or wordless text has an empty set, linked
 with nothing, and is its own class; rows that repeat are linked by their equal sets; null doc_id counts as a
@@ -26,18 +27,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shard_count, small_batches
+from .common import components, cut, free, shard_count, small_batches
 from .repeats import _blobs
-from .textnum import U, grams, mix, pieces, within, word_hashes, word_spans
+from .textnum import U, grams, mix, packed, pieces, unpacked, within, word_hashes, word_spans
 
 SHINGLE, SHIFT = 5, 10
 SAMPLE, SENDS_ALL, JUDGED_BY_ALL = 0.4, 128, 96  # partners of nodes up to 96 shingles have up to 128
 CHUNK_ROWS, CHUNK_TOKENS = 60_000, 1_000_000
-SMALL, LEADERS, FRAGMENTS, LOCAL_TOKENS, FRAGMENT_TOKENS = 64, 16, 4, 1_000_000, 300_000
+#: Cuts of the global order: shingles of up to 8 nodes, of up to 64, and the rest.
+FRAGMENTS = (8, 64)
+TILE_NODES, TILE_TOKENS = 2048, 1_000_000
+#: Postings that are counted at once; a shingle that more than one of DENSE pairs of a tile share is counted by a product.
+STEP, DENSE = 4_000_000, 128
 BROADCAST_ROWS = 1_000_000
+_MANY = 0xFFFF
 
 
 def sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +91,16 @@ def screen(docs: DataFrame, buckets: int) -> DataFrame:
             first[np.unique(node, return_index=True)[1]] = True
             keep = first[local]
             token, local = token[keep], local[keep]
+            # a shingle of several nodes of the chunk is known to be shared: one entry tells the other chunks
+            order = np.argsort(token, kind="stable")
+            token, local = token[order], local[order]
+            at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            often = np.diff(np.r_[at, len(token)])
+            known = np.bincount(local[np.repeat(often > 1, often)], minlength=rows).astype(np.int32)
+            token, local = token[at], np.where(often > 1, _MANY, local[at]).astype(np.uint16)
             number = (part << 24) + chunk
-            out = [(b, number, *x, None) for b, x in _blobs(token % buckets, (token >> 22).astype(np.uint32), local.astype(np.uint16))]
-            table = [x.tobytes() for x in (rid, doc, null, node, n.astype(np.int32), m.astype(np.int32))]
+            out = [(b, number, *x, None) for b, x in _blobs(token % buckets, (token >> 22).astype(np.uint32), local)]
+            table = [x.tobytes() for x in (rid, doc, null, node, n.astype(np.int32), m.astype(np.int32), known)]
             out.append((-1 - number, number, None, None, b"".join(table)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "chunk", "token", "local", "table"])
 
@@ -124,20 +138,22 @@ def screen(docs: DataFrame, buckets: int) -> DataFrame:
         at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         n = np.diff(np.r_[at, len(t)])
         hit = order[np.repeat(n > 1, n)]
+        hit = hit[local[hit] != _MANY]
         out = list(_blobs(chunk[hit], local[hit]))
         return pa.table({"chunk": [x[0] for x in out], "shared": [x[1][0] for x in out], "table": [None] * len(out)}, schema=pa.schema(names))
 
     def judge(table):
         raw = next(x for x in table.column("table").to_pylist() if x is not None)
-        rows = len(raw) // 33
+        rows = len(raw) // 37
         at, parts = 0, []
-        for t in (np.int64, np.int64, bool, np.int64, np.int32, np.int32):
+        for t in (np.int64, np.int64, bool, np.int64, np.int32, np.int32, np.int32):
             size = rows * np.dtype(t).itemsize
             parts.append(np.frombuffer(raw[at : at + size], t))
             at += size
-        rid, doc, null, node, n, m = parts
-        shared = [np.frombuffer(x, np.uint16) for x in table.column("shared").to_pylist() if x is not None]
-        count = np.bincount(np.concatenate(shared), minlength=rows) if shared else np.zeros(rows, int)
+        rid, doc, null, node, n, m, count = parts
+        for x in table.column("shared").to_pylist():
+            if x is not None:
+                count = count + np.bincount(np.frombuffer(x, np.uint16), minlength=rows)
         spare = n - -(-3 * n // 4)
         near = (n > 0) & (count >= m - spare)
         by, back = np.unique(node, return_inverse=True)  # rows that did not send take the answer of the one that did
@@ -153,61 +169,81 @@ def screen(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def ordered(docs: DataFrame, buckets: int) -> DataFrame:
-    """From rows (node, text), one per node: node, n, shared (shingles of two nodes or more, rarest first), prefix.
+    """From rows (node, copies, text), one per node: node, n, copies, shared, prefix, cuts.
 
-    prefix is how many of ``shared`` lie in the prefix of the node's set; nodes whose prefix has none are left out.
+    ``shared`` holds the shingles of two nodes or more, the rarest first; ``cuts`` how many of them lie before each of the
+    cuts of FRAGMENTS, and ``prefix`` how many in the prefix of the node's set. Nodes whose prefix has none are left out.
     """
+    sent_names = ("known", "count", "at", "node", "size", "copies")
 
     def emit(batches):
+        task, no = TaskContext.get().partitionId(), 0
         held, size = [], 0
 
         def flush():
-            token, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = list(_blobs(token % buckets, token, node, n.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *(pa.array([x[k] for _, x in out], pa.binary()) for k in range(3))], ["bucket", "token", "node", "n"])
+            chunk = (task << 32) + no
+            token, node, copies, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            known, at, often = np.unique(token, return_inverse=True, return_counts=True)
+            rows = [(-1 - chunk, chunk, packed(known), None, packed(at.astype(np.int32)), packed(node), packed(n), packed(copies))]
+            for b, (k, c) in _blobs(known % buckets, known, often.astype(np.int32)):
+                k = np.frombuffer(k, np.int64)
+                rows.append((b, chunk, packed(np.diff(k, prepend=0)), packed(np.frombuffer(c, np.int32)), None, None, None, None))
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["dest", "chunk", *sent_names])
 
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
+            nodes, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
             for i, j, buf, off in pieces(batch):
                 token, begin = sets(buf, off)
-                n = np.diff(begin)
-                held.append((token, np.repeat(nodes[i:j], n), np.repeat(n, n).astype(np.int32)))
+                held.append((token, nodes[i:j], copies[i:j], np.diff(begin).astype(np.int64)))
                 size += len(token)
-            if size > CHUNK_TOKENS:
-                yield flush()
-                held, size = [], 0
+                if size > CHUNK_TOKENS:
+                    yield flush()
+                    held, size, no = [], 0, no + 1
         if held:
             yield flush()
 
-    def read(table, names):
-        return [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in names]
-
     def count(table):
-        token, node, n = read(table, (("token", np.int64), ("node", np.int64), ("n", np.int32)))
-        order = np.argsort(token)
-        token, node, n = token[order], node[order], n[order]
-        at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        df = np.diff(np.r_[at, len(token)])
-        df = np.repeat(df, df)
-        k = df > 1
-        out = list(_blobs(mix(node[k].view(U)) % U(buckets), token[k], node[k], n[k], df[k].astype(np.int32)))
-        return pa.table({"bin": pa.array([b for b, _ in out], pa.int32()), **{c: pa.array([x[i] for _, x in out], pa.binary()) for i, c in enumerate(("token", "node", "n", "df"))}})
-
-    def order_all(table):
-        token, node, n, df = read(table, (("token", np.int64), ("node", np.int64), ("n", np.int32), ("df", np.int32)))
-        order = np.lexsort((token, df, node))
-        token, node, n = token[order], node[order], n[order].astype(np.int64)
-        at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        held = np.diff(np.r_[at, len(node)])
-        n = n[at]
+        out = ("chunk", "bucket", "sums", *sent_names)
+        if table.column("dest")[0].as_py() < 0:
+            table = table.append_column("bucket", table.column("dest")).append_column("sums", pa.nulls(len(table), pa.binary()))
+            return table.select(out)
+        asked = [np.cumsum(unpacked(x, np.int64)) for x in table.column("known").to_pylist()]
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([unpacked(x, np.int32) for x in table.column("count").to_pylist()]))[at].astype(np.int64)
+        ends = np.cumsum([len(x) for x in asked])
+        answers = pa.array([packed(x) for x in np.split(sums, ends[:-1])], pa.binary())
+        none = pa.nulls(len(table), pa.binary())
+        return pa.table([table.column("chunk"), table.column("dest"), answers, *[none] * 6], out)
+
+    def finish(table):
+        by = np.argsort(table.column("bucket").to_numpy())
+        own = {c: table.column(c)[by[0]].as_py() for c in ("bucket", "known", "at", "node", "size", "copies")}
+        sums = table.column("sums").to_pylist()
+        known, at, node, n, copies = (unpacked(own[c], t) for c, t in (("known", np.int64), ("at", np.int32), ("node", np.int64), ("size", np.int64), ("copies", np.int64)))
+        total = np.concatenate([np.zeros(0, np.int64), *(unpacked(sums[k], np.int64) for k in by[1:])])
+        if own["bucket"] >= 0 or len(total) != len(known):
+            raise RuntimeError("a chunk lacks the counts of a bucket")
+        df = np.empty(len(known), np.int64)
+        df[np.argsort(known % buckets, kind="stable")] = total
+        df, token, of = df[at], known[at], np.repeat(np.arange(len(n)), n)
+        keep = df > 1
+        df, token, of = df[keep], token[keep], of[keep]
+        order = np.lexsort((token, df, of))
+        df, token, of = df[order], token[order], of[order]
+        held = np.bincount(of, minlength=len(n))
+        begin = np.r_[0, np.cumsum(held)]
         prefix = (n - -(-3 * n // 4) + 1) - (n - held)  # places of the prefix left after the shingles of one node only
-        keep = prefix > 0
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)].astype(np.int32)), pa.array(token))
-        return pa.table({"node": node[at], "n": n, "shared": lists, "prefix": prefix.astype(np.int32)}).filter(pa.array(keep))
+        low = [np.bincount(of[df <= f], minlength=len(n)) for f in FRAGMENTS]
+        lists = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
+        out = {"node": node, "n": n, "copies": copies, "shared": lists(token, begin), "prefix": prefix.astype(np.int32)}
+        out["cuts"] = lists(np.stack(low, axis=1).ravel().astype(np.int32), np.arange(len(n) + 1) * len(FRAGMENTS))
+        return pa.table(out).filter(pa.array(prefix > 0))
 
-    sent = docs.mapInArrow(emit, "bucket int, token binary, node binary, n binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "bin int, token binary, node binary, n binary, df binary")
-    return counted.groupBy("bin").applyInArrow(order_all, "node long, n long, shared array<long>, prefix int")
+    blobs = ", ".join(f"{c} binary" for c in sent_names)
+    sent = docs.mapInArrow(emit, "dest long, chunk long, " + blobs)
+    answers = sent.groupBy("dest").applyInArrow(count, "chunk long, bucket long, sums binary, " + blobs)
+    return answers.groupBy("chunk").applyInArrow(finish, "node long, n long, copies long, shared array<long>, prefix int, cuts array<int>")
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
@@ -217,169 +253,167 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return components(entries.join(low, "token").where("node <> low").select("node", "low").distinct(), "node", "low").select(F.col("node"), F.col("component").alias("block"))
 
 
-def _postings(token: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of each shingle, one after the other, and where each shingle's begin."""
-    return of[np.argsort(token, kind="stable")], np.r_[0, np.cumsum(np.bincount(token, minlength=size))]
-
-
-def _met(mine: np.ndarray, posting: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The nodes that hold the shingles ``mine``, as often as they hold one."""
-    n = at[mine + 1] - at[mine]
-    return posting[np.arange(int(n.sum())) + np.repeat(at[mine] - (np.cumsum(n) - n), n)]
-
-
-def _walk(n: np.ndarray, lists: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
-    """Links (a, b, shared) of a block in one task, so that each class is connected and no more."""
-    d = len(n)
-    size = np.array([len(x) for x in lists])
-    every = np.concatenate(lists)
-    ids, token = np.unique(every, return_inverse=True)
-    of = np.repeat(np.arange(d), size)
-    part = every % FRAGMENTS
-    begin = np.r_[0, np.cumsum(size)]
-    links: tuple[list[int], list[int], list[int]] = ([], [], [])
-    free = np.ones(d, bool)
-    base, index = d, [_postings(token[part == f], of[part == f], len(ids)) for f in range(FRAGMENTS)]
-    for seed in range(d):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        todo = [seed]
-        while todo:
-            i = todo.pop()
-            left = int(free.sum())
-            if not left:
-                return links
-            if 2 * left < base:  # forget the nodes that have a class
-                keep = free[of]
-                base, index = left, [_postings(token[keep & (part == f)], of[keep & (part == f)], len(ids)) for f in range(FRAGMENTS)]
-            other = np.flatnonzero(free & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
-            shared, rest = np.zeros(len(other), np.int64), int(size[i])
-            mine = slice(begin[i], begin[i + 1])
-            for f in range(FRAGMENTS):
-                if not len(other):
-                    break
-                own = token[mine][part[mine] == f]
-                rest -= len(own)
-                shared += np.bincount(_met(own, *index[f]), minlength=d)[other]
-                ok = 7 * (shared + rest) >= 3 * (n[other] + n[i])
-                other, shared = other[ok], shared[ok]
-            free[other] = False
-            todo += other.tolist()
-            links[0].extend([i] * len(other))
-            links[1].extend(other.tolist())
-            links[2].extend(shared.tolist())
-    return links
-
-
-def _pairs(node: np.ndarray, label: np.ndarray, first_round: bool) -> tuple[np.ndarray, np.ndarray]:
-    d = len(node)
-    if d <= SMALL:
-        return np.triu_indices(d, 1) if first_round else (np.zeros(0, int), np.zeros(0, int))
-    if first_round:
-        leaders = np.argsort(mix(node.view(U)))[:LEADERS]
-        a, b = np.repeat(leaders, d), np.tile(np.arange(d), len(leaders))
-        rank = np.full(d, d)
-        rank[leaders] = np.arange(len(leaders))
-        ok = rank[b] > rank[a]
-        return a[ok], b[ok]
-    # nodes outside the largest class, with the nodes of other classes
-    names, of, size = np.unique(label, return_inverse=True, return_counts=True)
-    place = np.argsort(np.argsort(size, kind="stable"), kind="stable")[of]
-    a, b = [], []
-    for i in np.flatnonzero(place < len(names) - 1):
-        j = np.flatnonzero(place > place[i])
-        a.append(np.full(len(j), i))
-        b.append(j)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _partial(nodes: np.ndarray, n: np.ndarray, label: np.ndarray, lists: list[np.ndarray], first_round: bool):
-    """Pairs of a block's fragment with the shingles they share in it, without those that cannot link."""
-    a, b = _pairs(nodes, label, first_round)
-    fit = 4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])
-    a, b = a[fit], b[fit]
-    if not len(a):
-        return a, b, a
-    size = np.array([len(x) for x in lists])
-    ids, token = np.unique(np.concatenate(lists), return_inverse=True)
-    begin = np.r_[0, np.cumsum(size)]
-    posting, at = _postings(token, np.repeat(np.arange(len(lists)), size), len(ids))
-    shared = np.zeros(len(a), np.int64)
-    edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    for x, y in zip(edges, np.r_[edges[1:], len(a)], strict=True):
-        meets = _met(token[begin[a[x]] : begin[a[x] + 1]], posting, at)
-        shared[x:y] = np.bincount(meets, minlength=len(lists))[b[x:y]]
-    need = -(-3 * (n[a] + n[b]) // 7)
-    ok = (shared > 0) & (shared + np.minimum(n[a] - size[a], n[b] - size[b]) >= need)
-    return a[ok], b[ok], shared[ok]
-
-
-def overlaps(members: DataFrame, first_round: bool, bins: int) -> DataFrame:
-    """a, b: linked pairs of nodes that connect their classes. ``members``: block, label, node, n, shared, fragments."""
+class Tile:
+    """Nodes of a tile: sizes, and their shared shingles as numbers, in fragments."""
+
+    def __init__(self, n: np.ndarray, lists: list[np.ndarray], cuts: np.ndarray):
+        self.n, size = n, np.array([len(x) for x in lists])
+        self.of = np.repeat(np.arange(len(n)), size)
+        self.token = np.unique(np.concatenate(lists), return_inverse=True)[1]
+        place = np.arange(len(self.of)) - np.repeat(np.cumsum(size) - size, size)
+        self.fragment = sum((place >= cuts[:, f][self.of] for f in range(cuts.shape[1])), np.zeros(len(place), np.int64))
+        ends = np.c_[cuts, size]
+        self.left = size[:, None] - ends  # shingles after each fragment
+
+    def overlaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of the rows ``a`` with the rows ``b`` that link, as an array of bool."""
+        count, need = np.zeros((len(a), len(b)), np.float32), (3 * (self.n[a][:, None] + self.n[b])).astype(np.float32)
+        row, column = np.full(len(self.n), -1), np.full(len(self.n), -1)
+        row[a], column[b] = np.arange(len(a)), np.arange(len(b))
+        for f in range(self.left.shape[1]):
+            self._add(count, row, column, self.fragment == f)
+            # what the fragments to come can add at most
+            possible = 7 * (count + np.minimum(self.left[a, f][:, None], self.left[b, f]).astype(np.float32)) >= need
+            if a is b:
+                np.fill_diagonal(possible, False)
+            row[a[~possible.any(1)]] = -1
+            column[b[~possible.any(0)]] = -1
+        return 7 * count >= need
+
+    def _add(self, count: np.ndarray, row: np.ndarray, column: np.ndarray, here: np.ndarray) -> None:
+        """Overlaps in the shingles that ``here`` tells, added to ``count``."""
+        x, y = here & (row[self.of] >= 0), here & (column[self.of] >= 0)
+        tx, rx, ty, ry = self.token[x], row[self.of[x]], self.token[y], column[self.of[y]]
+        if not len(tx) or not len(ty):
+            return
+        top = int(max(tx.max(), ty.max())) + 1
+        nx, ny = np.bincount(tx, minlength=top), np.bincount(ty, minlength=top)
+        dense = np.flatnonzero(nx * ny * DENSE > count.size)
+        if count.size <= 4096:
+            dense = dense[:0]
+        number = np.full(top, -1)
+        number[dense] = np.arange(len(dense))
+        for i in range(0, len(dense), 1024):
+            sides = []
+            for t, r, size in ((tx, rx, count.shape[0]), (ty, ry, count.shape[1])):
+                k = (number[t] >= i) & (number[t] < i + 1024)
+                m = np.zeros((size, min(1024, len(dense) - i)), np.float32)
+                m[r[k], number[t[k]] - i] = 1
+                sides.append(m)
+            count += sides[0] @ sides[1].T
+        k = (number[tx] < 0) & (ny[tx] > 0)
+        tx, rx = tx[k], rx[k]
+        if not len(tx):
+            return
+        order = np.argsort(ty, kind="stable")
+        posting, at = ry[order], np.cumsum(ny) - ny
+        many, flat = ny[tx], count.ravel()
+        step = np.flatnonzero(np.diff(np.cumsum(many) // STEP, prepend=-1))
+        for i, j in zip(step, np.r_[step[1:], len(tx)], strict=True):
+            m = many[i:j]
+            met = posting[np.arange(int(m.sum())) + np.repeat(at[tx[i:j]] - (np.cumsum(m) - m), m)]
+            place = np.repeat(rx[i:j], m) * count.shape[1] + met
+            if count.size <= 4 * len(place):
+                flat += np.bincount(place, minlength=count.size).astype(np.float32)
+            else:
+                np.add.at(flat, place, np.float32(1))
+
+
+def _connected(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The least row that each of ``size`` rows is connected with by the pairs (x, y)."""
+    label = np.arange(size)
+    while True:
+        old, least = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
+def overlaps(members: DataFrame, bins: int) -> DataFrame:
+    """node, other, links: for nodes of a tile that have links in it a node that they are connected with, and the
+    documents that they link with. ``members``: block, sides (tiles of a side of the block), node, n, copies, shared, cuts."""
 
     def run(table):
-        out = [[], [], [], [], []]
+        out: tuple = ([], [], [])
         block = table.column("block").to_numpy()
-        order = np.lexsort((table.column("node").to_numpy(), block))
-        block = block[order]
-        node, n, label = (table.column(c).to_numpy()[order] for c in ("node", "n", "label"))
-        local = not table.column("large")[0].as_py()
-        lists = table.column("part").combine_chunks()
+        node, n, copies, tile = (table.column(c).to_numpy() for c in ("node", "n", "copies", "tile"))
+        lists = table.column("shared").combine_chunks()
         values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        for i, j in zip(edges, np.r_[edges[1:], len(block)], strict=True):
-            own = [values[off[k] : off[k + 1]] for k in order[i:j]]
-            a, b, c = (np.array(x, np.int64) for x in (_walk(n[i:j], own) if local else _partial(node[i:j], n[i:j], label[i:j], own, first_round)))
-            for o, x in zip(out, (node[i:j][a], node[i:j][b], n[i:j][a], n[i:j][b], c), strict=True):
-                o.append(x)
-        return pa.table({k: np.concatenate(x).astype(np.int64) for k, x in zip(("a", "b", "na", "nb", "c"), out, strict=True)})
-
-    m = members.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)))
-    large = F.col("fragments") > 1
-    part = F.when(large, F.filter("shared", lambda t: F.pmod(t, F.col("fragments")) == F.col("fragment"))).otherwise(F.col("shared"))
-    # blocks with all fragments in one task share tasks; a larger block has tasks of its own
+        cuts = table.column("cuts").combine_chunks().flatten().to_numpy().reshape(-1, len(FRAGMENTS))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.lexsort((node, tile, block))
+        edges = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+        ends = np.r_[edges[1:], len(order)] if i is None else np.array([len(order)])  # tiles end where blocks do
+        total = np.r_[0, np.cumsum(np.diff(off)[order])]
+        start = 0
+        while start < len(order):
+            fit = ends[(ends > start) & (ends - start <= TILE_NODES) & (total[ends] - total[start] <= TILE_TOKENS)]
+            stop = fit[-1] if len(fit) else ends[ends > start][0]
+            own = order[start:stop]
+            start = stop
+            t = Tile(n[own], [values[off[k] : off[k + 1]] for k in own], cuts[own])
+            every = np.arange(len(own))
+            a, b = (every, every) if i == j else (np.flatnonzero(tile[own] == i), np.flatnonzero(tile[own] == j))
+            link = t.overlaps(a, b)
+            if i == j:
+                np.fill_diagonal(link, False)
+            x, y = np.nonzero(link)
+            x, y = a[x], b[y]
+            links = np.bincount(x, copies[own][y], len(own))
+            if i != j:
+                links += np.bincount(y, copies[own][x], len(own))
+            some = np.flatnonzero(links)
+            for o, v in zip(out, (node[own][some], node[own][_connected(x, y, len(own))[some]], links[some].astype(np.int64)), strict=True):
+                o.append(v)
+        return pa.table({k: np.concatenate(v) for k, v in zip(("node", "other", "links"), out, strict=True)})
+
+    large = F.col("sides") > 1
+    m = members.withColumn("tile", F.pmod(F.xxhash64("node"), "sides")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    # small blocks share tasks; a tile of a larger block has its own
     own = F.when(large, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(bins)))
-    m = m.select("block", "label", "node", "n", part.alias("part"), "fragment", own.alias("own"), large.alias("large"))
-    counts = m.groupBy("large", "own", "fragment").applyInArrow(run, "a long, b long, na long, nb long, c long")
-    total = counts.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where("100 * c >= 75 * (na + nb - c)").select("a", "b")
+    m = m.select("block", "node", "n", "copies", "shared", "cuts", "tile", own.alias("own"), *[F.when(large, f("tile", "with")).alias(c) for c, f in (("i", F.least), ("j", F.greatest))])
+    return m.groupBy("own", "i", "j").applyInArrow(run, "node long, other long, links long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id of every row of ``docs`` (rid, doc_id, text)."""
+    """rid, doc_id, n_shingles, component_id, n_links of every row of ``docs`` (rid, doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = shard_count(docs)
     rows = cut(screen(docs.select("rid", "doc_id", "text"), buckets))
-    near = rows.where("near").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
-    some = near.select("rid", "node")
-    side = F.broadcast(some) if near.count() <= BROADCAST_ROWS else some.hint("shuffle_hash")
-    # rows that repeat a rid have one text: the node is taken once
-    nodes = cut(ordered(docs.select("rid", "text").join(side, "rid").select("node", "text"), buckets))
+    near = rows.where("near").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    some = cut(near.select("rid", "node", "copies"))
+    texts = docs.select("rid", "text")
+    if some.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(some), "rid")
+    else:  # in one order, whatever task is run again
+        texts = texts.join(some.hint("shuffle_hash"), "rid").sortWithinPartitions("node")
+    nodes = ordered(texts.select("node", "copies", "text"), buckets)
+    if rows.count() > rows.select("rid").distinct().count():  # rows that repeat a rid have one text: the node is taken once
+        nodes = nodes.dropDuplicates(["node"])
+    nodes = cut(nodes)
+    free(spark)
     members = nodes.join(blocks(nodes), "node")
-    sizes = members.groupBy("block").agg(F.sum(F.size("shared")).alias("t"))
-    members = members.join(sizes, "block").withColumn("fragments", F.when(F.col("t") <= LOCAL_TOKENS, 1).otherwise(F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("t") / FRAGMENT_TOKENS))).cast("int"))
-    members = cut(members.select("block", "node", "n", "shared", "fragments"))
-    links = cut(overlaps(members.withColumn("label", F.col("node")), True, buckets))
-    of = components(links)
-    large = members.where("fragments > 1")
-    if large.limit(1).count():
-        x, y = large.alias("x"), of.alias("y")
-        labelled = x.join(y, F.col("x.node") == F.col("y.node"), "left").select("x.*", F.coalesce("y.component", "x.node").alias("label"))
-        split = labelled.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("block")
-        more = cut(overlaps(labelled.join(split, "block", "left_semi"), False, buckets))
-        if more.limit(1).count():
-            of = components(links.union(more))
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
-    i, o = ids.alias("i"), of.alias("o")
-    rooted = cut(i.join(o, F.col("i.node") == F.col("o.node"), "left").select("i.node", "i.low", F.coalesce("o.component", "i.node").alias("root")))
+    sides = F.ceil(F.greatest(F.sum(F.size("shared")) / TILE_TOKENS, F.count("*") / TILE_NODES)).cast("int")
+    sizes = cut(members.groupBy("block").agg(sides.alias("sides")).where("sides > 1"))
+    members = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "block", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
+    found = cut(overlaps(members.select("block", "sides", "node", "n", "copies", "shared", "cuts"), buckets))
+    free(spark)
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).alias("l")
+    of = components(found, "node", "other").alias("o")
+    i = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("n").alias("n"), F.count("*").alias("copies")).alias("i")
+    joined = i.join(of, F.col("i.node") == F.col("o.node"), "left").join(links, F.col("i.node") == F.col("l.node"), "left")
+    n_links = F.when(F.col("i.n") > 0, F.col("i.copies") - 1).otherwise(0) + F.coalesce("l.links", F.lit(0))
+    rooted = cut(joined.select("i.node", "i.low", F.coalesce("o.component", "i.node").alias("root"), n_links.alias("n_links")))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    per_node = rooted.select("node", "root").join(lows, "root").select("node", "component_id")
+    per_node = rooted.join(lows, "root").select("node", "component_id", "n_links")
     r, p = rows.alias("r"), per_node.alias("p")
     own = F.when(F.col("r.n") == 0, F.col("r.doc_id")).otherwise(F.col("p.component_id"))
-    return r.join(p, F.col("r.node") == F.col("p.node")).select("r.rid", "r.doc_id", F.col("r.n").alias("n_shingles"), own.alias("component_id"))
+    return r.join(p, F.col("r.node") == F.col("p.node")).select("r.rid", "r.doc_id", F.col("r.n").alias("n_shingles"), own.alias("component_id"), "p.n_links")
 
 
 def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents that it links with) of every row."""
     return classes(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))).drop("rid")

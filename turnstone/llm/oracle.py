@@ -36,7 +36,7 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (x) where a.doc_id <> b.doc_id group by all),
 e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
 r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on e.a = r.b)
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) c using (doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, (select count(*) from e where e.a = d.doc_id)::bigint as n_links from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) c using (doc_id)
 """
 
 WINDOWS = f"""

@@ -107,3 +107,16 @@ def sliding(h: np.ndarray, w: int, least: bool = True) -> np.ndarray:
         out = f(out[: len(out) - step], out[step:])
         have += step
     return out
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers by their first, second, ... bytes, compressed: most have few bytes that are not 0."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+
+
+def unpacked(data: bytes | None, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
