@@ -167,7 +167,7 @@ def test_fm_index_matches():
     import numpy as np
 
     t = np.array([*(rng.randint(1, 4) for _ in range(200)), 0], np.int64)
-    index = fmindex.Index(t, 9)
+    index = fmindex.Index(t, 9, np.ones(len(t), np.int64), np.ones(len(t), bool))
     length, lo, hi = index.matches(t, np.array([0]), np.array([200]))
     s = "".join(map(str, t.tolist()))
     for i in range(200):

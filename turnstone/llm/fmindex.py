@@ -1,10 +1,11 @@
 """Substring dedup: words in a window of 35 that occurs anywhere else are removed.
 
 Each shard (module repeats) gets a compressed FM-index of its snippets as strings of words: the Burrows-Wheeler
-transform in a wavelet matrix, whose bit vectors are packed with one count per 64 bits. Snippets are streamed
-against it from their last word to their first: a backward step narrows the interval of the current match; when
-fewer than two places are left, the match drops its last words up to the enclosing interval, found by the
-LCP array. The length reached at each word is its matching statistic, up to 35. Intervals of 35 words are
+transform in a wavelet matrix, whose bit vectors are packed with one count per 64 bits, without the suffix array. Snippets
+stand in it once, weighted by their number of places, and are all streamed against it from their last word to their
+first: a backward step narrows the interval of the current match; when fewer than two places are left, the match
+drops its last words up to the enclosing interval, found by the LCP array (a byte a word) and a bit vector for each
+depth. The length reached at each word is its matching statistic, up to 35. Intervals of 35 words are
 reported when two windows, as owned by their anchors, start in them: the text around a window also lies in the
 snippets of its neighbours and must not count twice.
 
@@ -91,20 +92,49 @@ def suffixes(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, lcp
 
 
+class Edges:
+    """For each depth d up to ``depth`` the places whose common prefix with the place before is shorter than d, as bits.
+
+    Beside each 64 bits stand the nearest words before and after with a bit, so that an interval's ends take a few steps.
+    """
+
+    def __init__(self, lcp: np.ndarray, depth: int):
+        n = len(lcp)
+        padded = np.zeros((depth + 1, (n // 64 + 1) * 64), np.uint8)
+        for d in range(depth + 1):
+            padded[d, :n] = lcp < d
+        padded[0, [0, n - 1]] = 1
+        self.words = np.packbits(padded, axis=1, bitorder="little").view(U)
+        at, some = np.arange(self.words.shape[1], dtype=np.int32), self.words != 0
+        self.before = np.maximum.accumulate(np.where(some, at, 0), axis=1)
+        self.after = np.minimum.accumulate(np.where(some, at, at[-1])[:, ::-1], axis=1)[:, ::-1]
+
+    def around(self, d: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last edge of depth d up to i, and the first one after it."""
+        w, mask = i >> 6, ~U(0) >> (63 - (i & 63)).astype(U)
+        x, y = self.words[d, w] & mask, self.words[d, w] & ~mask
+        v = np.where(x != 0, w, self.before[d, np.maximum(w - 1, 0)])
+        x = np.where(x != 0, x, self.words[d, v])
+        for shift in (1, 2, 4, 8, 16, 32):
+            x = x | (x >> U(shift))
+        z = np.where(y != 0, w, self.after[d, np.minimum(w + 1, self.words.shape[1] - 1)])
+        y = np.where(y != 0, y, self.words[d, z])
+        low = y & (~y + U(1))
+        return v * 64 + np.bitwise_count(x) - 1, z * 64 + np.bitwise_count(low - U(1))
+
+
 class Index:
-    """FM-index of a string of symbols, with intervals for matches of up to ``depth`` symbols."""
+    """FM-index of a string of symbols that stand for ``weight`` strings each, with intervals for matches of up to
+    ``depth`` symbols. The suffix array is not kept, only sums of weights in its order: of all places, and of ``owned`` ones."""
 
-    def __init__(self, t: np.ndarray, depth: int):
+    def __init__(self, t: np.ndarray, depth: int, weight: np.ndarray, owned: np.ndarray):
         self.n, self.depth = len(t), depth
-        self.sa, self.lcp = suffixes(t, depth + 1)
+        sa, lcp = suffixes(t, depth + 1)
+        self.lcp = lcp.astype(np.uint8 if depth < 255 else np.int32)
         self.first = np.r_[0, np.cumsum(np.bincount(t))]
-        self.bwt = Wavelets(t[self.sa - 1])  # the symbol before the first place is the last one, a separator
-        at = np.arange(self.n + 1)
-        self.low, self.high = np.zeros((depth + 1, self.n + 1), np.int32), np.full((depth + 1, self.n + 1), self.n, np.int32)
-        for d in range(1, depth + 1):
-            edge = self.lcp < d
-            self.low[d] = np.maximum.accumulate(np.where(edge, at, 0))
-            self.high[d] = np.minimum.accumulate(np.where(edge, at, self.n)[::-1])[::-1]
+        self.bwt = Wavelets(t[sa - 1])  # the symbol before the first place is the last one, a separator
+        self.mass, self.owned = (np.r_[0, np.cumsum(x[sa])] for x in (weight, owned * weight))
+        self.edges = Edges(self.lcp, depth)
 
     def matches(self, t: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each symbol of the ranges of ``t``, the longest match from it on that occurs twice (up to depth, and
@@ -118,19 +148,15 @@ class Index:
             c = t[f]
             a, b = self.bwt.rank(c, lo, hi)
             a, b = a + self.first[c], b + self.first[c]
-            ok = b - a >= 2
+            ok = self.mass[b] - self.mass[a] >= 2
             up = ~ok & (q > 0)
-            done = ~up
             # widen to the enclosing interval: the longest shorter match with more places
             d = np.maximum(self.lcp[lo], self.lcp[hi])
-            d = np.where(up, np.minimum(d, q - 1), 0)
-            wide_lo, wide_hi = self.low[d, lo], self.high[d, np.minimum(lo + 1, self.n)]
-            q = np.where(ok, q + 1, d)
-            lo, hi = np.where(ok, a, wide_lo), np.where(ok, b, wide_hi)
-            deep = q > self.depth
-            if deep.any():
-                q = np.where(deep, self.depth, q)
-                lo, hi = np.where(deep, self.low[self.depth, lo], lo), np.where(deep, self.high[self.depth, np.minimum(lo + 1, self.n)], hi)
+            q, lo, hi = np.where(ok, q + 1, np.where(up, np.minimum(d, q - 1), 0)), np.where(ok, a, lo), np.where(ok, b, hi)
+            q = np.minimum(q, self.depth)
+            wide = np.flatnonzero(~ok | (q == self.depth))
+            lo[wide], hi[wide] = self.edges.around(q[wide], lo[wide])
+            done = ~up
             at = f[done]
             length[at], lo_of[at], hi_of[at] = q[done], lo[done], hi[done]
             f = f - done
@@ -149,25 +175,19 @@ def repeated_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = np.zeros(len(ids) + len(sizes), np.int64)  # a separator, 0, after each snippet
     where = np.arange(len(ids)) + k
     t[where] = ids
-    index = Index(t, SPAN)
     begin = first[:-1] + np.arange(len(sizes))
     wins = sizes - SPAN + 1
-    copies = np.diff(part.at)
-    owned = np.zeros(len(t), bool)
     snippet = np.repeat(np.arange(len(sizes)), wins)
     shift = np.arange(len(snippet)) - np.repeat(np.cumsum(wins) - wins, wins)
     start = begin[snippet] + shift
+    weight, owned = np.repeat(part.copies, sizes + 1), np.zeros(len(t), bool)
     owned[start] = True
-    count = np.r_[0, np.cumsum(owned[index.sa])]
-    alone = np.flatnonzero(copies == 1)  # snippets with several places are repeated as a whole
-    length, lo, hi = index.matches(t, begin[alone], (begin + sizes)[alone])
-    again = (copies[snippet] > 1) | (length[start] >= SPAN) & (count[hi[start]] - count[lo[start]] >= 2)
+    index = Index(t, SPAN, weight, owned)
+    length, lo, hi = index.matches(t, begin, begin + sizes)
+    again = (length[start] >= SPAN) & (index.owned[hi[start]] - index.owned[lo[start]] >= 2)
     a = np.flatnonzero(again & ~(np.r_[False, again[:-1]] & (shift > 0)))
     b = np.flatnonzero(again & ~(np.r_[again[1:], False] & (shift < wins[snippet] - 1)))
-    # each run of windows, at every place of its snippet
-    n = copies[snippet[a]]
-    place = np.arange(int(n.sum())) + np.repeat(part.at[snippet[a]] - (np.cumsum(n) - n), n)
-    return place, np.repeat(shift[a], n), np.repeat(shift[b], n)
+    return snippet[a], shift[a], shift[b]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

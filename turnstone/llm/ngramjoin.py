@@ -27,13 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import blobs, counted
 from .common import components, cut, free, shard_count, small_batches
-from .repeats import _blobs
-from .textnum import U, grams, mix, packed, pieces, unpacked, within, word_hashes, word_spans
+from .textnum import U, grams, mix, pieces, within, word_hashes, word_spans
 
 SHINGLE, SHIFT = 5, 10
 SAMPLE, SENDS_ALL, JUDGED_BY_ALL = 0.4, 128, 96  # partners of nodes up to 96 shingles have up to 128
@@ -99,7 +98,7 @@ def screen(docs: DataFrame, buckets: int) -> DataFrame:
             known = np.bincount(local[np.repeat(often > 1, often)], minlength=rows).astype(np.int32)
             token, local = token[at], np.where(often > 1, _MANY, local[at]).astype(np.uint16)
             number = (part << 24) + chunk
-            out = [(b, number, *x, None) for b, x in _blobs(token % buckets, (token >> 22).astype(np.uint32), local)]
+            out = [(b, number, *x, None) for b, x in blobs(token % buckets, (token >> 22).astype(np.uint32), local)]
             table = [x.tobytes() for x in (rid, doc, null, node, n.astype(np.int32), m.astype(np.int32), known)]
             out.append((-1 - number, number, None, None, b"".join(table)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "chunk", "token", "local", "table"])
@@ -139,7 +138,7 @@ def screen(docs: DataFrame, buckets: int) -> DataFrame:
         n = np.diff(np.r_[at, len(t)])
         hit = order[np.repeat(n > 1, n)]
         hit = hit[local[hit] != _MANY]
-        out = list(_blobs(chunk[hit], local[hit]))
+        out = list(blobs(chunk[hit], local[hit]))
         return pa.table({"chunk": [x[0] for x in out], "shared": [x[1][0] for x in out], "table": [None] * len(out)}, schema=pa.schema(names))
 
     def judge(table):
@@ -174,59 +173,15 @@ def ordered(docs: DataFrame, buckets: int) -> DataFrame:
     ``shared`` holds the shingles of two nodes or more, the rarest first; ``cuts`` how many of them lie before each of the
     cuts of FRAGMENTS, and ``prefix`` how many in the prefix of the node's set. Nodes whose prefix has none are left out.
     """
-    sent_names = ("known", "count", "at", "node", "size", "copies")
 
-    def emit(batches):
-        task, no = TaskContext.get().partitionId(), 0
-        held, size = [], 0
-
-        def flush():
-            chunk = (task << 32) + no
-            token, node, copies, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            known, at, often = np.unique(token, return_inverse=True, return_counts=True)
-            rows = [(-1 - chunk, chunk, packed(known), None, packed(at.astype(np.int32)), packed(node), packed(n), packed(copies))]
-            for b, (k, c) in _blobs(known % buckets, known, often.astype(np.int32)):
-                k = np.frombuffer(k, np.int64)
-                rows.append((b, chunk, packed(np.diff(k, prepend=0)), packed(np.frombuffer(c, np.int32)), None, None, None, None))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["dest", "chunk", *sent_names])
-
-        for batch in batches:
-            nodes, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-            for i, j, buf, off in pieces(batch):
-                token, begin = sets(buf, off)
-                held.append((token, nodes[i:j], copies[i:j], np.diff(begin).astype(np.int64)))
-                size += len(token)
-                if size > CHUNK_TOKENS:
-                    yield flush()
-                    held, size, no = [], 0, no + 1
-        if held:
-            yield flush()
+    def items(batch):
+        nodes, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+        for i, j, buf, off in pieces(batch):
+            token, begin = sets(buf, off)
+            yield token, np.diff(begin), (nodes[i:j], copies[i:j])
 
-    def count(table):
-        out = ("chunk", "bucket", "sums", *sent_names)
-        if table.column("dest")[0].as_py() < 0:
-            table = table.append_column("bucket", table.column("dest")).append_column("sums", pa.nulls(len(table), pa.binary()))
-            return table.select(out)
-        asked = [np.cumsum(unpacked(x, np.int64)) for x in table.column("known").to_pylist()]
-        _, at = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([unpacked(x, np.int32) for x in table.column("count").to_pylist()]))[at].astype(np.int64)
-        ends = np.cumsum([len(x) for x in asked])
-        answers = pa.array([packed(x) for x in np.split(sums, ends[:-1])], pa.binary())
-        none = pa.nulls(len(table), pa.binary())
-        return pa.table([table.column("chunk"), table.column("dest"), answers, *[none] * 6], out)
-
-    def finish(table):
-        by = np.argsort(table.column("bucket").to_numpy())
-        own = {c: table.column(c)[by[0]].as_py() for c in ("bucket", "known", "at", "node", "size", "copies")}
-        sums = table.column("sums").to_pylist()
-        known, at, node, n, copies = (unpacked(own[c], t) for c, t in (("known", np.int64), ("at", np.int32), ("node", np.int64), ("size", np.int64), ("copies", np.int64)))
-        total = np.concatenate([np.zeros(0, np.int64), *(unpacked(sums[k], np.int64) for k in by[1:])])
-        if own["bucket"] >= 0 or len(total) != len(known):
-            raise RuntimeError("a chunk lacks the counts of a bucket")
-        df = np.empty(len(known), np.int64)
-        df[np.argsort(known % buckets, kind="stable")] = total
-        df, token, of = df[at], known[at], np.repeat(np.arange(len(n)), n)
+    def finish(token, at, df, n, columns):
+        df, token, of = df[at], token.view(np.int64)[at], np.repeat(np.arange(len(n)), n)
         keep = df > 1
         df, token, of = df[keep], token[keep], of[keep]
         order = np.lexsort((token, df, of))
@@ -236,14 +191,11 @@ def ordered(docs: DataFrame, buckets: int) -> DataFrame:
         prefix = (n - -(-3 * n // 4) + 1) - (n - held)  # places of the prefix left after the shingles of one node only
         low = [np.bincount(of[df <= f], minlength=len(n)) for f in FRAGMENTS]
         lists = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
-        out = {"node": node, "n": n, "copies": copies, "shared": lists(token, begin), "prefix": prefix.astype(np.int32)}
+        out = {"node": columns[0], "n": n, "copies": columns[1], "shared": lists(token, begin), "prefix": prefix.astype(np.int32)}
         out["cuts"] = lists(np.stack(low, axis=1).ravel().astype(np.int32), np.arange(len(n) + 1) * len(FRAGMENTS))
         return pa.table(out).filter(pa.array(prefix > 0))
 
-    blobs = ", ".join(f"{c} binary" for c in sent_names)
-    sent = docs.mapInArrow(emit, "dest long, chunk long, " + blobs)
-    answers = sent.groupBy("dest").applyInArrow(count, "chunk long, bucket long, sums binary, " + blobs)
-    return answers.groupBy("chunk").applyInArrow(finish, "node long, n long, copies long, shared array<long>, prefix int, cuts array<int>")
+    return counted(docs, items, (np.int64, np.int64), finish, "node long, n long, copies long, shared array<long>, prefix int, cuts array<int>", buckets, CHUNK_TOKENS)
 
 
 def blocks(nodes: DataFrame) -> DataFrame:

@@ -5,16 +5,21 @@
 A window is W consecutive symbols of one document. Its anchor is its G-gram of least hash (ties: the leftmost), so
 equal windows have equal anchors at equal places.
 
-1. ``shared_anchors``: every anchor of every document meets its equals; an anchor that occurs once cannot lie in a
+1. ``shared_anchors``: every anchor of every document is counted; an anchor that occurs once cannot lie in a
    repeated window, and its windows are done with.
 2. ``shards``: the windows of one other anchor form a snippet of text; snippets go to the shard of their anchor.
    Snippets of an anchor that occurs more than HOT times go window by window, to the shards of the windows'
-   own hashes, so that no anchor fills a shard. Equal snippets of a task are sent once, with their places.
+   own hashes, so that no anchor fills a shard.
 3. The caller's ``find`` tells for a part of a shard (whole keys, up to PART bytes) which windows are repeated.
 
+Tasks take documents in chunks. A chunk sends each of its different anchors, and each of its different snippets, once,
+with how often it has it (and the first place); a bucket or shard adds up what the chunks sent and answers each of
+them. So an anchor or a passage of any number of documents is one entry a chunk, places stay in their chunk, and
+bytes are cut out once for all equal snippets of a piece of text.
+
 Everything is lossless: what is left out cannot be repeated, and hashes only bring texts together or, at 64 bits
 with equal key and length, stand for equal snippets. Documents are rows of distinct (doc_id, text): rows that
-repeat both are one document, whose result each of them gets.
+repeat both are one document, whose result each of them gets. Texts longer than a piece are taken in sections that overlap.
 """
 
 from __future__ import annotations
@@ -24,14 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
+from .chunks import blobs, counted, record
 from .common import cut, free, shard_count, small_batches
-from .textnum import U, grams, mix, pieces, powers, sliding, within, word_hashes, word_spans
+from .textnum import U, grams, mix, packed, pieces, powers, sliding, unpacked, within, word_hashes, word_spans
 
 HOT, PART, HOLD, SECTION = 10_000, 1_500_000, 16 << 20, 1 << 23
+CHUNK_ANCHORS = 2_000_000
 PACK = "zstd"
 #: Document numbers up to which their list is broadcast, to leave other texts out of a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -89,6 +97,16 @@ class Symbols:
         s = self.sums()
         return mix((s[b] - s[a]) * powers(len(self.buf) + 1)[1][a] ^ (b - a).astype(U))
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the symbols a to b - 1: for words one form whatever the blanks between them."""
+        if not self.kind.words:
+            return self.content_hashes(a, b)
+        h = grams(word_hashes(self.buf, self.start, self.stop), 1)
+        up, back = powers(len(h) + 1)
+        sums = np.zeros(len(h) + 1, U)
+        np.cumsum(h * up[:-1], out=sums[1:])
+        return mix((sums[b] - sums[a]) * back[a] ^ (b - a).astype(U))
+
     def runs(self) -> Runs:
         w = self.kind.window - self.kind.gram + 1
         starts = within(self.first, self.kind.window)
@@ -110,15 +128,16 @@ class Symbols:
         return Runs(g[anchor[at]], docs[at], starts[at], starts[np.r_[at[1:], len(starts)] - 1])
 
 
-def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    columns = [c[order] for c in columns]
-    for i, j in zip(at, np.r_[at[1:], len(b)], strict=True):
-        yield int(b[i]), [c[i:j].tobytes() for c in columns]
+def sections(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Pieces of a batch as in ``pieces``, and the place of their first symbol. A long text comes as several pieces that
+    share W - 1 bytes; word windows take it whole, as their arrays are by words."""
+    for i, j, buf, off in pieces(batch):
+        if kind.words or len(buf) <= 2 * textnum.PIECE:
+            yield i, j, buf, off, 0
+            continue
+        for a in range(0, len(buf) - kind.window + 1, textnum.PIECE):
+            part = buf[a : a + textnum.PIECE + kind.window - 1]
+            yield i, j, part, np.array([0, len(part)]), a
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -135,43 +154,34 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """rid, h: the hashes of the anchors that a document has and that occur more than once; hot ones are odd."""
-
-    def emit(batches):
-        held, size = [], 0
-
-        def flush():
-            h, r = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = list(_blobs((h >> U(20)) % U(buckets), h, r))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[1][k] for x in rows], pa.binary()) for k in (0, 1))], ["bucket", "h", "rid"])
-
-        for batch in batches:
-            rid = batch.column("rid").to_numpy()
-            for i, _, buf, off in pieces(batch):
-                runs = Symbols(kind, buf, off).runs()
-                if len(runs.hash):
-                    held.append((runs.hash, rid[i + runs.doc]))
-                    size += len(runs.hash)
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def meet(table):
-        h = np.frombuffer(b"".join(table.column("h").to_pylist()), U)
-        rid = np.frombuffer(b"".join(table.column("rid").to_pylist()), np.int64)
-        order = np.argsort(h)
-        h, rid = h[order], rid[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        n = np.diff(np.r_[at, len(h)])
-        many = np.repeat(n, n)
-        keep = many > 1
-        out = ((h & ~U(1)) | (many > HOT).astype(U))[keep].view(np.int64)
-        return pa.table({"rid": rid[keep], "h": out})
-
-    sent = docs.select("rid", "text").mapInArrow(emit, "bucket int, h binary, rid binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "rid long, h long")
+    """rid, anchors: the hashes of a document's anchors that occur more than once; hot ones are odd. Others have no row."""
+
+    def items(batch):
+        rid = batch.column("rid").to_numpy()
+        held: list = []
+        for i, j, buf, off, at in sections(kind, batch):
+            runs = Symbols(kind, buf, off).runs()
+            n = np.bincount(runs.doc, minlength=j - i)
+            if at:  # one more section of the same text
+                held[-1] = (np.r_[held[-1][0], runs.hash], held[-1][1] + n, held[-1][2])
+            else:
+                held.append((runs.hash, n, (rid[i:j],)))
+        return held
+
+    def finish(hashes, at, often, n, payload):
+        h = ((hashes & ~U(1)) | (often > HOT).astype(U))[at]
+        of = np.repeat(np.arange(len(n)), n)
+        keep = often[at] > 1
+        h, of = h[keep], of[keep]
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, np.int64)
+        h, of = h[new], of[new]
+        ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(n)))].astype(np.int32)
+        out = pa.table({"rid": payload[0], "anchors": pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))})
+        return out.filter(pa.array(np.diff(ends) > 0))
+
+    return counted(docs.select("rid", "text"), items, (np.int64,), finish, "rid long, anchors array<long>", buckets, CHUNK_ANCHORS)
 
 
 def _slices(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,34 +190,50 @@ def _slices(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return buf[np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)]
 
 
+def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by ``keys`` (the first counts most), and where in it each run of equal rows begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
+
+_SENT = "key size copies content rid doc null pos".split()
+_OWN = "rids which place counts length".split()
+
+
 def shards(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """From rows (rid, doc_id, text, anchors): blobs of the snippets of each shard."""
-    names = ["key", "size", "copies", "content", "rid", "doc", "null", "pos"]
+    """From rows (rid, doc_id, text, anchors): the different snippets of each chunk, for their shards (dest), with the number of
+    their places and the first of them; and each chunk's places, for itself (dest -1 - chunk)."""
+    columns = ["dest", "chunk", "base", *_SENT, *_OWN]
 
     def emit(batches):
-        held, size = [], 0
+        task, no = TaskContext.get().partitionId(), 0
+        held, content, size, slots = [], [], 0, 0
 
         def flush():
-            key, ident, rid, doc, null, pos, n = (np.concatenate([x[k] for x in held]) for k in range(7))
-            content = np.concatenate([x[7] for x in held])
-            begin = np.cumsum(n) - n
-            # equal snippets go once, with all their places
-            order = np.lexsort((ident, key))
-            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (ident[order][1:] != ident[order][:-1])]
-            at = np.flatnonzero(new)
+            chunk = (task << 32) + no
+            key, ident, rid, doc, null, pos, slot, length = (np.concatenate([x[k] for x in held]) for k in range(8))
+            n = np.concatenate([x[0] for x in content])
+            body = np.concatenate([x[1] for x in content])
+            end = np.cumsum(n)
+            # snippets by shard; their places from the first on
+            by = mix(key) % U(buckets)
+            order = np.lexsort((pos, rid, doc, null, ident, key, by))
+            k, d, b = key[order], ident[order], by[order]
+            at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
             one, copies = order[at], np.diff(np.r_[at, len(order)])
-            by = mix(key[one]) % U(buckets)
-            split = np.argsort(by, kind="stable")
-            edges = np.flatnonzero(np.r_[True, by[split][1:] != by[split][:-1]])
-            rows = []
-            for i, j in zip(edges, np.r_[edges[1:], len(split)], strict=True):
-                g = split[i:j]
-                inst = order[np.arange(int(copies[g].sum())) + np.repeat(at[g] - (np.cumsum(copies[g]) - copies[g]), copies[g])]
-                o = one[g]
-                body = pa.compress(_slices(content, begin[o], begin[o] + n[o]).tobytes(), codec=PACK, asbytes=True)
-                a, b, c, d, e, f, h = (x.tobytes() for x in (key[o], n[o].astype(np.int32), copies[g].astype(np.int32), rid[inst], doc[inst], null[inst], pos[inst].astype(np.int32)))
-                rows.append((int(by[g[0]]), [a, b, c, body, d, e, f, h]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][k] for r in rows], pa.binary()) for k in range(8))], ["bucket", *names])
+            rids, which = np.unique(rid[order], return_inverse=True)
+            rows = [[-1 - chunk, chunk, None, *[None] * 8, packed(rids), packed(which.astype(np.int32)), packed(pos[order].astype(np.int32)), packed(copies), packed(length[one].astype(np.int32))]]
+            edges = np.flatnonzero(np.r_[True, b[at][1:] != b[at][:-1]])
+            for i, j in zip(edges, np.r_[edges[1:], len(at)], strict=True):
+                o, z = one[i:j], slot[one[i:j]]
+                text = pa.compress(_slices(body, end[z] - n[z], end[z]).tobytes(), codec=PACK, asbytes=True)
+                sent = (key[o], n[z].astype(np.int32), copies[i:j].astype(np.int64), None, rid[o], doc[o], null[o].astype(np.uint8), pos[o].astype(np.int32))
+                rows.append([int(by[o[0]]), chunk, int(i), *[text if x is None else x.tobytes() for x in sent], *[None] * 5])
+            return record(rows, columns, 3)
 
         for batch in batches:
             rids = batch.column("rid").to_numpy()
@@ -216,7 +242,7 @@ def shards(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
             ids = ids.fill_null(0).to_numpy()
             lists = batch.column("anchors")
             flat, at = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
-            for i, j, buf, off in pieces(batch):
+            for i, j, buf, off, base in sections(kind, batch):
                 s = Symbols(kind, buf, off)
                 runs = s.runs()
                 if not len(runs.hash):
@@ -243,74 +269,69 @@ def shards(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
                 if not len(key):
                     continue
                 x, y = s.bytes_of(a, b)
-                if kind.words:  # one form for equal word sequences whatever the blanks between them
-                    ident = np.zeros(len(a), U)
-                    h = grams(word_hashes(buf, s.start, s.stop), 1)
-                    up, back = powers(len(h) + 1)
-                    sums = np.zeros(len(h) + 1, U)
-                    np.cumsum(h * up[:-1], out=sums[1:])
-                    ident = mix((sums[b] - sums[a]) * back[a] ^ (b - a).astype(U))
-                else:
-                    ident = s.content_hashes(x, y)
-                held.append((key, ident, rids[i + doc], ids[i + doc], nulls[i + doc], a - s.first[doc], y - x, _slices(buf, x, y)))
-                size += int((y - x).sum())
+                ident = s.same(a, b)
+                order, first = _firsts(key, ident)
+                slot = np.empty(len(key), np.int64)
+                slot[order] = slots + np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+                one = order[first]
+                held.append((key, ident, rids[i + doc], ids[i + doc], nulls[i + doc], base + a - s.first[doc], slot, b - a))
+                content.append(((y - x)[one], _slices(buf, x[one], y[one])))
+                slots += len(one)
+                size += len(content[-1][1]) + 32 * len(key)
                 if size > HOLD:
                     yield flush()
-                    held, size = [], 0
+                    held, content, size, slots, no = [], [], 0, 0, no + 1
         if held:
             yield flush()
 
-    return docs.mapInArrow(emit, "bucket int, " + ", ".join(f"{n} binary" for n in names))
+    return docs.mapInArrow(emit, "dest long, chunk long, base long, " + ", ".join(f"{c} binary" for c in _SENT + _OWN))
 
 
 @dataclass
 class Part:
-    """Distinct snippets of one shard, and their places in order: snippet k has places[at[k] : at[k + 1]]."""
+    """Distinct snippets of one shard: bytes, number of places, and the first place (document's rank, and start in it)."""
 
     content: np.ndarray
     begin: np.ndarray  # of each snippet's bytes, and their end
-    at: np.ndarray
-    rid: np.ndarray
-    rank: np.ndarray  # of the place's document: by doc_id, nulls last, then rid
+    copies: np.ndarray
+    rank: np.ndarray  # of the first place's document: by doc_id, nulls last, then rid
     pos: np.ndarray
 
 
-def _parts(table: pa.Table) -> Iterator[Part]:
+def _parts(table: pa.Table) -> Iterator[tuple[Part, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a shard; and which rows were sent for it, the snippet of each, and whether it has the snippet's first place."""
     get = lambda n, t: np.frombuffer(b"".join(table.column(n).to_pylist()), t)
     sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("size").to_pylist()]
     body = b"".join(pa.decompress(x, int(z.sum()), codec=PACK, asbytes=True) for x, z in zip(table.column("content").to_pylist(), sizes, strict=True))
-    key, size, copies, content = get("key", U), np.concatenate(sizes), get("copies", np.int32).astype(np.int64), np.frombuffer(body, np.uint8)
-    rid, doc, null, pos = get("rid", np.int64), get("doc", np.int64), get("null", bool), get("pos", np.int32).astype(np.int64)
-    end, last = np.cumsum(size), np.cumsum(copies)
+    key, size, copies, content = get("key", U), np.concatenate(sizes), get("copies", np.int64), np.frombuffer(body, np.uint8)
+    rid, doc, null, pos = get("rid", np.int64), get("doc", np.int64), get("null", np.uint8), get("pos", np.int32).astype(np.int64)
+    end = np.cumsum(size)
     order = np.argsort(key, kind="stable")
     edges = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    sizes = np.add.reduceat(size[order], edges)
+    total = np.r_[0, np.cumsum(np.add.reduceat(size[order], edges))]
     i = 0
     while i < len(edges):
-        j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), PART, "right")) + i)
+        j = max(i + 1, int(np.searchsorted(total, total[i] + PART, "right")) - 1)
         own = order[edges[i] : edges[j] if j < len(edges) else len(order)]
         i = j
         texts = _slices(content, end[own] - size[own], end[own])
         stop = np.cumsum(size[own])
         same = Symbols(Kind(False, 0, 0), texts, stop).content_hashes(stop - size[own], stop)
-        by = np.lexsort((same, key[own]))
-        fresh = np.r_[True, (same[by][1:] != same[by][:-1]) | (key[own][by][1:] != key[own][by][:-1])]
+        by = np.lexsort((pos[own], rid[own], doc[own], null[own], same, key[own]))
+        k, h = key[own][by], same[by]
+        at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+        first = by[at]
         ident = np.empty(len(own), np.int64)
-        ident[by] = np.cumsum(fresh) - 1
-        first = by[fresh]
-        inst = np.arange(int(copies[own].sum())) + np.repeat(last[own] - copies[own] - (np.cumsum(copies[own]) - copies[own]), copies[own])
-        which = np.repeat(ident, copies[own])
-        r, d, z, p = rid[inst], doc[inst], null[inst], pos[inst]
-        by = np.lexsort((p, r, d, z, which))
-        which, r, d, z, p = which[by], r[by], d[by], z[by], p[by]
-        new = np.r_[True, (which[1:] != which[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1])]  # a row that repeats is one document
-        which, r, d, z, p = which[new], r[new], d[new], z[new], p[new]
+        ident[by] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(by)]))
+        rank = np.empty(len(first), np.int64)
+        r, d, z = (x[own][first] for x in (rid, doc, null))
         docs = np.lexsort((r, d, z))
-        step = np.r_[0, (r[docs][1:] != r[docs][:-1]).astype(np.int64)]
-        rank = np.empty(len(r), np.int64)
-        rank[docs] = np.cumsum(step)
+        rank[docs] = np.cumsum(np.r_[0, (r[docs][1:] != r[docs][:-1]).astype(np.int64)])
         begin = np.r_[0, np.cumsum(size[own][first])]
-        yield Part(_slices(texts, (stop - size[own])[first], stop[first]), begin, np.searchsorted(which, np.arange(len(first) + 1)), r, rank, p)
+        many = np.bincount(ident, copies[own]).astype(np.int64)
+        lead = np.zeros(len(own), bool)
+        lead[first] = True
+        yield Part(_slices(texts, (stop - size[own])[first], stop[first]), begin, many, rank, pos[own][first]), own, ident, lead
 
 
 def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarray, np.ndarray, np.ndarray]], spare_first: bool) -> DataFrame:
@@ -318,8 +339,8 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
 
     Texts that several documents have are repeated as a whole, but for the first if ``spare_first``.
 
-    ``find`` gets a Part and returns the places' numbers, and the first and last start of each run of
-    repeated windows, counted in symbols from the snippet's start.
+    ``find`` gets a Part and returns snippets with the first and last start of each run of windows that are repeated
+    at the snippet's first place, counted in symbols from its start. At its other places all windows are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -329,23 +350,62 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
     few = later.count() <= BROADCAST_ROWS
     docs = docs.join(F.broadcast(later) if few else later.hint("shuffle_hash"), "rid", "left_anti")
     buckets = shard_count(docs)
-    # dealt by document first, so that lists are built once and not in parts that are shuffled
-    anchors = cut(shared_anchors(docs, kind, buckets).repartition("rid").groupBy("rid").agg(F.collect_set("h").alias("anchors")))
+    anchors = cut(shared_anchors(docs, kind, buckets))
+    free(spark)
     with_anchors, _ = split(docs, anchors)
-    sent = shards(with_anchors.join(anchors.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "anchors"), kind, buckets)
+    # sorted by document, so that a chunk holds the same whatever task is run again; rows that repeat are one document
+    texts = with_anchors.join(anchors.hint("merge"), "rid").dropDuplicates(["rid"])
+    sent = shards(texts.select("rid", "doc_id", "text", "anchors"), kind, buckets)
+    answer = ["chunk", "base", "lead", "slot", "lo", "hi", *_OWN]
+    schema = "chunk long, base long, " + ", ".join(f"{c} binary" for c in answer[2:])
 
     def search(table):
-        rid, a, b = [], [], []
-        for part in _parts(table):
-            place, lo, hi = find(part)
-            rid.append(part.rid[place])
-            a.append(part.pos[place] + lo)
-            b.append(part.pos[place] + hi + kind.window)
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"rid": join(rid), "a": join(a), "b": join(b)})
-
-    found = sent.groupBy("bucket").applyInArrow(search, "rid long, a long, b long")
-    return cut(found.union(whole).repartition("rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+        if table.column("dest")[0].as_py() < 0:
+            none = pa.nulls(len(table), pa.binary())
+            return pa.table([table.column("chunk"), table.column("base"), *[none] * 4, *(table.column(c) for c in _OWN)], answer)
+        counts = np.array([len(x) // 8 for x in table.column("key").to_pylist()])
+        begin, row = np.r_[0, np.cumsum(counts)], np.repeat(np.arange(len(counts)), counts)
+        leads, where, los, his = np.zeros(len(row), bool), [], [], []
+        for part, own, ident, lead in _parts(table):
+            leads[own[lead]] = True
+            sender = np.empty(len(part.copies), np.int64)
+            sender[ident[lead]] = own[lead]
+            snippet, lo, hi = find(part)
+            where.append(sender[snippet])
+            los.append(lo)
+            his.append(hi)
+        where, los, his = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, los, his))
+        order = np.argsort(where, kind="stable")
+        where, los, his = where[order], los[order], his[order]
+        cuts = np.searchsorted(where, begin)
+        out = []
+        for k, (chunk, base) in enumerate(zip(table.column("chunk").to_pylist(), table.column("base").to_pylist(), strict=True)):
+            x = slice(cuts[k], cuts[k + 1])
+            runs = [packed(v.astype(np.int32)) for v in (where[x] - begin[k], los[x], his[x])]
+            out.append([chunk, base, packed(leads[begin[k] : begin[k + 1]].view(np.uint8)), *runs, *[None] * 5])
+        return pa.Table.from_batches([record(out, answer, 2)])
+
+    def spread(table):
+        rows = sorted(table.to_pylist(), key=lambda r: -1 if r["base"] is None else r["base"])
+        own, rows = rows[0], rows[1:]
+        rids, which, place, counts, length = (unpacked(own[c], t) for c, t in zip(_OWN, (np.int64, np.int32, np.int32, np.int64, np.int32), strict=True))
+        lead = np.concatenate([unpacked(r["lead"], np.uint8) for r in rows]).astype(bool)
+        if own["base"] is not None or len(lead) != len(counts):
+            raise RuntimeError("a chunk lacks the answer of a shard")
+        slot = np.concatenate([unpacked(r["slot"], np.int32).astype(np.int64) + r["base"] for r in rows])
+        lo, hi = (np.concatenate([unpacked(r[c], np.int32) for r in rows]).astype(np.int64) for c in ("lo", "hi"))
+        place, at = place.astype(np.int64), np.cumsum(counts) - counts
+        # all windows at every place but the first one of all chunks, and there the runs
+        rest = np.ones(len(place), bool)
+        rest[at[lead]] = False
+        ends = place + np.repeat(length, counts)
+        a, b = np.r_[place[rest], place[at[slot]] + lo], np.r_[ends[rest], place[at[slot]] + hi + kind.window]
+        return pa.table({"rid": rids[np.r_[which[rest], which[at[slot]]]], "a": a, "b": b})
+
+    found = sent.groupBy("dest").applyInArrow(search, schema).groupBy("chunk").applyInArrow(spread, "rid long, a long, b long")
+    out = cut(found.union(whole).repartition("rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    free(spark)
+    return out
 
 
 def split(docs: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -376,4 +436,4 @@ def covered(lists: pa.Array, i: int, j: int, first: np.ndarray, window: int) ->
     end = np.where(b >= 0, b, np.where(n >= window, n, a))  # a whole text without a window has nothing repeated
     np.add.at(delta, base + a, 1)
     np.add.at(delta, base + end, -1)
-    return np.cumsum(delta[:-1]) > 0
+    return np.cumsum(delta[:-1], dtype=np.int32) > 0

@@ -98,15 +98,11 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 def earlier_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(part.begin)
     wins = sizes - SPAN + 1
-    # every place of a snippet but its first repeats all of its windows
-    later = np.setdiff1d(np.arange(len(part.rid)), part.at[:-1])
-    of = np.searchsorted(part.at, later, "right") - 1
     snippet = np.repeat(np.arange(len(sizes)), wins)
     shift = np.arange(len(snippet)) - np.repeat(np.cumsum(wins) - wins, wins)
     start = part.begin[snippet] + shift
     rank, t = suffix_order(part.content, start)
-    first = part.at[snippet]
-    when = (part.rank[first] << 32) | (part.pos[first] + shift)
+    when = (part.rank[snippet] << 32) | (part.pos[snippet] + shift)
     order = np.argsort(rank, kind="stable")
     s = start[order]
     same = np.ones(len(s) - 1, bool)
@@ -118,7 +114,7 @@ def earlier_windows(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[order] = when[order] != least
     lo = np.flatnonzero(again & ~(np.r_[False, again[:-1]] & (shift > 0)))
     hi = np.flatnonzero(again & ~(np.r_[again[1:], False] & (shift < wins[snippet] - 1)))
-    return np.r_[later, first[lo]], np.r_[np.zeros(len(later), np.int64), shift[lo]], np.r_[wins[of] - 1, shift[hi]]
+    return snippet[lo], shift[lo], shift[hi]
 
 
 def kept_bytes(docs: DataFrame, columns: list[str], schema: str, finish) -> DataFrame:
@@ -134,7 +130,7 @@ def kept_bytes(docs: DataFrame, columns: list[str], schema: str, finish) -> Data
                 gone = covered(lists, i, j, off, SPAN)
                 edge = gone & ~np.r_[False, gone[:-1]]
                 edge[off[:-1][off[:-1] < off[-1]]] |= gone[off[:-1][off[:-1] < off[-1]]]
-                total, runs = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(edge)]
+                total, runs = (np.r_[np.int32(0), np.cumsum(x, dtype=np.int32)] for x in (gone, edge))
                 kept = buf[~gone].tobytes()
                 at = off - total[off]
                 rows += [(kept[at[k] : at[k + 1]], int(off[k + 1] - off[k]), int(total[off[k + 1]] - total[off[k]]), int(runs[off[k + 1]] - runs[off[k]])) for k in range(j - i)]

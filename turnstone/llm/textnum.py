@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        m = max(n, PIECE + 1)
+        m = max(n, 2 * PIECE + 1)
         _powers[:] = []
         for x in (_STEP, _BACK):
             p = np.full(m, x, U)
@@ -72,10 +72,21 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = False) -> np.ndarray:
-    up, back = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum((_LOWER if lower else _BYTE)[buf] * up[:-1], out=sums[1:])
-    return mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(U) * U(0xD6E8FEB86659FD93))
+    """Hashes of the words (in order) from ``start`` to ``stop``; long texts are taken in sections, which may cut words."""
+    value = _LOWER if lower else _BYTE
+    total = np.zeros(len(start), U)
+    for a in range(0, len(buf), 2 * PIECE):
+        b = min(len(buf), a + 2 * PIECE)
+        up, back = powers(b - a + 1)
+        sums = np.zeros(b - a + 1, U)
+        np.cumsum(value[buf[a:b]] * up[:-1], out=sums[1:])
+        i, j = np.searchsorted(stop, a, "right"), np.searchsorted(start, b)
+        lo = np.maximum(start[i:j] - a, 0)
+        part = (sums[np.minimum(stop[i:j], b) - a] - sums[lo]) * back[lo]
+        if i < j and start[i] < a:  # a word that began in an earlier section
+            part[0] *= U(pow(_STEP, a - int(start[i]), 2**64))
+        total[i:j] += part
+    return mix(total + (stop - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
