@@ -72,6 +72,19 @@ def test_license_join_finds_every_block(docs, rows):
         assert want <= got and (threshold < 0.9 or want == got)
 
 
+def test_license_place_filter_rejects_and_loses_nothing(spark):
+    """Blocks whose first shared word stands too late in either order are left out unseen; none of them is a match."""
+    own = random.Random(2)
+    words = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    d = spark.createDataFrame([(i, " ".join(own.sample(words, 25) + own.choices(VOCABULARY, k=9))) for i in range(300)] + [(1000 + i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    found = licenses.candidates(d, threshold=0.7).collect()
+    shared = [len(set(r["have"]) & set(r["words"])) for r in found]
+    late = [r["bound"] < r["need"] for r in found]
+    assert sum(late) > 20 and all(n <= r["bound"] for n, r in zip(shared, found, strict=True))
+    assert not any(x and n >= r["need"] for x, n, r in zip(late, shared, found, strict=True))
+    assert {(1000 + i, i) for i in range(len(licenses.TEMPLATES))} <= {(r["doc_id"], r["template"]) for r in licenses.join_templates(d).collect()}
+
+
 def test_license_sentences_that_wrap(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
@@ -111,6 +124,21 @@ def test_learned_rules_reject_junk_and_keep_prose(spark):
 JACCARD = ("n_shingles", "component_id", "n_links")
 
 
+def test_kept_follows_the_base_rule_and_the_list(spark):
+    """Verdicts by hand: the base statistics restated, then the learned tests in order."""
+    import math
+
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn(common.cut(quality.features(d.select("doc_id", "text"))), labels)
+    assert rules
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    for i, (kept, rule) in table(quality.judge(d, labels), "kept", "rule").items():
+        n, chars, symbols, dup, repeat, failed = brute.quality(text[i])
+        ratio = {"word_length": chars / max(n, 1), "symbol_share": symbols / max(chars, 1), "dup_lines": float(dup), "repeat_share": repeat / max(n, 1), "log_words": math.log1p(n)}
+        fits = [no for no, tests in enumerate(rules, 1) if all(ratio[k] > c if op == ">" else ratio[k] <= c for k, op, c in tests)]
+        assert kept == (not failed and not fits) and (failed or rule == (fits[0] if fits else None))
+
+
 def test_jaccard(docs, rows):
     assert table(ngramjoin.linked(docs), *JACCARD) == brute.jaccard_components(dict(rows))
 
@@ -237,6 +265,38 @@ def test_languages(spark):
     assert table(blind, "lang_pred") == table(got, "lang_pred")
 
 
+def test_languages_are_those_of_the_nearest_centroid(spark, rows):
+    """Trigrams, weights and cosines by hand, over the fitted centroids."""
+    import numpy as np
+
+    d = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.fit(d.where(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    got = table(language.identify(d), "lang_pred", "score")
+    for r in d.collect():
+        raw = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in (r["text"] or "").encode())
+        n = np.zeros(language.SIZE)
+        for i in range(len(raw) - 2):
+            if raw[i : i + 2] != b"  ":
+                n[(raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA6B + raw[i + 2] * 0xC2B2AE35) % 2**32 >> 7 & language.SIZE - 1] += 1
+        v = np.log1p(n) * model["idf"]
+        cosine = model["centres"] @ (v / max(np.linalg.norm(v), 1e-9))
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert abs(got[r["doc_id"]][1] - max(cosine.max(), 0)) < 1e-5
+            best = {model["langs"][k] for k in np.flatnonzero(cosine > cosine.max() - 1e-6)}
+            assert got[r["doc_id"]][0] in best
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_TOTAL", 64)
+    own = random.Random(4)
+    letters = ["".join(own.sample("abcdefghijklmnopqrstuvwxyz", 8)) for _ in range(30)]
+    data = [(i, " ".join("".join(own.choices(letters[i % 30], k=6)) for _ in range(40)), f"l{i % 30}") for i in range(1800)]
+    got = table(language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")), "lang_pred")
+    assert {x for (x,) in got.values()} == {f"l{i}" for i in range(30)}
+    assert sum(got[i] == (lang,) for i, _, lang in data) >= 0.97 * len(data)
+
+
 def test_language_of_odd_texts(docs):
     got = table(language.identify(docs), "lang_pred", "score")
     none = [i * 3 - 5 for i, t in enumerate(TEXTS) if t is None or not any(c.isalpha() for c in t)]
@@ -313,6 +373,18 @@ def test_leaks_of_short_items_and_paraphrases(spark):
     assert want <= got and len(got - want) <= 0.1 * len(want)
 
 
+def test_leaks_in_slices_and_without_arrays(spark, monkeypatch):
+    items = [(i, prose(own_n)) for i, own_n in enumerate((5, 12, 25, 40, 70, 9, 140))]
+    data = [(i, f"{prose(100)} {edited(items[i % 7][1], 0.1)} {prose(60)}") for i in range(21)] + [(100 + i, prose(200)) for i in range(10)]
+    d, b = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["item_id"], round(r["common"], 9)) for r in decontam.leaks(d, b).collect())
+    want = found()
+    assert {(i, i % 7) for i in range(21)} <= {x[:2] for x in want}
+    for name, value in (("CELLS", 0), ("MAX_ITEMS", 2), ("COSINES", 1), ("WINDOWS", 3)):
+        monkeypatch.setattr(decontam, name, value)
+        assert found() == want
+
+
 def test_longest_common_subsequence():
     import numpy as np
 
@@ -437,6 +509,60 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(df.columns) == columns and sorted((plain(r) for r in df.collect()), key=repr) == want
 
 
+CLASHES = "good _id _gone gone key size rank host rid spans rest chunk n node block label w word target copies taken fit share task part".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Tables with columns of the operators' own names, null and repeated ids, rows that repeat in part, and a long text."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    long = " ".join(rng.choices(VOCABULARY, k=350_000))
+    texts = [(1, BASE), (1, BASE), (2, BASE), (None, PASSAGE), (None, PASSAGE), (None, None), (3, long), (4, None), (5, ""), (6, edited(BASE, 0.02)), (7, prose(90)), (7, prose(90)), (8, "ab " * 100_000)]
+    for name, schema, data in (
+        ("documents", "doc_id long, text string, lang string, source string, n_chars long", [(i, t, (None, "en", "fr")[k % 3], (None, "s", "t")[k % 3], k) for k, (i, t) in enumerate(texts)]),
+        ("labels", "doc_id long, quality int, toxic int", [(1, 1, 0), (2, 0, 1), (None, 1, 0), (7, None, None), (6, 1, None), (6, 1, None)]),
+        ("benchmark", "item_id long, text string", [(None, PASSAGE), (1, BASE), (1, BASE), (2, None)]),
+        ("pages", "page_id long, url string, html string", [(1, "http://a.org/x", None), (1, "http://a.org/x", None), (None, None, "<a href='http://b.net/'>x</a>"), (2, "http://c.info/", "<a href='http://b.net/'>x</a>"), (3, "http://b.net/", "x" * 2_000_000)]),
+    ):
+        d = spark.createDataFrame(data, schema)
+        d.withColumns({c: F.lit("clash") for c in CLASHES}).repartition(2).write.parquet(f"{folder}/{name}.parquet")
+    return folder, texts
+
+
+@pytest.mark.parametrize("name", queries.queries())
+def test_queries_on_odd_tables(spark, odd, name):
+    folder, texts = odd
+    got = queries.queries()[name](spark, folder)
+    if name == "op9_benchmark_leaks":
+        assert {r["doc_id"] for r in got.collect()} >= {1, 2, 6, None}
+    elif name == "op6_url_filter":
+        assert sorted(map(repr, got.select("page_id").toPandas()["page_id"])) and got.count() == 5
+    else:
+        assert sorted(repr(r["doc_id"]) for r in got.collect()) == sorted(repr(i) for i, _ in texts)
+    if name == "op5_suffix_dedup":
+        assert {r["doc_id"]: r["n_removed"] for r in got.collect()}[8] == 300_000 - 3
+    if name == "op2_ngram_jaccard":
+        assert [r["n_links"] for r in got.where("doc_id = 1").collect()] == [3, 3]
+
+
+@pytest.mark.parametrize("no", range(5))
+def test_stages_on_odd_tables(spark, odd, no):
+    """Each stage on its own input; all columns go on, and rows of one document stay or go together."""
+    folder, texts = odd
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.STAGES[no][1](spark, docs, folder)
+    if no < 4:
+        assert got.columns == docs.columns
+    rows = got.collect()
+    ids = [r["doc_id"] for r in rows]
+    if no == 1:
+        assert ids.count(1) == 1 and 2 not in ids and 6 not in ids and ids.count(None) == 2 and len([r for r in rows if r["doc_id"] == 1 and r["n_chars"] == 0]) == 1
+    if no == 3:
+        assert not {1, 2, 6} & set(ids) and None in ids and {3, 4, 5, 7, 8} <= set(ids)
+    if no == 4:
+        assert len({(r["doc_id"], r["text"], r["source"], r["copy_no"]) for r in rows}) == len(rows)
+
+
 def brute_pipeline(spark, sf_dir):
     """The stages on plain rows; learned rules and leaks from their operators on the rows that reach them."""
     docs = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -13,7 +13,7 @@
    with l such words are compared too (in windows of that length), so no leak of that kind is lost, however short.
 5. A candidate of cosine is confirmed by the longest common subsequence of the item's words and the document's words around
    the passage: COMMON of the item, or COMMON_WITH_ANSWER of it if the item's answer (its last sentence) is there
-   as well. The benchmark is a bounded parameter table (MAX_ITEMS), as its words are sent to every task.
+   as well. Words of items are sent to every task, so a benchmark is searched in slices of about MAX_ITEMS items.
 
 Result: one row per document row and item that leaks into it. Cases: null or empty texts and items hold nothing
 and match nothing; null ids are kept; repeated documents and items are reported for each; an empty benchmark or
@@ -36,7 +36,9 @@ from .textnum import U, pieces, word_hashes, word_spans
 SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 64, 8, 3, 11, 128
 SPAN = STRIDE * BLOCKS
 COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.55, 0.5, 0.6, 0.45, 0.8
-MAX_ITEMS, LIMIT, STRETCH = 100_000, 1 << 18, 1.5
+MAX_ITEMS, LIMIT, STRETCH = 20_000, 1 << 18, 1.5
+#: Cells up to which a table of items by words is an array; beyond it, only the cells that are set are kept. Cosines at once.
+CELLS, COSINES, WINDOWS = 1 << 26, 4_000_000, 200_000
 
 
 def _frequencies(batches):
@@ -119,7 +121,8 @@ def _range_finder(weight: np.ndarray):
 
 
 def _added(key, frames):
-    total = sum((np.frombuffer(x, np.float32).astype(float) for x in frames["data"]), np.zeros(BLOCK * RANK))
+    # in one order, so that reruns agree to the last bit
+    total = sum((np.frombuffer(x, np.float32).astype(float) for x in sorted(frames["data"])), np.zeros(BLOCK * RANK))
     out = frames.iloc[:1].copy()
     out["data"] = [total.astype(np.float32).tobytes()]
     return out[["block", "task", "data"]]
@@ -159,10 +162,29 @@ def semantic_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return latent_basis(z, weight), weight
 
 
-def _items(benchmark: DataFrame) -> list[tuple]:
-    rows = benchmark.select("item_id", "text").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError("the benchmark is larger than MAX_ITEMS")
+class Cells:
+    """Values by (row, column), 0 where there is none; values of one cell are joined by or."""
+
+    def __init__(self, rows: int, columns: int, row: np.ndarray, column: np.ndarray, value: np.ndarray):
+        self.columns = columns
+        self.keys, at = np.unique(row.astype(np.int64) * columns + column, return_inverse=True)
+        self.values = np.zeros(len(self.keys), value.dtype)
+        np.bitwise_or.at(self.values, at, value)
+        self.flat = None
+        if rows * columns <= CELLS:
+            self.flat = np.zeros(rows * columns, value.dtype)
+            self.flat[self.keys] = self.values
+
+    def get(self, base: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Values of the cells in rows that begin at ``base`` (row * columns)."""
+        key = base + column
+        if self.flat is not None:
+            return np.take(self.flat, key)
+        at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.values.dtype.type(0))
+
+
+def _items(rows: list) -> list[tuple]:
     out = []
     for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or "")):
         raw = (r["text"] or "").encode()
@@ -212,16 +234,36 @@ def rare_words(items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray) -
     word, item = np.concatenate(word), np.concatenate(item)
     pairs, often = np.unique(word * len(items) + item, return_counts=True)
     begin = np.searchsorted(pairs // len(items), np.arange(len(vocabulary) + 2))
-    masks = np.zeros((len(items), len(vocabulary) + 1), U)  # the places of a word in an item, as bits
-    for no, (_, h, _) in enumerate(items):
-        if len(h) <= 64:
-            np.bitwise_or.at(masks[no], np.searchsorted(vocabulary, h), U(1) << np.arange(len(h)).astype(U))
-    return begin, (pairs % len(items)).astype(np.int64), often, np.array(least), np.array([len(h) for _, h, _ in items]), masks
+    # the places of a word in an item, as bits, 64 to a row
+    size = np.array([len(h) for _, h, _ in items])
+    limbs = np.r_[0, np.cumsum(-(-size // 64))]
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    masks = Cells(int(limbs[-1]), len(vocabulary) + 1, np.repeat(limbs[:-1], size) + place // 64, np.searchsorted(vocabulary, np.concatenate([h for _, h, _ in items])), U(1) << (place % 64).astype(U))
+    return begin, (pairs % len(items)).astype(np.int64), often, np.array(least), size, masks, limbs
+
+
+def _common_in(windows: tuple, place: np.ndarray, masks: Cells, row: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of windows (first words, ends) with items of as many words of 64 bits
+    each, which begin at ``row`` of the masks: as in common(), for all windows at once."""
+    lo, hi = windows
+    count = -(-int(size[0]) // 64)
+    full = [~U(0) >> (64 - np.clip(size - 64 * k, 1, 64)).astype(U) for k in range(count)]
+    v = [x.copy() for x in full]
+    for t in range(int((hi - lo).max(initial=0))):
+        inside, word, carry = lo + t < hi, np.take(place, lo + t, mode="clip"), U(0)
+        for k in range(count):
+            m = np.where(inside, masks.get((row + k) * masks.columns, word), U(0))
+            total = v[k] + (v[k] & m)
+            over = total < v[k]
+            total = total + carry
+            carry = (over | (total < carry)).astype(U)
+            v[k] = (total | (v[k] & ~m)) & full[k]
+    return size - sum(np.bitwise_count(x).astype(np.int64) for x in v)
 
 
 def rare_windows(index: tuple, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Item and first word of every window that may hold a leak, by item and place."""
-    begin, of, often, least, size, masks = index
+    begin, of, often, least, size, masks, limbs = index
     reach = np.array([_reach(n) for n in size.tolist()])
     word = np.flatnonzero(begin[place + 1] > begin[place])
     k = (begin[place + 1] - begin[place])[word]
@@ -237,14 +279,12 @@ def rare_windows(index: tuple, place: np.ndarray, first: np.ndarray) -> tuple[np
     # the common subsequence with all words that such a window can hold, as in common(), for all windows at once
     doc = np.searchsorted(first, word, "right") - 1
     lo, hi = np.maximum(first[doc], word - reach[item] + 1), np.minimum(first[doc + 1], word + reach[item])
-    full = ~U(0) >> (64 - np.minimum(size, 64)).astype(U)[item]
-    v, row, flat = full.copy(), item * masks.shape[1], masks.ravel()
-    for t in range(int((hi - lo).max(initial=0))):
-        m = np.where(lo + t < hi, np.take(flat, row + np.take(place, lo + t, mode="clip")), U(0))
-        u = v & m
-        v = ((v + u) | (v - u)) & full
     need = np.ceil(min(COMMON, COMMON_WITH_ANSWER) * size[item] - 1e-9)
-    ok = (size[item] > 64) | (size[item] - np.bitwise_count(v) >= need)
+    ok, count = np.zeros(len(item), bool), -(-size[item] // 64)
+    for n in np.unique(count):
+        some = np.flatnonzero(count == n)
+        for x in np.split(some, np.arange(WINDOWS, len(some), WINDOWS)):
+            ok[x] = _common_in((lo[x], hi[x]), place, masks, limbs[item[x]], size[item[x]]) >= need[x]
     return item[ok], word[ok]
 
 
@@ -264,16 +304,26 @@ def confirmed(words: np.ndarray, answer: int, text: np.ndarray, start: int, leng
     return max((x for x in found if enough(*x)), default=None)
 
 
+SCHEMA = "doc_id long, item_id long, cosine double, common double, answer double"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common (share of the item found in order), answer (share of its answer)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    schema = "doc_id long, item_id long, cosine double, common double, answer double"
-    items = _items(benchmark)
-    space = semantic_space(docs.select("text")) if items else None
-    if space is None:
-        return spark.createDataFrame([], schema)
-    basis, weight = space
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    slices, space, found = -(-given.count() // MAX_ITEMS), None, None
+    for no in range(slices):
+        items = _items(given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == no).collect())
+        space = space or (semantic_space(docs.select("text")) if items else None)
+        if items and space:
+            more = _search(docs, items, *space)
+            found = more if found is None else found.union(more)
+    return spark.createDataFrame([], SCHEMA) if found is None else found
+
+
+def _search(docs: DataFrame, items: list[tuple], basis: np.ndarray, weight: np.ndarray) -> DataFrame:
+    spark = docs.sparkSession
     queries, owner = [], []
     for no, (_, h, _) in enumerate(items):
         for at in range(0, len(h), STRIDE * 2):
@@ -286,15 +336,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 break
     queries = np.concatenate(queries)
     vocabulary = np.unique(np.concatenate([h for _, h, _ in items]))
-    held = np.zeros((len(owner), len(vocabulary) + 1), bool)
-    for k, (no, i, j) in enumerate(owner):
-        held[k, np.searchsorted(vocabulary, items[no][1][i:j])] = True
     sizes = np.array([j - i for _, i, j in owner])
+    held = Cells(len(owner), len(vocabulary) + 1, np.repeat(np.arange(len(owner)), sizes), np.searchsorted(vocabulary, np.concatenate([items[no][1][i:j] for no, i, j in owner])), np.ones(int(sizes.sum()), bool))
     given = spark.sparkContext.broadcast((items, basis, queries, owner, vocabulary, held, sizes, rare_words(items, vocabulary, weight)))
 
     def search(batches):
         items, basis, queries, owner, vocabulary, held, sizes, index = given.value
-        item_of, flat = np.array([no for no, _, _ in owner]), held.ravel()
+        item_of = np.array([no for no, _, _ in owner])
+        step = max(1, min(1024, COSINES // len(queries)))
         longest = max(len(h) for _, h, _ in items)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -308,8 +357,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 place = np.searchsorted(vocabulary, h).clip(0, len(vocabulary) - 1)
                 place = np.where(vocabulary[place] == h, place, len(vocabulary))
                 near, far, cosines = [], [], []
-                for k in range(0, len(x), 1024):
-                    cos = (x[k : k + 1024] @ queries.T).ravel()
+                for k in range(0, len(x), step):
+                    cos = (x[k : k + step] @ queries.T).ravel()
                     hit = np.flatnonzero(cos >= COSINE)
                     near.append(hit // len(queries) + k)
                     far.append(hit % len(queries))
@@ -317,11 +366,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 near, far, cosines = np.concatenate(near), np.concatenate(far), np.concatenate(cosines)
                 # words in common, without order; pairs that the words to come cannot save are dropped on the way
                 need = np.ceil(OVERLAP * np.minimum(sizes[far], (q - p)[near])).astype(np.int32)
-                shared, row = np.zeros(len(near), np.int32), far * held.shape[1]
+                shared, row = np.zeros(len(near), np.int32), far * held.columns
                 for t in range(SPAN):
                     word = p[near] + t
                     at = np.where(word < q[near], np.take(place, word, mode="clip"), len(vocabulary))
-                    shared += np.take(flat, row + at)
+                    shared += held.get(row, at)
                     if t >= SPAN // 2 and t % 4 == 3:
                         ok = shared >= need - (SPAN - 1 - t)
                         near, far, cosines, shared, need, row = (x[ok] for x in (near, far, cosines, shared, need, row))
@@ -354,4 +403,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows += [(ids[i + d], items[no][0], *v[:3]) for (d, no), v in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "common", "answer"])
 
-    return docs.select("doc_id", "text").mapInArrow(search, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, SCHEMA)

@@ -2,9 +2,9 @@ r"""Language identification: nearest of several centroids per language, by cosin
 
 Vectors hold hashed byte trigrams (ASCII letters lower-cased, other ASCII as one blank), log-scaled, weighted by
 inverse document frequency and normalised. Document frequencies come from all documents that may be learned from;
-centroids from about FIT_ROWS of them per language, chosen by a hash of doc_id (a bounded sample: FIT_ROWS times
-the number of languages, at most MAX_LANGUAGES), clustered by spherical k-means. Every text is compared with
-every centroid. A prediction whose cosine is below the least cosine that its centroid's own documents have
+centroids from about FIT_ROWS of them per language, chosen by a hash of doc_id, clustered by spherical k-means. The
+sample is bounded to about FIT_TOTAL rows: with more languages each has fewer rows, down to LEAST_ROWS, and none is left
+out. Every text is compared with every centroid; of equal cosines the first language by code point wins. A prediction whose cosine is below the least cosine that its centroid's own documents have
 (their LEAST quantile) is marked as rejected.
 
 Cases: text that is null or has no letter is "und" with score 0; with nothing to learn from all are "und"; null
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .textnum import pieces
+from .common import cut, small_batches
+from .textnum import packed, pieces, unpacked
 
-SIZE, CENTROIDS, FIT_ROWS, MAX_LANGUAGES, LEAST, K_ROUNDS = 2048, 3, 400, 512, 0.01, 12
+SIZE, CENTROIDS, FIT_ROWS, LEAST, K_ROUNDS = 2048, 3, 400, 0.01, 12
+FIT_TOTAL, LEAST_ROWS = 65_536, 32
 _MAP = np.full(256, 32, np.uint32)
 _MAP[97:123] = np.arange(97, 123)
 _MAP[65:91] = np.arange(97, 123)
@@ -54,7 +55,7 @@ def _gather(batches):
             c = counts(buf, off)
             df += (c > 0).sum(0)
             n += j - i
-            some += [(lang[i + k], c[k].astype(np.float32).tobytes()) for k in np.flatnonzero(fit[i:j])]
+            some += [(lang[i + k], packed(c[k].astype(np.int32))) for k in np.flatnonzero(fit[i:j])]
         if len(some) >= 64:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), pa.array([x[1] for x in some], pa.binary()), pa.array([0] * len(some), pa.int64())], ["lang", "data", "n"])
             some = []
@@ -77,25 +78,29 @@ def _kmeans(v: np.ndarray, k: int) -> np.ndarray:
 
 def fit(docs: DataFrame) -> dict | None:
     """The model from documents that may be learned from: idf, centroids, their languages and least cosines."""
-    n = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    n = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
     spark = docs.sparkSession
-    share = F.broadcast(spark.createDataFrame([(x, min(1.0, FIT_ROWS / c)) for x, c in n.items()], "lang string, share double"))
-    d = docs.join(share, "lang").select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).alias("fit"))
-    found = d.mapInArrow(_gather, "lang string, data binary, n long")
+    most = max(LEAST_ROWS, min(FIT_ROWS, FIT_TOTAL // len(n)))
+    share = F.broadcast(spark.createDataFrame([(x, min(1.0, most / c)) for x, c in n.items()], "fit_lang string, share double"))
+    d = docs.select("doc_id", "lang", "text").join(share, F.col("lang") == F.col("fit_lang")).select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).alias("fit"))
+    found = cut(d.mapInArrow(_gather, "lang string, data binary, n long"))
     # frequencies are summed by the JVM per column before they reach the driver
     spread = found.where("lang is null").select(F.col("n"), "data").mapInArrow(_columns, "c int, n long")
     by = {r["c"]: r["n"] for r in spread.groupBy("c").agg(F.sum("n").alias("n")).collect()}
     df, total = np.array([by.get(c, 0) for c in range(SIZE)], float), by.get(-1, 0)
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 1e-3
     rows = found.where("lang is not null").select("lang", "data").collect()
+    by_lang: dict = {lang: [] for lang in n}
+    for r in rows:
+        by_lang[r["lang"]].append(r["data"])
     centres, langs, least = [], [], []
     for lang in sorted(n):
-        x = sorted(r["data"] for r in rows if r["lang"] == lang)
+        x = sorted(by_lang[lang])
         if not x:
-            continue
-        v = vectors(np.array([np.frombuffer(b, np.float32) for b in x]), idf)
+            raise RuntimeError(f"no row of {lang!r} fell into the sample")
+        v = vectors(np.array([unpacked(b, np.int32) for b in x], np.float32), idf)
         c = _kmeans(v, CENTROIDS)
         cos = v @ c.T
         own = cos.argmax(1)
@@ -121,7 +126,7 @@ def identify(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
     d = docs.select("doc_id", held.alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    given = spark.sparkContext.broadcast(model)  # SIZE * (centroids + 1) floats, bounded by MAX_LANGUAGES
+    given = spark.sparkContext.broadcast(model)  # SIZE floats for each of CENTROIDS of a language, and one more
 
     def predict(batches):
         m = given.value

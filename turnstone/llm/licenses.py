@@ -6,8 +6,9 @@ meets a template when it holds at least THRESHOLD of the template's distinct wor
 the number of documents that hold them, rarest first, counted over all documents. With need = ceil(t * n):
 
 * prefix: a block that meets a template of n words holds one of its n - need + 1 rarest words;
-* length: the block has at least need distinct words;
-* position: with its first shared word at place p (from 0), at most n - p words are shared.
+* length: the block has at least need distinct words of templates;
+* position: if the first word that they share is at place p (from 0) of the template's words and at place q of the block's m words
+  of templates, both in the global order, then they share at most 1 + min(n - p - 1, m - q - 1).
 
 Templates are a parameter of bounded size, so their index is broadcast; documents are never shuffled with texts.
 
@@ -68,8 +69,9 @@ def _order(docs: DataFrame, templates: tuple) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
 
 
-def join_templates(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Matches of blocks and templates: doc_id, key, block, template, label, score (share of the template held)."""
+def candidates(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of a block and a template with a prefix word in common: doc_id, key, block, template, label, have (the block's words of
+    templates, in the global order), words, need, bound (by place, on the words they share). Those under need are no match."""
     spark = docs.sparkSession
     order = _order(docs, templates)
     rows, full = [], []
@@ -97,12 +99,22 @@ def join_templates(docs: DataFrame, templates: tuple = TEMPLATES, threshold: flo
     starts = F.expr(f"sequence(0, greatest(size(all) - 1, 0), {stride})")
     blocks = lines.select("doc_id", "key", "line", "all", F.explode(starts).alias("at"))
     blocks = blocks.select("doc_id", "key", F.struct("line", "at").alias("block"), F.array_distinct(F.slice("all", F.col("at") + 1, size)).alias("have"))
-    found = blocks.select("*", F.explode(F.array_intersect("have", first)).alias("w")).join(index, "w")
-    # each pair is met once for every shared prefix word; the first shared word decides the bound by place
-    found = found.where(F.size("have") >= F.col("need")).groupBy("doc_id", "key", "block", "template").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("have").alias("have"))
-    found = found.where(F.col("size") - F.col("place") >= F.col("need")).join(whole, "template")
+    # the block's words of templates in the global order
+    ordered = F.array(*[F.lit(w) for w in sorted(order, key=order.__getitem__)])
+    blocks = blocks.where(F.arrays_overlap("have", first)).select("doc_id", "key", "block", F.array_intersect(ordered, "have").alias("have"))
+    found = blocks.select("*", F.posexplode("have").alias("q", "w")).join(index, "w").where(F.size("have") >= F.col("need"))
+    # each pair is met once for every shared prefix word; the first one in the order decides the bound by place
+    at = F.min(F.struct("place", "q"))
+    found = found.groupBy("doc_id", "key", "block", "template").agg(at.alias("at"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("have").alias("have"))
+    bound = F.least(F.col("size") - F.col("at.place"), F.size("have") - F.col("at.q"))
+    return found.join(whole, "template").select("doc_id", "key", "block", "template", "label", "have", "words", "need", bound.alias("bound"))
+
+
+def join_templates(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Matches of blocks and templates: doc_id, key, block, template, label, score (share of the template held)."""
     shared = F.size(F.array_intersect("have", "words"))
-    return found.where(shared >= F.col("need")).select("doc_id", "key", "block", "template", "label", (shared / F.col("size")).alias("score"))
+    found = candidates(docs, templates, threshold).where("bound >= need").where(shared >= F.col("need"))
+    return found.select("doc_id", "key", "block", "template", "label", (shared / F.size("words")).alias("score"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

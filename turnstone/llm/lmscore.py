@@ -156,10 +156,12 @@ def _score(buckets: int):
 
 
 def _good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct()
-    n = good.limit(BROADCAST_ROWS + 1).count()
-    good = good.withColumn("good", F.lit(True))
-    return docs.join(F.broadcast(good) if n <= BROADCAST_ROWS else good, docs["doc_id"] == F.col("_id"), "left").select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.coalesce("good", F.lit(False)).alias("good"))
+    """doc_id, text, good of every row; other columns of the tables, whatever their names, stay behind."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("good")).distinct()
+    few = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    d, g = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d"), good.alias("g")
+    both = d.join(F.broadcast(g) if few else g, F.col("d.doc_id") == F.col("g.doc_id"), "left")
+    return both.select("d.doc_id", "d.text", F.coalesce("g.good", F.lit(False)).alias("good"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,12 +72,6 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     return ranked.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", copies.cast("long").alias("copies"))
 
 
-def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of ``docs``, each as often as ``mixed`` (doc_id, copies) takes it. doc_id must be unique here."""
-    n = mixed.where("copies > 0").select("doc_id", "copies")
-    return docs.join(n, "doc_id").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-
-
 ORACLE_SQL = f"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size from documents),
 b as (select *, coalesce(abs((doc_id % 1000003) * 7919) % greatest({LEAST_BUCKETS}, (select count(*) from sized) // {ROWS_A_BUCKET} + 1), 0) as bucket from sized),

@@ -18,7 +18,7 @@ tp(no, label, tw) as (values {_TEMPLATES}),
 ph(label, pw) as (values {_PHRASES}),
 pl as (select rid, label, i from (select rid, ws, unnest(range(1, len(ws) + 1)) as i from w where list_has_any(ws, ['license'])) , ph where ws[i : i + len(pw) - 1] = pw),
 base as (select rid, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, list(distinct label) as labels from pl group by rid),
-ln as (select rid, {_LICENSE_WORDS.format("l")} as ws from (select rid, unnest(string_split(t, chr(10))) as l from w)),
+ln as (select rid, {_LICENSE_WORDS.format("l")} as ws from (select rid, unnest(string_split(t, chr(10))) as l from w) union all select rid, ws from w where contains(t, chr(10))),
 bl as (select rid, list_distinct(ws[s + 1 : s + {licenses.BLOCK}]) as bw from (select rid, ws, unnest(range(0, greatest(len(ws) - 1, 0) + 1, {licenses.BLOCK // 2})) as s from ln)),
 m as (select rid, label, len(list_intersect(bw, tw))::double / len(tw) as score from bl, tp where len(bw) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9) and len(list_intersect(bw, tw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
 mm as (select rid, list(distinct label) as labels, max(score) as score from m group by rid)

@@ -39,7 +39,7 @@ from .common import cut, free, shard_count, small_batches
 from .textnum import U, grams, mix, packed, pieces, powers, sliding, unpacked, within, word_hashes, word_spans
 
 HOT, PART, HOLD, SECTION = 10_000, 1_500_000, 16 << 20, 1 << 23
-CHUNK_ANCHORS = 2_000_000
+CHUNK_ANCHORS, AT_ONCE = 2_000_000, 250_000
 PACK = "zstd"
 #: Document numbers up to which their list is broadcast, to leave other texts out of a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -66,7 +66,7 @@ class Symbols:
     """Symbols of a piece of text: where they start and end in bytes, and the first symbol of each document."""
 
     def __init__(self, kind: Kind, buf: np.ndarray, off: np.ndarray):
-        self.kind, self.buf = kind, buf
+        self.kind, self.buf, self._sums, self._words = kind, buf, None, None
         if kind.words:
             self.start, self.stop, self.first = word_spans(buf, off)
         else:
@@ -83,13 +83,14 @@ class Symbols:
         n = len(self.buf) - k + 1
         if n <= 0:
             return np.zeros(0, U)
-        self.sums()
-        return mix((self._sums[k:] - self._sums[:-k]) * powers(n)[1])
+        sums = self.sums()
+        return mix((sums[k:] - sums[:-k]) * powers(n)[1])
 
     def sums(self) -> np.ndarray:
-        up, _ = powers(len(self.buf) + 1)
-        self._sums = np.zeros(len(self.buf) + 1, U)
-        np.cumsum(textnum._BYTE[self.buf] * up[:-1], out=self._sums[1:])
+        if self._sums is None:
+            up, _ = powers(len(self.buf) + 1)
+            self._sums = np.zeros(len(self.buf) + 1, U)
+            np.cumsum(textnum._BYTE[self.buf] * up[:-1], out=self._sums[1:])
         return self._sums
 
     def content_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,11 +102,11 @@ class Symbols:
         """Hash of the symbols a to b - 1: for words one form whatever the blanks between them."""
         if not self.kind.words:
             return self.content_hashes(a, b)
-        h = grams(word_hashes(self.buf, self.start, self.stop), 1)
-        up, back = powers(len(h) + 1)
-        sums = np.zeros(len(h) + 1, U)
-        np.cumsum(h * up[:-1], out=sums[1:])
-        return mix((sums[b] - sums[a]) * back[a] ^ (b - a).astype(U))
+        up, back = powers(len(self.start) + 1)
+        if self._words is None:
+            self._words = np.zeros(len(self.start) + 1, U)
+            np.cumsum(grams(word_hashes(self.buf, self.start, self.stop), 1) * up[:-1], out=self._words[1:])
+        return mix((self._words[b] - self._words[a]) * back[a] ^ (b - a).astype(U))
 
     def runs(self) -> Runs:
         w = self.kind.window - self.kind.gram + 1
@@ -209,6 +210,20 @@ def shards(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     their places and the first of them; and each chunk's places, for itself (dest -1 - chunk)."""
     columns = ["dest", "chunk", "base", *_SENT, *_OWN]
 
+    def windows(s, runs, cold, hot):
+        """Key, document, first symbol and end of snippets: of whole runs, and of each window of hot anchors."""
+        for k in range(0, len(cold), AT_ONCE):
+            k = cold[k : k + AT_ONCE]
+            yield runs.hash[k], runs.doc[k], runs.start[k], runs.stop[k] + kind.window
+        if not len(hot):
+            return
+        wide = s.hashes(kind.window) if kind.words else None
+        many = np.cumsum(runs.stop[hot] - runs.start[hot] + 1)
+        for k in np.split(hot, np.flatnonzero(np.diff(many // AT_ONCE)) + 1):
+            n = runs.stop[k] - runs.start[k] + 1
+            each = np.arange(int(n.sum())) + np.repeat(runs.start[k] - (np.cumsum(n) - n), n)
+            yield s.content_hashes(each, each + kind.window) if wide is None else wide[each], np.repeat(runs.doc[k], n), each, each + kind.window
+
     def emit(batches):
         task, no = TaskContext.get().partitionId(), 0
         held, content, size, slots = [], [], 0, 0
@@ -256,31 +271,20 @@ def shards(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
                 place = np.searchsorted(have[order], want).clip(0, max(len(have) - 1, 0))
                 hit = have[order][place] == want if len(have) else np.zeros(len(want), bool)
                 hot = hit & ((mine[order][place] & U(1)) == 1) if len(have) else hit
-                cold = np.flatnonzero(hit & ~hot)
-                key, doc, a, b = runs.hash[cold], runs.doc[cold], runs.start[cold], runs.stop[cold] + kind.window
-                if hot.any():
-                    k = np.flatnonzero(hot)
-                    n = runs.stop[k] - runs.start[k] + 1
-                    each = np.arange(int(n.sum())) + np.repeat(runs.start[k] - (np.cumsum(n) - n), n)
-                    ga, gb = s.bytes_of(each, each + kind.window)
-                    wide = s.hashes(kind.window)[each] if kind.words else s.content_hashes(ga, gb)
-                    key, doc = np.r_[key, wide], np.r_[doc, np.repeat(runs.doc[k], n)]
-                    a, b = np.r_[a, each], np.r_[b, each + kind.window]
-                if not len(key):
-                    continue
-                x, y = s.bytes_of(a, b)
-                ident = s.same(a, b)
-                order, first = _firsts(key, ident)
-                slot = np.empty(len(key), np.int64)
-                slot[order] = slots + np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-                one = order[first]
-                held.append((key, ident, rids[i + doc], ids[i + doc], nulls[i + doc], base + a - s.first[doc], slot, b - a))
-                content.append(((y - x)[one], _slices(buf, x[one], y[one])))
-                slots += len(one)
-                size += len(content[-1][1]) + 32 * len(key)
-                if size > HOLD:
-                    yield flush()
-                    held, content, size, slots, no = [], [], 0, 0, no + 1
+                for key, doc, a, b in windows(s, runs, np.flatnonzero(hit & ~hot), np.flatnonzero(hot)):
+                    x, y = s.bytes_of(a, b)
+                    ident = s.same(a, b)
+                    order, first = _firsts(key, ident)
+                    slot = np.empty(len(key), np.int64)
+                    slot[order] = slots + np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+                    one = order[first]
+                    held.append((key, ident, rids[i + doc], ids[i + doc], nulls[i + doc], base + a - s.first[doc], slot, b - a))
+                    content.append(((y - x)[one], _slices(buf, x[one], y[one])))
+                    slots += len(one)
+                    size += len(content[-1][1]) + 32 * len(key)
+                    if size > HOLD:
+                        yield flush()
+                        held, content, size, slots, no = [], [], 0, 0, no + 1
         if held:
             yield flush()
 
@@ -400,7 +404,14 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
         rest[at[lead]] = False
         ends = place + np.repeat(length, counts)
         a, b = np.r_[place[rest], place[at[slot]] + lo], np.r_[ends[rest], place[at[slot]] + hi + kind.window]
-        return pa.table({"rid": rids[np.r_[which[rest], which[at[slot]]]], "a": a, "b": b})
+        doc = np.r_[which[rest], which[at[slot]]].astype(np.int64)
+        # spans that meet become one
+        order = np.lexsort((a, doc))
+        doc, a, b = doc[order], a[order], b[order]
+        reach = np.maximum.accumulate((doc << 40) + b)
+        new = np.flatnonzero(np.r_[True, (doc[1:] << 40) + a[1:] > reach[:-1]]) if len(doc) else order
+        last = np.r_[new[1:], len(doc)][: len(new)] - 1
+        return pa.table({"rid": rids[doc[new]], "a": a[new], "b": reach[last] - (doc[new] << 40)})
 
     found = sent.groupBy("dest").applyInArrow(search, schema).groupBy("chunk").applyInArrow(spread, "rid long, a long, b long")
     out = cut(found.union(whole).repartition("rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
