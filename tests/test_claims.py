@@ -165,15 +165,45 @@ def test_evaluate_and_correct(spark, tables):
 def test_spread_threshold(spark, tables):
     claims, turns = tables
     wide = spark.createDataFrame([(1, 0, "t", "risk_factors", "materiality", [2, 4, 3, 3, 2], 3.0, 2, 4, False, True)], "doc_id long, claim_no int, claim_text string, category string, dimension string, samples array<int>, median double, low int, high int, stable boolean, escalated boolean")
+    one = claims.where("claim_no = 0").withColumn("category", F.lit("risk_factors"))
     ok = verify.faithfulness(claims.where("claim_no = 0"), turns)
-    assert revise.needing_revision(claims.where("claim_no = 0"), ok, wide, 2).count() == 1
-    assert revise.needing_revision(claims.where("claim_no = 0"), ok, wide, 3).count() == 0
+    assert revise.needing_revision(one, ok, wide, 2).count() == 1
+    assert revise.needing_revision(one, ok, wide, 3).count() == 0
+    for c, r, w in ((claims, ok, wide), (one, ok.limit(0), wide), (one, ok, wide.limit(0)), (claims.where("claim_no = 0"), ok, wide), (one, ok.withColumn("doc_id", F.lit(7)), wide)):
+        with pytest.raises(Exception, match="do not match the claims"):
+            revise.needing_revision(c, r, w).count()
     assert revise.unmatched(claims, ok).count() == 8
 
 
+def test_the_last_of_turns_that_share_a_number_counts(spark, tables):
+    claims, turns = tables
+    again = turns.union(spark.createDataFrame([(1, 2, "Bo Chen", None, "Prepared Remarks", "About the risk again")], turns.schema))
+    one = claims.where("claim_no in (0, 5)")
+    assert {r["claim_no"]: r["passed"] for r in verify.faithfulness(one, again).collect()} == {0: False, 5: True}
+    assert verify.faithfulness(one, again).count() == verify.gate(one, again).count() == 2
+    covered = {r["section"]: r["covered"] for r in coverage.section_coverage(one, again).where("doc_id = 1").collect()}
+    assert covered == {"Prepared Remarks": True, "Q&A": False}
+
+
+@pytest.mark.parametrize("bad", [{"body": None}, {"body": '{"score": 9, "rationale": "r"}'}])
+def test_a_sample_without_a_valid_score_is_an_error(tables, bad):
+    """Else the other of the first two would stand alone, and pass for agreement."""
+    claims, _ = tables
+    ask = lambda asked: [bad if q["sample_no"] == 1 else {"body": '{"score": 3, "rationale": "r"}'} for q in asked]
+    with pytest.raises(Exception, match="no_reply|invalid_reply"):
+        pipeline.sample(claims, ask)[0].count()
+
+
+def test_extraction_may_be_strict(tables):
+    refuse = lambda asked: [{} for _ in asked]
+    assert pipeline.extract(tables[1], refuse).failed.count() == 2
+    with pytest.raises(Exception, match="no_reply"):
+        pipeline.extract(tables[1], refuse, strict=True).claims.count()
+
+
 def test_prompts(spark, tables, tmp_path):
     p = prompts.extraction_prompts(tables[1]).where("doc_id = 1").first()["prompt"]
     assert p.endswith("[Turn 2 | Q&A | Bo Chen]\nWhat about the risk?")
-    (tmp_path / "a").write_text("---\nx: y\n---\nDo it.")
+    (tmp_path / "a").write_text("---\nx: y\n---\n\nDo it. \n\n")
     (tmp_path / "b").write_text("kinds")
     assert [b["text"] for b in prompts.system_prompt(tmp_path / "a", tmp_path / "b")] == ["Do it.", "kinds"]

@@ -39,6 +39,11 @@ def test_a_missing_bucket_is_an_error():
         lx.parse_lexicon("## Hedging phrases\n### A\n- may")
 
 
+def test_marks_of_a_lexicon_stand_at_the_start_of_a_line():
+    got = lx.parse_lexicon("##\tHedging phrases\n###  A \n-\tMay \n  - might\n-could\n -x\n## Confident / unqualified phrases\n### B\n- will\n## Other\n### C\n- none")
+    assert got == lx.Lexicon((("may", "A"),), (("will", "B"),))
+
+
 def test_lexicon_file_and_table(spark, tmp_path):
     (tmp_path / "l.md").write_text(MARKDOWN)
     got = lx.load_lexicon(str(tmp_path / "l.md"))

@@ -54,3 +54,8 @@ def test_report_and_usage_sinks(spark, tmp_path):
     for _ in range(2):
         usage.append(usage.zero_rows(t, "extraction", "m"), str(tmp_path / "usage"))
     assert spark.read.parquet(str(tmp_path / "usage")).count() == 2
+
+
+def test_a_missing_path_is_an_error_of_its_own(spark, tmp_path):
+    with pytest.raises(documents.MissingPath):
+        documents.load(spark, str(tmp_path / "none"))

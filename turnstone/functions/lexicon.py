@@ -32,17 +32,22 @@ class Lexicon:
 
 
 def parse_lexicon(markdown: str) -> Lexicon:
-    """``##`` names a bucket (others close it), ``###`` a category of the open bucket, ``-`` a phrase of the category."""
+    """``##`` names a bucket (others close it), ``###`` a category of the open bucket, ``-`` a phrase of the category.
+
+    A mark stands at the start of its line, with white space after it; other lines are passed over.
+    """
     found: dict[str, list[tuple[str, str]]] = {HEDGING: [], SURE: []}
     bucket = category = None
-    for line in map(str.strip, markdown.splitlines()):
-        mark, _, rest = line.partition(" ")
-        rest = rest.strip()
+    for line in markdown.splitlines():
+        mark, *rest = ("" if line[:1].isspace() else line).split(maxsplit=1) or [""]
+        rest = "".join(rest).strip()
+        if not rest:
+            continue
         if mark == "##":
             bucket, category = TITLES.get(rest.lower()), None
         elif mark == "###":
             category = rest if bucket else None
-        elif mark == "-" and bucket and category and rest:
+        elif mark == "-" and bucket and category:
             found[bucket].append((rest.lower(), category))
     for name, entries in found.items():
         if not entries:
@@ -92,38 +97,4 @@ def matches(text: Column | str, entries: tuple[tuple[str, str], ...]) -> Column:
     return F.transform(found, lambda p: F.struct(p.alias("phrase"), F.coalesce(table[p], F.lit("")).alias("category")))
 
 
-# The default phrases with their categories, in order.
-_MODAL = 'Modal verbs of possibility (Loughran-McDonald "Weak Modal")'
-_BELIEF = "Epistemic verbs of belief/estimation (Hyland)"
-_ABOUT = 'Uncertainty / approximation markers (Loughran-McDonald "Uncertainty", Hyland approximators)'
-_IF = "Conditional / contingency hedges (Hyland)"
-_ODDS = "Probability adjectives and adverbs (Hyland)"
-_NOTICE = "Forward-looking-statement boilerplate (SEC disclosure convention)"
-_STRONG = 'Strong modal verbs (Loughran-McDonald "Strong Modal")'
-_DONE = "Assertive factual statements (past-tense realized outcomes)"
-_SURELY = "Certainty adverbs"
-_VOW = "Strong commitment phrases"
-DEFAULT = Lexicon(
-    hedging=tuple(
-        (phrase, category)
-        for category, phrases in (
-            (_MODAL, "may|might|could|would|should"),
-            (_BELIEF, "we believe|we expect|we anticipate|we estimate|we project|we forecast|we think|we feel|appears to be|seems to be|suggests that"),
-            (_ABOUT, "approximately|roughly|around|about|in the range of|somewhere between|give or take|uncertain|uncertainty|unpredictable|fluctuate|fluctuation|variability|depends on|depending on"),
-            (_IF, "subject to|provided that|assuming|contingent on|contingent upon|if conditions|to the extent that"),
-            (_ODDS, "likely|unlikely|possible|possibly|potentially|probable|probably"),
-            (_NOTICE, "forward-looking statements|actual results may differ materially|no obligation to update|based on our current expectations|based on current assumptions|to the best of our knowledge"),
-        )
-        for phrase in phrases.split("|")
-    ),
-    confident=tuple(
-        (phrase, category)
-        for category, phrases in (
-            (_STRONG, "will|must|shall"),
-            (_DONE, "delivered|achieved|grew|increased|decreased|generated|reported|came in at|exceeded|beat|drove|returned"),
-            (_SURELY, "certainly|clearly|definitely|undoubtedly|without question"),
-            (_VOW, "we will|we are committed to|we remain confident|we guarantee|we are confident that"),
-        )
-        for phrase in phrases.split("|")
-    ),
-)
+DEFAULT = parse_lexicon(Path(__file__).with_name("default_lexicon.md").read_text(encoding="utf-8"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .verify import last_turns
+
 
 def section_coverage(claims: DataFrame, turns: DataFrame) -> DataFrame:
-    """doc_id, section, first_turn, covered: one row per section that a document has. Unknown turns cover nothing."""
+    """doc_id, section, first_turn, covered: one row per section that a document has. Unknown turns cover nothing; of turns
+    that share a number the last one's section is covered."""
     present = turns.groupBy("doc_id", "section").agg(F.min("turn_number").alias("first_turn"))
     cited = claims.select("doc_id", F.col("source_turn_number").alias("turn_number")).distinct()
-    covered = turns.join(cited, ["doc_id", "turn_number"], "left_semi").select("doc_id", "section").distinct().withColumn("_c", F.lit(True))
+    covered = last_turns(turns).join(cited, ["doc_id", "turn_number"], "left_semi").select("doc_id", "section").distinct().withColumn("_c", F.lit(True))
     return present.join(covered, ["doc_id", "section"], "left").select("doc_id", "section", "first_turn", F.coalesce("_c", F.lit(False)).alias("covered"))
 
 

@@ -11,10 +11,10 @@ PREAMBLE = "Extract the claims of the following transcript turns."
 
 
 def without_front_matter(text: str) -> str:
-    """Text after a leading block between two --- marks, if there is one."""
+    """Text after a leading block between two --- marks, stripped, if there is one."""
     if text.startswith("---"):
         end = text.find("---", 3)
-        return text[end + 3 :].lstrip() if end >= 0 else text
+        return text[end + 3 :].strip() if end >= 0 else text
     return text
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from turnstone.plans.schemas import ACTIONS, CLAIM_FIELDS, HIGH_VARIANCE_SPREAD, REASONS
 
+from .consistency import judgment_claims
 from .verify import cited, faithfulness
 
 VALUE = ["doc_id", *CLAIM_FIELDS]
@@ -28,9 +29,22 @@ def unmatched(claims: DataFrame, results: DataFrame) -> DataFrame:
     return a.join(b, key, "left_anti").union(b.join(a, key, "left_anti"))
 
 
+def matched(claims: DataFrame, results: DataFrame, what: str) -> DataFrame:
+    """``results``, with an error when they are read if they are not one for each of ``claims``."""
+    key = ["doc_id", "claim_no"]
+    given = results.select(F.struct(*[F.col(c) for c in results.columns]).alias("_result"), *[F.col(c).alias(f"_{c}") for c in key])
+    both = claims.select(*key, F.lit(True).alias("_claim")).join(given, reduce(and_, [F.col(c) == F.col(f"_{c}") for c in key]), "full_outer")
+    missing = F.raise_error(F.lit(f"{what} do not match the claims"))
+    return both.select(F.when(F.col("_claim").isNotNull() & F.col("_result").isNotNull(), F.col("_result")).otherwise(missing).alias("_result")).select("_result.*")
+
+
 def needing_revision(claims: DataFrame, results: DataFrame, consistency: DataFrame, spread: int = HIGH_VARIANCE_SPREAD) -> DataFrame:
-    """Distinct claim values with reasons and contexts: unfaithful ones first, then those of high variance."""
+    """Distinct claim values with reasons and contexts: unfaithful ones first, then those of high variance.
+
+    ``results`` has a row for each claim and ``consistency`` one for each judgment claim; anything else is an error.
+    """
     key = ["doc_id", "claim_no"]
+    results, consistency = matched(claims, results, "faithfulness results"), matched(judgment_claims(claims), consistency, "consistency results")
     bad = results.where(~F.col("passed")).select(*key, F.lit(0).alias("kind"), F.lit(UNFAITHFUL).alias("why"), F.col("reason").alias("context"))
     wide = consistency.where(F.col("escalated") & (F.col("high") - F.col("low") >= spread))
     told = F.format_string("%s scores %s, median %s, range %s to %s", F.col("dimension"), F.array_join("samples", ","), F.col("median").cast("string"), F.col("low").cast("string"), F.col("high").cast("string"))

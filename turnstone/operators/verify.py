@@ -15,15 +15,15 @@ KEPT, NO_TURN, NO_QUOTE = "kept", "turn_missing", "quote_not_found"
 
 
 def last_turns(turns: DataFrame, order: str | None = None) -> DataFrame:
-    """doc_id, turn_number, section, text with one row per turn: of several the last by ``order``."""
-    if order is None:
-        return turns.select("doc_id", "turn_number", "section", "text")
-    return turns.groupBy("doc_id", "turn_number").agg(*[F.max_by(c, order).alias(c) for c in ("section", "text")])
+    """doc_id, turn_number, section, text with one row per turn: of several the last by ``order``, else by their place in ``turns``."""
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    t = turns.select("doc_id", "turn_number", F.struct("section", "text").alias("turn"), place.alias("place"))
+    return t.groupBy("doc_id", "turn_number").agg(F.max_by("turn", "place").alias("turn")).select("doc_id", "turn_number", "turn.section", "turn.text")
 
 
 def cited(claims: DataFrame, turns: DataFrame) -> DataFrame:
-    """Claims with turn_found, turn_section and turn_text."""
-    t = turns.select(F.col("doc_id").alias("_doc"), F.col("turn_number").alias("_turn"), F.col("section").alias("turn_section"), F.col("text").alias("turn_text"), F.lit(True).alias("_found"))
+    """Claims with turn_found, turn_section and turn_text. Of turns that share a number the last counts."""
+    t = last_turns(turns).select(F.col("doc_id").alias("_doc"), F.col("turn_number").alias("_turn"), F.col("section").alias("turn_section"), F.col("text").alias("turn_text"), F.lit(True).alias("_found"))
     both = claims.join(t, (claims["doc_id"] == t["_doc"]) & (claims["source_turn_number"] == t["_turn"]), "left")
     return both.select(*claims.columns, F.coalesce("_found", F.lit(False)).alias("turn_found"), "turn_section", "turn_text")
 

@@ -96,7 +96,8 @@ case (doc_id + turn_number) % 9
   when 7 then ''
   else substr(text, {_START}, 40) end
 """
-_TURN = "cast(case when (doc_id + turn_number) % 11 = 0 then turn_number + 99 else turn_number end as int)"
+# claims of some documents cite no turn of the second section
+_TURN = "cast(case when (doc_id + turn_number) % 11 = 0 or doc_id % 7 = 3 and turn_number > 2 then turn_number + 99 else turn_number end as int)"
 _CATEGORY = "case (doc_id + 2 * turn_number) % 6 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(CATEGORIES)) + " end"
 _CLAIM = f"doc_id, {{no}} as claim_no, 'Claim ' || cast(turn_number as {{text}}) || ' of ' || cast(doc_id as {{text}}) as claim_text, {_CATEGORY} as category, {_TURN} as source_turn_number, {_QUOTE} as source_quote, turn_number % 3 = 0 as confidence_flag"
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstone.functions.lexicon import DEFAULT, to_table
 from turnstone.functions.text import CURLY, PLAIN, chars_per_page, sentences
 from turnstone.operators import consistency as cons
 from turnstone.operators import coverage as cov
-from turnstone.operators import hedging, prompts, revise, segment, usage, verify
+from turnstone.operators import hedging, model, pipeline, prompts, revise, segment, usage, verify
 from turnstone.plans import derive
 from turnstone.plans.derive import SP, quoted, re2, sql_strip
 from turnstone.plans.schemas import CONFIDENT, DIMENSIONS, HEDGED, HIGH_VARIANCE_SPREAD, MIN_CHARS_PER_PAGE, PREPARED, QA, UNMARKED
+from turnstone.sources.documents import load
 from turnstone.sources.report import markdown
 
 QUERIES: dict = {}
@@ -80,26 +85,17 @@ s as (select doc_id, section, min(turn_number) as first_turn, bool_or(turn_numbe
 """
 
 
-def _uncited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Claims of two thirds of the turns, so that some sections have none."""
-    c, t = _inputs(spark, sf_dir)
-    return c.where("not confidence_flag"), t
-
-
-_COVER = _COVER.replace("from c where c.doc_id = t.doc_id", "from c where c.doc_id = t.doc_id and not confidence_flag")
-
-
 @query(_COVER + """select doc_id, string_agg(section, ',' order by first_turn) as present, coalesce(string_agg(section, ',' order by first_turn) filter (covered), '') as covered,
   coalesce(string_agg(section, ',' order by first_turn) filter (not covered), '') as missing, bool_and(covered) as passed from s group by doc_id""")
 def coverage_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, t = _uncited(spark, sf_dir)
+    c, t = _inputs(spark, sf_dir)
     out = cov.coverage(t, cov.section_coverage(c, t))
     return out.select("doc_id", *[F.array_join(f"sections_{n}", ",").alias(n) for n in ("present", "covered", "missing")], "passed")
 
 
 @query(_COVER + "select doc_id, section, first_turn from s where not covered")
 def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cov.section_coverage(*_uncited(spark, sf_dir)).where("not covered").select("doc_id", "section", "first_turn")
+    return cov.section_coverage(*_inputs(spark, sf_dir)).where("not covered").select("doc_id", "section", "first_turn")
 
 
 # Segmentation.
@@ -177,10 +173,10 @@ def _split_sql(x: str) -> str:
 def _found_sql(entries: tuple, x: str) -> str:
     """Whole phrases: every other character than a word's is doubled, so that neighbours do not share one."""
     w = derive.WORDLY
-    phrases = sorted((p for p, _ in entries), key=len, reverse=True)
+    phrases = [re.sub(r"(\W)", r"\1\1", p) for p in sorted((p for p, _ in entries), key=len, reverse=True)]
     doubled = f"'  ' || regexp_replace({x}, '([^{w}])', '\\1\\1', 'g') || '  '"
-    hits = f"regexp_extract_all({doubled}, {quoted(f'(?i)[^{w}](' + '|'.join(p.replace(' ', '  ') for p in phrases) + f')[^{w}]')}, 1)"
-    return f"array_to_string(list_sort(list_distinct(list_transform({hits}, lambda s: lower(replace(s, '  ', ' '))))), ',')"
+    hits = f"regexp_extract_all({doubled}, {quoted(f'(?i)[^{w}](' + '|'.join(phrases) + f')[^{w}]')}, 1)"
+    return f"array_to_string(list_sort(list_distinct(list_transform({hits}, lambda s: lower(replace(replace(s, '  ', ' '), '--', '-'))))), ',')"
 
 
 _LABELLED = f"""with t as ({derive.SQL_TURNS}), s0 as (select doc_id, turn_number, section, {_split_sql("text")} as s from t),
@@ -359,3 +355,179 @@ select doc_id, length(body)::int as n_chars, md5(body) as digest from rp""")  #
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = markdown(verify.faithfulness(*_inputs(spark, sf_dir)))
     return body.select("doc_id", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
+
+
+# Replies of models: bodies of every kind, by document number.
+
+_BODIES = {
+    "extraction": (
+        ('{"claims": []}', "ok"),
+        ('{"claims": [{"claim_text": "a", "category": "guidance", "source_turn_number": 2, "source_quote": "q", "confidence_flag": true}]}', "ok"),
+        ('{"claims": [{"claim_text": "a", "category": "weather", "source_turn_number": 2, "source_quote": "q", "confidence_flag": true}]}', "invalid_reply"),
+        ('{"claims": [{"claim_text": "a", "category": "guidance", "source_quote": "q", "confidence_flag": true}]}', "invalid_reply"),
+        ('{"claims": [{"claim_text": "a", "cat', "invalid_reply"),
+        (None, "no_reply"),
+        ('{"claims": [{"claim_text": "a", "category": "guidance", "source_turn_number": "two", "source_quote": "q", "confidence_flag": true}]}', "invalid_reply"),
+        ("{}", "invalid_reply"),
+    ),
+    "eval_consistency": (
+        ('{"score": 1, "rationale": "r"}', "ok"), ('{"score": 5, "rationale": ""}', "ok"), ('{"score": 0, "rationale": "r"}', "invalid_reply"), ('{"score": 6, "rationale": "r"}', "invalid_reply"),
+        ('{"score": 3}', "invalid_reply"), (None, "no_reply"), ("three", "invalid_reply"), ('{"score": 3, "rationale": "r"', "invalid_reply"),
+    ),
+    "revision": (
+        ('{"action": "discard", "reasoning": "r"}', "ok"), ('{"action": "discard"}', "invalid_reply"), ('{"action": "keep", "reasoning": "r"}', "invalid_reply"), (None, "no_reply"),
+        ('{"action": "corrected", "claim_text": "a", "category": "guidance", "source_quote": "q", "confidence_flag": false, "reasoning": "r"}', "ok"),
+        ('{"action": "corrected", "claim_text": "a", "category": "guidance", "confidence_flag": false, "reasoning": "r"}', "invalid_reply"),
+        ('{"action": "corrected", "claim_text": "a", "category": "weather", "source_quote": "q", "confidence_flag": false, "reasoning": "r"}', "invalid_reply"),
+        ("[]", "invalid_reply"),
+    ),
+}
+
+
+def _replies(spark: SparkSession, sf_dir: str, stage: str) -> DataFrame:
+    body = F.element_at(F.array(*[F.lit(b) for b, _ in _BODIES[stage]]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(0).alias("claim_no"), F.lit(1).alias("sample_no"), F.lit(stage).alias("stage"), body.alias("body"), F.lit("end_turn").alias("stop_reason"))
+
+
+def _statuses(stage: str) -> str:
+    return f"[{', '.join(quoted(x) for _, x in _BODIES[stage])}][doc_id % 8 + 1]"
+
+
+@query(f"select doc_id, {_statuses('extraction')} as status, case doc_id % 8 when 0 then 0 when 1 then 1 end::int as n_claims from documents")
+def reply_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.parse_claims(_replies(spark, sf_dir, "extraction")).select("doc_id", "status", F.when(F.col("claims").isNotNull(), F.size("claims")).alias("n_claims"))
+
+
+@query(f"select doc_id, {_statuses('eval_consistency')} as status, case doc_id % 8 when 0 then 1 when 1 then 5 end::int as score from documents")
+def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.parse_scores(_replies(spark, sf_dir, "eval_consistency")).select("doc_id", "status", "score")
+
+
+@query(f"select doc_id, {_statuses('revision')} as status, case doc_id % 8 when 0 then 'discard' when 4 then 'corrected' end as action, case when doc_id % 8 = 4 then 'q' end as source_quote from documents")
+def reply_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.parse_revisions(_replies(spark, sf_dir, "revision")).select("doc_id", "status", "action", "source_quote")
+
+
+# The stages with a model by rule: calls, strict replies, and what becomes of the claims.
+
+
+def _by_rule(asked: list[dict]) -> list[dict]:
+    """Claims of the second and of a missing turn; scores and corrections as the queries above derive them."""
+    out = []
+    for q in asked:
+        doc, no = q["doc_id"], q["claim_no"]
+        if q["stage"] == "extraction":
+            claim = {"claim_text": "c", "category": "guidance", "confidence_flag": True}
+            found = [(2, "re-rated  outlook"), (2, "re-rated outlook"), (99, "re-rated"), (1, "")]
+            body = {"claims": [claim | {"source_turn_number": t, "source_quote": x} for t, x in found]}
+        elif q["stage"] == "eval_consistency":
+            body = {"score": 1 + (doc * 7 + no * 5 + q["sample_no"] * (doc % 4)) % 5, "rationale": "by rule"}
+        else:
+            fields = dict(line.split(": ", 1) for line in q["prompt"].split("\n", 2)[:2])
+            said = q["prompt"].split("\nTurn ", 1)[1].split(":\n", 1)[1]
+            body = {"action": "discard", "reasoning": "by rule"}
+            if no % 3:
+                body |= {"action": "corrected", "claim_text": "revised: " + fields["Claim"], "category": fields["Category"], "source_quote": said[:30] if no % 3 == 1 else "still wrong", "confidence_flag": _turn_of(fields["Claim"]) % 3 == 0}
+        out.append({"body": json.dumps(body), "stop_reason": "end_turn", "input_tokens": len(q["prompt"]), "output_tokens": no})
+    return out
+
+
+def _turn_of(claim: str) -> int:
+    return int(claim.split(" ")[1])
+
+
+@query(f"""with t as ({derive.SQL_TURNS}), c(claim_no, turn_number, quote) as (values (0, 2, 're-rated  outlook'), (1, 2, 're-rated outlook'), (2, 99, 're-rated'), (3, 1, '')),
+k as (select t.doc_id, c.claim_no from t join c using (turn_number) where contains(t.text, c.quote)) select d.doc_id, c.claim_no, case when k.doc_id is not null then 'kept'
+  when c.turn_number in (select turn_number from t where t.doc_id = d.doc_id) then 'quote_not_found' else 'turn_missing' end as status from (select distinct doc_id from t) d cross join c left join k on k.doc_id = d.doc_id and k.claim_no = c.claim_no""")
+def extracted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipeline.extract(derive.turns(spark, sf_dir), _by_rule, "rule", strict=True)
+    return found.claims.select("doc_id", "claim_no", F.lit(verify.KEPT).alias("status")).union(found.dropped.select("doc_id", "claim_no", "status"))
+
+
+@query(ORACLE["consistency"])
+def consistency_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two phases of model calls in place of given samples."""
+    c = derive.claims(spark, sf_dir)
+    scores, _ = pipeline.sample(c, _by_rule, "rule")
+    return cons.summarize(c, scores).select("doc_id", "claim_no", "dimension", F.array_join("samples", ",").alias("samples"), "median", "low", "high", "stable", "escalated")
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> pipeline.Revision:
+    c, t = _inputs(spark, sf_dir)
+    docs = t.select("doc_id").distinct()
+    return pipeline.correct(docs, c, t, pipeline.evaluate(docs, c, t, _by_rule, "rule"), _by_rule, "rule")
+
+
+@query(ORACLE["revised_claims"])
+def corrected_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation and revision as one pipeline of model calls."""
+    return _corrected(spark, sf_dir).claims
+
+
+@query(_FLAGGED + f"""select doc_id, count(rv.claim_no)::bigint as total, count(*) filter (contains({_NORM('turn_text')}, {_NORM('source_quote')}))::bigint as passed from (select distinct doc_id from t) left join rv using (doc_id) group by doc_id""")
+def corrected_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrected(spark, sf_dir).rates.select("doc_id", "total", "passed")
+
+
+# Guards, prompts and the default phrases.
+
+
+@query(_SCORES + f"select doc_id, claim_no, {_DIMENSION} as dimension from c where category in ('risk_factors', 'hedging_tone')")
+def judgment_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any other category would be an error."""
+    return cons.only_judgment_claims(cons.judgment_claims(derive.claims(spark, sf_dir))).select("doc_id", "claim_no", "dimension")
+
+
+@query(_CHECK + "select doc_id, claim_no from c where source_turn_number % 4 = 0 union all select doc_id, claim_no + 5000 from c where source_turn_number % 4 = 1")
+def unmatched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that only the claims, or only the results, have."""
+    c, t = _inputs(spark, sf_dir)
+    r = verify.faithfulness(c, t)
+    other = r.where("source_turn_number % 4 = 1").withColumn("claim_no", F.col("claim_no") + 5000)
+    return revise.unmatched(c, r.where("source_turn_number % 4 <> 0").union(other))
+
+
+@query(f"with c as ({derive.SQL_CLAIMS.replace('from t)', f'from ({derive.SQL_TURNS}))')}) select doc_id, claim_no, md5('Claim: ' || claim_text || chr(10) || 'Quote: \"' || source_quote || '\"') as digest from c")
+def claim_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.claims(spark, sf_dir).select("doc_id", "claim_no", F.md5(prompts.claim_prompt()).alias("digest"))
+
+
+@query(_CHECK + """select doc_id, claim_no, md5('Claim: ' || claim_text || chr(10) || 'Category: ' || category || chr(10) || 'Quote: ' || source_quote || chr(10) || 'Problems:' || chr(10) || '- ' || found || chr(10) || '- again' || chr(10)
+  || 'Turn ' || source_turn_number || ':' || chr(10) || turn_text) as digest from f where found = 'quote_not_found'""")
+def revision_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = _inputs(spark, sf_dir)
+    bad = verify.faithfulness(c, t).where("reason = 'quote_not_found'").withColumn("contexts", F.array("reason", F.lit("again")))
+    return verify.cited(bad, t).select("doc_id", "claim_no", F.md5(prompts.revision_prompt()).alias("digest"))
+
+
+@query("select doc_id, 'extraction' as stage, 'none' as model, 0::bigint as input_tokens, 0::bigint as output_tokens, 0::bigint as cache_creation_input_tokens, 0::bigint as cache_read_input_tokens from documents where doc_id not in (select conv_id from conversations)")
+def uncalled_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without turns make no call: their usage is a row of zeros."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return usage.zero_rows(d.join(derive.turns(spark, sf_dir), "doc_id", "left_anti"), "extraction", "none")
+
+
+_PHRASES = [p for p, _ in DEFAULT.hedging + DEFAULT.confident]
+_PLANTED = f"'Then ' || case when doc_id % 2 = 0 then upper(p) else p end || case when doc_id % 3 = 0 then 'x' when doc_id % 3 = 1 then ', it said' else '.' end"
+_PLANTED_SQL = f"with d as (select doc_id, [{', '.join(map(quoted, _PHRASES))}][doc_id % {len(_PHRASES)} + 1] as p from documents), t as (select doc_id, {_PLANTED} as text from d)"
+
+
+@query(_PLANTED_SQL + f""", m as (select doc_id, {_found_sql(DEFAULT.hedging, "text")} as hedges, {_found_sql(DEFAULT.confident, "text")} as sures from t)
+select *, case when hedges <> '' then '{HEDGED}' when sures <> '' then '{CONFIDENT}' else '{UNMARKED}' end as label from m""")
+def default_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each default phrase planted, in two cases, as a word of its own and as part of a longer one."""
+    p = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES) + 1).cast("int"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", p.alias("p")).select("doc_id", F.expr(_PLANTED).alias("text"))
+    names = lambda c: F.array_join(F.array_sort(F.transform(c, lambda m: m["phrase"])), ",")
+    return hedging.classify(d).select("doc_id", "label", names("hedge_matches").alias("hedges"), names("confident_matches").alias("sures"))
+
+
+@query("select bucket, category, phrase, ord from (values " + ", ".join(f"({quoted(b)}, {quoted(c)}, {quoted(p)}, {i})" for b, c, p, i in DEFAULT.rows()) + ") v(bucket, category, phrase, ord)")
+def default_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_table(spark, DEFAULT)
+
+
+@query("select status, count(*)::bigint as n_files from (select 'unreadable' as status from (values (1), (2)) v(x)) group by status")
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the text decoder cannot read are rows with a status, not errors."""
+    return load(spark, sf_dir, pattern="{nation,region}.parquet").groupBy("status").agg(F.count("*").alias("n_files"))

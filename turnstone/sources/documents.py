@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ OK, UNREADABLE, ZERO_PAGES, NO_TEXT = "ok", "unreadable", "zero_pages", "no_text
 LOADED = "doc_id BIGINT, source_path STRING, page_count INT, text STRING, decoded BOOLEAN"
 
 
+class MissingPath(FileNotFoundError):
+    """The path to load from does not exist."""
+
+
 def plain_text(data: bytes) -> list[str]:
     """Pages of a text file, set apart by form feeds."""
     if not data:
@@ -34,9 +39,17 @@ def gate(docs: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, decoder: Decoder = plain_text, pattern: str | None = None, strict: bool = False) -> DataFrame:
-    """doc_id (a hash of the path), source_path, page_count, text, status of every file; ``strict`` fails on a bad one."""
+    """doc_id (a hash of the path), source_path, page_count, text, status of every file; ``strict`` fails on a bad one.
+
+    A path that does not exist is a MissingPath error.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    try:
+        found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise MissingPath(f"PATH_NOT_FOUND: {path}") from e
+        raise
     # Spark's readers pass over files without a byte: the listing has them
     one_form = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
     listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(one_form("path").alias("path"))

@@ -33,6 +33,9 @@ def segment_stream(spark: SparkSession, source: str, schema: StructType, out: st
 
 
 def check_stream(spark: SparkSession, source: str, schema: StructType, turns: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Faithfulness of arriving claims against a table of turns: a stream-static join, appended as parquet."""
-    results = verify.faithfulness(spark.readStream.schema(schema).parquet(source), verify.last_turns(turns))
-    return results.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Faithfulness of arriving claims against a table of turns, as parquet by batch; a batch that is run again replaces its rows."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        verify.faithfulness(batch, turns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _start(spark.readStream.schema(schema).parquet(source), each, checkpoint)
