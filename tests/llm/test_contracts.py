@@ -425,12 +425,14 @@ def test_language_model_scores(spark):
             assert abs(got[i][side] - sum(loss) / len(loss)) < 1e-4
 
 
-def test_language_models_hold_every_word(spark, monkeypatch):
+@pytest.mark.parametrize("buckets", [256, 1 << 16])
+def test_language_models_hold_every_word(spark, monkeypatch, buckets):
     """Texts of rare words keep losses of their own: losses by hand over all words, many chunks, no folded words."""
     import math
     from collections import Counter
 
     monkeypatch.setattr(lmscore, "HOLD", 500)
+    monkeypatch.setattr(lmscore, "LEAST_BUCKETS", buckets)
     own = random.Random(3)
     data = [(i, " ".join(f"w{i % 80}_{own.randint(0, 39)}" for _ in range(40))) for i in range(160)] + [(None, "w1_1 w1_2"), (5, "W5_1 w5_1")]
     good = {i for i, _ in data if i is not None and i % 80 < 40 and i < 80}
@@ -461,6 +463,15 @@ def test_language_models_hold_every_word(spark, monkeypatch):
     assert all(scores[80 + i] < scores[120 + i] for i in range(40))
 
 
+def test_language_model_rows_grow_with_keys_and_not_with_buckets(spark):
+    d = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(300)], "doc_id long, text string")
+    given = lmscore._good(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).repartition(15)
+    sent = given.mapInArrow(lmscore._chunks(1 << 16), lmscore._ROW)
+    chunks = sent.where("dest < 0").count()
+    assert chunks > 10 and sent.where("dest >= 0").count() <= 300 * 7 + chunks
+    assert lmscore._totals(given, 1 << 16) == (301, 900, 0)
+
+
 def test_components(spark):
     nodes = list(range(-50, 250))
     edges = [(-50, i) for i in range(-49, 0)] + [(i, i + 1) for i in range(100, 180)] + [(rng.choice(nodes[150:]), rng.choice(nodes[150:])) for _ in range(60)] + [(7, 7), (5, 3), (3, 5)]

@@ -7,13 +7,15 @@ distinct words, WIDTH at least.
 
 Counts are tables that grow with the corpus and stay distributed:
 
-1. Tasks cut their documents into chunks of up to HOLD words and count each chunk's words, predecessors and pairs.
-   The counts go by hash to buckets, one row per chunk and bucket; the chunk itself goes on as word numbers.
-2. A bucket adds up its keys over all chunks and answers each chunk with the sums of the keys it asked for.
-3. Chunks meet their answers and score their documents.
+1. A first pass finds three numbers: the distinct words of all documents, their tokens, and the target's tokens.
+2. Tasks cut their documents into chunks of up to HOLD words and count each chunk's words, predecessors and pairs.
+   The counts go by hash to buckets, one row per chunk and bucket that it has a key of; the chunk itself goes on as word numbers.
+3. A bucket adds up its keys over all chunks and answers each chunk with the sums of the keys it asked for.
+4. Chunks meet their answers and score their documents.
 
-A frequent word or pair is one entry per chunk, however many documents hold it. Each bucket answers with its number
-of distinct words and tokens too, so a chunk knows those of the corpus. Nothing is collected or broadcast but labels.
+A frequent word or pair is one entry per chunk, however many documents hold it, and a chunk has no more rows than keys, so
+both entries and rows grow with the text and not with chunks times buckets. Nothing is collected or broadcast but labels
+(and the three numbers). With labels beyond BROADCAST_ROWS each pass shuffles the texts to them.
 
 Cases: null or wordless text has 0 tokens and null losses; without target text the models agree and the score is
 0; rows that repeat count and are scored again; words are lower-cased in A-Z and split at ASCII blanks.
@@ -33,8 +35,9 @@ from .textnum import U, mix, packed, pieces, unpacked, word_hashes, word_spans
 WIDTH, SMOOTH, BROADCAST_ROWS = 1024, 50.0, 1_000_000
 HOLD, LEAST_BUCKETS, BYTES_A_BUCKET = 2_000_000, 256, 1 << 22  # words of a chunk; text whose counts a bucket holds
 _SINGLE, _BEFORE, _START = U(0x8F1BBCDCBFA53E0B), U(0xCA62C1D66ED9EBA1), U(0x5BE0CD19137E2179)
+_WORDS = "dest long, keys binary, n long, t long"
 _ROW = "dest long, chunk long, keys binary, n binary, t binary, doc_id binary, known binary, size binary"
-_ANSWER = "chunk long, bucket long, n binary, t binary, words long, tokens long, target long, keys binary, doc_id binary, known binary, size binary"
+_ANSWER = "chunk long, bucket long, n binary, t binary, keys binary, doc_id binary, known binary, size binary"
 
 
 def _keys(vocabulary: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple:
@@ -59,16 +62,54 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(keys[order] >> U(65 - buckets.bit_length()), np.arange(buckets + 1).astype(U))
 
 
+def _read(batches, hold: int):
+    """Documents of over ``hold`` words at a time: word hashes, number of words, doc_id, whether it is known, and good."""
+    held, size = [], 0
+    for b in batches:
+        ids = b.column("doc_id")
+        known, good = ids.is_valid().to_numpy(zero_copy_only=False), b.column("good").to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        for i, j, buf, off in pieces(b):
+            s, e, first = word_spans(buf, off)
+            held.append((word_hashes(buf, s, e, lower=True) if len(s) else np.zeros(0, U), np.diff(first).astype(np.int64), ids[i:j], known[i:j], good[i:j]))
+            size += len(s)
+            if size > hold:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _totals(docs: DataFrame, buckets: int) -> tuple[int, int, int]:
+    """Distinct words and tokens of all documents, and the tokens of the target."""
+    hold = HOLD
+
+    def words(batches):
+        for hashes, k, _, _, good in _read(batches, hold):
+            keys, at = np.unique(hashes, return_inverse=True)
+            n, t = np.bincount(at, minlength=len(keys)), np.bincount(at[np.repeat(good, k)], minlength=len(keys))
+            _, cuts = _dealt(keys, buckets)
+            rows = [(int(i), packed(np.diff(keys[x], prepend=U(0))), int(n[x].sum()), int(t[x].sum())) for i in np.flatnonzero(np.diff(cuts)) for x in [slice(cuts[i], cuts[i + 1])]]
+            if rows:
+                yield _batch(rows, _WORDS)
+
+    def add(table):
+        held = np.concatenate([np.cumsum(unpacked(x, U), dtype=U) for x in table.column("keys").to_pylist()])
+        return pa.table([[len(np.unique(held))], [sum(table.column("n").to_pylist())], [sum(table.column("t").to_pylist())]], ["words", "n", "t"])
+
+    found = docs.mapInArrow(words, _WORDS).groupBy("dest").applyInArrow(add, "words long, n long, t long")
+    return tuple(x or 0 for x in found.agg(F.sum("words"), F.sum("n"), F.sum("t")).first())
+
+
 def _chunks(buckets: int):
-    """Per chunk one row with its documents, dest -1 - chunk, and one row with its counts for every bucket."""
+    """Per chunk one row with its documents, dest -1 - chunk, and one row with its counts for each bucket that it has keys of."""
+    hold = HOLD
 
     def run(batches):
-        held, size, no, task = [], 0, 0, TaskContext.get().partitionId()
-
-        def emit():
+        task = TaskContext.get().partitionId()
+        for no, (hashes, k, doc, known, good) in enumerate(_read(batches, hold)):
             chunk = (task << 32) + no
-            vocabulary, ids, often = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
-            k, doc, known, good = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
+            vocabulary, ids, often = np.unique(hashes, return_inverse=True, return_counts=True)
             order = np.argsort(-often, kind="stable")  # frequent words get low numbers
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(1, len(order) + 1)
@@ -77,26 +118,13 @@ def _chunks(buckets: int):
             side, v = np.repeat(good, k), len(vocabulary)
             parts = ((ids - 1, v), (before, v + 1), (at, len(keys) - 2 * v - 1))
             n, t = (np.concatenate([np.bincount(x[where], minlength=m) for x, m in parts]).astype(np.int32) for where in (slice(None), side))
-            yield (-1 - chunk, chunk, packed(vocabulary), packed(ids), None, packed(doc), packed(known), packed(k))
+            rows = [(-1 - chunk, chunk, packed(vocabulary), packed(ids), None, packed(doc), packed(known), packed(k))]
             order, cuts = _dealt(keys, buckets)
             keys, n, t = keys[order], n[order], t[order]
-            for i in range(buckets):
+            for i in np.flatnonzero(np.diff(cuts)):
                 x = slice(cuts[i], cuts[i + 1])
-                yield (i, chunk, packed(np.diff(keys[x], prepend=U(0))), packed(n[x]), packed(t[x]), None, None, None)
-
-        for b in batches:
-            ids = b.column("doc_id")
-            known, good = ids.is_valid().to_numpy(zero_copy_only=False), b.column("good").to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for i, j, buf, off in pieces(b):
-                s, e, first = word_spans(buf, off)
-                held.append((word_hashes(buf, s, e, lower=True) if len(s) else np.zeros(0, U), np.diff(first).astype(np.int64), ids[i:j], known[i:j], good[i:j]))
-                size += len(s)
-                if size > HOLD:
-                    yield _batch(list(emit()), _ROW)
-                    held, size, no = [], 0, no + 1
-        if held:
-            yield _batch(list(emit()), _ROW)
+                rows.append((int(i), chunk, packed(np.diff(keys[x], prepend=U(0))), packed(n[x]), packed(t[x]), None, None, None))
+            yield _batch(rows, _ROW)
 
     return run
 
@@ -111,39 +139,37 @@ def _add(table: pa.Table) -> pa.Table:
     """The sums of a bucket's keys, as an answer to each of its chunks; the documents of a chunk pass."""
     rows = table.to_pylist()
     if rows[0]["dest"] < 0:
-        out = [(r["chunk"], None, r["n"], None, None, None, None, r["keys"], r["doc_id"], r["known"], r["size"]) for r in rows]
+        out = [(r["chunk"], None, r["n"], None, r["keys"], r["doc_id"], r["known"], r["size"]) for r in rows]
         return pa.Table.from_batches([_batch(out, _ANSWER)])
     asked = [np.cumsum(unpacked(r["keys"], U), dtype=U) for r in rows]
     cuts = np.r_[0, np.cumsum([len(x) for x in asked])]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
     n, t = (np.bincount(at, np.concatenate([unpacked(r[side], np.int32) for r in rows]), len(keys)).astype(np.int64) for side in ("n", "t"))
-    words = (keys & U(1)).astype(bool)
-    total = (int(words.sum()), int(n[words].sum()), int(t[words].sum()))
     out = []
     for i, r in enumerate(rows):
         x = at[cuts[i] : cuts[i + 1]]
-        out.append((r["chunk"], r["dest"], packed(n[x]), packed(t[x]), *total, None, None, None, None))
+        out.append((r["chunk"], r["dest"], packed(n[x]), packed(t[x]), None, None, None, None))
     return pa.Table.from_batches([_batch(out, _ANSWER)])
 
 
-def _score(buckets: int):
+def _score(buckets: int, words: int, all_tokens: int, target_tokens: int):
     def run(table: pa.Table) -> pa.Table:
         given = sorted(table.to_pylist(), key=lambda r: -1 if r["bucket"] is None else r["bucket"])
         own, given = given[0], given[1:]
-        if [r["bucket"] for r in given] != list(range(buckets)):
-            raise RuntimeError("a chunk lacks the counts of a bucket")
         vocabulary, ids, size = unpacked(own["keys"], U), unpacked(own["n"], np.int32), unpacked(own["size"], np.int64)
         keys, _, a, b, at = _keys(vocabulary, ids, size)
         order, _ = _dealt(keys, buckets)
-        total = {name: sum(r[name] for r in given) for name in ("words", "tokens", "target")}
-        width, v, loss = max(WIDTH, total["words"]), len(vocabulary), {}
+        width, v, loss = max(WIDTH, words), len(vocabulary), {}
         end = np.cumsum(size)
-        for side, column, tokens in (("background", "n", total["tokens"]), ("target", "t", total["target"])):
+        for side, column, tokens in (("background", "n", all_tokens), ("target", "t", target_tokens)):
             if side == "target" and not tokens:
                 loss[side] = loss["background"]
                 continue
             n = np.empty(len(keys))
-            n[order] = np.concatenate([unpacked(r[column], np.int64) for r in given])
+            counts = np.concatenate([unpacked(r[column], np.int64) for r in given])
+            if own["bucket"] is not None or len(counts) != len(keys):
+                raise RuntimeError("a chunk lacks the counts of a bucket")
+            n[order] = counts
             p = (n[:v] + 1) / (tokens + width)
             pair = -np.log((n[2 * v + 1 :] + SMOOTH * p[b - 1]) / (n[v + a] + SMOOTH))
             sums = np.r_[0, np.cumsum(pair[at])]
@@ -169,6 +195,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, 1 << (size // BYTES_A_BUCKET).bit_length())
-    counts = _good(docs, labels).mapInArrow(_chunks(buckets), _ROW)
-    answers = counts.groupBy("dest").applyInArrow(_add, _ANSWER)
-    return answers.groupBy("chunk").applyInArrow(_score(buckets), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    given = _good(docs, labels)
+    totals = _totals(given, buckets)
+    answers = given.mapInArrow(_chunks(buckets), _ROW).groupBy("dest").applyInArrow(_add, _ANSWER)
+    return answers.groupBy("chunk").applyInArrow(_score(buckets, *totals), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
