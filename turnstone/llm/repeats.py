@@ -352,8 +352,8 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
     later = same.where("rid <> first").select("rid")
     whole = (later if spare_first else same.select("rid")).select("rid", F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
     few = later.count() <= BROADCAST_ROWS
+    buckets = shard_count(docs)  # of all texts, as a count of those left would shuffle them once more where ``later`` is long
     docs = docs.join(F.broadcast(later) if few else later.hint("shuffle_hash"), "rid", "left_anti")
-    buckets = shard_count(docs)
     anchors = cut(shared_anchors(docs, kind, buckets))
     free(spark)
     with_anchors, _ = split(docs, anchors)
