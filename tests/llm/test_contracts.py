@@ -464,12 +464,25 @@ def test_language_models_hold_every_word(spark, monkeypatch, buckets):
 
 
 def test_language_model_rows_grow_with_keys_and_not_with_buckets(spark):
-    d = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(300)], "doc_id long, text string")
-    given = lmscore._good(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).repartition(15)
-    sent = given.mapInArrow(lmscore._chunks(1 << 16), lmscore._ROW)
-    chunks = sent.where("dest < 0").count()
-    assert chunks > 10 and sent.where("dest >= 0").count() <= 300 * 7 + chunks
-    assert lmscore._totals(given, 1 << 16) == (301, 900, 0)
+    d = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(300)], "doc_id long, text string").repartition(15)
+    none = spark.createDataFrame([], "doc_id long")
+    own = d.mapInArrow(lmscore._chunks(), lmscore._OWN)
+    chunks = own.count()
+    marked = spark.createDataFrame([], "chunk long, place long")
+    sent = own.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(lmscore._count(1 << 16), lmscore._COUNTS)
+    assert chunks > 10 and sent.count() <= 300 * 7 + chunks
+    assert lmscore._totals(d, none, 1 << 16) == (301, 900, 0)
+
+
+def test_language_model_shuffles_texts_once(spark, tmp_path):
+    """Chunks of texts are shuffled by one exchange that all steps read, and labels never reach a join with texts."""
+    spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d, labels = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    out = lmscore.score(d, labels)
+    assert len(out.collect()) == 300
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") == 2
 
 
 def test_components(spark):

@@ -5,17 +5,20 @@ word of all documents is in the shared vocabulary; a START stands before each te
 (n(a, b) + SMOOTH * p(b)) / (n(a) + SMOOTH), where p is the side's own unigram model, smoothed over the number of
 distinct words, WIDTH at least.
 
-Counts are tables that grow with the corpus and stay distributed:
+Counts are tables that grow with the corpus and stay distributed, and labels are joined to document numbers, not to texts:
 
-1. A first pass finds three numbers: the distinct words of all documents, their tokens, and the target's tokens.
-2. Tasks cut their documents into chunks of up to HOLD words and count each chunk's words, predecessors and pairs.
-   The counts go by hash to buckets, one row per chunk and bucket that it has a key of; the chunk itself goes on as word numbers.
-3. A bucket adds up its keys over all chunks and answers each chunk with the sums of the keys it asked for.
-4. Chunks meet their answers and score their documents.
+1. A first pass finds two numbers, the distinct words and the tokens of all documents; a second one, from document
+   numbers and sizes, the target's tokens.
+2. Tasks cut their documents into chunks of up to HOLD words, as word numbers over the chunk's vocabulary. This is the one
+   form of the texts that is shuffled, once, by chunk: the steps below share that shuffle.
+3. The chunk's document numbers are joined with the labels, and the places of labelled documents come back to it.
+4. A chunk counts its words, predecessors and pairs. The counts go by hash to buckets, one row per chunk and bucket that
+   it has a key of; a bucket adds up its keys over all chunks and answers each chunk with the sums of the keys it asked for.
+5. Chunks meet their answers and score their documents.
 
 A frequent word or pair is one entry per chunk, however many documents hold it, and a chunk has no more rows than keys, so
-both entries and rows grow with the text and not with chunks times buckets. Nothing is collected or broadcast but labels
-(and the three numbers). With labels beyond BROADCAST_ROWS each pass shuffles the texts to them.
+both entries and rows grow with the text and not with chunks times buckets. Nothing is collected or broadcast but the three
+numbers, at any size.
 
 Cases: null or wordless text has 0 tokens and null losses; without target text the models agree and the score is
 0; rows that repeat count and are scored again; words are lower-cased in A-Z and split at ASCII blanks.
@@ -32,12 +35,13 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textnum import U, mix, packed, pieces, unpacked, word_hashes, word_spans
 
-WIDTH, SMOOTH, BROADCAST_ROWS = 1024, 50.0, 1_000_000
+WIDTH, SMOOTH = 1024, 50.0
 HOLD, LEAST_BUCKETS, BYTES_A_BUCKET = 2_000_000, 256, 1 << 22  # words of a chunk; text whose counts a bucket holds
 _SINGLE, _BEFORE, _START = U(0x8F1BBCDCBFA53E0B), U(0xCA62C1D66ED9EBA1), U(0x5BE0CD19137E2179)
-_WORDS = "dest long, keys binary, n long, t long"
-_ROW = "dest long, chunk long, keys binary, n binary, t binary, doc_id binary, known binary, size binary"
-_ANSWER = "chunk long, bucket long, n binary, t binary, keys binary, doc_id binary, known binary, size binary"
+_WORDS = "dest long, keys binary, n long"
+_OWN = "chunk long, vocabulary binary, ids binary, doc_id binary, known binary, size binary"
+_COUNTS = "dest long, chunk long, keys binary, n binary, t binary"
+_ANSWER = "chunk long, bucket long, n binary, t binary"
 
 
 def _keys(vocabulary: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple:
@@ -63,16 +67,15 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(batches, hold: int):
-    """Documents of over ``hold`` words at a time: word hashes, number of words, doc_id, whether it is known, and good."""
+    """Documents of over ``hold`` words (or so many documents) at a time: word hashes, number of words, doc_id, whether it is known."""
     held, size = [], 0
     for b in batches:
         ids = b.column("doc_id")
-        known, good = ids.is_valid().to_numpy(zero_copy_only=False), b.column("good").to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
         for i, j, buf, off in pieces(b):
             s, e, first = word_spans(buf, off)
-            held.append((word_hashes(buf, s, e, lower=True) if len(s) else np.zeros(0, U), np.diff(first).astype(np.int64), ids[i:j], known[i:j], good[i:j]))
-            size += len(s)
+            held.append((word_hashes(buf, s, e, lower=True) if len(s) else np.zeros(0, U), np.diff(first).astype(np.int64), ids[i:j], known[i:j]))
+            size += len(s) + j - i
             if size > hold:
                 yield [np.concatenate(x) for x in zip(*held, strict=True)]
                 held, size = [], 0
@@ -80,51 +83,73 @@ def _read(batches, hold: int):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _totals(docs: DataFrame, buckets: int) -> tuple[int, int, int]:
+def _totals(docs: DataFrame, good: DataFrame, buckets: int) -> tuple[int, int, int]:
     """Distinct words and tokens of all documents, and the tokens of the target."""
     hold = HOLD
 
     def words(batches):
-        for hashes, k, _, _, good in _read(batches, hold):
-            keys, at = np.unique(hashes, return_inverse=True)
-            n, t = np.bincount(at, minlength=len(keys)), np.bincount(at[np.repeat(good, k)], minlength=len(keys))
+        for hashes, _, _, _ in _read(batches, hold):
+            keys, n = np.unique(hashes, return_counts=True)
             _, cuts = _dealt(keys, buckets)
-            rows = [(int(i), packed(np.diff(keys[x], prepend=U(0))), int(n[x].sum()), int(t[x].sum())) for i in np.flatnonzero(np.diff(cuts)) for x in [slice(cuts[i], cuts[i + 1])]]
+            rows = [(int(i), packed(np.diff(keys[x], prepend=U(0))), int(n[x].sum())) for i in np.flatnonzero(np.diff(cuts)) for x in [slice(cuts[i], cuts[i + 1])]]
             if rows:
                 yield _batch(rows, _WORDS)
 
     def add(table):
         held = np.concatenate([np.cumsum(unpacked(x, U), dtype=U) for x in table.column("keys").to_pylist()])
-        return pa.table([[len(np.unique(held))], [sum(table.column("n").to_pylist())], [sum(table.column("t").to_pylist())]], ["words", "n", "t"])
+        return pa.table([[len(np.unique(held))], [sum(table.column("n").to_pylist())]], ["words", "n"])
 
-    found = docs.mapInArrow(words, _WORDS).groupBy("dest").applyInArrow(add, "words long, n long, t long")
-    return tuple(x or 0 for x in found.agg(F.sum("words"), F.sum("n"), F.sum("t")).first())
+    def sizes(batches):
+        for b in batches:
+            n = [np.diff(word_spans(buf, off)[2]) for _, _, buf, off in pieces(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], ["doc_id", "size"])
 
+    found = docs.mapInArrow(words, _WORDS).groupBy("dest").applyInArrow(add, "words long, n long").agg(F.sum("words"), F.sum("n")).first()
+    target = docs.mapInArrow(sizes, "doc_id long, size long").join(good, "doc_id", "left_semi").agg(F.sum("size")).first()
+    return tuple(x or 0 for x in (*found, *target))
 
-def _chunks(buckets: int):
-    """Per chunk one row with its documents, dest -1 - chunk, and one row with its counts for each bucket that it has keys of."""
+
+def _chunks():
+    """Per chunk one row with its vocabulary, its documents as places in it (from 1), and their numbers and sizes."""
     hold = HOLD
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        for no, (hashes, k, doc, known, good) in enumerate(_read(batches, hold)):
-            chunk = (task << 32) + no
+        for no, (hashes, k, doc, known) in enumerate(_read(batches, hold)):
             vocabulary, ids, often = np.unique(hashes, return_inverse=True, return_counts=True)
             order = np.argsort(-often, kind="stable")  # frequent words get low numbers
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(1, len(order) + 1)
-            vocabulary, ids = vocabulary[order], place[ids]
-            keys, before, _, _, at = _keys(vocabulary, ids, k)
-            side, v = np.repeat(good, k), len(vocabulary)
-            parts = ((ids - 1, v), (before, v + 1), (at, len(keys) - 2 * v - 1))
-            n, t = (np.concatenate([np.bincount(x[where], minlength=m) for x, m in parts]).astype(np.int32) for where in (slice(None), side))
-            rows = [(-1 - chunk, chunk, packed(vocabulary), packed(ids), None, packed(doc), packed(known), packed(k))]
-            order, cuts = _dealt(keys, buckets)
-            keys, n, t = keys[order], n[order], t[order]
-            for i in np.flatnonzero(np.diff(cuts)):
-                x = slice(cuts[i], cuts[i + 1])
-                rows.append((int(i), chunk, packed(np.diff(keys[x], prepend=U(0))), packed(n[x]), packed(t[x]), None, None, None))
-            yield _batch(rows, _ROW)
+            yield _batch([((task << 32) + no, packed(vocabulary[order]), packed(place[ids]), packed(doc), packed(known), packed(k))], _OWN)
+
+    return run
+
+
+def _numbers(table: pa.Table) -> pa.Table:
+    """The known document numbers of a chunk and their places in it."""
+    own = table.to_pylist()[0]
+    doc, known = unpacked(own["doc_id"], np.int64), unpacked(own["known"], bool)
+    place = np.flatnonzero(known)
+    return pa.table([np.full(len(place), own["chunk"], np.int64), place, doc[place]], ["chunk", "place", "doc_id"])
+
+
+def _count(buckets: int):
+    """A chunk's counts, as one row for each bucket that it has keys of; ``marked`` has the places of target documents."""
+
+    def run(own: pa.Table, marked: pa.Table) -> pa.Table:
+        own = own.to_pylist()[0]
+        vocabulary, ids, size = unpacked(own["vocabulary"], U), unpacked(own["ids"], np.int32), unpacked(own["size"], np.int64)
+        good = np.zeros(len(size), bool)
+        good[marked.column("place").to_numpy()] = True
+        keys, before, _, _, at = _keys(vocabulary, ids, size)
+        side, v = np.repeat(good, size), len(vocabulary)
+        parts = ((ids - 1, v), (before, v + 1), (at, len(keys) - 2 * v - 1))
+        n, t = (np.concatenate([np.bincount(x[where], minlength=m) for x, m in parts]).astype(np.int32) for where in (slice(None), side))
+        order, cuts = _dealt(keys, buckets)
+        keys, n, t = keys[order], n[order], t[order]
+        slices = [(int(i), slice(cuts[i], cuts[i + 1])) for i in np.flatnonzero(np.diff(cuts))]
+        rows = [(i, own["chunk"], packed(np.diff(keys[x], prepend=U(0))), packed(n[x]), packed(t[x])) for i, x in slices]
+        return pa.Table.from_batches([_batch(rows, _COUNTS)])
 
     return run
 
@@ -136,11 +161,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """The sums of a bucket's keys, as an answer to each of its chunks; the documents of a chunk pass."""
+    """The sums of a bucket's keys, as an answer to each of its chunks."""
     rows = table.to_pylist()
-    if rows[0]["dest"] < 0:
-        out = [(r["chunk"], None, r["n"], None, r["keys"], r["doc_id"], r["known"], r["size"]) for r in rows]
-        return pa.Table.from_batches([_batch(out, _ANSWER)])
     asked = [np.cumsum(unpacked(r["keys"], U), dtype=U) for r in rows]
     cuts = np.r_[0, np.cumsum([len(x) for x in asked])]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
@@ -148,15 +170,14 @@ def _add(table: pa.Table) -> pa.Table:
     out = []
     for i, r in enumerate(rows):
         x = at[cuts[i] : cuts[i + 1]]
-        out.append((r["chunk"], r["dest"], packed(n[x]), packed(t[x]), None, None, None, None))
+        out.append((r["chunk"], r["dest"], packed(n[x]), packed(t[x])))
     return pa.Table.from_batches([_batch(out, _ANSWER)])
 
 
 def _score(buckets: int, words: int, all_tokens: int, target_tokens: int):
-    def run(table: pa.Table) -> pa.Table:
-        given = sorted(table.to_pylist(), key=lambda r: -1 if r["bucket"] is None else r["bucket"])
-        own, given = given[0], given[1:]
-        vocabulary, ids, size = unpacked(own["keys"], U), unpacked(own["n"], np.int32), unpacked(own["size"], np.int64)
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        own, given = own.to_pylist()[0], sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        vocabulary, ids, size = unpacked(own["vocabulary"], U), unpacked(own["ids"], np.int32), unpacked(own["size"], np.int64)
         keys, _, a, b, at = _keys(vocabulary, ids, size)
         order, _ = _dealt(keys, buckets)
         width, v, loss = max(WIDTH, words), len(vocabulary), {}
@@ -167,7 +188,7 @@ def _score(buckets: int, words: int, all_tokens: int, target_tokens: int):
                 continue
             n = np.empty(len(keys))
             counts = np.concatenate([unpacked(r[column], np.int64) for r in given])
-            if own["bucket"] is not None or len(counts) != len(keys):
+            if len(counts) != len(keys):
                 raise RuntimeError("a chunk lacks the counts of a bucket")
             n[order] = counts
             p = (n[:v] + 1) / (tokens + width)
@@ -181,21 +202,18 @@ def _score(buckets: int, words: int, all_tokens: int, target_tokens: int):
     return run
 
 
-def _good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, good of every row; other columns of the tables, whatever their names, stay behind."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.lit(True).alias("good")).distinct()
-    few = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    d, g = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d"), good.alias("g")
-    both = d.join(F.broadcast(g) if few else g, F.col("d.doc_id") == F.col("g.doc_id"), "left")
-    return both.select("d.doc_id", "d.text", F.coalesce("g.good", F.lit(False)).alias("good"))
-
-
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (target minus background, per token; low is near the target)."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, 1 << (size // BYTES_A_BUCKET).bit_length())
-    given = _good(docs, labels)
-    totals = _totals(given, buckets)
-    answers = given.mapInArrow(_chunks(buckets), _ROW).groupBy("dest").applyInArrow(_add, _ANSWER)
-    return answers.groupBy("chunk").applyInArrow(_score(buckets, *totals), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    # other columns of the tables, whatever their names, stay behind
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    totals = _totals(given, good, buckets)
+    own = given.mapInArrow(_chunks(), _OWN)
+    marked = own.groupBy("chunk").applyInArrow(_numbers, "chunk long, place long, doc_id long").join(good, "doc_id").select("chunk", "place")
+    counts = own.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(_count(buckets), _COUNTS)
+    answers = counts.groupBy("dest").applyInArrow(_add, _ANSWER)
+    scored = own.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return scored.applyInArrow(_score(buckets, *totals), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
