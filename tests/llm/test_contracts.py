@@ -180,6 +180,23 @@ def test_repeated_bytes(docs, rows, monkeypatch, hot):
     assert table(suffixes.remove_repeats(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(dict(rows))
 
 
+@pytest.mark.parametrize("bounds", [(1, 10_000), (1, 1), (0, 10_000)])
+def test_repeats_where_lists_of_documents_are_long(spark, docs, rows, monkeypatch, bounds):
+    """The path of lists beyond BROADCAST_ROWS: copies go by their anchors, texts are joined by shuffles."""
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", bounds[0])
+    monkeypatch.setattr(repeats, "HOT", bounds[1])
+    assert table(fmindex.remove_repeats(docs), "n_words", "n_removed", "kept_sha256") == brute.repeated_windows(dict(rows))
+    assert table(suffixes.remove_repeats(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(dict(rows))
+    own = random.Random(8)
+    words = lambda n: " ".join(f"x{own.randint(0, 10**6)}" for _ in range(n))
+    alone, shared = words(90), words(60)  # copies of a text that nothing else shares, and of one that holds a shared passage
+    data = {i: alone for i in (3, 5, 9)} | {i: f"{words(20)} {shared} {words(20)}" for i in (1, 4)} | {2: words(80), 7: None, 8: ""}
+    data |= {6: data[4], 10: data[4]}
+    d = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(3)
+    assert table(fmindex.remove_repeats(d), "n_words", "n_removed", "kept_sha256") == brute.repeated_windows(data)
+    assert table(suffixes.remove_repeats(d), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(data)
+
+
 def test_suffix_order_is_the_order_of_suffixes():
     import numpy as np
 

@@ -353,8 +353,14 @@ def repeated(docs: DataFrame, kind: Kind, find: Callable[[Part], tuple[np.ndarra
     whole = (later if spare_first else same.select("rid")).select("rid", F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
     few = later.count() <= BROADCAST_ROWS
     buckets = shard_count(docs)  # of all texts, as a count of those left would shuffle them once more where ``later`` is long
-    docs = docs.join(F.broadcast(later) if few else later.hint("shuffle_hash"), "rid", "left_anti")
-    anchors = cut(shared_anchors(docs, kind, buckets))
+    if few:
+        docs = docs.join(F.broadcast(later), "rid", "left_anti")
+    anchors = shared_anchors(docs, kind, buckets)
+    if not few:
+        # numbers meet numbers and texts stay: anchors of copies are counted too, so that what copies alone repeat goes to a
+        # shard, which tells that its one text there repeats nothing
+        anchors = anchors.join(later.hint("shuffle_hash"), "rid", "left_anti")
+    anchors = cut(anchors)
     free(spark)
     with_anchors, _ = split(docs, anchors)
     # sorted by document, so that a chunk holds the same whatever task is run again; rows that repeat are one document
