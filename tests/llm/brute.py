@@ -115,3 +115,61 @@ def url(u: str | None) -> tuple:
     host, path = (lower(m[1]), m[2]) if m else ("", "")
     fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def bpe(text: str | None, tokenizer) -> tuple[int, str, str]:
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+    back = tokenizer.decode(ids, skip_special_tokens=False)
+    return len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+
+def features(text: str | None, low: int, high: int) -> list[bytes]:
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return [" ".join(ws[i : i + n]).encode() for n in range(low, high + 1) for i in range(len(ws) - n + 1)]
+
+
+def resample(docs: list[tuple], target: list, low: int = 1, high: int = 1, buckets: int = 10_000, least: int = 20, percent: int = 10) -> list[tuple]:
+    """Rows of docs (doc_id, text) as (doc_id, n_features, weight, score, rank)."""
+    import math
+    import zlib
+
+    own = [[zlib.crc32(f) % buckets for f in features(t, low, high)] for _, t in docs]
+    s, t = [0] * buckets, [0] * buckets
+    for n, found in ((s, own), (t, [[zlib.crc32(f) % buckets for f in features(x, low, high)] for x in target])):
+        for b in (b for x in found for b in x):
+            n[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)] if any(own) else []
+    out = []
+    for (i, text), found in zip(docs, own, strict=True):
+        weight = sum(gain[b] for b in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(features(text, 1, 1))))
+    able = sorted((k for k, x in enumerate(out) if x[4] >= least), key=lambda k: (-out[k][3], out[k][0] is None, out[k][0] or 0))
+    rank = {k: r for r, k in enumerate(able[: len(able) * percent // 100], 1)}
+    return [(*x[:4], rank.get(k)) for k, x in enumerate(out)]
+
+
+def cobucket(parent: list[dict], child: list[dict], key: str, other: str, buckets: int, salt: str) -> dict:
+    """(side, bucket) of each final file: rows in order, rows of each starting file, rows of the join, and the starting file that stays."""
+    import zlib
+    from collections import Counter
+
+    home = lambda r: buckets + 1 if r[key] is None else zlib.crc32(f"{salt}{r[key]}".encode()) % buckets
+    known = Counter(r[key] for r in parent if r[key] is not None)
+    first = (lambda r: home(r) - (home(r) % 4 == 1), lambda r: 0 if r[other] is None else zlib.crc32(str(r[other]).encode()) % buckets)
+    last = (home, lambda r: buckets if r[key] is not None and r[key] not in known else home(r))
+    value = lambda v: (v is not None, v.encode() if isinstance(v, str) else 0 if v is None else v)
+    out = {}
+    for side, rows in enumerate((parent, child)):
+        began, ended = defaultdict(Counter), defaultdict(list)
+        for r in rows:
+            began[first[side](r)][last[side](r)] += 1
+            ended[last[side](r)].append(r)
+        for b, found in ended.items():
+            found.sort(key=lambda r: [value(v) for k, v in r.items() if k != key])
+            found.sort(key=lambda r: (r[key] is None, r[key] or 0), reverse=True)
+            of = {s: n[b] for s, n in began.items() if n[b]}
+            stays = next((s for s in of if len(of) == 1 and len(began[s]) == 1), None)
+            out[side, b] = (found, of, stays)
+    joined = {b: sum(known[r[key]] for r in found) for (side, b), (found, _, _) in out.items() if side == 1 and b < buckets}
+    return {(side, b): (found, of, stays, joined.get(b, 0)) for (side, b), (found, of, stays) in out.items()}

@@ -20,18 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, where executors see each other's files.
 
-    The folder is the session's spark.checkpoint.dir. Only a session without one on this machine alone (tests) gets a
-    temporary one: on a cluster executors would not see each other's files, so that is an error.
+    Only a session without one on this machine alone (tests) gets a temporary one: on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir is not set")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnstone-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

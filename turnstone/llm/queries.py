@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, oracle, quality, suffixes, urls
+from . import bpe, cobucket, decontam, fmindex, language, licenses, lmscore, mixing, ngramjoin, oracle, quality, resample, suffixes, urls
 from .common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -50,7 +53,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_license_scan, op2_ngram_jaccard, op3_quality_rules, op4_substring_dedup, op5_suffix_dedup, op6_url_filter, op7_language_id, op8_mix_sources, op9_benchmark_leaks, op10_lm_score)
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_cobucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cobucket.rewrite(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), ("sales", "sale_lines"))
+
+
+QUERIES = (op1_license_scan, op2_ngram_jaccard, op3_quality_rules, op4_substring_dedup, op5_suffix_dedup, op6_url_filter, op7_language_id, op8_mix_sources, op9_benchmark_leaks, op10_lm_score, op11_bpe_codec, op12_target_resample, op13_cobucketed_pair)
 
 
 def queries() -> dict:
