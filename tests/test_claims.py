@@ -177,7 +177,8 @@ def test_spread_threshold(spark, tables):
 
 def test_the_last_of_turns_that_share_a_number_counts(spark, tables):
     claims, turns = tables
-    again = turns.union(spark.createDataFrame([(1, 2, "Bo Chen", None, "Prepared Remarks", "About the risk again")], turns.schema))
+    more = spark.createDataFrame([(1, 2, "Bo Chen", None, "Prepared Remarks", "About the risk again")], turns.schema)
+    again = turns.withColumn("ordinal", F.lit(0)).union(more.withColumn("ordinal", F.lit(1)))
     one = claims.where("claim_no in (0, 5)")
     assert {r["claim_no"]: r["passed"] for r in verify.faithfulness(one, again).collect()} == {0: False, 5: True}
     assert verify.faithfulness(one, again).count() == verify.gate(one, again).count() == 2

@@ -12,11 +12,15 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from turnstone.functions.text import strip
 from turnstone.plans.schemas import LEXICON
 
 HEDGING, SURE = "hedging", "confident"
 # The titles of the two buckets in a lexicon file.
+MARKED = r"(?sU)\A(##|###|-)[\s\x1c-\x1f]+(.*)\z"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TITLES = {"hedging phrases": HEDGING, "confident / unqualified phrases": SURE}
 
 
@@ -55,6 +59,29 @@ def parse_lexicon(markdown: str) -> Lexicon:
     return Lexicon(tuple(found[HEDGING]), tuple(found[SURE]))
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """``parse_lexicon`` for files of any number and length, as rows: doc_id and LEXICON columns from lines (doc_id, pos, line).
+
+    The open bucket and category of a line are the last ones named before it. ``ord`` counts a bucket's phrases within its file.
+    """
+    head = F.regexp_extract("line", MARKED, 1)
+    rest = strip(F.regexp_extract("line", MARKED, 2))
+    x = lines.select("doc_id", "pos", F.when(rest != "", head).alias("mark"), rest.alias("rest"))
+    titles = F.create_map(*[F.lit(v) for pair in TITLES.items() for v in pair])
+    named = F.when(F.col("mark") == "##", F.coalesce(titles[F.lower("rest")], F.lit("")))
+    under = F.when(F.col("mark") == "##", "").when(F.col("mark") == "###", F.col("rest"))
+    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumns({"bucket": F.last(named, ignorenulls=True).over(so_far), "category": F.last(under, ignorenulls=True).over(so_far)})
+    x = x.where((F.col("mark") == "-") & (F.col("bucket") != "") & (F.col("category") != ""))
+    no = F.row_number().over(Window.partitionBy("doc_id", "bucket").orderBy("pos")) - 1
+    return x.select("doc_id", "bucket", "category", F.lower("rest").alias("phrase"), no.alias("ord"))
+
+
+def file_lines(texts: DataFrame) -> DataFrame:
+    """doc_id, pos, line of texts (doc_id, text), cut where Python's splitlines cuts."""
+    return texts.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_ENDS)).alias("pos", "line"))
+
+
 @lru_cache(maxsize=8)
 def load_lexicon(path: str) -> Lexicon:
     return parse_lexicon(Path(path).read_text(encoding="utf-8"))

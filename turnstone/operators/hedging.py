@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.functions.lexicon import DEFAULT, Lexicon, matches
+from turnstone.functions import phrase_index
+from turnstone.functions.lexicon import DEFAULT, HEDGING, SURE, Lexicon, matches
 from turnstone.functions.text import sentences, strip
 from turnstone.plans.schemas import CONFIDENT, HEDGED, UNMARKED
 
+from .scratch import checkpointed
+
 
 def classify(df: DataFrame, column: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """``df`` with hedge_matches, confident_matches (phrase, category) and label; the text itself is stripped."""
@@ -17,6 +20,16 @@ def classify(df: DataFrame, column: str = "text", lexicon: Lexicon = DEFAULT) ->
     return d.withColumn("label", F.when(F.size("hedge_matches") > 0, HEDGED).when(F.size("confident_matches") > 0, CONFIDENT).otherwise(UNMARKED))
 
 
+def classify_indexed(df: DataFrame, lexicon: DataFrame, column: str = "text") -> DataFrame:
+    """``classify`` by a lexicon of any size, as a table of LEXICON rows: phrases are found by joins, not by one pattern."""
+    d = df.withColumns({column: strip(column), "_row": F.monotonically_increasing_id()})
+    # the number of a row must be the same for both readers of the texts
+    d = checkpointed(d)
+    found = phrase_index.matches(d, "_row", column, phrase_index.index(lexicon), (HEDGING, SURE)).drop("_row")
+    found = found.withColumnsRenamed({HEDGING: "hedge_matches", SURE: "confident_matches"})
+    return found.withColumn("label", F.when(F.size("hedge_matches") > 0, HEDGED).when(F.size("confident_matches") > 0, CONFIDENT).otherwise(UNMARKED))
+
+
 def split_turns(turns: DataFrame) -> DataFrame:
     """One row per sentence: the turn's columns but its text, sent_no from 0, text."""
     rest = [c for c in turns.columns if c != "text"]

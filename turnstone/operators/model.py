@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstone.plans.schemas import ACTIONS, CATEGORIES, EXTRACTION_BODY, JUDGING_BODY, REPLIES, REPLY_CAPS, REVISION_BODY, SCORES, USAGE_COUNTERS
 
@@ -20,19 +21,23 @@ Model = Callable[[list[dict]], list[dict]]
 OK, REFUSED, INVALID = "ok", "no_reply", "invalid_reply"
 
 
-def call(requests: DataFrame, model: Model, stage: str, name: str, max_tokens: int | None = None) -> DataFrame:
-    """Reply rows (REPLIES) for request rows (doc_id, claim_no, sample_no, system, prompt). Filter requests before."""
+def call(requests: DataFrame, model: Model, stage: str, name: str, max_tokens: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Reply rows (REPLIES) for request rows (doc_id, claim_no, sample_no, system, prompt). Filter requests before.
+
+    ``carry``: string columns of the requests that go along with the replies.
+    """
     cap = max_tokens or REPLY_CAPS[stage]
+    schema = T.StructType([*REPLIES.fields, *(T.StructField(c, T.StringType()) for c in carry)])
 
     def run(frames):
         for f in frames:
             asked = [r | {"stage": stage, "model": name, "max_tokens": cap} for r in f.to_dict("records")]
             got = model(asked) if asked else []
-            rows = [{"doc_id": q["doc_id"], "claim_no": q["claim_no"], "sample_no": q["sample_no"], "stage": stage, "model": name, "body": r.get("body"), "stop_reason": r.get("stop_reason"), **{c: r.get(c) or 0 for c in USAGE_COUNTERS}} for q, r in zip(asked, got, strict=True)]
-            out = pd.DataFrame(rows, columns=REPLIES.fieldNames())
+            rows = [{c: q[c] for c in carry} | {"doc_id": q["doc_id"], "claim_no": q["claim_no"], "sample_no": q["sample_no"], "stage": stage, "model": name, "body": r.get("body"), "stop_reason": r.get("stop_reason"), **{c: r.get(c) or 0 for c in USAGE_COUNTERS}} for q, r in zip(asked, got, strict=True)]
+            out = pd.DataFrame(rows, columns=schema.fieldNames())
             yield out.astype({c: "int64" for c in ("doc_id", *USAGE_COUNTERS)} | {c: "Int32" for c in ("claim_no", "sample_no")})
 
-    return requests.select("doc_id", F.col("claim_no").cast("int"), F.col("sample_no").cast("int"), "system", "prompt").mapInPandas(run, REPLIES)
+    return requests.select("doc_id", F.col("claim_no").cast("int"), F.col("sample_no").cast("int"), "system", "prompt", *carry).mapInPandas(run, schema)
 
 
 def _parsed(replies: DataFrame, schema: str, valid: Column) -> DataFrame:

@@ -12,9 +12,8 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.plans.schemas import ACTIONS, CLAIM_FIELDS, HIGH_VARIANCE_SPREAD, REASONS
+from turnstone.plans.schemas import ACTIONS, CLAIM_FIELDS, DIMENSIONS, HIGH_VARIANCE_SPREAD, REASONS
 
-from .consistency import judgment_claims
 from .verify import cited, faithfulness
 
 VALUE = ["doc_id", *CLAIM_FIELDS]
@@ -29,56 +28,59 @@ def unmatched(claims: DataFrame, results: DataFrame) -> DataFrame:
     return a.join(b, key, "left_anti").union(b.join(a, key, "left_anti"))
 
 
-def matched(claims: DataFrame, results: DataFrame, what: str) -> DataFrame:
-    """``results``, with an error when they are read if they are not one for each of ``claims``."""
-    key = ["doc_id", "claim_no"]
-    given = results.select(F.struct(*[F.col(c) for c in results.columns]).alias("_result"), *[F.col(c).alias(f"_{c}") for c in key])
-    both = claims.select(*key, F.lit(True).alias("_claim")).join(given, reduce(and_, [F.col(c) == F.col(f"_{c}") for c in key]), "full_outer")
-    missing = F.raise_error(F.lit(f"{what} do not match the claims"))
-    return both.select(F.when(F.col("_claim").isNotNull() & F.col("_result").isNotNull(), F.col("_result")).otherwise(missing).alias("_result")).select("_result.*")
-
-
 def needing_revision(claims: DataFrame, results: DataFrame, consistency: DataFrame, spread: int = HIGH_VARIANCE_SPREAD) -> DataFrame:
     """Distinct claim values with reasons and contexts: unfaithful ones first, then those of high variance.
 
-    ``results`` has a row for each claim and ``consistency`` one for each judgment claim; anything else is an error.
+    ``results`` has a row for each claim and ``consistency`` one for each judgment claim; anything else is an error. A claim that lacks its
+    row is seen by the joins that fetch the reasons; rows without a claim are counted by anti-joins, whose sums are one number each. All
+    joins are by (doc_id, claim_no), and over tables bucketed by doc_id none of them shuffles.
     """
     key = ["doc_id", "claim_no"]
-    results, consistency = matched(claims, results, "faithfulness results"), matched(judgment_claims(claims), consistency, "consistency results")
-    bad = results.where(~F.col("passed")).select(*key, F.lit(0).alias("kind"), F.lit(UNFAITHFUL).alias("why"), F.col("reason").alias("context"))
-    wide = consistency.where(F.col("escalated") & (F.col("high") - F.col("low") >= spread))
+    ask = lambda what: F.raise_error(F.lit(f"{what} do not match the claims"))
+    faithful, scored = ask("faithfulness results"), ask("consistency results")
+    judged = F.coalesce(F.col("category").isin(*DIMENSIONS), F.lit(False))
     told = F.format_string("%s scores %s, median %s, range %s to %s", F.col("dimension"), F.array_join("samples", ","), F.col("median").cast("string"), F.col("low").cast("string"), F.col("high").cast("string"))
-    wide = wide.select(*key, F.lit(1).alias("kind"), F.lit(HIGH_VARIANCE).alias("why"), told.alias("context"))
-    told_all = F.array_sort(F.collect_list(F.struct("kind", "claim_no", "why", "context")))
-    by = claims.join(bad.union(wide), key).groupBy(*VALUE).agg(told_all.alias("all"), F.min("claim_no").alias("first_no"))
+    bad = results.select(*key, F.col("passed").alias("_passed"), F.col("reason").alias("_reason"), F.lit(True).alias("_has_result"))
+    wide = consistency.select(*key, (F.col("escalated") & (F.col("high") - F.col("low") >= spread)).alias("_wide"), told.alias("_told"), F.lit(True).alias("_has_scores"))
+    x = claims.join(bad, key, "left").join(wide, key, "left")
+    why = F.array_compact(F.array(
+        F.when(F.col("_has_result").isNull(), faithful).when(~F.col("_passed"), F.struct(F.lit(0).alias("kind"), F.col("claim_no").alias("claim_no"), F.lit(UNFAITHFUL).alias("why"), F.col("_reason").alias("context"))),
+        F.when(F.col("_has_scores").isNotNull() != judged, scored).when(F.col("_wide"), F.struct(F.lit(1).alias("kind"), F.col("claim_no").alias("claim_no"), F.lit(HIGH_VARIANCE).alias("why"), F.col("_told").alias("context"))),
+    ))
+    x = x.select(*VALUE, "claim_no", why.alias("_why"))
+    for rows, error in ((bad, faithful), (wide, scored)):
+        strays = rows.join(claims.select(*key), key, "left_anti").agg(F.count("*")).scalar()
+        x = x.where(F.when(strays > 0, error).otherwise(True))
+    by = x.select(*VALUE, F.explode("_why").alias("_why")).groupBy(*VALUE).agg(F.array_sort(F.collect_list("_why")).alias("all"), F.min("_why.claim_no").alias("first_no"))
     return by.select(*VALUE, "first_no", F.transform("all", lambda x: x["why"]).alias("reasons"), F.transform("all", lambda x: x["context"]).alias("contexts"))
 
 
-def requests(flagged: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flagged claims with the text of their turn, and those whose turn is missing."""
-    x = cited(flagged, turns)
-    return x.where("turn_found"), x.where("not turn_found").drop("turn_section", "turn_text")
+def requests(flagged: DataFrame, turns: DataFrame) -> DataFrame:
+    """Flagged claims with turn_found and the text of their turn; those whose turn is missing are not to be asked about."""
+    return cited(flagged, turns)
 
 
-def outcomes(asked: DataFrame, missing: DataFrame, revisions: DataFrame) -> DataFrame:
-    """One row per flagged value: reasons, action, the corrected fields, reasoning.
+def outcomes(requested: DataFrame, revisions: DataFrame) -> DataFrame:
+    """One row per flagged value: reasons, action, the corrected fields, reasoning. A claim without its turn is discarded.
 
     ``revisions`` (doc_id, first_no, action, claim_text, category, source_quote, confidence_flag, reasoning) has a
-    row for each of ``asked``. The turn number is the original's.
+    row for each of ``requested`` whose turn was found. The turn number is the original's.
     """
     fields = [c for c in CLAIM_FIELDS if c != "source_turn_number"]
-    new = revisions.select("doc_id", "first_no", "action", *[F.col(c).alias(f"new_{c}") for c in fields], "reasoning")
-    done = asked.join(new, ["doc_id", "first_no"]).select(*VALUE, "first_no", "reasons", "action", *[F.when(F.col("action") == CORRECTED, F.col(f"new_{c}")).alias(f"new_{c}") for c in fields], "reasoning")
-    kinds = dict(done.dtypes)
-    gone = missing.select(*VALUE, "first_no", "reasons", F.lit(DISCARD).alias("action"), *[F.lit(None).cast(kinds[f"new_{c}"]).alias(f"new_{c}") for c in fields], F.lit("the cited turn does not exist").alias("reasoning"))
-    return done.unionByName(gone)
+    new = revisions.select("doc_id", "first_no", F.col("action").alias("_action"), *[F.col(c).alias(f"new_{c}") for c in fields], F.col("reasoning").alias("_reasoning"))
+    both = requested.join(new, ["doc_id", "first_no"], "left").where(~F.col("turn_found") | F.col("_action").isNotNull())
+    both = both.withColumns({
+        "action": F.when(F.col("turn_found"), F.col("_action")).otherwise(DISCARD),
+        "reasoning": F.when(F.col("turn_found"), F.col("_reasoning")).otherwise("the cited turn does not exist"),
+    })
+    return both.select(*VALUE, "first_no", "reasons", "action", *[F.when(F.col("action") == CORRECTED, F.col(f"new_{c}")).alias(f"new_{c}") for c in fields], "reasoning")
 
 
 def apply(claims: DataFrame, found: DataFrame) -> DataFrame:
     """Claims in their order: untouched, replaced, or left out."""
     fields = [c for c in CLAIM_FIELDS if c != "source_turn_number"]
     c, o = claims.alias("c"), found.alias("o")
-    both = c.join(o, reduce(and_, [F.col(f"c.{v}").eqNullSafe(F.col(f"o.{v}")) for v in VALUE]), "left").where(F.coalesce("o.action", F.lit("keep")) != DISCARD)
+    both = c.join(o, reduce(and_, [F.col("c.doc_id") == F.col("o.doc_id"), *[F.col(f"c.{v}").eqNullSafe(F.col(f"o.{v}")) for v in CLAIM_FIELDS]]), "left").where(F.coalesce("o.action", F.lit("keep")) != DISCARD)
     new = F.col("o.action") == CORRECTED
     value = {x: F.when(new, F.col(f"o.new_{x}")).otherwise(F.col(f"c.{x}")) for x in fields} | {"source_turn_number": F.col("c.source_turn_number")}
     return both.select("c.doc_id", "c.claim_no", *[value[x].alias(x) for x in CLAIM_FIELDS], F.coalesce(new, F.lit(False)).alias("was_revised"))

@@ -8,21 +8,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnstone.functions.text import normalized, preview
 
+ORDINAL = "ordinal"
 KEPT, NO_TURN, NO_QUOTE = "kept", "turn_missing", "quote_not_found"
 
 
 def last_turns(turns: DataFrame, order: str | None = None) -> DataFrame:
-    """doc_id, turn_number, section, text with one row per turn: of several the last by ``order``, else by their place in ``turns``."""
-    place = F.monotonically_increasing_id() if order is None else F.col(order)
-    t = turns.select("doc_id", "turn_number", F.struct("section", "text").alias("turn"), place.alias("place"))
-    return t.groupBy("doc_id", "turn_number").agg(F.max_by("turn", "place").alias("turn")).select("doc_id", "turn_number", "turn.section", "turn.text")
+    """doc_id, turn_number, section, text with one row per turn: of several that share a number the last.
+
+    The last is by ``order``, or by the ``ordinal`` that turns carry from their source (``sources.turns``), never by where rows
+    happen to lie. Turns that neither tells apart must agree; two that differ fail the query. One exchange and one sort, by the
+    keys that a join with claims needs as well.
+    """
+    order = order or (ORDINAL if ORDINAL in turns.columns else None)
+    place = F.lit(0) if order is None else F.col(order)
+    t = turns.select("doc_id", "turn_number", "section", "text", place.alias("_place"), F.xxhash64("section", "text").alias("_content"))
+    w = Window.partitionBy("doc_id", "turn_number").orderBy(F.col("_place").desc_nulls_last(), "_content")
+    t = t.withColumns({"_no": F.row_number().over(w), "_same": F.lead("_place").over(w).eqNullSafe(F.col("_place")), "_other": F.lead("_content").over(w) != F.col("_content")})
+    clash = F.coalesce(F.col("_same") & F.col("_other"), F.lit(False))
+    error = F.raise_error(F.format_string("turn %s of document %s repeats, and no ordinal says which is last", F.col("turn_number").cast("string"), F.col("doc_id").cast("string")))
+    return t.where("_no = 1").where(F.when(clash, error).otherwise(True)).select("doc_id", "turn_number", "section", "text")
 
 
 def cited(claims: DataFrame, turns: DataFrame) -> DataFrame:
-    """Claims with turn_found, turn_section and turn_text. Of turns that share a number the last counts."""
+    """Claims with turn_found, turn_section and turn_text. Of turns that share a number the last counts (``last_turns``)."""
     t = last_turns(turns).select(F.col("doc_id").alias("_doc"), F.col("turn_number").alias("_turn"), F.col("section").alias("turn_section"), F.col("text").alias("turn_text"), F.lit(True).alias("_found"))
     both = claims.join(t, (claims["doc_id"] == t["_doc"]) & (claims["source_turn_number"] == t["_turn"]), "left")
     return both.select(*claims.columns, F.coalesce("_found", F.lit(False)).alias("turn_found"), "turn_section", "turn_text")

@@ -4,28 +4,36 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.functions.lexicon import DEFAULT, to_table
+from turnstone.functions.lexicon import DEFAULT, HEDGING, SURE, file_lines, parse_lines, to_table
 from turnstone.functions.text import CURLY, PLAIN, chars_per_page, sentences
 from turnstone.operators import consistency as cons
 from turnstone.operators import coverage as cov
-from turnstone.operators import hedging, model, pipeline, prompts, revise, segment, usage, verify
+from turnstone.operators import hedging, model, pipeline, prompts, revise, scratch, segment, usage, verify
+from turnstone.operators.replies import ReplyStore
 from turnstone.plans import derive
 from turnstone.plans.derive import SP, quoted, re2, sql_strip
 from turnstone.plans.schemas import CONFIDENT, DIMENSIONS, HEDGED, HIGH_VARIANCE_SPREAD, MIN_CHARS_PER_PAGE, PREPARED, QA, UNMARKED
-from turnstone.sources.documents import load
+from turnstone.sources import layout
+from turnstone.sources.documents import decoded
 from turnstone.sources.report import markdown
+from turnstone.sources.turns import from_arrays
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Registers a query; one that writes files has no SQL and is tested against the query that does not."""
+
     def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
         return f
 
     return add
@@ -274,14 +282,14 @@ def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Corrections by a rule in place of a model."""
     c, t, flagged = _flagged(spark, sf_dir)
-    asked, missing = revise.requests(flagged, t)
-    fixed = asked.select(
+    asked = revise.requests(flagged, t)
+    fixed = asked.where("turn_found").select(
         "doc_id", "first_no", F.when(F.col("first_no") % 3 == 0, "discard").otherwise("corrected").alias("action"),
         F.concat(F.lit("revised: "), "claim_text").alias("claim_text"), "category",
         F.when(F.col("first_no") % 3 == 1, F.substring("turn_text", 1, 30)).otherwise("still wrong").alias("source_quote"),
         "confidence_flag", F.lit("by rule").alias("reasoning"),
     )
-    return c, t, revise.outcomes(asked, missing, fixed)
+    return c, t, revise.outcomes(asked, fixed)
 
 
 @query(_FLAGGED + "select doc_id, claim_text, first_no, reasons from fl")
@@ -522,12 +530,146 @@ def default_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hedging.classify(d).select("doc_id", "label", names("hedge_matches").alias("hedges"), names("confident_matches").alias("sures"))
 
 
-@query("select bucket, category, phrase, ord from (values " + ", ".join(f"({quoted(b)}, {quoted(c)}, {quoted(p)}, {i})" for b, c, p, i in DEFAULT.rows()) + ") v(bucket, category, phrase, ord)")
+_DEFAULT_ROWS = "(values " + ", ".join(f"({quoted(b)}, {quoted(c)}, {quoted(p)}, {i})" for b, c, p, i in DEFAULT.rows()) + ") v(bucket, category, phrase, ord)"
+
+
+@query(f"select bucket, category, phrase, ord, count(d.doc_id)::bigint as n_documents from {_DEFAULT_ROWS} left join documents d on contains(lower(d.text), phrase) group by all")
 def default_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_table(spark, DEFAULT)
+    """The default phrases, and how many documents hold each as a string, word boundaries aside."""
+    found = F.filter(F.array(*map(F.lit, dict.fromkeys(_PHRASES))), lambda p: F.contains(F.lower("text"), p))
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(found).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    return to_table(spark, DEFAULT).join(n, "phrase", "left").select("bucket", "category", "phrase", "ord", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+_PAGES = "case when doc_id % 7 = 3 then '' else coalesce(text, '') || {ff} || coalesce(source, '') end"
 
 
-@query("select status, count(*)::bigint as n_files from (select 'unreadable' as status from (values (1), (2)) v(x)) group by status")
+@query(f"""with p as (select doc_id, case when doc_id % 5 <> 1 then {_PAGES.format(ff='chr(12)')} end as text from documents),
+q as (select doc_id, text, text is null or text = '' as bad, length({sql_strip("replace(text, chr(12), chr(10))")}) as n, len(string_split(text, chr(12))) as pages from p)
+select doc_id, case when bad then 0 else pages end::int as page_count, case when bad then 'unreadable' when n < {MIN_CHARS_PER_PAGE} * pages then 'no_text_layer' else 'ok' end as status,
+  case when bad then md5('') else md5(replace(text, chr(12), chr(10))) end as digest from q""")
 def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that the text decoder cannot read are rows with a status, not errors."""
-    return load(spark, sf_dir, pattern="{nation,region}.parquet").groupBy("status").agg(F.count("*").alias("n_files"))
+    """Documents as bytes of files, some empty and some broken: those that the decoder cannot read are rows with a status, not errors."""
+    content = F.expr(_PAGES.format(ff="'\f'")).cast("binary")
+    content = F.when(F.col("doc_id") % 5 == 1, F.concat(content, F.lit(b"\xff"))).otherwise(content)
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("p").alias("path"), content.alias("content"))
+    return decoded(files).select("doc_id", "page_count", "status", F.md5("text").alias("digest"))
+
+
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_MARKDOWN = """concat('# ', coalesce(source, ''), '{nl}- stray{nl}## ', case doc_id % 4 when 0 then 'Hedging phrases' when 1 then 'Other' when 2 then 'hedging PHRASES ' else 'Confident / unqualified phrases' end,
+  '{nl}- early{nl}### ', lang, '{nl}- ', substr(coalesce(text, ''), 1, 12), '{nl}-bare{nl}-  Twice {nl} - inner{nl}###{nl}### ', lang, ' 2{nl}- Ab', substr(coalesce(text, ''), 20, 9),
+  '{nl}## Confident / Unqualified Phrases{nl}- none{nl}### Sure{nl}- ', coalesce(source, ''), '{nl}')"""
+
+
+@query(f"""with d as (select doc_id, {_MARKDOWN.replace("'{nl}", "chr(10) || '").replace("{nl}", "' || chr(10) || '")} as text from documents where doc_id not in (select doc_id from documents group by doc_id having count(*) > 1)),
+l as (select doc_id, unnest(string_split_regex(text, {quoted(_ENDS)})) as line, generate_subscripts(string_split_regex(text, {quoted(_ENDS)}), 1) as pos from d),
+m as (select doc_id, pos, regexp_extract(line, '(?s)^(##|###|-)[{SP}]+(.*)$', 1) as mark, {sql_strip(f"regexp_extract(line, '(?s)^(##|###|-)[{SP}]+(.*)$', 2)")} as rest from l),
+s as (select *, last_value(case when mark = '##' then case lower(rest) when 'hedging phrases' then 'hedging' when 'confident / unqualified phrases' then 'confident' else '' end end ignore nulls) over w as bucket,
+  last_value(case mark when '##' then '' when '###' then rest end ignore nulls) over w as category from m where rest <> '' window w as (partition by doc_id order by pos))
+select doc_id, bucket, category, lower(rest) as phrase, (row_number() over (partition by doc_id, bucket order by pos) - 1)::int as ord from s where mark = '-' and bucket <> '' and category <> ''""")
+def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon files made of the documents, parsed as rows."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    once = d.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+    texts = d.join(once, "doc_id").select("doc_id", F.expr(_MARKDOWN.replace("{nl}", "\\n")).alias("text"))
+    return parse_lines(file_lines(texts)).select("doc_id", "bucket", "category", "phrase", "ord")
+
+
+# Carried order, long transcripts, large lexicons, layouts and replies that are paid once.
+
+_AGAIN = "concat('superseded ', cast(turn_number as {text}))"
+
+
+@query(f"""with t0 as ({derive.SQL_TURNS}), t as (select * exclude (text), case when turn_number % 3 = 0 then {_AGAIN.format(text="varchar")} else text end as text from t0), c as ({derive.SQL_CLAIMS.replace("from t)", "from t0)")})
+select c.doc_id, c.claim_no, coalesce(contains({_NORM("t.text")}, {_NORM("c.source_quote")}), false) as passed from c left join t on c.doc_id = t.doc_id and c.source_turn_number = t.turn_number""")
+def repeated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn comes twice, in an array per document; the place in the array says which is the last."""
+    c, t = _inputs(spark, sf_dir)
+    fields = [x for x in t.columns if x != "doc_id"]
+    old = t.withColumn("text", F.expr(_AGAIN.format(text="string")))
+    place = lambda d, early: d.withColumn("at", F.when((F.col("turn_number") % 3 == 0) == F.lit(early), 1).otherwise(0))
+    both = place(t, False).union(place(old, True))
+    calls = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", *fields))).alias("turns"))
+    return verify.faithfulness(c, from_arrays(calls)).select("doc_id", "claim_no", "passed")
+
+
+_LONG = _DRAFTS.replace("with recursive tx as", "with recursive tx0 as").replace("raw as (select doc_id,", "raw0 as (select doc_id,").replace("::int as pos from tx),", "::int as pos from tx0),\nraw as (select doc_id % 3 as doc_id, raw, doc_id * 100000 + pos as pos from raw0), tx as (select distinct doc_id from raw),")
+
+
+def _long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long transcripts, of all conversations after each other, as lines."""
+    x = derive.transcripts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return x.select((F.col("doc_id") % 3).alias("doc_id"), (F.col("doc_id") * 100000 + F.col("pos")).alias("pos"), "raw")
+
+
+@query(_LONG + f"select doc_id, turn_no as turn_number, name as speaker_name, title as speaker_title, case when turn_no >= boundary then '{QA}' else '{PREPARED}' end as section, text from dr join bd using (doc_id) where turn_no > 0")
+def long_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment_lines(_long_lines(spark, sf_dir))[0]
+
+
+@query(_LONG + "select doc_id, n_turns, coalesce(boundary, 0) as qa_boundary_turn, coalesce(boundary_by, 'none') as boundary_by, front_lines::bigint as front_lines from bd")
+def long_transcript_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = segment.segment_lines(_long_lines(spark, sf_dir))[1]
+    return report.select("doc_id", "n_turns", F.coalesce("qa_boundary_turn", F.lit(0)).alias("qa_boundary_turn"), F.coalesce("boundary_by", F.lit("none")).alias("boundary_by"), "front_lines")
+
+
+@query(ORACLE["sentence_labels"])
+def indexed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by the phrase index in place of the pattern."""
+    names = lambda c: F.array_join(F.array_sort(F.transform(c, lambda m: m["phrase"])), ",")
+    x = hedging.classify_indexed(hedging.split_turns(derive.turns(spark, sf_dir)), to_table(spark, derive.LEXICON))
+    return x.select("doc_id", "turn_number", "sent_no", "label", names("hedge_matches").alias("hedges"), names("confident_matches").alias("sures"))
+
+
+_WORDS_SQL = f"regexp_extract_all(lower(coalesce(text, '')), '[{derive.WORDLY}]+')"
+
+
+@query(f"""with t as ({derive.SQL_TURNS}), s0 as (select doc_id, turn_number, {_split_sql("text")} as s from t), s1 as (select doc_id, turn_number, unnest(s) as text, unnest(range(len(s)))::int as sent_no from s0),
+v as (select distinct unnest({_WORDS_SQL}) as w from documents where text is not null), x as (select doc_id, turn_number, sent_no, unnest(list_distinct({_WORDS_SQL})) as w from s1),
+n as (select doc_id, turn_number, sent_no, count(*) filter (length(w) % 2 = 0) as hedges, count(*) filter (length(w) % 2 = 1) as sures from x join v using (w) where length(w) > 3 group by all)
+select doc_id, turn_number, sent_no, coalesce(hedges, 0)::int as hedges, coalesce(sures, 0)::int as sures from s1 left join n using (doc_id, turn_number, sent_no)""")
+def corpus_lexicon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon as large as the vocabulary of all documents."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("phrase")).distinct().where("length(phrase) > 3")
+    lexicon = words.select(F.when(F.length("phrase") % 2 == 0, HEDGING).otherwise(SURE).alias("bucket"), F.lit("word").alias("category"), "phrase", F.lit(0).alias("ord"))
+    x = hedging.classify_indexed(hedging.split_turns(derive.turns(spark, sf_dir)), lexicon)
+    return x.select("doc_id", "turn_number", "sent_no", F.size("hedge_matches").alias("hedges"), F.size("confident_matches").alias("sures"))
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(None)
+def bucketed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``faithfulness_results`` over claims and turns that are written as tables bucketed by document."""
+    folder = _own_folder(spark, "bucketed")
+    name = folder.rsplit("-", 1)[1]
+    c, t = (layout.save(df, f"{kind}_{name}", 16, f"{folder}/{kind}") for kind, df in zip(("claims", "turns"), _inputs(spark, sf_dir), strict=True))
+    return verify.faithfulness(c, t).select("doc_id", "claim_no", "passed", "reason")
+
+
+@query(None)
+def replies_paid_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extracted_claims`` by two runs over one store of replies: the second asks for what the first, over half of the documents, left."""
+    store = ReplyStore(spark, _own_folder(spark, "replies"))
+    t = derive.turns(spark, sf_dir)
+    pipeline.extract(t.where("doc_id % 2 = 0"), _by_rule, "rule", store=store)
+
+    def odd_only(asked: list[dict]) -> list[dict]:
+        if any(q["doc_id"] % 2 == 0 for q in asked):
+            raise AssertionError("asked again")
+        return _by_rule(asked)
+
+    found = pipeline.extract(t, odd_only, "rule", strict=True, store=store)
+    return found.claims.select("doc_id", "claim_no", F.lit(verify.KEPT).alias("status")).union(found.dropped.select("doc_id", "claim_no", "status"))
+
+
+@query(None)
+def usage_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``usage_by_stage`` over a sink that took four batches, some of them twice."""
+    folder, u = _own_folder(spark, "usage"), _usage(spark, sf_dir)
+    for batch in (0, 1, 1, 2, 0, 3):
+        usage.append_batch(u.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == batch), folder, batch)
+    return usage.by_stage(usage.committed(spark, folder))

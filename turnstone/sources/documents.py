@@ -38,6 +38,23 @@ def gate(docs: DataFrame) -> DataFrame:
     return docs.withColumn("status", F.when(~readable, UNREADABLE).when(F.col("page_count") == 0, ZERO_PAGES).when(thin, NO_TEXT).otherwise(OK))
 
 
+def decoded(files: DataFrame, decoder: Decoder = plain_text) -> DataFrame:
+    """doc_id, source_path, page_count, text, status of files as rows (doc_id, path, content): null content cannot be read."""
+
+    def decode(frames):
+        for f in frames:
+            rows = []
+            for doc_id, where, data in zip(f["doc_id"], f["path"], f["content"], strict=True):
+                try:
+                    pages = decoder(bytes(data) if data is not None else b"")
+                    rows.append((doc_id, where, len(pages), "\n".join(pages), True))
+                except Exception:  # a decoder may fail in any way: the row says so
+                    rows.append((doc_id, where, 0, "", False))
+            yield pd.DataFrame(rows, columns=["doc_id", "source_path", "page_count", "text", "decoded"])
+
+    return gate(files.select("doc_id", "path", "content").mapInPandas(decode, LOADED)).drop("decoded")
+
+
 def load(spark: SparkSession, path: str, decoder: Decoder = plain_text, pattern: str | None = None, strict: bool = False) -> DataFrame:
     """doc_id (a hash of the path), source_path, page_count, text, status of every file; ``strict`` fails on a bad one.
 
@@ -57,18 +74,7 @@ def load(spark: SparkSession, path: str, decoder: Decoder = plain_text, pattern:
     empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
     files = files.union(empty).select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
-    def decode(frames):
-        for f in frames:
-            rows = []
-            for doc_id, where, data in zip(f["doc_id"], f["path"], f["content"], strict=True):
-                try:
-                    pages = decoder(bytes(data))
-                    rows.append((doc_id, where, len(pages), "\n".join(pages), True))
-                except Exception:  # a decoder may fail in any way: the row says so
-                    rows.append((doc_id, where, 0, "", False))
-            yield pd.DataFrame(rows, columns=["doc_id", "source_path", "page_count", "text", "decoded"])
-
-    out = gate(files.mapInPandas(decode, LOADED)).drop("decoded")
+    out = decoded(files, decoder)
     if strict:
         out = out.withColumn("status", F.when(F.col("status") == OK, F.col("status")).otherwise(F.raise_error(F.concat_ws(": ", "source_path", "status"))))
     return out
