@@ -205,3 +205,20 @@ def test_keys_are_hashed_in_blocks(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*keys)], ["number", "path", "id", "n"])
     got = [tuple(r.values()) for b in cobucket._hashed([batch]) for r in b.to_pylist()]
     assert got == [(1, "a", LIST([""] * 5 + ["7"] * 8), 13), (1, "b", LIST(["-3"]), 1), (2, "a", LIST(["4", "4"]), 2)]
+
+
+def test_language_of_repeated_ids_rare_and_many_languages(spark):
+    """Rows that share one doc_id, a language of one row, and some hundred languages: a bounded sample, and none left without."""
+    from turnstone.llm import language
+
+    own = random.Random(8)
+    alphabets = {f"l{i:03}": own.sample("abcdefghijklmnopqrstuvwxyzàéîöüßñç", 9) for i in range(200)}
+    text = lambda lang: " ".join("".join(own.choices(alphabets[lang], k=own.randint(2, 7))) for _ in range(60))
+    learn = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for same in learn[:3]:
+        rows = [(same, text("l000"), "l000")] * 3000 + [(i, text("l001"), "l001") for i in learn[10:60]] + [(learn[70], text("l002"), "l002")]
+        got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).groupBy("doc_id", "lang_pred").count().collect()
+        assert {r["lang_pred"] for r in got if r["doc_id"] == same} == {"l000"} and {r["lang_pred"] for r in got} == {"l000", "l001", "l002"}
+    rows = [(learn[k], text(x), x) for k, x in enumerate(list(alphabets) * 3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model["langs"]) == set(alphabets)

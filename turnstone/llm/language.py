@@ -8,7 +8,8 @@ out. Every text is compared with every centroid; of equal cosines the first lang
 (their LEAST quantile) is marked as rejected.
 
 Cases: text that is null or has no letter is "und" with score 0; with nothing to learn from all are "und"; null
-doc_id is never learned from and not held out.
+doc_id is never learned from and not held out. Rows that repeat a doc_id are in the sample together, and at most twice the rows that were
+meant for their language stay; a language of which no doc_id fell into the sample is learned from its LEAST_ROWS least rows by hash.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, small_batches
 from .textnum import packed, pieces, unpacked
@@ -91,15 +93,21 @@ def fit(docs: DataFrame) -> dict | None:
     by = {r["c"]: r["n"] for r in spread.groupBy("c").agg(F.sum("n").alias("n")).collect()}
     df, total = np.array([by.get(c, 0) for c in range(SIZE)], float), by.get(-1, 0)
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 1e-3
-    rows = found.where("lang is not null").select("lang", "data").collect()
     by_lang: dict = {lang: [] for lang in n}
-    for r in rows:
+    # the share of a language is by doc_id, so rows that repeat one come together: at most twice the rows that were meant are kept
+    few = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("data"), "data")) <= 2 * most
+    for r in found.where("lang is not null").select("lang", "data", few.alias("few")).where("few").collect():
         by_lang[r["lang"]].append(r["data"])
+    none = [(x,) for x in n if not by_lang[x]]
+    if none:  # no doc_id of theirs fell into the share: their least rows
+        own = docs.join(F.broadcast(spark.createDataFrame(none, "fit_lang string")), F.col("lang") == F.col("fit_lang"))
+        no = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "doc_id"))
+        own = own.select("lang", "text", no.alias("no")).where(F.col("no") <= LEAST_ROWS).select("lang", "text", F.lit(True).alias("fit"))
+        for r in own.mapInArrow(_gather, "lang string, data binary, n long").where("lang is not null").select("lang", "data").collect():
+            by_lang[r["lang"]].append(r["data"])
     centres, langs, least = [], [], []
     for lang in sorted(n):
         x = sorted(by_lang[lang])
-        if not x:
-            raise RuntimeError(f"no row of {lang!r} fell into the sample")
         v = vectors(np.array([unpacked(b, np.int32) for b in x], np.float32), idf)
         c = _kmeans(v, CENTROIDS)
         cos = v @ c.T
