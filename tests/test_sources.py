@@ -33,6 +33,14 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/sentences")).where("label = 'hedged'").count() == 1
 
 
+def test_command_line_with_a_decoder(spark, tmp_path):
+    (tmp_path / "call.bin").write_bytes("Ana Ruiz: We may grow. We did so, and more of it than anyone had thought.".encode("utf-16"))
+    cli.main(["--input", str(tmp_path / "call.bin"), "--output", str(tmp_path / "out"), "--decoder", "decoders:utf16"])
+    assert [r["text"][:12] for r in spark.read.parquet(str(tmp_path / "out/turns")).collect()] == ["We may grow."]
+    with pytest.raises(AttributeError):
+        cli.named("decoders:none")
+
+
 def test_streams(spark, tmp_path):
     d = spark.createDataFrame([(1, "Ana Ruiz: We may grow.\nBo Chen: Good.")], "doc_id long, text string")
     d.write.parquet(str(tmp_path / "docs"))
@@ -51,6 +59,7 @@ def test_report_and_usage_sinks(spark, tmp_path):
     body = report.markdown(verify.faithfulness(c, t))
     assert body.first()["body"] == "# Document 1\n\nFaithfulness: 1 of 1\n\n- [x] grew (turn 1)"
     report.write(body, str(tmp_path / "reports"))
+    assert [(r["doc_id"], r["body"]) for r in spark.read.json(str(tmp_path / "reports")).collect()] == [(1, body.first()["body"])]
     for _ in range(2):
         usage.append(usage.zero_rows(t, "extraction", "m"), str(tmp_path / "usage"))
     assert spark.read.parquet(str(tmp_path / "usage")).count() == 2

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstone import sql as sql_functions
 from turnstone.functions.lexicon import DEFAULT, HEDGING, SURE, file_lines, parse_lines, to_table
 from turnstone.functions.text import CURLY, PLAIN, chars_per_page, sentences
 from turnstone.operators import consistency as cons
@@ -178,13 +179,17 @@ def _split_sql(x: str) -> str:
     return f"list_filter(list_transform({cut}, lambda s: {sql_strip('s')}), lambda s: s <> '')"
 
 
-def _found_sql(entries: tuple, x: str) -> str:
-    """Whole phrases: every other character than a word's is doubled, so that neighbours do not share one."""
+def _hits_sql(entries: tuple, x: str) -> str:
+    """Whole phrases in their order: every other character than a word's is doubled, so that neighbours do not share one."""
     w = derive.WORDLY
     phrases = [re.sub(r"(\W)", r"\1\1", p) for p in sorted((p for p, _ in entries), key=len, reverse=True)]
     doubled = f"'  ' || regexp_replace({x}, '([^{w}])', '\\1\\1', 'g') || '  '"
     hits = f"regexp_extract_all({doubled}, {quoted(f'(?i)[^{w}](' + '|'.join(phrases) + f')[^{w}]')}, 1)"
-    return f"array_to_string(list_sort(list_distinct(list_transform({hits}, lambda s: lower(replace(replace(s, '  ', ' '), '--', '-'))))), ',')"
+    return f"list_transform({hits}, lambda s: lower(replace(replace(s, '  ', ' '), '--', '-')))"
+
+
+def _found_sql(entries: tuple, x: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({_hits_sql(entries, x)})), ',')"
 
 
 _LABELLED = f"""with t as ({derive.SQL_TURNS}), s0 as (select doc_id, turn_number, section, {_split_sql("text")} as s from t),
@@ -673,3 +678,34 @@ def usage_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (0, 1, 1, 2, 0, 3):
         usage.append_batch(u.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == batch), folder, batch)
     return usage.by_stage(usage.committed(spark, folder))
+
+
+@query(_DRAFTS + f""", tt as (select doc_id, turn_no, case when turn_no >= boundary then '{QA}' else '{PREPARED}' end as section, text from dr join bd using (doc_id) where turn_no > 0),
+s1 as (select section, unnest({_split_sql("text")}) as text from tt),
+lb as (select section, case when {_found_sql(derive.LEXICON.hedging, "text")} <> '' then '{HEDGED}' when {_found_sql(derive.LEXICON.confident, "text")} <> '' then '{CONFIDENT}' else '{UNMARKED}' end as label, length(text) as n from s1)
+select section, label, count(*)::bigint as n_sentences, sum(n)::bigint as n_chars from lb group by all""")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by section, by the functions and views of the SQL surface alone."""
+    derive.transcripts(spark, sf_dir).createOrReplaceTempView("ts_transcripts")
+    sql_functions.install(spark, "ts_transcripts", derive.LEXICON)
+    return spark.sql("""
+        with p as (select section, ts_sentences_of(text) as parts from ts_turns), s as (select section, explode(parts) as text from p)
+        select section, ts_label(text) as label, count(*) as n_sentences, sum(length(text)) as n_chars from s group by section, label""")
+
+
+_ORDERED = lambda entries: f"""(select coalesce(string_agg(h, ',' order by i), '') from (select h, min(i) as i from (select unnest(hits) as h, generate_subscripts(hits, 1) as i from (select {_hits_sql(entries, "s1.text")} as hits)) group by h))"""
+
+
+@query(_LABELLED + f"select doc_id, turn_number, sent_no, {_ORDERED(derive.LEXICON.hedging)} as hedges, {_ORDERED(derive.LEXICON.confident)} as sures from s1")
+def phrases_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in the order of their first places."""
+    names = lambda c: F.array_join(F.transform(c, lambda m: m["phrase"]), ",")
+    return _labelled(spark, sf_dir).select("doc_id", "turn_number", "sent_no", names("hedge_matches").alias("hedges"), names("confident_matches").alias("sures"))
+
+
+@query(_SCORES + f""", wy as (select {_VALUE}, 0 as kind, claim_no, found as told from f where found <> 'kept' union all
+  select {", ".join(f"f.{v}" for v in _VALUE.split(", "))}, 1, f.claim_no, cs.dimension || ' scores ' || samples || ', median ' || median || ', range ' || low || ' to ' || high from f join cs using (doc_id, claim_no) where not stable and high - low >= 2)
+select doc_id, claim_text, min(claim_no) as first_no, string_agg(told, '; ' order by kind, claim_no) as contexts from wy group by {_VALUE}""")
+def revision_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model is told about each claim that it is asked to revise."""
+    return _flagged(spark, sf_dir)[2].select("doc_id", "claim_text", "first_no", F.array_join("contexts", "; ").alias("contexts"))

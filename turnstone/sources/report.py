@@ -15,6 +15,7 @@ def markdown(results: DataFrame) -> DataFrame:
     return by.select("doc_id", F.concat(head, "lines").alias("body"))
 
 
-def write(reports: DataFrame, path: str) -> None:
-    """A folder per document with its text."""
-    reports.select("doc_id", F.col("body").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+def write(reports: DataFrame, path: str, buckets: int = 64) -> None:
+    """JSON lines (doc_id, body) in folders by a hash of doc_id: their number does not grow with the documents."""
+    where = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    reports.select("doc_id", "body", where).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
