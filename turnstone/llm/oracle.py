@@ -109,4 +109,23 @@ select page_id, host, path, rule, coalesce(ruled, case when di.rank > tr.rank an
 from p left join tr using (host) left join di using (host)
 """
 
-ORACLE = {"op1_license_scan": LICENSES, "op2_ngram_jaccard": JACCARD, "op4_substring_dedup": WINDOWS, "op5_suffix_dedup": BYTES, "op6_url_filter": URLS, "op8_mix_sources": mixing.ORACLE_SQL}
+_LOWER, _PLAIN = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+# CRC-32 byte by byte over the distinct words, with a table that is made here by its rule
+RESAMPLE = f"""with tbl as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, i)) as crcs),
+docs as (select doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) as ws, row_number() over () as no from documents),
+bench as (select unnest(regexp_extract_all({_LOWER}, {_PLAIN})) as w from benchmark),
+f as (select no, unnest(ws) as w from docs),
+words as (select distinct w from (select w from f union all select w from bench)),
+hexed as (select w, hex(encode(w)) as h from words),
+crc as (select w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket from hexed cross join tbl),
+s as (select bucket, count(*) as s from f join crc using (w) group by bucket), t as (select bucket, count(*) as t from bench join crc using (w) group by bucket),
+n as (select (select count(*) from f)::double as s, (select count(*) from bench)::double as t),
+gain as (select bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::double * (n.s + 10000) / ((coalesce(s.s, 0) + 1)::double * (n.t + 10000))))::bigint as gain from (select distinct bucket from crc) left join s using (bucket) left join t using (bucket) cross join n),
+w as (select no, sum(gain)::double as total from f join crc using (w) join gain using (bucket) group by no),
+sc as (select doc_id, len(ws)::bigint as n_features, case when len(ws) > 0 then floor(total / len(ws))::bigint else 0 end as weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as noise from docs left join w using (no)),
+r as (select *, weight + noise as score, n_features >= 20 as able, row_number() over (partition by n_features >= 20 order by weight + noise desc, doc_id nulls last) as place from sc)
+select doc_id, n_features, weight, score, case when able and place <= (select count(*) from r where able) * 10 // 100 then place end as rank from r
+"""
+
+ORACLE = {"op1_license_scan": LICENSES, "op2_ngram_jaccard": JACCARD, "op4_substring_dedup": WINDOWS, "op5_suffix_dedup": BYTES, "op6_url_filter": URLS, "op8_mix_sources": mixing.ORACLE_SQL, "op12_target_resample": RESAMPLE}
