@@ -25,6 +25,24 @@ def test_load_and_gate(spark, tmp_path):
         documents.load(spark, str(tmp_path / "missing")).collect()
 
 
+def test_files_that_a_table_names(spark, tmp_path):
+    """Read where their rows are, in batches and as a stream; what is empty, broken or not there is a row."""
+    (tmp_path / "a good.txt").write_text("x" * 60)
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "bad").write_bytes(b"\xff")
+    (tmp_path / "folder").mkdir()
+    names = ["a good.txt", "empty", "bad", "none", "a good.txt", "folder"]
+    paths = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in names] + [((tmp_path / "bad").as_uri(),), (None,)], "path string").repartition(3)
+    want = sorted([("a good.txt", "ok"), ("a good.txt", "ok"), ("empty", "unreadable"), ("bad", "unreadable"), ("bad", "unreadable"), ("none", "missing"), ("folder", "unreadable"), (None, "missing")], key=str)
+    status = lambda df: sorted(((r["source_path"] and r["source_path"].rpartition("/")[2], r["status"]) for r in df.collect()), key=str)
+    got = documents.read_paths(paths)
+    assert status(got) == want and got.columns == documents.load(spark, str(tmp_path)).columns
+    paths.write.parquet(str(tmp_path / "paths"))
+    stream = documents.read_paths(spark.readStream.schema("path string").parquet(str(tmp_path / "paths")))
+    stream.writeStream.format("memory").queryName("named_files").trigger(availableNow=True).start().awaitTermination(120)
+    assert status(spark.table("named_files")) == want
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/call.txt").write_text("Ana Ruiz: We may grow. We did.\nOperator: We now open the call for questions.\nBo Chen: Thanks.")

@@ -5,9 +5,12 @@ A decoder turns the bytes of one file into (page texts). None is bundled for PDF
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs as filesystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ from turnstone.functions.text import strip
 from turnstone.plans.schemas import MIN_CHARS_PER_PAGE
 
 Decoder = Callable[[bytes], list[str]]
-OK, UNREADABLE, ZERO_PAGES, NO_TEXT = "ok", "unreadable", "zero_pages", "no_text_layer"
-LOADED = "doc_id BIGINT, source_path STRING, page_count INT, text STRING, decoded BOOLEAN"
+OK, UNREADABLE, ZERO_PAGES, NO_TEXT, MISSING = "ok", "unreadable", "zero_pages", "no_text_layer", "missing"
+LOADED = "doc_id BIGINT, source_path STRING, page_count INT, text STRING, decoded BOOLEAN, there BOOLEAN"
 
 
 class MissingPath(FileNotFoundError):
@@ -39,20 +42,52 @@ def gate(docs: DataFrame) -> DataFrame:
 
 
 def decoded(files: DataFrame, decoder: Decoder = plain_text) -> DataFrame:
-    """doc_id, source_path, page_count, text, status of files as rows (doc_id, path, content): null content cannot be read."""
+    """doc_id, source_path, page_count, text, status of files as rows (doc_id, path, content): null content cannot be read.
+
+    ``there``, where there is such a column, tells files that are missing.
+    """
+    there = F.col("there") if "there" in files.columns else F.lit(True)
+    files = files.select("doc_id", "path", "content", there.alias("there"))
 
     def decode(frames):
         for f in frames:
             rows = []
-            for doc_id, where, data in zip(f["doc_id"], f["path"], f["content"], strict=True):
+            for doc_id, where, data, there in zip(f["doc_id"], f["path"], f["content"], f["there"], strict=True):
                 try:
                     pages = decoder(bytes(data) if data is not None else b"")
-                    rows.append((doc_id, where, len(pages), "\n".join(pages), True))
+                    rows.append((doc_id, where, len(pages), "\n".join(pages), True, there))
                 except Exception:  # a decoder may fail in any way: the row says so
-                    rows.append((doc_id, where, 0, "", False))
-            yield pd.DataFrame(rows, columns=["doc_id", "source_path", "page_count", "text", "decoded"])
+                    rows.append((doc_id, where, 0, "", False, there))
+            yield pd.DataFrame(rows, columns=["doc_id", "source_path", "page_count", "text", "decoded", "there"])
+
+    out = gate(files.mapInPandas(decode, LOADED))
+    return out.withColumn("status", F.when(F.col("there"), F.col("status")).otherwise(MISSING)).drop("decoded", "there")
+
+
+def read_paths(paths: DataFrame, decoder: Decoder = plain_text) -> DataFrame:
+    """doc_id (a hash of the path), source_path, page_count, text, status of files that a table names (column path), batch or stream.
 
-    return gate(files.select("doc_id", "path", "content").mapInPandas(decode, LOADED)).drop("decoded")
+    Nothing is listed and nothing goes through the driver: a task opens the files of its rows, by Arrow's file systems (local, hdfs, s3, gs
+    by the path's scheme). A file that is not there is a row with status missing, an empty or broken one is unreadable. Paths that
+    repeat are read as often; a null path is missing.
+    """
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path in f["path"]:
+                try:
+                    system, at = filesystem.FileSystem.from_uri(path if re.match("[a-z][a-z0-9]*:", path) else f"file://{quote(path)}")
+                    with system.open_input_stream(at) as file:
+                        rows.append((path, file.read(), True))
+                except (FileNotFoundError, TypeError):
+                    rows.append((path, None, False))
+                except OSError:  # it is there, but cannot be read
+                    rows.append((path, None, True))
+            yield pd.DataFrame(rows, columns=["path", "content", "there"])
+
+    found = paths.select("path").mapInPandas(run, "path STRING, content BINARY, there BOOLEAN")
+    return decoded(found.select(F.xxhash64("path").alias("doc_id"), "path", "content", "there"), decoder)
 
 
 def load(spark: SparkSession, path: str, decoder: Decoder = plain_text, pattern: str | None = None, strict: bool = False) -> DataFrame:
