@@ -194,18 +194,19 @@ def key_digests(spark: SparkSession, layout: Layout, key: str) -> DataFrame:
 def rewrite(parent: DataFrame, child: DataFrame, names: tuple[str, str], key: str = KEY, other: str = OTHER, buckets: int = BUCKETS, salt: str = SALT, least_part: int = LEAST_PART) -> DataFrame:
     """Writes both tables into a new folder, rewrites them by bucket, and returns one row per final file (REPORT)."""
     spark = parent.sparkSession
-    root = f"{checkpoint_dir(spark)}/cobucket-{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    root, index_at = f"{checkpoint_dir(spark)}/cobucket-{run}", f"{checkpoint_dir(spark)}/cobucket-index-{run}"  # the index is no table's file
     orphan, keyless, first = buckets, buckets + 1, buckets + 2
     own = F.coalesce(bucket(_c(key), buckets, salt), F.lit(keyless))
-    up = start(spark, parent, names[0], f"{root}/tables", F.when(own % 4 == 1, own - 1).otherwise(own), key)
-    down = start(spark, child, names[1], f"{root}/tables", F.coalesce(F.crc32(_c(other).cast("string")) % buckets, F.lit(0)), key)
+    up = start(spark, parent, names[0], root, F.when(own % 4 == 1, own - 1).otherwise(own), key)
+    down = start(spark, child, names[1], root, F.coalesce(F.crc32(_c(other).cast("string")) % buckets, F.lit(0)), key)
 
     # what of each starting file goes where
     begun = [t.read(spark) for t in (up, down)]
     counted = lambda t, df: df.groupBy(F.col(t.number).alias("number"), _c(key).alias("id")).agg(F.count("*").alias("n"))
     parents = cut(counted(up, begun[0]))
-    write_index(parents, f"{root}/index", buckets, salt)
-    index = spark.read.schema("bucket int, id long, n long").parquet(f"{root}/index")
+    write_index(parents, index_at, buckets, salt)
+    index = spark.read.schema("bucket int, id long, n long").parquet(index_at)
     children = counted(down, begun[1])
     met = probe(children, "id", index, buckets, salt).select("row.*", "found")
     met = met.select("number", "n", bucket(F.col("id"), buckets, salt).alias("home"), "found").union(children.where("id is null").select("number", "n", F.lit(keyless), F.lit(None).cast("long")))
