@@ -540,7 +540,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF_DIR}/{t}.parquet')")
     got = con.execute(queries.oracle_sql()[name])
     columns = sorted(c[0] for c in got.description)
@@ -563,6 +563,8 @@ def odd(spark, tmp_path_factory):
         ("documents", "doc_id long, text string, lang string, source string, n_chars long", [(i, t, (None, "en", "fr")[k % 3], (None, "s", "t")[k % 3], k) for k, (i, t) in enumerate(texts)]),
         ("labels", "doc_id long, quality int, toxic int", [(1, 1, 0), (2, 0, 1), (None, 1, 0), (7, None, None), (6, 1, None), (6, 1, None)]),
         ("benchmark", "item_id long, text string", [(None, PASSAGE), (1, BASE), (1, BASE), (2, None)]),
+        ("sales", "sale_id long, client_id long, status string", [(1, 1, "a"), (1, 1, "a"), (2, None, None), (None, 3, "é"), (None, 3, "é")]),
+        ("sale_lines", "sale_id long, line_no int, item_id long, flag string", [(1, 1, None, "x"), (1, 1, None, "x"), (2, None, 5, None), (9, 1, 5, ""), (None, 1, 5, long)]),
         ("pages", "page_id long, url string, html string", [(1, "http://a.org/x", None), (1, "http://a.org/x", None), (None, None, "<a href='http://b.net/'>x</a>"), (2, "http://c.info/", "<a href='http://b.net/'>x</a>"), (3, "http://b.net/", "x" * 2_000_000)]),
     ):
         d = spark.createDataFrame(data, schema)
@@ -578,6 +580,11 @@ def test_queries_on_odd_tables(spark, odd, name):
         assert {r["doc_id"] for r in got.collect()} >= {1, 2, 6, None}
     elif name == "op6_url_filter":
         assert sorted(map(repr, got.select("page_id").toPandas()["page_id"])) and got.count() == 5
+    elif name == "op13_cobucketed_pair":
+        rows = got.collect()
+        assert [sum(r["n_rows"] for r in rows if r["table_name"] == t) for t in ("sales", "sale_lines")] == [5, 5]
+        assert sum(r["n_joined"] for r in rows if r["table_name"] == "sale_lines") == 5 and {600, 601} <= {r["bucket"] for r in rows}
+        assert all(r["columns"].endswith(",".join(CLASHES)) for r in rows)
     else:
         assert sorted(repr(r["doc_id"]) for r in got.collect()) == sorted(repr(i) for i, _ in texts)
     if name == "op5_suffix_dedup":
