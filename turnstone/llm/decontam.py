@@ -6,14 +6,16 @@
 2. A distributed randomised SVD: with a Gaussian G (SIZE x RANK), every task adds up its part of A'(A G) over the
    passages A of all documents; the sums, RANK columns wide, are merged in two levels, and give the leading right
    singular vectors and values of A.
-3. Benchmark items are cut into passages too, projected, and compared with every projected passage by cosine.
-   Pairs above COSINE are candidates when their words overlap, as counted without order, by OVERLAP.
-4. What cosine drops is found by words: a leak of an item of n words within a window of STRETCH * n words shares at
-   least need = COMMON_WITH_ANSWER * n of them in order, so at least l of its n - need + l rarest words. Windows
-   with l such words are compared too (in windows of that length), so no leak of that kind is lost, however short.
-5. A candidate of cosine is confirmed by the longest common subsequence of the item's words and the document's words around
-   the passage: COMMON of the item, or COMMON_WITH_ANSWER of it if the item's answer (its last sentence) is there
-   as well. Words of items are sent to every task, so a benchmark is searched in slices of about MAX_ITEMS items.
+3. Benchmark items of SHORT words or more are cut into passages too, projected, and compared with every projected
+   passage by cosine. Pairs above COSINE are candidates when their words overlap, as counted without order, by OVERLAP.
+   This is the only way to a leak of such an item.
+4. A candidate is confirmed by the longest common subsequence of the item's words with a window of STRETCH times as many
+   words around the passage: COMMON of the item, or COMMON_WITH_ANSWER of it if the item's answer (its last sentence)
+   is there as well. Bit-parallel, for all windows at once.
+5. An item of fewer than SHORT words has no direction of its own in a passage of SPAN words. It is looked for by its rare words:
+   a leak of n words within such a window shares at least need = COMMON_WITH_ANSWER * n of them in order, so at least l of its
+   n - need + l rarest words, and windows with l such words are compared. No leak of such items is lost.
+6. Words of items are sent to every task, so a benchmark is searched in slices of about MAX_ITEMS items and MAX_BYTES bytes.
 
 Result: one row per document row and item that leaks into it. Cases: null or empty texts and items hold nothing
 and match nothing; null ids are kept; repeated documents and items are reported for each; an empty benchmark or
@@ -33,12 +35,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textnum import U, pieces, word_hashes, word_spans
 
-SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 64, 8, 3, 11, 128
+SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 128, 8, 3, 11, 128
 SPAN = STRIDE * BLOCKS
-COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.55, 0.5, 0.6, 0.45, 0.8
-MAX_ITEMS, LIMIT, STRETCH = 20_000, 1 << 18, 1.5
+COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.25, 0.3, 0.6, 0.45, 0.8
+MAX_ITEMS, MAX_BYTES, LIMIT, STRETCH, SHORT = 20_000, 16 << 20, 1 << 18, 1.5, 12
 #: Cells up to which a table of items by words is an array; beyond it, only the cells that are set are kept. Cosines at once.
-CELLS, COSINES, WINDOWS = 1 << 26, 4_000_000, 200_000
+CELLS, COSINES, WINDOWS = 1 << 23, 4_000_000, 200_000
 
 
 def _frequencies(batches):
@@ -217,55 +219,123 @@ def _reach(words: int) -> int:
     return math.ceil(STRETCH * words)
 
 
+class Places:
+    """The places of words in sequences, as bits, 64 to a row: what longest common subsequences are counted with."""
+
+    def __init__(self, sequences: list[np.ndarray], vocabulary: np.ndarray):
+        self.size = np.array([len(h) for h in sequences], np.int64)
+        self.limbs = np.r_[0, np.cumsum(-(-self.size // 64))]
+        place = np.arange(int(self.size.sum())) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        word = np.searchsorted(vocabulary, np.concatenate([*sequences, np.zeros(0, U)]))
+        self.masks = Cells(int(self.limbs[-1]), len(vocabulary) + 1, np.repeat(self.limbs[:-1], self.size) + place // 64, word, U(1) << (place % 64).astype(U))
+
+    def common(self, no: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of sequences ``no`` with the words from ``lo`` to ``hi``, as in common()."""
+        out, count = np.zeros(len(no), np.int64), -(-self.size[no] // 64)
+        for n in np.unique(count[count > 0]).tolist():
+            some, at_once = np.flatnonzero(count == n), max(1, WINDOWS // n)
+            for x in np.split(some, np.arange(at_once, len(some), at_once)):
+                out[x] = self._common(lo[x], hi[x], place, self.limbs[no[x]], self.size[no[x]], n)
+        return out
+
+    def _common(self, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, row: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
+        full = [~U(0) >> (64 - np.clip(size - 64 * k, 1, 64)).astype(U) for k in range(count)]
+        v = [x.copy() for x in full]
+        for t in range(int((hi - lo).max(initial=0))):
+            inside, word, carry = lo + t < hi, np.take(place, lo + t, mode="clip"), U(0)
+            for k in range(count):
+                m = np.where(inside, self.masks.get((row + k) * self.masks.columns, word), U(0))
+                total = v[k] + (v[k] & m)
+                over = total < v[k]
+                total = total + carry
+                carry = (over | (total < carry)).astype(U)
+                v[k] = (total | (v[k] & ~m)) & full[k]
+        return size - sum(np.bitwise_count(x).astype(np.int64) for x in v)
+
+
+def _needed(size: np.ndarray) -> np.ndarray:
+    """Words in order below which no item of that size is a leak."""
+    return np.ceil(min(COMMON, COMMON_WITH_ANSWER) * size - 1e-9).astype(np.int64)
+
+
+def _enough(n, a):
+    return (n >= COMMON) | (n >= COMMON_WITH_ANSWER) & (a >= ANSWER)
+
+
+def regions(doc: np.ndarray, item: np.ndarray, start: np.ndarray, first: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, item, first word and end of what the windows around passages that begin at ``start`` can hold; passages that
+    begin in the same stretch of a window's length share it."""
+    cell = (start - first[doc]) // reach[item]
+    most = int(cell.max(initial=0)) + 1
+    key = np.unique((doc * len(reach) + item) * most + cell)
+    (doc, item), cell = np.divmod(key // most, len(reach)), key % most
+    lo = first[doc] + np.maximum((cell - 1) * reach[item] + 1, 0)
+    return doc, item, lo, np.minimum(first[doc] + (cell + 2) * reach[item] + SPAN, first[doc + 1])
+
+
+def best_windows(found: tuple, items: Places, answers: Places, place: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
+    """Shares of the item and of its answer in the best window of each (document, item) that holds a leak.
+
+    Windows begin at every word, at every 64th part of the item where that is more (and are longer by it, so that none
+    is lost). The regions of a pair are taken by what they can hold in order, most first, until one holds a leak.
+    """
+    doc, item, lo, hi = found
+    most = items.common(item, lo, hi, place)
+    order = np.lexsort((lo, -most, item, doc))
+    order = order[most[order] >= _needed(items.size)[item[order]]]
+    doc, item, lo, hi = (x[order] for x in (doc, item, lo, hi))
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])][: len(doc)]
+    pair = np.cumsum(new) - 1
+    turn = np.log2(np.arange(len(doc)) - np.flatnonzero(new)[pair] + 1).astype(int) if len(doc) else pair
+    out: dict[tuple[int, int], tuple[float, float]] = {}
+    closed = np.zeros(len(doc), bool)
+    for t in range(int(turn.max(initial=-1)) + 1):
+        now = np.flatnonzero((turn == t) & ~closed[pair])
+        step = np.maximum(1, items.size[item[now]] // 64)
+        reach = np.ceil(STRETCH * items.size[item[now]]).astype(np.int64)
+        many = np.maximum(-(-(hi[now] - lo[now] - reach) // step), 0) + 1
+        of = np.repeat(np.arange(len(now)), many)
+        at = lo[now][of] + (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * step[of]
+        end, of = np.minimum(at + (reach + step - 1)[of], hi[now][of]), now[of]
+        n = items.common(item[of], at, end, place)
+        some = n >= _needed(items.size)[item[of]]
+        at, end, of, n = at[some], end[some], of[some], n[some] / items.size[item[of]][some]
+        a = answers.common(item[of], at, end, place) / np.maximum(answers.size[item[of]], 1)
+        ok = _enough(n, a)
+        closed[pair[of[ok]]] = True
+        for k, x in zip(of[ok].tolist(), zip(n[ok].tolist(), a[ok].tolist(), strict=True), strict=True):
+            key = (int(doc[k]), int(item[k]))
+            out[key] = max(out.get(key, x), x)
+    return out
+
+
 def rare_words(items: list[tuple], vocabulary: np.ndarray, weight: np.ndarray) -> tuple:
     """For each word of the vocabulary (and none, one past it) the items it is a rare word of; what each item needs.
 
     A window whose longest common subsequence with an item has ``need`` words or more has ``least`` of the item's
     n - need + least rarest words, whatever order of rarity is taken.
     """
-    word, item, least = [], [], []
-    for no, (_, h, _) in enumerate(items):
-        need = math.ceil(min(COMMON, COMMON_WITH_ANSWER) * len(h) - 1e-9)
+    places = Places([h for _, h, _ in items], vocabulary)
+    word, item, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for no, ((_, h, _), need) in enumerate(zip(items, _needed(places.size).tolist(), strict=True)):
         least.append(max(1, need // 2))
         rarest = np.argsort(-weight[(h & U(SIZE - 1)).astype(np.int64)], kind="stable")[: len(h) - need + least[-1]]
         # a word that stands there k times counts k times, as often as a common subsequence can hold it
         word.append(np.searchsorted(vocabulary, h[rarest]))
-        item.append(np.full(len(rarest), no, np.int32))
-    word, item = np.concatenate(word), np.concatenate(item)
-    pairs, often = np.unique(word * len(items) + item, return_counts=True)
-    begin = np.searchsorted(pairs // len(items), np.arange(len(vocabulary) + 2))
-    # the places of a word in an item, as bits, 64 to a row
-    size = np.array([len(h) for _, h, _ in items])
-    limbs = np.r_[0, np.cumsum(-(-size // 64))]
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    masks = Cells(int(limbs[-1]), len(vocabulary) + 1, np.repeat(limbs[:-1], size) + place // 64, np.searchsorted(vocabulary, np.concatenate([h for _, h, _ in items])), U(1) << (place % 64).astype(U))
-    return begin, (pairs % len(items)).astype(np.int64), often, np.array(least), size, masks, limbs
-
-
-def _common_in(windows: tuple, place: np.ndarray, masks: Cells, row: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of windows (first words, ends) with items of as many words of 64 bits
-    each, which begin at ``row`` of the masks: as in common(), for all windows at once."""
-    lo, hi = windows
-    count = -(-int(size[0]) // 64)
-    full = [~U(0) >> (64 - np.clip(size - 64 * k, 1, 64)).astype(U) for k in range(count)]
-    v = [x.copy() for x in full]
-    for t in range(int((hi - lo).max(initial=0))):
-        inside, word, carry = lo + t < hi, np.take(place, lo + t, mode="clip"), U(0)
-        for k in range(count):
-            m = np.where(inside, masks.get((row + k) * masks.columns, word), U(0))
-            total = v[k] + (v[k] & m)
-            over = total < v[k]
-            total = total + carry
-            carry = (over | (total < carry)).astype(U)
-            v[k] = (total | (v[k] & ~m)) & full[k]
-    return size - sum(np.bitwise_count(x).astype(np.int64) for x in v)
+        item.append(np.full(len(rarest), no))
+    pairs, often = np.unique(np.concatenate(word) * max(len(items), 1) + np.concatenate(item), return_counts=True)
+    begin = np.searchsorted(pairs // max(len(items), 1), np.arange(len(vocabulary) + 2))
+    return begin, pairs % max(len(items), 1), often, np.array(least, np.int64), places
 
 
 def rare_windows(index: tuple, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Item and first word of every window that may hold a leak, by item and place."""
-    begin, of, often, least, size, masks, limbs = index
-    reach = np.array([_reach(n) for n in size.tolist()])
+    begin, of, often, least, places = index
     word = np.flatnonzero(begin[place + 1] > begin[place])
+    if not len(word):
+        return word, word
+    size = places.size
+    reach = np.array([_reach(n) for n in size.tolist()])
     k = (begin[place + 1] - begin[place])[word]
     at = np.arange(int(k.sum())) + np.repeat(begin[place[word]] - (np.cumsum(k) - k), k)
     item, word = of[at], np.repeat(word, k)
@@ -276,15 +346,10 @@ def rare_windows(index: tuple, place: np.ndarray, first: np.ndarray) -> tuple[np
     key, item, word, sums = key[order], item[order], word[order], np.r_[0, np.cumsum(often[at[order]])]
     ok = sums[np.searchsorted(key, key + reach[item])] - sums[:-1] >= least[item]
     item, word = item[ok], word[ok]
-    # the common subsequence with all words that such a window can hold, as in common(), for all windows at once
+    # the common subsequence with all words that such a window can hold
     doc = np.searchsorted(first, word, "right") - 1
     lo, hi = np.maximum(first[doc], word - reach[item] + 1), np.minimum(first[doc + 1], word + reach[item])
-    need = np.ceil(min(COMMON, COMMON_WITH_ANSWER) * size[item] - 1e-9)
-    ok, count = np.zeros(len(item), bool), -(-size[item] // 64)
-    for n in np.unique(count):
-        some = np.flatnonzero(count == n)
-        for x in np.split(some, np.arange(WINDOWS, len(some), WINDOWS)):
-            ok[x] = _common_in((lo[x], hi[x]), place, masks, limbs[item[x]], size[item[x]]) >= need[x]
+    ok = places.common(item, lo, hi, place) >= _needed(size)[item]
     return item[ok], word[ok]
 
 
@@ -294,14 +359,11 @@ def confirmed(words: np.ndarray, answer: int, text: np.ndarray, start: int, leng
     def shares(x):
         return common(words, x) / len(words), common(words[answer:], x) / max(len(words) - answer, 1)
 
-    def enough(n, a):
-        return n >= COMMON or n >= COMMON_WITH_ANSWER and a >= ANSWER
-
     lo, hi = max(0, start - length + 1), start + length
-    if not enough(*shares(text[lo:hi])):
+    if not _enough(*shares(text[lo:hi])):
         return None
     found = [shares(text[i : i + length]) for i in range(lo, start + 1) if text[i] in words or i == lo]
-    return max((x for x in found if enough(*x)), default=None)
+    return max((x for x in found if _enough(*x)), default=None)
 
 
 SCHEMA = "doc_id long, item_id long, cosine double, common double, answer double"
@@ -312,7 +374,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    slices, space, found = -(-given.count() // MAX_ITEMS), None, None
+    size = given.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    slices, space, found = max(-(-size["n"] // MAX_ITEMS), -(-size["bytes"] // MAX_BYTES)), None, None
     for no in range(slices):
         items = _items(given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == no).collect())
         space = space or (semantic_space(docs.select("text")) if items else None)
@@ -322,9 +385,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
-def _search(docs: DataFrame, items: list[tuple], basis: np.ndarray, weight: np.ndarray) -> DataFrame:
-    spark = docs.sparkSession
-    queries, owner = [], []
+def _queries(items: list[tuple], basis: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Unit projections of the items' passages; item, first word and end of each."""
+    queries, owner = [np.zeros((0, basis.shape[1]), np.float32)], []
     for no, (_, h, _) in enumerate(items):
         for at in range(0, len(h), STRIDE * 2):
             if at and len(h) - at < SPAN:
@@ -334,17 +397,47 @@ def _search(docs: DataFrame, items: list[tuple], basis: np.ndarray, weight: np.n
             owner.append((no, at, at + len(part)))
             if at + SPAN >= len(h):
                 break
-    queries = np.concatenate(queries)
-    vocabulary = np.unique(np.concatenate([h for _, h, _ in items]))
-    sizes = np.array([j - i for _, i, j in owner])
-    held = Cells(len(owner), len(vocabulary) + 1, np.repeat(np.arange(len(owner)), sizes), np.searchsorted(vocabulary, np.concatenate([items[no][1][i:j] for no, i, j in owner])), np.ones(int(sizes.sum()), bool))
-    given = spark.sparkContext.broadcast((items, basis, queries, owner, vocabulary, held, sizes, rare_words(items, vocabulary, weight)))
+    return np.concatenate(queries), owner
+
+
+def _search(docs: DataFrame, items: list[tuple], basis: np.ndarray, weight: np.ndarray) -> DataFrame:
+    short, items = [x for x in items if len(x[1]) < SHORT], [x for x in items if len(x[1]) >= SHORT]
+    queries, owner = _queries(items, basis)
+    vocabulary = np.unique(np.concatenate([h for _, h, _ in items + short]))
+    sizes = np.array([j - i for _, i, j in owner], np.int64)
+    words = np.concatenate([np.zeros(0, U), *(items[no][1][i:j] for no, i, j in owner)])
+    held = Cells(len(owner), len(vocabulary) + 1, np.repeat(np.arange(len(owner)), sizes), np.searchsorted(vocabulary, words), np.ones(len(words), bool))
+    exact = Places([h for _, h, _ in items], vocabulary), Places([h[answer:] for _, h, answer in items], vocabulary)
+    given = docs.sparkSession.sparkContext.broadcast(([x[0] for x in items], short, basis, queries, owner, vocabulary, held, sizes, exact, rare_words(short, vocabulary, weight), _queries(short, basis)))
+
+    def candidates(x, p, q, place):
+        """Passages and queries that are alike by cosine and share enough words; their cosines."""
+        _, _, _, queries, _, vocabulary, held, sizes, *_ = given.value
+        near, far, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        step = max(1, min(1024, COSINES // max(len(queries), 1)))
+        for k in range(0, len(x) if len(queries) else 0, step):
+            cos = (x[k : k + step] @ queries.T).ravel()
+            hit = np.flatnonzero(cos >= COSINE)
+            near.append(hit // len(queries) + k)
+            far.append(hit % len(queries))
+            cosines.append(cos[hit])
+        near, far, cosines = np.concatenate(near), np.concatenate(far), np.concatenate(cosines)
+        # words in common, without order; pairs that the words to come cannot save are dropped on the way
+        need = np.ceil(OVERLAP * np.minimum(sizes[far], (q - p)[near])).astype(np.int32)
+        shared, row = np.zeros(len(near), np.int32), far * held.columns
+        for t in range(SPAN):
+            word = p[near] + t
+            at = np.where(word < q[near], np.take(place, word, mode="clip"), len(vocabulary))
+            shared += held.get(row, at)
+            if t % 4 == 3:
+                ok = shared >= need - (SPAN - 1 - t)
+                near, far, cosines, shared, need, row = (x[ok] for x in (near, far, cosines, shared, need, row))
+        return near, far, cosines
 
     def search(batches):
-        items, basis, queries, owner, vocabulary, held, sizes, index = given.value
-        item_of = np.array([no for no, _, _ in owner])
-        step = max(1, min(1024, COSINES // len(queries)))
-        longest = max(len(h) for _, h, _ in items)
+        item_ids, short, basis, _, owner, vocabulary, _, _, exact, index, (short_queries, short_owner) = given.value
+        item_of, short_of = (np.array([no for no, _, _ in x], np.int64) for x in (owner, short_owner))
+        reach = np.array([_reach(n) for n in exact[0].size.tolist()], np.int64)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             rows = []
@@ -356,51 +449,23 @@ def _search(docs: DataFrame, items: list[tuple], basis: np.ndarray, weight: np.n
                 x, doc, p, q = _projected((h & U(SIZE - 1)).astype(np.int32), first, basis)
                 place = np.searchsorted(vocabulary, h).clip(0, len(vocabulary) - 1)
                 place = np.where(vocabulary[place] == h, place, len(vocabulary))
-                near, far, cosines = [], [], []
-                for k in range(0, len(x), step):
-                    cos = (x[k : k + step] @ queries.T).ravel()
-                    hit = np.flatnonzero(cos >= COSINE)
-                    near.append(hit // len(queries) + k)
-                    far.append(hit % len(queries))
-                    cosines.append(cos[hit])
-                near, far, cosines = np.concatenate(near), np.concatenate(far), np.concatenate(cosines)
-                # words in common, without order; pairs that the words to come cannot save are dropped on the way
-                need = np.ceil(OVERLAP * np.minimum(sizes[far], (q - p)[near])).astype(np.int32)
-                shared, row = np.zeros(len(near), np.int32), far * held.columns
-                for t in range(SPAN):
-                    word = p[near] + t
-                    at = np.where(word < q[near], np.take(place, word, mode="clip"), len(vocabulary))
-                    shared += held.get(row, at)
-                    if t >= SPAN // 2 and t % 4 == 3:
-                        ok = shared >= need - (SPAN - 1 - t)
-                        near, far, cosines, shared, need, row = (x[ok] for x in (near, far, cosines, shared, need, row))
-                best: dict[tuple[int, int], tuple] = {}
-                # the best aligned pairs of a document and item come first; a confirmed pair is done
-                for k in np.lexsort((-cosines, -shared)):
-                    key = (int(doc[near[k]]), int(item_of[far[k]]))
-                    had = best.get(key)
-                    if had and had[1] >= 0.999:
-                        continue
-                    _, words, answer = items[key[1]]
-                    lo, hi = first[key[0]], first[key[0] + 1]
-                    from_, to = max(lo, p[near[k]] - longest), min(hi, q[near[k]] + longest)
-                    if had and had[3] <= p[near[k]] and q[near[k]] <= had[4]:
-                        continue  # within words that were compared already
-                    n = common(words, h[from_:to]) / len(words)
-                    a = common(words[answer:], h[from_:to]) / max(len(words) - answer, 1)
-                    new = (float(cosines[k]), n, a, from_ + longest // 2 if from_ > lo else lo, to - longest // 2 if to < hi else hi)
-                    if not had or new[1] > had[1]:
-                        best[key] = new
-                best = {key: v for key, v in best.items() if v[1] >= COMMON or v[1] >= COMMON_WITH_ANSWER and v[2] >= ANSWER}
+                near, far, cosines = candidates(x, p, q, place)
+                if len(near):
+                    cosine: dict[tuple[int, int], float] = {}
+                    for k in np.argsort(cosines, kind="stable").tolist():
+                        cosine[int(doc[near[k]]), int(item_of[far[k]])] = float(cosines[k])
+                    best = best_windows(regions(doc[near], item_of[far], p[near], first, reach), *exact, place)
+                    rows += [(ids[i + d], item_ids[no], cosine[d, no], *v) for (d, no), v in sorted(best.items())]
+                best = {}
                 item, word = rare_windows(index, place, first)
                 owners = np.searchsorted(first, word, "right") - 1
                 for no, w, d in zip(item.tolist(), word.tolist(), owners.tolist(), strict=True):
                     if (d, no) not in best:
-                        _, words, answer = items[no]
+                        _, words, answer = short[no]
                         if new := confirmed(words, answer, h[first[d] : first[d + 1]], w - int(first[d]), _reach(len(words))):
                             k = np.flatnonzero((doc == d) & (p < w + _reach(len(words))) & (q > w - _reach(len(words))))
-                            best[d, no] = (float((x[k] @ queries[item_of == no].T).max(initial=-1.0)), *new)
-                rows += [(ids[i + d], items[no][0], *v[:3]) for (d, no), v in sorted(best.items())]
+                            best[d, no] = (float((x[k] @ short_queries[short_of == no].T).max(initial=-1.0)), *new)
+                rows += [(ids[i + d], short[no][0], *v) for (d, no), v in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "common", "answer"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, SCHEMA)
