@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textnum import U, pieces, word_hashes, word_spans
 
-SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 128, 8, 3, 11, 128
+SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 96, 8, 3, 11, 128
 SPAN = STRIDE * BLOCKS
-COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.25, 0.3, 0.6, 0.45, 0.8
+COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.35, 0.3, 0.6, 0.45, 0.8
 MAX_ITEMS, MAX_BYTES, LIMIT, STRETCH, SHORT = 20_000, 16 << 20, 1 << 18, 1.5, 12
 #: Cells up to which a table of items by words is an array; beyond it, only the cells that are set are kept. Cosines at once.
 CELLS, COSINES, WINDOWS = 1 << 23, 4_000_000, 200_000
@@ -241,6 +241,14 @@ class Places:
     def _common(self, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, row: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
         full = [~U(0) >> (64 - np.clip(size - 64 * k, 1, 64)).astype(U) for k in range(count)]
         v = [x.copy() for x in full]
+        if count == 1:  # nothing to carry
+            v, row = v[0], row * self.masks.columns
+            for t in range(int((hi - lo).max(initial=0))):
+                word = np.take(place, lo + t, mode="clip")
+                word[lo + t >= hi] = self.masks.columns - 1  # no word of an item
+                u = v & self.masks.get(row, word)
+                v = (v + u) | (v ^ u)
+            return size - np.bitwise_count(v & full[0]).astype(np.int64)
         for t in range(int((hi - lo).max(initial=0))):
             inside, word, carry = lo + t < hi, np.take(place, lo + t, mode="clip"), U(0)
             for k in range(count):
