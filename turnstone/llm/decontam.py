@@ -39,8 +39,9 @@ SIZE, RANK, STRIDE, BLOCKS, SEED, BLOCK = 4096, 96, 8, 3, 11, 128
 SPAN = STRIDE * BLOCKS
 COSINE, OVERLAP, COMMON, COMMON_WITH_ANSWER, ANSWER = 0.35, 0.3, 0.6, 0.45, 0.8
 MAX_ITEMS, MAX_BYTES, LIMIT, STRETCH, SHORT = 20_000, 16 << 20, 1 << 18, 1.5, 12
-#: Cells up to which a table of items by words is an array; beyond it, only the cells that are set are kept. Cosines at once.
-CELLS, COSINES, WINDOWS = 1 << 23, 4_000_000, 200_000
+#: Cells up to which a table of items by words is an array; beyond it, only the cells that are set are kept. Cosines, pairs
+#: whose words are counted, and windows at once.
+CELLS, COSINES, OVERLAPS, WINDOWS = 1 << 23, 4_000_000, 4096, 200_000
 
 
 def _frequencies(batches):
@@ -65,9 +66,15 @@ def _padded(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(padded: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Projections of blocks; ``basis`` has a row of zeros for the empty column."""
     out = np.empty((len(padded) // STRIDE, basis.shape[1]), np.float32)
-    for i in range(0, len(out), 256):  # what is gathered at once stays in the cache
-        part = np.take(basis, padded[i * STRIDE : (i + 256) * STRIDE], axis=0)
-        part.reshape(-1, STRIDE, basis.shape[1]).sum(axis=1, out=out[i : i + 256])
+    word = np.ascontiguousarray(padded.reshape(-1, STRIDE).T, dtype=np.intp)
+    part = np.empty((1024, basis.shape[1]), np.float32)  # one array for all words: fresh ones cost more than the sums
+    for i in range(0, len(out), len(part)):
+        total = out[i : i + len(part)]
+        more = part[: len(total)]
+        np.take(basis, word[0, i : i + len(part)], axis=0, out=total, mode="clip")
+        for k in range(1, STRIDE):
+            np.take(basis, word[k, i : i + len(part)], axis=0, out=more, mode="clip")
+            total += more
     return out
 
 
@@ -95,7 +102,7 @@ def _projected(c: np.ndarray, first: np.ndarray, basis: np.ndarray) -> tuple[np.
 
 def _range_finder(weight: np.ndarray):
     test = np.random.default_rng(SEED).standard_normal((SIZE, RANK)).astype(np.float32)
-    basis = np.vstack([test * weight[:, None], np.zeros((1, RANK), np.float32)])
+    basis = np.vstack([test * weight[:, None], np.zeros((1, RANK))]).astype(np.float32)
 
     def run(batches):
         total, task = np.zeros((RANK, SIZE)), 0
@@ -113,8 +120,10 @@ def _range_finder(weight: np.ndarray):
                 y = np.add.reduceat(_blocks(padded, basis), np.flatnonzero(new), axis=0)
                 of = np.repeat(np.cumsum(new) - 1, STRIDE)
                 columns, padded = np.ascontiguousarray(y.T, dtype=np.float64), padded.astype(np.int64)
+                each = np.empty(len(of))
                 for k in range(RANK):
-                    total[k] += np.bincount(padded, np.take(columns[k], of), SIZE + 1)[:SIZE]
+                    np.take(columns[k], of, out=each, mode="clip")
+                    total[k] += np.bincount(padded, each, SIZE + 1)[:SIZE]
         total = total.T * weight[:, None]
         data = [total[i : i + BLOCK].astype(np.float32).tobytes() for i in range(0, SIZE, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(data), dtype=np.int32)), pa.array([task] * len(data), pa.int32()), pa.array(data, pa.binary())], ["block", "task", "data"])
@@ -143,7 +152,8 @@ def latent_basis(z: np.ndarray, weight: np.ndarray) -> np.ndarray:
     u, sigma, _ = np.linalg.svd(half, full_matrices=False)
     keep = sigma > 1e-6 * sigma.max()
     basis = u[:, keep] / sigma[keep] * sigma.max() * weight[:, None]
-    return np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    # by rows in memory, as rows are gathered
+    return np.ascontiguousarray(np.vstack([basis, np.zeros((1, basis.shape[1]))]), dtype=np.float32)
 
 
 def semantic_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -423,23 +433,23 @@ def _search(docs: DataFrame, items: list[tuple], basis: np.ndarray, weight: np.n
         _, _, _, queries, _, vocabulary, held, sizes, *_ = given.value
         near, far, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         step = max(1, min(1024, COSINES // max(len(queries), 1)))
+        products = np.empty((step, len(queries)), np.float32)
+        # each passage's words, and no word past its end
+        at = p[:, None] + np.arange(SPAN)
+        words = np.where(at < q[:, None], np.take(place, at, mode="clip"), len(vocabulary)) if len(p) else at
         for k in range(0, len(x) if len(queries) else 0, step):
-            cos = (x[k : k + step] @ queries.T).ravel()
+            cos = np.matmul(x[k : k + step], queries.T, out=products[: len(x) - k]).ravel()
             hit = np.flatnonzero(cos >= COSINE)
-            near.append(hit // len(queries) + k)
-            far.append(hit % len(queries))
-            cosines.append(cos[hit])
+            for j in range(0, len(hit), OVERLAPS):
+                cell = hit[j : j + OVERLAPS]
+                passage, query = cell // len(queries) + k, cell % len(queries)
+                # words in common, without order
+                shared = held.get((query * held.columns)[:, None], words[passage]).sum(axis=1)
+                ok = shared >= np.ceil(OVERLAP * np.minimum(sizes[query], (q - p)[passage]))
+                near.append(passage[ok])
+                far.append(query[ok])
+                cosines.append(cos[cell[ok]])
         near, far, cosines = np.concatenate(near), np.concatenate(far), np.concatenate(cosines)
-        # words in common, without order; pairs that the words to come cannot save are dropped on the way
-        need = np.ceil(OVERLAP * np.minimum(sizes[far], (q - p)[near])).astype(np.int32)
-        shared, row = np.zeros(len(near), np.int32), far * held.columns
-        for t in range(SPAN):
-            word = p[near] + t
-            at = np.where(word < q[near], np.take(place, word, mode="clip"), len(vocabulary))
-            shared += held.get(row, at)
-            if t % 4 == 3:
-                ok = shared >= need - (SPAN - 1 - t)
-                near, far, cosines, shared, need, row = (x[ok] for x in (near, far, cosines, shared, need, row))
         return near, far, cosines
 
     def search(batches):
