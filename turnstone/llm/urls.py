@@ -11,6 +11,7 @@ each leaves at most DAMPING of the change before it, so their number is bounded,
 
 Cases: a null url or one without "://" has an empty host and path, fits no rule, takes no part in the graph and
 is allowed; null html has no links; repeated pages count as links again; without seeds every score is 0.
+Of rules of equal length that fit, the greatest (verdict, host, path) holds, so block before allow.
 """
 
 from __future__ import annotations
