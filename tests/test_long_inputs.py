@@ -239,6 +239,23 @@ def test_a_lexicon_of_100_000_phrases(spark):
         phrase_index.index(spark.createDataFrame([(HEDGING, "c", "-x", 0)], schemas.LEXICON)).collect()
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_places_of_texts_are_never_broadcast(spark, tmp_path, monkeypatch, most):
+    """By the size of their file Spark would take them for small; the lexicon is broadcast if it is small, else nothing is."""
+    monkeypatch.setattr(phrase_index, "BROADCAST_BYTES", most, raising=False)
+    spark.createDataFrame([(i, "of the that is to the end " * 20) for i in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    table = to_table(spark, derive.LEXICON)
+    found = phrase_index.hits(d, "doc_id", "text", phrase_index.index(table))
+    assert "BuildLeft" not in _plan(found) and _plan(found).count("BroadcastHashJoin") == (2 if most else 0)
+    want = {r["doc_id"]: _named(r["hedge_matches"]) for r in hedging.classify(d, lexicon=derive.LEXICON).collect()}
+    assert {r["doc_id"]: _named(r["hedge_matches"]) for r in hedging.classify_indexed(d, table).collect()} == want
+
+
 def test_a_lexicon_parsed_as_rows(spark):
     """Files as rows equal the parser on the driver, with odd lines, ends of lines and closed buckets."""
     from pathlib import Path

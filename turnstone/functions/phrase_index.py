@@ -5,13 +5,14 @@ between them (maximal runs of \w and of \W, so every cut is a word boundary). A
 separators between them, so:
 
 1. The index tells, for each first word, how many words its phrases have. Places of a text whose word begins a phrase give one window for
-   each of those lengths.
+   each of those lengths. A place carries what follows it up to the longest phrase, never the rest of its text.
 2. Windows are joined with the phrases by equality of the whole window: a hit is a phrase, and no pair is tried in vain.
 3. Of the hits of a text, as of a pattern's, the leftmost counts, the longest where several begin, and none may overlap one before.
 
 Equal to ``lexicon.matches`` for phrases that begin and end with a word character, which is checked; others have no word boundary to stand
-on. Both sides are lower-cased. Lengths by first word are at most as long as the lexicon, and Spark broadcasts them and the phrases if it
-finds them small; longer ones are shuffled, with very frequent first words split by adaptive execution.
+on. Both sides are lower-cased. Lengths by first word are at most as long as the lexicon; they and the phrases are broadcast up to
+``BROADCAST_BYTES``, which is counted, and shuffled above, with very frequent first words split by adaptive execution. Either way the join is
+named: Spark takes the places of a text for as small as the file that the texts are in, and would broadcast them.
 
 Cases: null and empty texts have no matches; a phrase that comes twice in a bucket has the category of its last row (``ord``); a phrase may be in
 both buckets; repeated phrases in a text count once, by their first place.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 PIECES = r"(?U)\w+|\W+"
 WORDLY = r"(?sU)\A\w(?:.*\w)?\z"
+WORD_FIRST = r"(?U)\A\w"
+BROADCAST_BYTES = 2 << 20
 
 
 def pieces(text: Column | str) -> Column:
@@ -41,14 +44,22 @@ def index(lexicon: DataFrame) -> DataFrame:
     return d.select("bucket", "phrase", "category", F.element_at(cut, 1).alias("first"), F.size(cut).alias("n_pieces"))
 
 
-def hits(texts: DataFrame, key: str, column: str, phrases: DataFrame) -> DataFrame:
-    """``key``, bucket, at, n_pieces, phrase, category: every place where a phrase stands, overlapping ones included."""
+def places(texts: DataFrame, key: str, column: str, longest: int) -> DataFrame:
+    """_key, _at, first, _rest: each word of a text, and up to ``longest`` - 1 pieces after it."""
     d = texts.select(F.col(key).alias("_key"), pieces(column).alias("_pieces"))
+    place = lambda p, i: F.when(p.rlike(WORD_FIRST), F.struct(i.alias("_at"), p.alias("first"), F.slice("_pieces", i + 2, longest - 1).alias("_rest")))
+    return d.select("_key", F.inline(F.array_compact(F.transform("_pieces", place))))
+
+
+def hits(texts: DataFrame, key: str, column: str, phrases: DataFrame) -> DataFrame:
+    """``key``, bucket, at, n_pieces, phrase, category: every place where a phrase stands, overlapping ones included. Reads ``phrases`` at once."""
+    size, longest = phrases.agg(F.sum(F.octet_length("phrase") + F.coalesce(F.octet_length("category"), F.lit(0)) + 100), F.max("n_pieces")).first()
+    joined = F.broadcast if (size or 0) <= BROADCAST_BYTES else lambda table: table.hint("merge")
     lengths = phrases.groupBy("first").agg(F.collect_set("n_pieces").alias("_lengths"))  # a handful for each word
-    d = d.select("_key", "_pieces", F.posexplode("_pieces").alias("_at", "first")).join(lengths, "first")
-    d = d.select("_key", "_at", "_pieces", F.explode("_lengths").alias("n_pieces")).where(F.col("_at") + F.col("n_pieces") <= F.size("_pieces"))
-    d = d.select("_key", "_at", F.array_join(F.slice("_pieces", F.col("_at") + 1, F.col("n_pieces")), "").alias("phrase"))
-    return d.join(phrases, "phrase").select(F.col("_key").alias(key), "bucket", F.col("_at").alias("at"), "n_pieces", "phrase", "category")
+    d = places(texts, key, column, longest or 1).join(joined(lengths), "first")
+    d = d.select("_key", "_at", "first", "_rest", F.explode("_lengths").alias("n_pieces")).where(F.col("n_pieces") <= F.size("_rest") + 1)
+    d = d.select("_key", "_at", F.concat("first", F.array_join(F.slice("_rest", F.lit(1), F.col("n_pieces") - 1), "")).alias("phrase"))
+    return d.join(joined(phrases), "phrase").select(F.col("_key").alias(key), "bucket", F.col("_at").alias("at"), "n_pieces", "phrase", "category")
 
 
 def _taken(found: Column) -> Column:

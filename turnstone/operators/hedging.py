@@ -25,7 +25,9 @@ def classify_indexed(df: DataFrame, lexicon: DataFrame, column: str = "text") ->
     d = df.withColumns({column: strip(column), "_row": F.monotonically_increasing_id()})
     # the number of a row must be the same for both readers of the texts
     d = checkpointed(d)
-    found = phrase_index.matches(d, "_row", column, phrase_index.index(lexicon), (HEDGING, SURE)).drop("_row")
+    # the lexicon is measured, and read by two joins
+    phrases = checkpointed(phrase_index.index(lexicon))
+    found = phrase_index.matches(d, "_row", column, phrases, (HEDGING, SURE)).drop("_row")
     found = found.withColumnsRenamed({HEDGING: "hedge_matches", SURE: "confident_matches"})
     return found.withColumn("label", F.when(F.size("hedge_matches") > 0, HEDGED).when(F.size("confident_matches") > 0, CONFIDENT).otherwise(UNMARKED))
 
