@@ -256,6 +256,17 @@ def test_places_of_texts_are_never_broadcast(spark, tmp_path, monkeypatch, most)
     assert {r["doc_id"]: _named(r["hedge_matches"]) for r in hedging.classify_indexed(d, table).collect()} == want
 
 
+def test_places_carry_no_more_than_the_longest_phrase(spark, monkeypatch):
+    """A text of 20 000 words, which each of its places used to carry whole."""
+    monkeypatch.setattr(phrase_index, "BROADCAST_BYTES", 0, raising=False)
+    d = spark.createDataFrame([(1, "-a b c " * 3), (2, "ab"), (3, ""), (4, None)], "doc_id long, text string")
+    got = [(r["_key"], r["_at"], r["first"], list(r["_rest"])) for r in phrase_index.places(d, "doc_id", "text", 3).sort("_key", "_at").collect()]
+    assert got[:2] == [(1, 1, "a", [" ", "b"]), (1, 3, "b", [" ", "c"])] and got[-2:] == [(1, 17, "c", [" "]), (2, 0, "ab", [])] and len(got) == 10
+    long = spark.createDataFrame([(1, "of the that is to the end, then " * 2500)], "doc_id long, text string")
+    r = hedging.classify_indexed(long, to_table(spark, derive.LEXICON)).first()
+    assert _named(r["hedge_matches"]) == [("of the that", "odds"), ("to the", "belief")] and _named(r["confident_matches"]) == [("of the", "done"), ("is", "surely"), ("the", "strong")]
+
+
 def test_a_lexicon_parsed_as_rows(spark):
     """Files as rows equal the parser on the driver, with odd lines, ends of lines and closed buckets."""
     from pathlib import Path
