@@ -63,3 +63,16 @@ def test_derived_inputs_cover_all_outcomes(spark):
     assert got("consistency", "stable") == {True, False}
     assert got("revision_outcomes", "action") == {"corrected", "discard"}
     assert got("post_faithfulness", "passed") == {True, False}
+
+
+def test_default_lexicon_lowers_each_text_once(spark, tmp_path):
+    """Not inside the filter, where it was done for each of the phrases."""
+    phrases = [p for _, _, p, _ in registry.DEFAULT.rows()]
+    texts = [phrases[0].upper() + "x " + phrases[-1], None, "", "É " + phrases[-1].title() * 2]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = registry.queries()["default_lexicon"](spark, str(tmp_path))
+    steps = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert ["lower(" in s for s in steps if "Generate explode" in s] == [False] and sum("lower(" in s for s in steps) == 1
+    want = {p: sum(p in (t or "").lower() for t in texts) for p in phrases}
+    got = df.collect()
+    assert len(got) == len(phrases) and {r["phrase"]: r["n_documents"] for r in got} == want and want[phrases[-1]] == 2

@@ -541,8 +541,10 @@ _DEFAULT_ROWS = "(values " + ", ".join(f"({quoted(b)}, {quoted(c)}, {quoted(p)},
 @query(f"select bucket, category, phrase, ord, count(d.doc_id)::bigint as n_documents from {_DEFAULT_ROWS} left join documents d on contains(lower(d.text), phrase) group by all")
 def default_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default phrases, and how many documents hold each as a string, word boundaries aside."""
-    found = F.filter(F.array(*map(F.lit, dict.fromkeys(_PHRASES))), lambda p: F.contains(F.lower("text"), p))
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(found).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    # lower-cased below the generator: inside the filter it would be done again for every phrase
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lower("text").alias("low"))
+    found = F.filter(F.array(*map(F.lit, dict.fromkeys(_PHRASES))), lambda p: F.contains("low", p))
+    n = texts.select(F.explode(found).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     return to_table(spark, DEFAULT).join(n, "phrase", "left").select("bucket", "category", "phrase", "ord", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
