@@ -256,6 +256,23 @@ def test_places_of_texts_are_never_broadcast(spark, tmp_path, monkeypatch, most)
     assert {r["doc_id"]: _named(r["hedge_matches"]) for r in hedging.classify_indexed(d, table).collect()} == want
 
 
+def test_hits_of_texts_are_never_broadcast(spark):
+    """They grow with the texts; a high threshold used to bring them to the driver once adaptive execution had seen their size."""
+    d = spark.createDataFrame([(i, "of the that is to the end") for i in range(300)] + [(300, "none"), (301, None)], "doc_id long, text string").repartition(3)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "512m")
+        found = hedging.classify_indexed(d, to_table(spark, derive.LEXICON))
+        rows = found.collect()
+        plan = _plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "isFinalPlan=true" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and "BroadcastHashJoin [_row" not in final and final.count("BroadcastHashJoin") == 2  # the lexicon's
+    assert {len(r["hedge_matches"]) for r in rows if r["doc_id"] < 300} == {2} and [len(r["hedge_matches"]) for r in rows if r["doc_id"] >= 300] == [0, 0] and len(rows) == 302
+
+
 def test_places_carry_no_more_than_the_longest_phrase(spark, monkeypatch):
     """A text of 20 000 words, which each of its places used to carry whole."""
     monkeypatch.setattr(phrase_index, "BROADCAST_BYTES", 0, raising=False)

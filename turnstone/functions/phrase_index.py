@@ -12,7 +12,8 @@ separators between them, so:
 Equal to ``lexicon.matches`` for phrases that begin and end with a word character, which is checked; others have no word boundary to stand
 on. Both sides are lower-cased. Lengths by first word are at most as long as the lexicon; they and the phrases are broadcast up to
 ``BROADCAST_BYTES``, which is counted, and shuffled above, with very frequent first words split by adaptive execution. Either way the join is
-named: Spark takes the places of a text for as small as the file that the texts are in, and would broadcast them.
+named: Spark takes the places of a text for as small as the file that the texts are in, and would broadcast them. So is the join of the texts with
+their hits, which would be broadcast up to the session's threshold; nothing that grows with the texts comes to the driver.
 
 Cases: null and empty texts have no matches; a phrase that comes twice in a bucket has the category of its last row (``ord``); a phrase may be in
 both buckets; repeated phrases in a text count once, by their first place.
@@ -77,5 +78,5 @@ def matches(texts: DataFrame, key: str, column: str, phrases: DataFrame, buckets
     named = lambda b: F.array_distinct(F.transform(_taken(F.col(b)), lambda x: F.struct(x["phrase"].alias("phrase"), F.coalesce(x["category"], F.lit("")).alias("category"))))
     by = by.select(F.col(key).alias("_key"), *[named(b).alias(f"_{b}") for b in buckets])
     none = F.array().cast("array<struct<phrase:string,category:string>>")
-    joined = texts.join(by, texts[key] == by["_key"], "left")
+    joined = texts.join(by.hint("merge"), texts[key] == by["_key"], "left")
     return joined.select(*[texts[c] for c in texts.columns], *[F.coalesce(f"_{b}", none).alias(b) for b in buckets])
